@@ -8,7 +8,7 @@ from ..functions import masking as M
 from ..functions import patterns as P
 from ..operators import pii
 from ..sources import fixtures as FX
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import oracle as O
 from .registry import register
 
@@ -31,7 +31,7 @@ FROM documents GROUP BY ROLLUP (source, lang)
 
 
 def pii_report_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("source", "lang", "text"))
     return pii.pii_report(docs, "text", ["source", "lang"])
 
 
@@ -44,7 +44,8 @@ register("pii_report_documents", PII_REPORT_SQL, "S1 M1 M2 M3 M4 M6 M7 M12")(pii
           f"SELECT doc_id, {O.mask_text_sql('text')} AS masked FROM documents",
           "M1 M2 M3 M4 M6 M7")
 def mask_text_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", M.mask_text("text").alias("masked"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", M.mask_text("text").alias("masked"))
 
 
 @register("mask_text_ftext",
@@ -68,7 +69,7 @@ def sanitize_prompt_ftext(spark, sf_dir):
           f"SELECT doc_id, {O.sanitize_sql('text')} AS sanitized FROM documents",
           "M8")
 def sanitize_prompt_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", M.sanitize_prompt("text").alias("sanitized"))
 
 
@@ -130,7 +131,7 @@ def mask_nested_conversations(spark, sf_dir):
           f"SELECT page_id, {_mt('url')} AS url, {_mt('html')} AS html FROM pages",
           "M10")
 def mask_table_pages(spark, sf_dir):
-    return M.mask_table(table(spark, sf_dir, "pages"))
+    return M.mask_table(spread(table(spark, sf_dir, "pages")))
 
 
 # --- M11: per-match scan --------------------------------------------------------
@@ -146,7 +147,8 @@ def _scan_sql(src: str, id_col: str, col: str, kinds: list[str]) -> str:
 @register("pii_scan_documents",
           _scan_sql("documents", "doc_id", "text", list(P.ALL_PATTERNS)), "M11")
 def pii_scan_documents(spark, sf_dir):
-    return pii.pii_scan(table(spark, sf_dir, "documents"), "doc_id", ["text"])
+    return pii.pii_scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")),
+                        "doc_id", ["text"])
 
 
 @register("pii_scan_ftext",
@@ -159,4 +161,5 @@ def pii_scan_ftext(spark, sf_dir):
 @register("pii_scan_pages",
           _scan_sql("pages", "page_id", "html", list(P.VALUE_PATTERNS)), "M11")
 def pii_scan_pages(spark, sf_dir):
-    return pii.pii_scan(table(spark, sf_dir, "pages"), "page_id", ["html"], list(P.VALUE_PATTERNS))
+    return pii.pii_scan(spread(table(spark, sf_dir, "pages").select("page_id", "html")),
+                        "page_id", ["html"], list(P.VALUE_PATTERNS))
