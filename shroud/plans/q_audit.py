@@ -1 +1,151 @@
-"""Queries (filled in below)."""
+"""Data-audit queries over the star schema.
+
+The constraints (``STAR``) are a small catalog of the driver tables; it is
+metadata and stays on the driver, while every audit runs over the full tables.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from ..operators import audit as A
+from ..operators.audit import Constraint as C
+from ..sources.tables import TABLES, table
+from .registry import register
+
+STAR = [
+    C("region", "pk_region", "PRIMARY KEY", ["r_regionkey"]),
+    C("region", "uq_region_name", "UNIQUE", ["r_name"]),
+    C("nation", "pk_nation", "PRIMARY KEY", ["n_nationkey"]),
+    C("nation", "uq_nation_name", "UNIQUE", ["n_name"]),
+    C("nation", "fk_nation_region", "FOREIGN KEY", ["n_regionkey"], "region", ["r_regionkey"]),
+    C("customer", "pk_customer", "PRIMARY KEY", ["c_custkey"]),
+    C("customer", "fk_customer_nation", "FOREIGN KEY", ["c_nationkey"], "nation", ["n_nationkey"]),
+    C("customer", "nn_customer", "NOT NULL", ["c_name", "c_nationkey", "c_mktsegment"]),
+    C("customer", "ck_acctbal", "CHECK", ["c_acctbal"], predicate="c_acctbal >= -1000"),
+    C("supplier", "pk_supplier", "PRIMARY KEY", ["s_suppkey"]),
+    C("supplier", "fk_supplier_nation", "FOREIGN KEY", ["s_nationkey"], "nation", ["n_nationkey"]),
+    C("part", "pk_part", "PRIMARY KEY", ["p_partkey"]),
+    C("part", "ck_size", "CHECK", ["p_size"], predicate="p_size > 0"),
+    C("part", "ck_price", "CHECK", ["p_retailprice"], predicate="p_retailprice > 0"),
+    C("orders", "pk_orders", "PRIMARY KEY", ["o_orderkey"]),
+    C("orders", "fk_orders_customer", "FOREIGN KEY", ["o_custkey"], "customer", ["c_custkey"]),
+    C("orders", "nn_orders", "NOT NULL", ["o_custkey", "o_orderdate", "o_orderstatus"]),
+    C("orders", "ck_totalprice", "CHECK", ["o_totalprice"], predicate="o_totalprice >= 0"),
+    C("orders", "ck_status", "CHECK", ["o_orderstatus"], predicate="o_orderstatus IN ('F', 'O', 'P')"),
+    C("lineitem", "pk_lineitem", "PRIMARY KEY", ["l_orderkey", "l_linenumber"]),
+    C("lineitem", "fk_lineitem_orders", "FOREIGN KEY", ["l_orderkey"], "orders", ["o_orderkey"]),
+    C("lineitem", "fk_lineitem_part", "FOREIGN KEY", ["l_partkey"], "part", ["p_partkey"]),
+    C("lineitem", "fk_lineitem_supplier", "FOREIGN KEY", ["l_suppkey"], "supplier", ["s_suppkey"]),
+    C("lineitem", "nn_lineitem", "NOT NULL", ["l_quantity", "l_extendedprice", "l_shipdate"]),
+    C("lineitem", "ck_quantity", "CHECK", ["l_quantity"], predicate="l_quantity > 0"),
+    C("lineitem", "ck_discount", "CHECK", ["l_discount"], predicate="l_discount BETWEEN 0 AND 0.1"),
+    C("lineitem", "ck_tax", "CHECK", ["l_tax"], predicate="l_tax >= 0 AND l_tax < 0.08"),
+    C("lineitem", "ck_flag", "CHECK", ["l_returnflag"], predicate="l_returnflag IN ('A', 'N', 'R')"),
+    C("events", "pk_events", "PRIMARY KEY", ["event_id"]),
+    C("events", "nn_events", "NOT NULL", ["ts", "user_id", "event_type"]),
+    C("documents", "pk_documents", "PRIMARY KEY", ["doc_id"]),
+    C("documents", "ck_chars", "CHECK", ["n_chars", "text"], predicate="n_chars = length(text)"),
+    C("labels", "fk_labels_documents", "FOREIGN KEY", ["doc_id"], "documents", ["doc_id"]),
+    C("labels", "ck_quality", "CHECK", ["quality"], predicate="quality IN (0, 1)"),
+    C("conversations", "pk_conversations", "PRIMARY KEY", ["conv_id", "turn"]),
+    C("pages", "pk_pages", "PRIMARY KEY", ["page_id"]),
+]
+
+
+def _loader(spark, sf_dir):
+    return partial(table, spark, sf_dir)
+
+
+# --- oracle SQL, generated from the same constraint list ---------------------------
+
+def _any_null(cols):
+    return " OR ".join(f"{c} IS NULL" for c in cols)
+
+
+def _key_sql():
+    parts = []
+    for c in STAR:
+        if c.kind not in ("PRIMARY KEY", "UNIQUE"):
+            continue
+        cols = ", ".join(c.columns)
+        parts.append(
+            f"SELECT '{c.table}' AS table_name, '{c.name}' AS constraint_name, '{c.kind}' AS constraint_type, "
+            f"CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_keys, "
+            f"CAST(coalesce(sum(CASE WHEN NOT nk AND n > 1 THEN 1 END), 0) AS BIGINT) AS n_dup_keys, "
+            f"CAST(coalesce(sum(CASE WHEN NOT nk AND n > 1 THEN n END), 0) AS BIGINT) AS n_dup_rows, "
+            f"CAST(coalesce(sum(CASE WHEN nk THEN n END), 0) AS BIGINT) AS n_null_key_rows "
+            f"FROM (SELECT count(*) AS n, ({_any_null(c.columns)}) AS nk FROM {c.table} GROUP BY {cols}) g")
+    return " UNION ALL ".join(parts)
+
+
+def _not_null_sql():
+    seen, parts = set(), []
+    for c in STAR:
+        if c.kind in ("NOT NULL", "PRIMARY KEY"):
+            for col in c.columns:
+                if (c.table, col) in seen:
+                    continue
+                seen.add((c.table, col))
+                parts.append(f"SELECT '{c.table}' AS table_name, '{col}' AS column_name, "
+                             f"CAST(count(*) - count({col}) AS BIGINT) AS n_nulls FROM {c.table}")
+    return " UNION ALL ".join(parts)
+
+
+def _ref_sql():
+    parts = []
+    for c in STAR:
+        if c.kind != "FOREIGN KEY":
+            continue
+        k, p = c.columns[0], c.ref_columns[0]
+        parts.append(
+            f"SELECT '{c.table}' AS table_name, '{c.name}' AS constraint_name, '{c.ref_table}' AS ref_table, "
+            f"(SELECT count(*) FROM {c.table}) AS n_rows, "
+            f"(SELECT count(*) FROM {c.table} WHERE {k} IS NULL) AS n_null_fk, "
+            f"(SELECT count(*) FROM {c.table} x WHERE {k} IS NOT NULL AND NOT EXISTS "
+            f"(SELECT 1 FROM {c.ref_table} y WHERE y.{p} = x.{k})) AS n_orphan_rows, "
+            f"(SELECT count(DISTINCT {k}) FROM {c.table} x WHERE {k} IS NOT NULL AND NOT EXISTS "
+            f"(SELECT 1 FROM {c.ref_table} y WHERE y.{p} = x.{k})) AS n_orphan_keys")
+    return " UNION ALL ".join(parts)
+
+
+def _check_sql():
+    parts = []
+    for c in STAR:
+        if c.kind == "CHECK":
+            parts.append(f"SELECT '{c.table}' AS table_name, '{c.name}' AS constraint_name, "
+                         f"CAST(count(*) FILTER (WHERE NOT ({c.predicate})) AS BIGINT) AS n_violations "
+                         f"FROM {c.table}")
+    return " UNION ALL ".join(parts)
+
+
+def _evidence_sql():
+    parts = []
+    for c in STAR:
+        if c.kind != "FOREIGN KEY":
+            continue
+        k, p = c.columns[0], c.ref_columns[0]
+        parts.append(
+            f"SELECT '{c.table}' AS table_name, '{k}' AS column_name, '{c.ref_table}' AS ref_table, "
+            f"count(*) AS n_child_values, CAST(count(y.v) AS BIGINT) AS n_found "
+            f"FROM (SELECT DISTINCT {k} AS v FROM {c.table} WHERE {k} IS NOT NULL) x "
+            f"LEFT JOIN (SELECT DISTINCT {p} AS v FROM {c.ref_table}) y ON x.v = y.v")
+    return " UNION ALL ".join(parts)
+
+
+def _sizes_sql():
+    return " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES)
+
+
+register("audit_keys", _key_sql(), "Q1")(
+    lambda spark, sf_dir: A.key_audit(_loader(spark, sf_dir), STAR))
+register("audit_not_null", _not_null_sql(), "Q2")(
+    lambda spark, sf_dir: A.not_null_audit(_loader(spark, sf_dir), STAR))
+register("audit_references", _ref_sql(), "Q3")(
+    lambda spark, sf_dir: A.reference_audit(_loader(spark, sf_dir), STAR))
+register("audit_checks", _check_sql(), "Q4")(
+    lambda spark, sf_dir: A.check_audit(_loader(spark, sf_dir), STAR))
+register("audit_fk_evidence", _evidence_sql(), "Q5")(
+    lambda spark, sf_dir: A.fk_evidence(_loader(spark, sf_dir), [c for c in STAR if c.kind == "FOREIGN KEY"]))
+register("audit_table_sizes", _sizes_sql(), "Q7 S7")(
+    lambda spark, sf_dir: A.table_sizes(_loader(spark, sf_dir), TABLES))
