@@ -1 +1,149 @@
-"""Queries (filled in below)."""
+"""Code-corpus queries on the F-code fixture."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.patterns import sql_literal as lit
+from ..operators import codefacts as CF
+from ..sources import fixtures as FX
+from .registry import register
+
+
+def _files(spark, sf_dir):
+    return FX.fixture(spark, sf_dir, "f_code")
+
+
+_KIND = ("CASE regexp_extract(path, '[^/](\\.[^./]*)$', 1) WHEN '.py' THEN 'python' "
+         "WHEN '.sql' THEN 'sql' WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'javascript' "
+         "ELSE 'generic' END")
+_STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_BASE = f"""{FX.cte('f_code')},
+k AS (SELECT path, content, {_KIND} AS kind, string_split(content, chr(10)) AS ls FROM f_code),
+lines AS (SELECT path, kind, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS text FROM k),
+ln AS (SELECT *, {_STRIP.format(x='text')} AS stripped,
+              length(regexp_extract(text, '^([ \\t]*)', 1)) AS indent FROM lines)"""
+
+
+def _cnt(pred: str) -> str:
+    return f"CAST(len(list_filter(ls, lambda l: {pred})) AS BIGINT)"
+
+
+_SL = _STRIP.format(x="l")
+_METRICS_SQL = f"""WITH {_BASE}
+SELECT path, kind, CAST(len(ls) AS BIGINT) AS total_lines,
+  CASE WHEN kind = 'python' THEN {_cnt(f"{_SL} <> '' AND NOT starts_with({_SL}, '#')")} END AS lines_of_code,
+  CASE WHEN kind = 'python' THEN {_cnt(f"starts_with({_SL}, '#')")} END AS comment_lines,
+  CASE WHEN kind = 'python' THEN {_cnt("regexp_matches(l, '^\\s*def\\s')")} END AS function_count,
+  CASE WHEN kind = 'python' THEN {_cnt("regexp_matches(l, '^\\s*class\\s')")} END AS class_count,
+  CASE WHEN kind = 'python' THEN {_cnt("regexp_matches(l, '^\\s*(import\\s|from\\s+\\S+\\s+import\\b)')")} END
+    AS import_count,
+  CASE WHEN kind = 'python' THEN CAST(1 + {_cnt("regexp_matches(l, '^\\s*(if|elif|while|for|async\\s+for|except|with)\\b')")}
+    + len(regexp_extract_all(content, '\\S[ \\t]+for[ \\t]'))
+    - len(regexp_extract_all(content, 'async[ \\t]+for[ \\t]')) AS BIGINT) END AS cyclomatic_complexity,
+  CAST(NULL AS VARCHAR) AS error
+FROM k"""
+
+
+@register("code_file_metrics_fcode", _METRICS_SQL, "S2 S3 C1 C8 C9 C20 C21")
+def code_file_metrics_fcode(spark, sf_dir):
+    return CF.file_metrics(_files(spark, sf_dir))
+
+
+@register("code_lines_fcode", f"""WITH {_BASE}
+SELECT path, kind, CAST(line_no AS INTEGER) AS line_no, stripped, CAST(indent AS INTEGER) AS indent FROM ln""",
+          "S6")
+def code_lines_fcode(spark, sf_dir):
+    return CF.code_lines(_files(spark, sf_dir)).select("path", "kind", "line_no", "stripped", "indent")
+
+
+def _frag_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT path, line_no, stripped AS context, {i + 1} AS pattern_no, "
+        f"regexp_extract_all(text, {lit(p)}) AS m FROM ln WHERE kind = 'python'"
+        for i, p in enumerate(CF.SQL_PATTERNS))
+    types = "[" + ", ".join(lit(t) for t in CF.SQL_TYPES) + "]"
+    return f"""WITH {_BASE}, fr AS ({parts}),
+q AS (SELECT path, line_no, context, pattern_no, generate_subscripts(m, 1) AS match_no,
+             unnest(m) AS query FROM fr)
+SELECT path, CAST(line_no AS INTEGER) AS line_no, pattern_no, CAST(match_no AS INTEGER) AS match_no,
+       {_STRIP.format(x='query')} AS query, {types}[pattern_no] AS query_type,
+       CASE WHEN pattern_no = 3 THEN regexp_extract(query, '(?i)^UPDATE\\s+({CF.W}+)', 1)
+            ELSE regexp_extract(query, '({CF.W}+)$', 1) END AS table_name, context
+FROM q"""
+
+
+@register("code_sql_fragments_fcode", _frag_sql(), "C2 C3 C4")
+def code_sql_fragments_fcode(spark, sf_dir):
+    return CF.sql_fragments(_files(spark, sf_dir)).select(
+        "path", F.col("line_no").cast("int").alias("line_no"), F.col("pattern_no").cast("int"),
+        F.col("match_no").cast("int"), "query", "query_type", "table_name", "context")
+
+
+_IMPORTS_CTES = f"""{_BASE},
+pl AS (SELECT path, line_no, unnest(string_split(regexp_extract(stripped, '^import\\s+(.*)$', 1), ',')) AS item
+       FROM ln WHERE kind = 'python' AND regexp_matches(stripped, '^import\\s')),
+fr AS (SELECT path, line_no,
+              regexp_extract(stripped, '^from\\s+\\.*([\\p{{L}}\\p{{N}}_.]*)\\s+import\\s', 1) AS module,
+              regexp_extract(stripped, '\\simport\\s+(.*)$', 1) AS rest
+       FROM ln WHERE kind = 'python' AND regexp_matches(stripped, '^from\\s+\\.*[\\p{{L}}\\p{{N}}_.]*\\s+import\\s')),
+imp AS (SELECT path, CAST(line_no AS INTEGER) AS line_no, m AS module, [m] AS names,
+       nullif(regexp_extract(item, '\\sas\\s+([\\p{{L}}\\p{{N}}_]+)', 1), '') AS alias
+FROM (SELECT *, regexp_extract(item, '^\\s*([\\p{{L}}\\p{{N}}_.]+)', 1) AS m FROM pl)
+UNION ALL
+SELECT path, CAST(line_no AS INTEGER), module,
+       list_transform(string_split(regexp_replace(rest, '[()]', '', 'g'), ','),
+                      lambda x: regexp_extract(x, '^\\s*([\\p{{L}}\\p{{N}}_*]+)', 1)),
+       CAST(NULL AS VARCHAR)
+FROM fr WHERE module <> '')"""
+_IMPORTS_SQL = f"WITH {_IMPORTS_CTES} SELECT * FROM imp"
+
+
+@register("code_imports_fcode", _IMPORTS_SQL, "C5 C6")
+def code_imports_fcode(spark, sf_dir):
+    return CF.imports(_files(spark, sf_dir)).withColumn("line_no", F.col("line_no").cast("int"))
+
+
+@register("code_dependencies_fcode", f"""WITH {_IMPORTS_CTES}
+SELECT path, list_sort(list_distinct(list(split_part(module, '.', 1)))) AS dependencies
+FROM imp GROUP BY path""", "C7 C22")
+def code_dependencies_fcode(spark, sf_dir):
+    return CF.dependencies(_files(spark, sf_dir))
+
+
+@register("code_module_edges_fcode", f"""WITH {_IMPORTS_CTES},
+pv AS (SELECT path AS to_path, string_split(regexp_replace(path, '(/__init__)?\\.py$', ''), '/') AS parts
+       FROM f_code WHERE {_KIND} = 'python'),
+mods AS (SELECT to_path, array_to_string(list_slice(parts, len(parts) - i + 1, len(parts)), '.') AS module
+         FROM (SELECT to_path, parts, unnest(generate_series(1, len(parts))) AS i FROM pv))
+SELECT imp.path AS from_path, imp.line_no, imp.module, mods.to_path
+FROM imp JOIN mods ON imp.module = mods.module""", "C23")
+def code_module_edges_fcode(spark, sf_dir):
+    return CF.module_edges(_files(spark, sf_dir)).withColumn("line_no", F.col("line_no").cast("int"))
+
+
+@register("code_corpus_report_fcode", f"""WITH m AS ({_METRICS_SQL})
+SELECT kind, CAST(GROUPING(kind) AS BIGINT) AS grouping_level, count(*) AS n_files,
+       CAST(sum(total_lines) AS BIGINT) AS total_lines, CAST(sum(lines_of_code) AS BIGINT) AS lines_of_code,
+       CAST(sum(function_count) AS BIGINT) AS function_count, CAST(sum(class_count) AS BIGINT) AS class_count,
+       max(cyclomatic_complexity) AS max_complexity
+FROM m GROUP BY ROLLUP (kind)""", "C24")
+def code_corpus_report_fcode(spark, sf_dir):
+    return CF.corpus_report(CF.file_metrics(_files(spark, sf_dir)))
+
+
+# --- block-structure facts: checked against Python's ast in tests ------------------
+
+@register("code_functions_fcode", None, "C10 C12 C13 C14 C15 C18 C19 C22")
+def code_functions_fcode(spark, sf_dir):
+    return CF.functions(_files(spark, sf_dir))
+
+
+@register("code_classes_fcode", None, "C11 C12")
+def code_classes_fcode(spark, sf_dir):
+    return CF.classes(_files(spark, sf_dir))
+
+
+@register("code_assignments_fcode", None, "C16 C17")
+def code_assignments_fcode(spark, sf_dir):
+    return CF.assignments(_files(spark, sf_dir))
