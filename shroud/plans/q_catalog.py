@@ -1 +1,208 @@
-"""Queries (filled in below)."""
+"""Schema-catalog queries on F-ddl, F-log, F-cat."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import patterns as P
+from ..functions.patterns import sql_literal as lit
+from ..functions.sqltypes import normalize_type_sql
+from ..operators import audit, ddl, pii, replay
+from ..sources import fixtures as FX
+from .registry import register
+
+
+def _scripts(spark, sf_dir):
+    return FX.fixture(spark, sf_dir, "f_ddl")
+
+
+def _log_fddl(spark, sf_dir):
+    return ddl.change_log(ddl.split_statements(_scripts(spark, sf_dir)))
+
+
+def _log_flog(spark, sf_dir):
+    return ddl.flat_log(FX.fixture(spark, sf_dir, "f_log"))
+
+
+# --- DuckDB pieces ------------------------------------------------------------------
+
+_STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_SPLIT = (f"list_filter(list_transform(regexp_extract_all(content, {lit(ddl.STATEMENT_TOKEN)}, 1), "
+          f"lambda x: {_STRIP.format(x='x')}), lambda x: x <> '')")
+_KINDS = [(ddl._CT, "create_table"), (ddl._CI, "create_index"), (ddl._CV, "create_view"),
+          (ddl._CS, "create_schema"), (ddl._AT, "alter_table"), (ddl._DR, "drop"),
+          (ddl._TR, "truncate")]
+_KIND_SQL = ("CASE " + " ".join(f"WHEN regexp_matches(stmt, {lit(p)}) THEN '{k}'" for p, k in _KINDS)
+             + " ELSE 'other' END")
+_STMTS = f"""{FX.cte('f_ddl')},
+sp AS (SELECT script_id, {_SPLIT} AS st FROM f_ddl),
+stmts AS (SELECT script_id, CAST(generate_subscripts(st, 1) AS BIGINT) AS seq, unnest(st) AS stmt FROM sp),
+stk AS (SELECT *, {_KIND_SQL} AS kind FROM stmts)"""
+_ITEMS = f"""{_STMTS},
+ct AS (SELECT script_id, seq, regexp_extract(stmt, {lit(ddl._CT)}, 1) AS t,
+              list_filter(list_transform(regexp_extract_all(regexp_extract(stmt, {lit(ddl._CT)}, 2),
+                  {lit(ddl.LIST_ITEM)}, 1), lambda x: {_STRIP.format(x='x')}), lambda x: x <> '') AS items
+       FROM stk WHERE kind = 'create_table'),
+it AS (SELECT script_id, seq, t, generate_subscripts(items, 1) AS pos, unnest(items) AS item FROM ct),
+its AS (SELECT *, regexp_matches(item, {lit(ddl._TABLE_CONSTRAINT)}) AS is_con FROM it)"""
+
+
+@register("ddl_statements_fddl", f"WITH {_STMTS} SELECT script_id, seq, stmt, kind FROM stk", "S1 G1 G2")
+def ddl_statements_fddl(spark, sf_dir):
+    return ddl.statements(_scripts(spark, sf_dir))
+
+
+def _raw_type_sql(item: str) -> str:
+    rest = f"regexp_extract({item}, '^\\S+\\s*(.*)$', 1)"
+    return _STRIP.format(x=f"regexp_extract({rest}, {lit('(?is)^(.*?)(?:\\s+(?:' + ddl._COL_KEYWORDS + ')\\b.*)?$')}, 1)")
+
+
+_COLS_SQL = f"""WITH {_ITEMS}
+SELECT script_id, seq, t AS table_name, CAST(pos AS BIGINT) AS ordinal,
+       regexp_extract(item, '^(\\S+)', 1) AS column_name,
+       {normalize_type_sql(_raw_type_sql('item'))} AS data_type,
+       NOT regexp_matches(item, '(?i)\\bNOT\\s+NULL\\b') AS nullable,
+       nullif(regexp_extract(item, {lit(r"(?is)\bDEFAULT\s+('(?:[^']|'')*'|\([^()]*\)|[^\s,]+(?:\([^()]*\))?)")}, 1), '')
+         AS default_value,
+       regexp_matches(item, '(?i)\\bPRIMARY\\s+KEY\\b') AS is_primary_key
+FROM its WHERE NOT is_con"""
+
+
+@register("ddl_columns_fddl", _COLS_SQL, "G3 G4")
+def ddl_columns_fddl(spark, sf_dir):
+    log = _log_fddl(spark, sf_dir)
+    return log.where((F.col("op") == "add_column") & (F.col("sub") < 100000)).select(
+        "script_id", "seq", "table_name", F.col("sub").alias("ordinal"), "column_name", "data_type",
+        "nullable", F.col("value").alias("default_value"), "is_primary_key")
+
+
+def _expr_cols_sql(e: str) -> str:
+    e = f"regexp_replace({e}, '''[^'']*''', '0', 'g')"
+    e = f"regexp_replace({e}, '(?i)\\b(and|or|not|in)\\s*\\(', '\\1 , (', 'g')"
+    e = f"regexp_replace({e}, '\\b[A-Za-z_][A-Za-z0-9_]*\\s*\\([^()]*\\)', '0', 'g')"
+    kws = "[" + ", ".join(lit(k) for k in ddl.EXPR_KEYWORDS) + "]"
+    return (f"list_filter(regexp_extract_all({e}, '\\b(?:[A-Za-z_][A-Za-z0-9_]*\\.)*([A-Za-z_][A-Za-z0-9_]*)\\b', 1), "
+            f"lambda x: NOT list_contains({kws}, upper(x)))")
+
+
+_CONS_SQL = f"""WITH {_ITEMS},
+c AS (SELECT *, upper(regexp_replace(regexp_extract(item, {lit(ddl._TABLE_CONSTRAINT)}, 1), '\\s+', ' ', 'g')) AS k
+      FROM its WHERE is_con)
+SELECT script_id, seq, t AS table_name,
+       coalesce(nullif(regexp_extract(item, '(?i)^CONSTRAINT\\s+(\\S+)', 1), ''),
+                CASE k WHEN 'PRIMARY KEY' THEN 'unnamed_pk' WHEN 'UNIQUE' THEN 'unnamed_unique'
+                       WHEN 'FOREIGN KEY' THEN 'unnamed_fk' ELSE 'unnamed_check' END) AS name,
+       k AS constraint_type,
+       CASE WHEN k = 'CHECK' THEN {_expr_cols_sql("regexp_extract(item, '(?is)CHECK\\s*\\((.*)\\)\\s*$', 1)")} END
+         AS columns
+FROM c"""
+
+
+@register("ddl_constraints_fddl", _CONS_SQL, "G5 G6 G7 G10 G11")
+def ddl_constraints_fddl(spark, sf_dir):
+    log = _log_fddl(spark, sf_dir)
+    return log.where(F.col("op") == "add_constraint").select(
+        "script_id", "seq", "table_name", F.col("value").alias("name"), "constraint_type",
+        F.when(F.col("constraint_type") == "CHECK", F.col("columns")).alias("columns"))
+
+
+_IDX_SQL = f"""WITH {_STMTS}
+SELECT script_id, seq, regexp_extract(stmt, {lit(ddl._CI)}, 3) AS table_name,
+       coalesce(nullif(regexp_extract(stmt, {lit(ddl._CI)}, 2), ''), 'unnamed_index') AS name,
+       list_filter(list_transform(regexp_extract_all(regexp_extract(stmt, {lit(ddl._CI)}, 4),
+           {lit(ddl.LIST_ITEM)}, 1), lambda x: {_STRIP.format(x='x')}), lambda x: x <> '') AS columns,
+       regexp_extract(stmt, {lit(ddl._CI)}, 1) <> '' AS is_unique
+FROM stk WHERE kind = 'create_index'"""
+
+
+@register("ddl_indexes_fddl", _IDX_SQL, "G12")
+def ddl_indexes_fddl(spark, sf_dir):
+    log = _log_fddl(spark, sf_dir)
+    return log.where(F.col("op") == "create_index").select(
+        "script_id", "seq", "table_name", F.col("value").alias("name"), "columns", "is_unique")
+
+
+# --- replayed catalogs (rows-only here; tests compare with a sequential fold) ----
+
+def _cat(log_fn, part: str, infer: bool = True):
+    def run(spark, sf_dir):
+        return replay.catalog(log_fn(spark, sf_dir), infer=infer)[part]
+    return run
+
+
+for _part in ["tables", "columns", "relationships", "indexes", "constraints"]:
+    register(f"catalog_{_part}_fddl", None, "G5 G8 G9 G14 G16 G20 G25 G26 G27")(_cat(_log_fddl, _part))
+    register(f"catalog_{_part}_flog", None,
+             "G5 G8 G9 G12 G14 G16 G17 G18 G19 G21 G22 G23 G24 G25")(_cat(_log_flog, _part, infer=False))
+
+
+# --- G26 on F-cat -----------------------------------------------------------------
+
+def _fcat_inferred(spark, sf_dir):
+    t = FX.fixture(spark, sf_dir, "f_cat_tables")
+    c = FX.fixture(spark, sf_dir, "f_cat_columns")
+    targets = t.where("is_primary_key").select(
+        F.lit("fcat").alias("script_id"), F.col("pos").alias("table_pos"), "table_name",
+        F.col("column_name").alias("pk_column"))
+    cand = c.select(F.lit("fcat").alias("script_id"), F.col("table_name").alias("from_table"),
+                    F.lit(0).alias("from_pos"), "ordinal", "column_name", "is_foreign_key")
+    return replay.infer_foreign_keys(cand, targets)
+
+
+_INFER_CTES = f"""{FX.cte('f_cat_tables')}, {FX.cte('f_cat_columns')},
+c AS (SELECT table_name AS from_table, ordinal, column_name,
+             lower(substr(column_name, 1, length(column_name) - 3)) AS stem
+      FROM f_cat_columns WHERE ends_with(column_name, '_id') AND NOT is_foreign_key),
+j AS (SELECT c.*, t.table_name AS to_table, t.column_name AS pk,
+             row_number() OVER (PARTITION BY c.ordinal ORDER BY t.pos) AS rk
+      FROM c JOIN f_cat_tables t ON t.is_primary_key
+           AND lower(t.table_name) IN (c.stem, c.stem || 's', c.stem || 'es'))"""
+_INFER_SQL = f"""WITH {_INFER_CTES}
+SELECT from_table, column_name AS from_column, to_table, pk AS to_column,
+       'INFERRED_FK' AS relationship_type, ordinal FROM j WHERE rk = 1"""
+
+
+@register("infer_fk_fcat", _INFER_SQL, "G26")
+def infer_fk_fcat(spark, sf_dir):
+    return _fcat_inferred(spark, sf_dir).select(
+        "from_table", "from_column", "to_table", "to_column", "relationship_type", "ordinal")
+
+
+_HIER_SQL = f"""WITH RECURSIVE {_INFER_CTES},
+e AS (SELECT DISTINCT from_table AS child, to_table AS parent FROM j WHERE rk = 1 AND from_table <> to_table),
+names AS (SELECT table_name FROM f_cat_tables UNION SELECT table_name FROM f_cat_columns),
+lv(table_name, level) AS (
+  SELECT table_name, 0 FROM names WHERE table_name NOT IN (SELECT child FROM e)
+  UNION ALL SELECT e.child, lv.level + 1 FROM e JOIN lv ON e.parent = lv.table_name WHERE lv.level < 64)
+SELECT n.table_name, CAST(max(lv.level) AS BIGINT) AS level, max(lv.level) IS NULL AS in_cycle,
+       false AS self_ref
+FROM names n LEFT JOIN lv ON lv.table_name = n.table_name GROUP BY n.table_name"""
+
+
+@register("hierarchy_fcat", _HIER_SQL, "Q6")
+def hierarchy_fcat(spark, sf_dir):
+    edges = _fcat_inferred(spark, sf_dir).select(F.col("from_table").alias("child"),
+                                                 F.col("to_table").alias("parent"))
+    names = (FX.fixture(spark, sf_dir, "f_cat_tables").select("table_name")
+             .unionByName(FX.fixture(spark, sf_dir, "f_cat_columns").select("table_name")))
+    return audit.hierarchy(edges, names)
+
+
+# --- M13: PII classes of catalog column names ---------------------------------------
+
+_PII_GROUP_SQL = ("CASE " + " ".join(
+    f"WHEN regexp_matches(column_name, {lit(P.ALL_PATTERNS[k])}) THEN {i}"
+    for i, k in enumerate(P.NAME_PATTERNS, start=1)) + " END")
+
+
+_PII_SQL = f"""WITH {_ITEMS},
+cols AS (SELECT script_id, t AS table_name, regexp_extract(item, '^(\\S+)', 1) AS column_name
+         FROM its WHERE NOT is_con)
+SELECT script_id, table_name, column_name, {_PII_GROUP_SQL} AS pii_group,
+       ({_PII_GROUP_SQL}) IS NOT NULL AS is_pii FROM cols"""
+
+
+@register("pii_columns_fddl", _PII_SQL, "M13")
+def pii_columns_fddl(spark, sf_dir):
+    cols = ddl_columns_fddl(spark, sf_dir).select("script_id", "table_name", "column_name")
+    return pii.pii_columns(cols, "column_name")
