@@ -155,105 +155,99 @@ LOG_COLUMNS = ["script_id", "seq", "sub", "op", "table_name", "column_name", "va
 _NULLS = {"column_name": "string", "value": "string", "data_type": "string", "nullable": "boolean",
           "is_primary_key": "boolean", "constraint_type": "string", "columns": "array<string>",
           "reference_table": "string", "reference_columns": "array<string>", "is_unique": "boolean"}
+_CHANGE_TYPE = ("struct<sub:bigint,op:string,table_name:string," +
+                ",".join(f"{k}:{v}" for k, v in _NULLS.items()) + ">")
 
 
-def _log(df: DataFrame, op, sub, table, **cols) -> DataFrame:
-    sel = [F.col("script_id").cast("string").alias("script_id"), F.col("seq").cast("long").alias("seq"),
-           sub.cast("long").alias("sub"), (op if isinstance(op, Column) else F.lit(op)).alias("op"),
-           table.alias("table_name")]
+def _mk(op, sub, table, **cols) -> Column:
+    """One change as a struct (fields in log order, script_id/seq added later)."""
+    fields = [F.lit(sub).cast("long").alias("sub") if not isinstance(sub, Column) else sub.cast("long").alias("sub"),
+              (op if isinstance(op, Column) else F.lit(op)).alias("op"),
+              table.cast("string").alias("table_name")]
     for name, t in _NULLS.items():
-        sel.append((cols[name] if name in cols else F.lit(None)).cast(t).alias(name))
-    return df.select(*sel)
+        fields.append((cols[name] if name in cols else F.lit(None)).cast(t).alias(name))
+    return F.struct(*fields)
 
 
-def change_log(stmts: DataFrame) -> DataFrame:
-    """G2–G13, G18–G24 extraction: statements -> typed change log."""
-    s = stmts.withColumn("kind", classify(F.col("stmt")))
-    st = F.col("stmt")
-    out = []
-
-    # CREATE TABLE: table, columns (in order), then table constraints
-    ct = s.where(F.col("kind") == "create_table").select(
-        "script_id", "seq", F.regexp_extract(st, _CT, 1).alias("t"),
-        split_list(F.regexp_extract(st, _CT, 2)).alias("items"))
-    out.append(_log(ct, "create_table", F.lit(0), F.col("t")))
-    items = ct.select("script_id", "seq", "t", F.posexplode("items").alias("pos", "item")) \
-        .withColumn("is_con", F.col("item").rlike(_TABLE_CONSTRAINT))
-    cols = items.where(~F.col("is_con"))
-    cd = column_def(F.col("item"))
-    out.append(_log(cols, "add_column", F.col("pos") + 1, F.col("t"),
-                    **{k: v for k, v in cd.items() if k != "raw_type"}))
-    cons = items.where(F.col("is_con"))
-    tc = table_constraint(F.col("item"))
-    out.append(_log(cons, "add_constraint", F.col("pos") + 100000, F.col("t"),
-                    **{k: v for k, v in tc.items() if k != "check_expr"}))
-
-    # CREATE INDEX
-    ci = s.where(F.col("kind") == "create_index")
-    out.append(_log(ci, "create_index", F.lit(0), F.regexp_extract(st, _CI, 3),
-                    value=F.coalesce(_nz(F.regexp_extract(st, _CI, 2)), F.lit(UNNAMED["INDEX"])),
-                    columns=split_list(F.regexp_extract(st, _CI, 4)),
-                    is_unique=F.regexp_extract(st, _CI, 1) != ""))
-
-    # CREATE [MATERIALIZED] VIEW: table row + named columns (type UNKNOWN)
-    cv = s.where(F.col("kind") == "create_view").select(
-        "script_id", "seq", F.regexp_extract(st, _CV, 2).alias("t"),
-        F.when(F.regexp_extract(st, _CV, 1) != "", "MATERIALIZED VIEW").otherwise("VIEW").alias("vt"),
-        _ident_list(F.regexp_extract(st, _CV, 3)).alias("vc"))
-    out.append(_log(cv, "create_view", F.lit(0), F.col("t"), value=F.col("vt")))
-    vcols = cv.select("script_id", "seq", "t", F.posexplode("vc").alias("pos", "c"))
-    out.append(_log(vcols, "add_column", F.col("pos") + 1, F.col("t"), column_name=F.col("c"),
-                    data_type=F.lit("UNKNOWN"), nullable=F.lit(True), is_primary_key=F.lit(False)))
-
-    # CREATE SCHEMA, TRUNCATE, DROP TABLE/VIEW (several names)
-    out.append(_log(s.where(F.col("kind") == "create_schema"), "create_schema", F.lit(0),
-                    F.lit(None).cast("string"), value=F.regexp_extract(st, _CS, 1)))
-    out.append(_log(s.where(F.col("kind") == "truncate"), "truncate", F.lit(0),
-                    F.regexp_extract(st, _TR, 1)))
-    dr = s.where(F.col("kind") == "drop").select(
-        "script_id", "seq", F.upper(F.regexp_extract(st, _DR, 1)).alias("what"),
-        F.posexplode(_ident_list(F.regexp_extract(st, _DR, 2))).alias("pos", "t"))
-    out.append(_log(dr, F.when(F.col("what") == "VIEW", "drop_view").otherwise("drop_table"),
-                    F.col("pos"), F.col("t")))
-
-    # ALTER TABLE: several comma-separated operations
-    at = s.where(F.col("kind") == "alter_table").select(
-        "script_id", "seq", F.regexp_extract(st, _AT, 1).alias("t"),
-        F.posexplode(split_list(F.regexp_extract(st, _AT, 2))).alias("pos", "a"))
-    a = F.col("a")
+def _log(df: DataFrame, op, sub, table, **cols) -> DataFrame:
+    c = _mk(op, sub, table, **cols).alias("c")
+    return df.select(F.col("script_id").cast("string").alias("script_id"),
+                     F.col("seq").cast("long").alias("seq"), c).select("script_id", "seq", "c.*")
+
+
+def _no_raw(d: dict) -> dict:
+    return {k: v for k, v in d.items() if k not in ("raw_type", "check_expr")}
+
+
+def _alter_change(a: Column, i: Column, t: Column) -> Column:
+    """One ALTER TABLE operation -> change struct (NULL when not understood)."""
     add_con = r"(?is)^ADD\s+((?:CONSTRAINT\s+\S+\s+)?(?:PRIMARY\s+KEY|UNIQUE|FOREIGN\s+KEY|CHECK)\b.*)$"
     add_col = r"(?is)^ADD\s+(?:COLUMN\s+)?(?:IF\s+NOT\s+EXISTS\s+)?(.*)$"
-    at = at.withColumn("c_item", F.regexp_extract(a, add_con, 1)) \
-        .withColumn("col_item", F.regexp_extract(a, add_col, 1))
-    con_rows = at.where(F.col("c_item") != "")
-    tc2 = table_constraint(F.col("c_item"))
-    out.append(_log(con_rows, "add_constraint", F.col("pos"), F.col("t"),
-                    **{k: v for k, v in tc2.items() if k != "check_expr"}))
-    col_rows = at.where((F.col("c_item") == "") & (F.col("col_item") != ""))
-    cd2 = column_def(F.col("col_item"))
-    out.append(_log(col_rows, "add_column", F.col("pos"), F.col("t"),
-                    **{k: v for k, v in cd2.items() if k != "raw_type"}))
-    simple = [
-        (r"(?is)^DROP\s+CONSTRAINT\s+(?:IF\s+EXISTS\s+)?(\S+)", "drop_constraint", "value"),
-        (r"(?is)^DROP\s+(?!CONSTRAINT\s)(?:COLUMN\s+)?(?:IF\s+EXISTS\s+)?(\S+)", "drop_column", "column_name"),
-        (r"(?is)^ALTER\s+(?:COLUMN\s+)?(\S+)\s+SET\s+NOT\s+NULL\s*$", "set_not_null", "column_name"),
-        (r"(?is)^ALTER\s+(?:COLUMN\s+)?(\S+)\s+DROP\s+NOT\s+NULL\s*$", "drop_not_null", "column_name"),
-        (r"(?is)^ALTER\s+(?:COLUMN\s+)?(\S+)\s+DROP\s+DEFAULT\s*$", "drop_default", "column_name"),
-    ]
-    for pat, op, field in simple:
-        rows = at.where(a.rlike(pat))
-        out.append(_log(rows, op, F.col("pos"), F.col("t"), **{field: F.regexp_extract(a, pat, 1)}))
-    sd = r"(?is)^ALTER\s+(?:COLUMN\s+)?(\S+)\s+SET\s+DEFAULT\s+(.*?)\s*$"
-    out.append(_log(at.where(a.rlike(sd)), "set_default", F.col("pos"), F.col("t"),
-                    column_name=F.regexp_extract(a, sd, 1), value=F.regexp_extract(a, sd, 2)))
+    drop_con = r"(?is)^DROP\s+CONSTRAINT\s+(?:IF\s+EXISTS\s+)?(\S+)"
+    drop_col = r"(?is)^DROP\s+(?:COLUMN\s+)?(?:IF\s+EXISTS\s+)?(\S+)"
+    alter = r"(?is)^ALTER\s+(?:COLUMN\s+)?(\S+)\s+"
+    sd = alter + r"SET\s+DEFAULT\s+(.*?)\s*$"
     rn = r"(?is)^RENAME\s+COLUMN\s+(\S+)\s+TO\s+(\S+)\s*$"
-    out.append(_log(at.where(a.rlike(rn)), "rename_column", F.col("pos"), F.col("t"),
-                    column_name=F.regexp_extract(a, rn, 1), value=F.regexp_extract(a, rn, 2)))
+    ex = lambda p, g=1: F.regexp_extract(a, p, g)
+    simple = {"set_not_null": alter + r"SET\s+NOT\s+NULL\s*$",
+              "drop_not_null": alter + r"DROP\s+NOT\s+NULL\s*$",
+              "drop_default": alter + r"DROP\s+DEFAULT\s*$"}
+    out = (F.when(a.rlike(add_con), _mk("add_constraint", i, t, **_no_raw(table_constraint(ex(add_con)))))
+           .when(a.rlike(drop_con), _mk("drop_constraint", i, t, value=ex(drop_con)))
+           .when(a.rlike(drop_col), _mk("drop_column", i, t, column_name=ex(drop_col)))
+           .when(a.rlike(rn), _mk("rename_column", i, t, column_name=ex(rn), value=ex(rn, 2)))
+           .when(a.rlike(sd), _mk("set_default", i, t, column_name=ex(sd), value=ex(sd, 2))))
+    for op, pat in simple.items():
+        out = out.when(a.rlike(pat), _mk(op, i, t, column_name=ex(pat)))
+    return out.when(a.rlike(add_col), _mk("add_column", i, t, **_no_raw(column_def(ex(add_col)))))
+
 
-    res = out[0]
-    for d in out[1:]:
-        res = res.unionByName(d)
-    return res
+def change_log(stmts: DataFrame) -> DataFrame:
+    """G2–G13, G18–G24 extraction: statements -> typed change log.
+
+    One pass: every statement yields an array of change structs which is
+    exploded once (no per-kind scans or unions)."""
+    st = F.col("stmt")
+    kind = classify(st)
+    empty = F.array().cast(f"array<{_CHANGE_TYPE}>")
+
+    # CREATE TABLE: the table, its columns (in order), then its table constraints
+    t_ct = F.regexp_extract(st, _CT, 1)
+    items = F.transform(split_list(F.regexp_extract(st, _CT, 2)),
+                        lambda x, i: F.struct((i + 1).alias("pos"), x.alias("item"),
+                                              x.rlike(_TABLE_CONSTRAINT).alias("is_con")))
+    ct = F.concat(
+        F.array(_mk("create_table", 0, t_ct)),
+        F.transform(F.filter(items, lambda x: ~x["is_con"]),
+                    lambda x: _mk("add_column", x["pos"], t_ct, **_no_raw(column_def(x["item"])))),
+        F.transform(F.filter(items, lambda x: x["is_con"]),
+                    lambda x: _mk("add_constraint", x["pos"] + 100000, t_ct,
+                                  **_no_raw(table_constraint(x["item"])))))
+    ci = F.array(_mk("create_index", 0, F.regexp_extract(st, _CI, 3),
+                     value=F.coalesce(_nz(F.regexp_extract(st, _CI, 2)), F.lit(UNNAMED["INDEX"])),
+                     columns=split_list(F.regexp_extract(st, _CI, 4)),
+                     is_unique=F.regexp_extract(st, _CI, 1) != ""))
+    t_cv = F.regexp_extract(st, _CV, 2)
+    vt = F.when(F.regexp_extract(st, _CV, 1) != "", F.lit("MATERIALIZED VIEW")).otherwise(F.lit("VIEW"))
+    cv = F.concat(F.array(_mk("create_view", 0, t_cv, value=vt)),
+                  F.transform(_ident_list(F.regexp_extract(st, _CV, 3)),
+                              lambda c, i: _mk("add_column", i + 1, t_cv, column_name=c,
+                                               data_type=F.lit("UNKNOWN"), nullable=F.lit(True),
+                                               is_primary_key=F.lit(False))))
+    cs = F.array(_mk("create_schema", 0, F.lit(None), value=F.regexp_extract(st, _CS, 1)))
+    tr = F.array(_mk("truncate", 0, F.regexp_extract(st, _TR, 1)))
+    dop = F.when(F.upper(F.regexp_extract(st, _DR, 1)) == "VIEW", F.lit("drop_view")).otherwise(F.lit("drop_table"))
+    dr = F.transform(_ident_list(F.regexp_extract(st, _DR, 2)), lambda n, i: _mk(dop, i, n))
+    t_at = F.regexp_extract(st, _AT, 1)
+    at = F.filter(F.transform(split_list(F.regexp_extract(st, _AT, 2)),
+                              lambda a, i: _alter_change(a, i, t_at)), lambda c: c.isNotNull())
+    changes = (F.when(kind == "create_table", ct).when(kind == "create_index", ci)
+               .when(kind == "create_view", cv).when(kind == "create_schema", cs)
+               .when(kind == "truncate", tr).when(kind == "drop", dr)
+               .when(kind == "alter_table", at).otherwise(empty))
+    return (stmts.select(F.col("script_id").cast("string").alias("script_id"),
+                         F.col("seq").cast("long").alias("seq"), F.explode(changes).alias("c"))
+            .select("script_id", "seq", "c.*"))
 
 
 def statements(scripts: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ flags; TRUNCATE zeroes the first table row of that name; CREATE SCHEMA stamps
 tables that exist and have no schema yet.
 
 Partitioning: almost every change touches one table only, so the ordered fold
-runs per (script_id, table_name) — not per script — with
-``groupBy(...).applyInPandas``. The two cross-table effects are separate
+runs per (script_id, table_name) — not per script: the log is hash-partitioned
+on that key, sorted within partitions, and folded by ``mapInPandas`` as a
+stream (state = one table's catalog, flushed when the key changes; no group
+is ever materialised). The two cross-table effects are separate
 steps: FK edges are folded a second time per (script_id, referenced table)
 to apply that table's drops and renames to the edge's far end, and CREATE
 SCHEMA is an as-of lookup (first schema after the table's creation) done
@@ -47,19 +49,24 @@ def _is_fk(t: str | None, strict: bool) -> bool:
     return t == "FOREIGN KEY" if strict else bool(t) and t.startswith("FOREIGN KEY")
 
 
-def _fold_table(rows: pd.DataFrame, strict: bool) -> list[dict]:
-    """Replay one table's changes (already sorted)."""
-    script, table = rows["script_id"].iloc[0], rows["table_name"].iloc[0]
-    trows: list[dict] = []
-    cols: list[dict] | None = None
-    idx: list[dict] = []
-    cons: list[dict] = []
-    edges: list[dict] = []
-    for r in rows.itertuples(index=False):
+class _TableState:
+    """Catalog state of one table name within one script."""
+
+    def __init__(self, script: str, table: str, strict: bool):
+        self.script, self.table, self.strict = script, table, strict
+        self.trows: list[dict] = []
+        self.cols: list[dict] | None = None      # None: not in the column map
+        self.idx: list[dict] = []
+        self.cons: list[dict] = []
+        self.edges: list[dict] = []
+
+    def apply(self, r) -> None:
         op, key = r.op, (int(r.seq), int(r.sub))
+        cols = self.cols
         if op in ("create_table", "create_view"):
-            trows.append({"k": key, "type": "TABLE" if op == "create_table" else r.value, "est": None})
-            cols = []
+            self.trows.append({"k": key, "type": "TABLE" if op == "create_table" else r.value,
+                               "est": None})
+            self.cols = []
         elif op == "add_column":
             if cols is not None:
                 cols.append({"name": r.column_name, "data_type": r.data_type,
@@ -67,58 +74,60 @@ def _fold_table(rows: pd.DataFrame, strict: bool) -> list[dict]:
                              "default": r.value, "pk_inline": bool(r.is_primary_key),
                              "pk": bool(r.is_primary_key), "fk": False, "ref": None, "k": key})
         elif op in ("drop_table", "drop_view"):
-            trows, cols = [], None
+            self.trows, self.cols = [], None
             if op == "drop_table":
-                idx, cons, edges = [], [], []
+                self.idx, self.cons, self.edges = [], [], []
         elif op == "truncate":
-            if trows:
-                trows[0]["est"] = 0
+            if self.trows:
+                self.trows[0]["est"] = 0
         elif op == "create_index":
-            idx.append({"name": r.value, "columns": _lst(r.columns), "unique": bool(r.is_unique), "k": key})
+            self.idx.append({"name": r.value, "columns": _lst(r.columns),
+                             "unique": bool(r.is_unique), "k": key})
         elif op == "add_constraint":
             ctype, ccols = r.constraint_type, _lst(r.columns)
             refc = _lst(r.reference_columns) if r.reference_columns is not None else None
-            cons.append({"name": r.value, "type": ctype, "columns": ccols,
-                         "ref_table": r.reference_table, "ref_columns": refc, "k": key})
+            self.cons.append({"name": r.value, "type": ctype, "columns": ccols,
+                              "ref_table": r.reference_table, "ref_columns": refc, "k": key})
             if ctype and ctype.startswith("FOREIGN KEY"):
                 for i, (a, b) in enumerate(zip(ccols, refc or [])):
-                    edges.append({"from": a, "to_table": r.reference_table, "to": b, "k": key + (i,)})
+                    self.edges.append({"from": a, "to_table": r.reference_table, "to": b,
+                                       "k": key + (i,)})
                 for c in cols or []:
                     if c["name"] in ccols:
                         c["fk"] = True
-                        c["ref"] = f"{r.reference_table}.{(refc or [''])[0] if refc else ''}"
+                        c["ref"] = f"{r.reference_table}.{refc[0] if refc else ''}"
             elif ctype == "PRIMARY KEY":
                 for c in cols or []:
                     if c["name"] in ccols:
                         c["pk"] = True
         elif op == "drop_constraint":
-            cons = [c for c in cons if c["name"] != r.value]
+            self.cons = [c for c in self.cons if c["name"] != r.value]
             for c in cols or []:
                 if c["ref"] is not None and not any(
-                        c["name"] in k["columns"] and _is_fk(k["type"], strict) for k in cons):
+                        c["name"] in k["columns"] and _is_fk(k["type"], self.strict) for k in self.cons):
                     c["fk"], c["ref"] = False, None
                 if c["pk"] and not any(c["name"] in k["columns"] and k["type"] == "PRIMARY KEY"
-                                       for k in cons):
-                    c["pk"] = (not strict) and c["pk_inline"]
+                                       for k in self.cons):
+                    c["pk"] = (not self.strict) and c["pk_inline"]
         elif op == "drop_column":
             x = r.column_name
             if cols is not None:
-                cols = [c for c in cols if c["name"] != x]
-            cons = [c for c in cons if x not in c["columns"]]
-            edges = [e for e in edges if e["from"] != x]
-            idx = [i for i in idx if x not in i["columns"]]
+                self.cols = [c for c in cols if c["name"] != x]
+            self.cons = [c for c in self.cons if x not in c["columns"]]
+            self.edges = [e for e in self.edges if e["from"] != x]
+            self.idx = [i for i in self.idx if x not in i["columns"]]
         elif op == "rename_column":
             old, new = r.column_name, r.value
             for c in cols or []:
                 if c["name"] == old:
                     c["name"] = new
                     break
-            for k in cons:
+            for k in self.cons:
                 k["columns"] = [new if v == old else v for v in k["columns"]]
-            for e in edges:
+            for e in self.edges:
                 if e["from"] == old:
                     e["from"] = new
-            for i in idx:
+            for i in self.idx:
                 i["columns"] = [new if v == old else v for v in i["columns"]]
         elif op in ("set_not_null", "drop_not_null", "set_default", "drop_default"):
             for c in cols or []:
@@ -132,48 +141,80 @@ def _fold_table(rows: pd.DataFrame, strict: bool) -> list[dict]:
                     else:
                         c["default"] = None
                     break
-    base = {f.name: None for f in FOLD_SCHEMA.fields}
-    out = []
-
-    def rec(kind, k, **kw):
-        d = dict(base, rec=kind, script_id=script, table_name=table,
-                 k_seq=k[0], k_sub=k[1], k_i=k[2] if len(k) > 2 else 0)
-        d.update(kw)
-        out.append(d)
-
-    for t in trows:
-        rec("table", t["k"], name=table, table_type=t["type"], estimated_rows=t["est"])
-    for i, c in enumerate(cols or [], start=1):
-        rec("column", c["k"], name=c["name"], data_type=c["data_type"], nullable=c["nullable"],
-            default_value=c["default"], is_primary_key=c["pk"], is_foreign_key=c["fk"],
-            references=c["ref"], ordinal=i)
-    for i in idx:
-        rec("index", i["k"], name=i["name"], columns=i["columns"], unique=i["unique"])
-    for c in cons:
-        rec("constraint", c["k"], name=c["name"], constraint_type=c["type"], columns=c["columns"],
-            reference_table=c["ref_table"], reference_columns=c["ref_columns"])
-    for e in edges:
-        rec("edge", e["k"], name=e["from"], to_table=e["to_table"], to_column=e["to"])
-    return out
 
+    def records(self) -> list[dict]:
+        base = {f.name: None for f in FOLD_SCHEMA.fields}
+        out = []
+
+        def rec(kind, k, **kw):
+            d = dict(base, rec=kind, script_id=self.script, table_name=self.table,
+                     k_seq=k[0], k_sub=k[1], k_i=k[2] if len(k) > 2 else 0)
+            d.update(kw)
+            out.append(d)
+
+        for t in self.trows:
+            rec("table", t["k"], name=self.table, table_type=t["type"], estimated_rows=t["est"])
+        for i, c in enumerate(self.cols or [], start=1):
+            rec("column", c["k"], name=c["name"], data_type=c["data_type"], nullable=c["nullable"],
+                default_value=c["default"], is_primary_key=c["pk"], is_foreign_key=c["fk"],
+                references=c["ref"], ordinal=i)
+        for i in self.idx:
+            rec("index", i["k"], name=i["name"], columns=i["columns"], unique=i["unique"])
+        for c in self.cons:
+            rec("constraint", c["k"], name=c["name"], constraint_type=c["type"], columns=c["columns"],
+                reference_table=c["ref_table"], reference_columns=c["ref_columns"])
+        for e in self.edges:
+            rec("edge", e["k"], name=e["from"], to_table=e["to_table"], to_column=e["to"])
+        return out
+
+
+class _FarEndState:
+    """Edges into one table, with that table's drops and renames applied."""
 
-def _fold_far_end(rows: pd.DataFrame) -> list[dict]:
-    """Apply the referenced table's drops and renames to incoming edges."""
-    live: list[dict] = []
-    for r in rows.itertuples(index=False):
+    def __init__(self, script: str, table: str, strict: bool = False):
+        self.live: list[dict] = []
+
+    def apply(self, r) -> None:
         if r.op == "edge":
-            live.append({"script_id": r.script_id, "from_table": r.from_table,
-                         "from_column": r.from_column, "to_table": r.table_name,
-                         "to_column": r.column_name, "k_seq": r.seq, "k_sub": r.sub, "k_i": r.k_i})
+            self.live.append({"script_id": r.script_id, "from_table": r.from_table,
+                              "from_column": r.from_column, "to_table": r.table_name,
+                              "to_column": r.column_name, "k_seq": r.seq, "k_sub": r.sub,
+                              "k_i": r.k_i})
         elif r.op == "drop_table":
-            live = []
+            self.live = []
         elif r.op == "drop_column":
-            live = [e for e in live if e["to_column"] != r.column_name]
+            self.live = [e for e in self.live if e["to_column"] != r.column_name]
         elif r.op == "rename_column":
-            for e in live:
+            for e in self.live:
                 if e["to_column"] == r.column_name:
                     e["to_column"] = r.value
-    return live
+
+    def records(self) -> list[dict]:
+        return self.live
+
+
+def _streaming_fold(state_cls, schema: T.StructType, strict: bool = False):
+    """mapInPandas body: rows arrive sorted by (script_id, table_name, order);
+    one state object lives per key and is flushed when the key changes, so
+    memory holds one table's catalog, never a whole key's history."""
+    names = schema.fieldNames()
+
+    def run(batches):
+        cur, cur_key = None, None
+        for pdf in batches:
+            out: list[dict] = []
+            for r in pdf.itertuples(index=False):
+                key = (r.script_id, r.table_name)
+                if key != cur_key:
+                    if cur is not None:
+                        out.extend(cur.records())
+                    cur, cur_key = state_cls(r.script_id, r.table_name, strict), key
+                cur.apply(r)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if cur is not None:
+            yield pd.DataFrame(cur.records(), columns=names)
+    return run
 
 
 def replay(log: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
@@ -184,13 +225,10 @@ def replay(log: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
     'FOREIGN KEY' / 'PRIMARY KEY' (so FKs with ON DELETE and inline PKs lose
     them); the default keeps FK flags under any remaining FK constraint and
     keeps inline PK flags."""
-    per_table = log.where(F.col("table_name").isNotNull())
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq", "sub"], kind="stable")
-        return pd.DataFrame(_fold_table(pdf, strict), columns=FOLD_SCHEMA.fieldNames())
-
-    folded = per_table.groupBy("script_id", "table_name").applyInPandas(fold, FOLD_SCHEMA)
+    per_table = (log.where(F.col("table_name").isNotNull())
+                 .repartition("script_id", "table_name")
+                 .sortWithinPartitions("script_id", "table_name", "seq", "sub"))
+    folded = per_table.mapInPandas(_streaming_fold(_TableState, FOLD_SCHEMA, strict), FOLD_SCHEMA)
 
     # CREATE SCHEMA: first schema statement after each table row's creation
     schemas = log.where(F.col("op") == "create_schema").select(
@@ -234,14 +272,10 @@ def replay(log: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
         "column_name", "value", F.lit(None).cast("string").alias("from_table"),
         F.lit(None).cast("string").alias("from_column"))
 
-    def fold_far(pdf: pd.DataFrame) -> pd.DataFrame:
-        if not (pdf["op"] == "edge").any():
-            return pd.DataFrame([], columns=EDGE_SCHEMA.fieldNames())
-        pdf = pdf.sort_values(["seq", "sub", "k_i"], kind="stable")
-        return pd.DataFrame(_fold_far_end(pdf), columns=EDGE_SCHEMA.fieldNames())
-
-    edges = (near.unionByName(far).groupBy("script_id", "table_name")
-             .applyInPandas(fold_far, EDGE_SCHEMA))
+    edges = (near.unionByName(far)
+             .repartition("script_id", "table_name")
+             .sortWithinPartitions("script_id", "table_name", "seq", "sub", "k_i")
+             .mapInPandas(_streaming_fold(_FarEndState, EDGE_SCHEMA), EDGE_SCHEMA))
     relationships = edges.select("script_id", "from_table", "from_column", "to_table", "to_column",
                                  F.lit("FOREIGN_KEY").alias("relationship_type"),
                                  F.col("k_seq").alias("created_seq"), F.col("k_sub").alias("created_sub"),
