@@ -1 +1,41 @@
-"""Queries (filled in below)."""
+"""Streaming queries: a file source over the driver
+tables is processed with ``availableNow`` into a sink under the shared
+checkpoint folder; the query returns the sink as a DataFrame."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import limiter
+from ..sources.tables import table
+from ..streaming import streams as S
+from . import oracle as O
+from .q_limiter import _oracle as admission_oracle
+from .registry import register
+
+
+def _file_stream(spark, sf_dir, name, cols):
+    schema = table(spark, sf_dir, name).select(*cols).schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+
+
+@register("mask_stream_documents",
+          f"SELECT doc_id, {O.mask_text_sql('text')} AS text FROM documents", "M14")
+def mask_stream_documents(spark, sf_dir):
+    src = _file_stream(spark, sf_dir, "documents", ["doc_id", "text"])
+    out, ckpt = S.stream_location(spark, "mask_documents")
+    S.run_available_now(S.mask_stream(src, "doc_id", ["text"]), out, ckpt)
+    return spark.read.parquet(out)
+
+
+@register("admission_stream_events_7d", admission_oracle(7 * 86400, limiter.POINTS), "X7")
+def admission_stream_events_7d(spark, sf_dir):
+    src = _file_stream(spark, sf_dir, "events", ["user_id", "event_id", "ts"])
+    res = S.admission_stream(src, "user_id", "ts", "event_id", limiter.POINTS, 7 * 86400)
+    out, ckpt = S.stream_location(spark, "admission_events")
+    S.run_available_now(res, out, ckpt)
+    r = spark.read.parquet(out)
+    return r.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"),
+                    F.col("ts").cast("timestamp_ntz").alias("ts"),
+                    F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "admitted")
