@@ -1,13 +1,14 @@
 """Normalise a declared SQL type to the catalog's type text.
 
-One rule table drives both the Spark Column expression (a ``when`` chain) and
-the DuckDB SQL used by the oracle, so the two cannot drift apart. Each rule
-is an anchored, case-insensitive pattern over the upper-cased, space-collapsed
-type text, and an output template: literal text, ``(1, default)`` = group 1
-or the default size, ``("opt", 1)`` = "(group 1)" when present.
-
-INTEGER, NUMERIC, REAL, TINYINT, BLOB, DOUBLE PRECISION and other spellings
-are UNKNOWN; only the TIMESTAMPTZ / TIMETZ spellings get ' WITH TIME ZONE'.
+The declared text is parsed once into (base name, precision, scale, time-zone
+suffix); a rule table keyed by the base name then gives the output. The same
+table generates the Spark Column expression and the DuckDB SQL used by the
+oracle, so the two cannot drift apart.
+
+A base name accepts only the argument shapes listed for it; anything else
+(INTEGER, NUMERIC, REAL, TINYINT, BLOB, DOUBLE PRECISION, INT UNSIGNED, ...)
+is UNKNOWN. Only the TIMESTAMPTZ / TIMETZ spellings get ' WITH TIME ZONE';
+the spelled-out ``WITH TIME ZONE`` form is accepted and dropped.
 """
 
 from __future__ import annotations
@@ -17,68 +18,105 @@ from pyspark.sql import functions as F
 
 from .patterns import sql_literal
 
-_N = r"\(\s*(\d+)\s*\)"
-_TZ = r"(?: WITH(?:OUT)? TIME ZONE)?"
-
-# Type families, their default sizes and output forms.
+# Type families, accepted shapes and output forms.
+# shape: "" no arguments, "p" optional (p), "ps" optional (p[, s]),
+# "pz" optional (p) and optional WITH/WITHOUT TIME ZONE.
+# template items: text, ("p"|"s", default) = the number or the default,
+# ("opt", "p") = "(p)" when declared.
 UNKNOWN = "UNKNOWN"
-RULES: list[tuple[str, list]] = [
-    (rf"^CHAR(?:{_N})?$", ["CHAR", ("opt", 1)]),
-    (rf"^VARCHAR(?:{_N})?$", ["VARCHAR", ("opt", 1)]),
-    (r"^TEXT$", ["TEXT"]),
-    (rf"^INT(?:{_N})?$", ["INT(", (1, "11"), ")"]),
-    (rf"^BIGINT(?:{_N})?$", ["BIGINT(", (1, "20"), ")"]),
-    (rf"^SMALLINT(?:{_N})?$", ["SMALLINT(", (1, "6"), ")"]),
-    (rf"^FLOAT(?:{_N})?$", ["FLOAT(", (1, "24"), ")"]),
-    (r"^DOUBLE$", ["DOUBLE"]),
-    (r"^DECIMAL(?:\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\))?$", ["DECIMAL(", (1, "10"), ",", (2, "0"), ")"]),
-    (r"^BOOLEAN$", ["BOOLEAN"]),
-    (r"^DATE$", ["DATE"]),
-    (rf"^TIMETZ(?:{_N})?$", ["TIME", ("opt", 1), " WITH TIME ZONE"]),
-    (rf"^TIME(?:{_N})?{_TZ}$", ["TIME", ("opt", 1)]),
-    (rf"^TIMESTAMPTZ(?:{_N})?$", ["TIMESTAMP", ("opt", 1), " WITH TIME ZONE"]),
-    (rf"^TIMESTAMP(?:{_N})?{_TZ}$", ["TIMESTAMP", ("opt", 1)]),
-    (rf"^DATETIME(?:{_N})?$", ["DATETIME", ("opt", 1)]),
-    (r"^JSON$", ["JSON"]),
-    (r"^UUID$", ["UUID"]),
-]
-
-
-def _canon(raw: Column) -> Column:
-    return F.upper(F.regexp_replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), r"\s+", " "))
+RULES: dict[str, tuple[str, list]] = {
+    "CHAR": ("p", ["CHAR", ("opt", "p")]),
+    "VARCHAR": ("p", ["VARCHAR", ("opt", "p")]),
+    "TEXT": ("", ["TEXT"]),
+    "INT": ("p", ["INT(", ("p", "11"), ")"]),
+    "BIGINT": ("p", ["BIGINT(", ("p", "20"), ")"]),
+    "SMALLINT": ("p", ["SMALLINT(", ("p", "6"), ")"]),
+    "FLOAT": ("p", ["FLOAT(", ("p", "24"), ")"]),
+    "DOUBLE": ("", ["DOUBLE"]),
+    "DECIMAL": ("ps", ["DECIMAL(", ("p", "10"), ",", ("s", "0"), ")"]),
+    "BOOLEAN": ("", ["BOOLEAN"]),
+    "DATE": ("", ["DATE"]),
+    "TIMETZ": ("p", ["TIME", ("opt", "p"), " WITH TIME ZONE"]),
+    "TIME": ("pz", ["TIME", ("opt", "p")]),
+    "TIMESTAMPTZ": ("p", ["TIMESTAMP", ("opt", "p"), " WITH TIME ZONE"]),
+    "TIMESTAMP": ("pz", ["TIMESTAMP", ("opt", "p")]),
+    "DATETIME": ("p", ["DATETIME", ("opt", "p")]),
+    "JSON": ("", ["JSON"]),
+    "UUID": ("", ["UUID"]),
+}
+
+SHAPE = (r"(?i)^\s*([A-Za-z]+)\s*(?:\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\))?"
+         r"(\s+WITH(?:OUT)?\s+TIME\s+ZONE)?\s*$")
 
 
 def normalize_type(raw: Column) -> Column:
     """Declared type text -> normalised type (Spark Column)."""
-    t = _canon(raw)
-
-    def part(pat: str, p) -> Column:
-        if isinstance(p, str):
-            return F.lit(p)
-        if p[0] == "opt":
-            g = F.regexp_extract(t, pat, p[1])
-            return F.when(g != "", F.concat(F.lit("("), g, F.lit(")"))).otherwise(F.lit(""))
-        return F.coalesce(F.nullif(F.regexp_extract(t, pat, p[0]), F.lit("")), F.lit(p[1]))
+    ok = raw.rlike(SHAPE)
+    base = F.upper(F.regexp_extract(raw, SHAPE, 1))
+    p = F.regexp_extract(raw, SHAPE, 2)
+    s = F.regexp_extract(raw, SHAPE, 3)
+    z = F.regexp_extract(raw, SHAPE, 4) != ""
+    parts = {"p": p, "s": s}
+
+    def render(tmpl) -> Column:
+        out = []
+        for item in tmpl:
+            if isinstance(item, str):
+                out.append(F.lit(item))
+            elif item[0] == "opt":
+                v = parts[item[1]]
+                out.append(F.when(v != "", F.concat(F.lit("("), v, F.lit(")"))).otherwise(F.lit("")))
+            else:
+                out.append(F.when(parts[item[0]] != "", parts[item[0]]).otherwise(F.lit(item[1])))
+        return F.concat(*out)
+
+    def allowed(shape: str) -> Column:
+        c = F.lit(True)
+        if "p" not in shape:
+            c = c & (p == "")
+        if "s" not in shape:
+            c = c & (s == "")
+        if "z" not in shape:
+            c = c & ~z
+        return c
 
     out = F.lit(UNKNOWN)
-    for pat, tmpl in reversed(RULES):
-        out = F.when(t.rlike(pat), F.concat(*[part(pat, p) for p in tmpl])).otherwise(out)
-    return F.when(raw.isNotNull(), out)
+    for name, (shape, tmpl) in reversed(list(RULES.items())):
+        out = F.when((base == name) & allowed(shape), render(tmpl)).otherwise(out)
+    return F.when(raw.isNull(), F.lit(None)).when(~ok, F.lit(UNKNOWN)).otherwise(out)
 
 
 def normalize_type_sql(raw: str) -> str:
     """The same rules as DuckDB SQL over the expression ``raw``."""
-    t = f"upper(regexp_replace(regexp_replace({raw}, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'))"
-
-    def part(pat: str, p) -> str:
-        lp = sql_literal(pat)
-        if isinstance(p, str):
-            return sql_literal(p)
-        if p[0] == "opt":
-            g = f"regexp_extract({t}, {lp}, {p[1]})"
-            return f"(CASE WHEN {g} <> '' THEN concat('(', {g}, ')') ELSE '' END)"
-        return f"coalesce(nullif(regexp_extract({t}, {lp}, {p[0]}), ''), {sql_literal(p[1])})"
-
-    arms = " ".join(f"WHEN regexp_matches({t}, {sql_literal(pat)}) THEN concat({', '.join(part(pat, p) for p in tmpl)}, '')"
-                    for pat, tmpl in RULES)
-    return f"(CASE WHEN {raw} IS NULL THEN NULL {arms} ELSE {sql_literal(UNKNOWN)} END)"
+    shp = sql_literal(SHAPE)
+    base = f"upper(regexp_extract({raw}, {shp}, 1))"
+    parts = {"p": f"regexp_extract({raw}, {shp}, 2)", "s": f"regexp_extract({raw}, {shp}, 3)"}
+    z = f"(regexp_extract({raw}, {shp}, 4) <> '')"
+
+    def render(tmpl) -> str:
+        out = []
+        for item in tmpl:
+            if isinstance(item, str):
+                out.append(sql_literal(item))
+            elif item[0] == "opt":
+                v = parts[item[1]]
+                out.append(f"(CASE WHEN {v} <> '' THEN concat('(', {v}, ')') ELSE '' END)")
+            else:
+                v = parts[item[0]]
+                out.append(f"(CASE WHEN {v} <> '' THEN {v} ELSE {sql_literal(item[1])} END)")
+        return f"concat({', '.join(out)}, '')"
+
+    def allowed(shape: str) -> str:
+        c = ["true"]
+        if "p" not in shape:
+            c.append(f"{parts['p']} = ''")
+        if "s" not in shape:
+            c.append(f"{parts['s']} = ''")
+        if "z" not in shape:
+            c.append(f"NOT {z}")
+        return " AND ".join(c)
+
+    arms = " ".join(f"WHEN {base} = '{name}' AND {allowed(shape)} THEN {render(tmpl)}"
+                    for name, (shape, tmpl) in RULES.items())
+    return (f"(CASE WHEN {raw} IS NULL THEN NULL WHEN NOT regexp_matches({raw}, {shp}) THEN "
+            f"{sql_literal(UNKNOWN)} ELSE (CASE {arms} ELSE {sql_literal(UNKNOWN)} END) END)")

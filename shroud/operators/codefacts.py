@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint_dir
+
 # ---------------------------------------------------------------------------
 # Fixed values (must match the reference's behaviour).
 W = r"[\p{L}\p{N}_]"                       # Python's Unicode \w, portable form
@@ -257,7 +259,9 @@ def functions(files: DataFrame) -> DataFrame:
     a top-level function: no class above it), calls_made, data_operations,
     sql_queries). Calls, data operations and SQL strings are gathered from
     every line under the def (nested blocks included)."""
-    sl = structured_lines(files)
+    # used by five branches below: materialise once (shared checkpoint folder)
+    checkpoint_dir(files.sparkSession)
+    sl = structured_lines(files).checkpoint()
     parent = F.try_element_at(F.col("anc_lines"), F.lit(-1))
     defs = sl.where((F.col("kind") == "def") & F.col("visited"))
     params = F.regexp_extract("text", DEF_RE, 2)

@@ -150,7 +150,7 @@ def table_constraint(item: Column) -> dict[str, Column]:
 
 LOG_COLUMNS = ["script_id", "seq", "sub", "op", "table_name", "column_name", "value", "data_type",
                "nullable", "is_primary_key", "constraint_type", "columns", "reference_table",
-               "reference_columns", "is_unique"]
+               "reference_columns", "is_unique", "stmt_kind"]
 
 _NULLS = {"column_name": "string", "value": "string", "data_type": "string", "nullable": "boolean",
           "is_primary_key": "boolean", "constraint_type": "string", "columns": "array<string>",
@@ -172,7 +172,8 @@ def _mk(op, sub, table, **cols) -> Column:
 def _log(df: DataFrame, op, sub, table, **cols) -> DataFrame:
     c = _mk(op, sub, table, **cols).alias("c")
     return df.select(F.col("script_id").cast("string").alias("script_id"),
-                     F.col("seq").cast("long").alias("seq"), c).select("script_id", "seq", "c.*")
+                     F.col("seq").cast("long").alias("seq"), c).select(
+        "script_id", "seq", "c.*", F.lit(None).cast("string").alias("stmt_kind"))
 
 
 def _no_raw(d: dict) -> dict:
@@ -208,7 +209,9 @@ def change_log(stmts: DataFrame) -> DataFrame:
     One pass: every statement yields an array of change structs which is
     exploded once (no per-kind scans or unions)."""
     st = F.col("stmt")
-    kind = classify(st)
+    # classify once; the branches below reference the column
+    stmts = stmts.withColumn("_kind", classify(st))
+    kind = F.col("_kind")
     empty = F.array().cast(f"array<{_CHANGE_TYPE}>")
 
     # CREATE TABLE: the table, its columns (in order), then its table constraints
@@ -246,8 +249,9 @@ def change_log(stmts: DataFrame) -> DataFrame:
                .when(kind == "truncate", tr).when(kind == "drop", dr)
                .when(kind == "alter_table", at).otherwise(empty))
     return (stmts.select(F.col("script_id").cast("string").alias("script_id"),
-                         F.col("seq").cast("long").alias("seq"), F.explode(changes).alias("c"))
-            .select("script_id", "seq", "c.*"))
+                         F.col("seq").cast("long").alias("seq"), F.col("_kind").alias("stmt_kind"),
+                         F.explode(changes).alias("c"))
+            .select("script_id", "seq", "c.*", "stmt_kind"))
 
 
 def statements(scripts: DataFrame) -> DataFrame:
@@ -270,11 +274,11 @@ def flat_log(events: DataFrame) -> DataFrame:
     e = events.withColumn("script_id", F.col("script_id").cast("string"))
     op, col = F.col("op"), F.col("column_name")
     is_fk = F.col("constraint_type").startswith("FOREIGN KEY")
-    created = _log(e.where(op == "create_table"), "add_column", F.lit(1), F.col("table_name"),
-                   column_name=col, data_type=normalize_type(F.col("value")),
-                   nullable=F.lit(True), is_primary_key=F.lit(False))
-    main = _log(
-        e, op, F.lit(0), F.when(op != "create_schema", F.col("table_name")),
+    created = _mk("add_column", F.lit(1), F.col("table_name"),
+                  column_name=col, data_type=normalize_type(F.col("value")),
+                  nullable=F.lit(True), is_primary_key=F.lit(False))
+    main = _mk(
+        op, F.lit(0), F.when(op != "create_schema", F.col("table_name")),
         column_name=F.when(op != "create_table", col),
         value=F.when(op.isin("add_column", "create_table"), F.lit(None)).otherwise(F.col("value")),
         data_type=F.when(op == "add_column", normalize_type(F.col("value"))),
@@ -285,4 +289,7 @@ def flat_log(events: DataFrame) -> DataFrame:
         reference_table=F.when((op == "add_constraint") & is_fk, F.col("reference_table")),
         reference_columns=F.when((op == "add_constraint") & is_fk, F.array(col)),
         is_unique=F.when(op == "create_index", F.lit(False)))
-    return main.unionByName(created)
+    # one pass: a created table also gets its first column (sub 1)
+    changes = F.when(op == "create_table", F.array(main, created)).otherwise(F.array(main))
+    return (e.select("script_id", F.col("seq").cast("long").alias("seq"), F.explode(changes).alias("c"))
+            .select("script_id", "seq", "c.*", F.lit(None).cast("string").alias("stmt_kind")))

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint_dir
+
 _S, _L, _B = T.StringType(), T.LongType(), T.BooleanType()
 _A = T.ArrayType(T.StringType())
 
@@ -228,7 +230,11 @@ def replay(log: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
     per_table = (log.where(F.col("table_name").isNotNull())
                  .repartition("script_id", "table_name")
                  .sortWithinPartitions("script_id", "table_name", "seq", "sub"))
-    folded = per_table.mapInPandas(_streaming_fold(_TableState, FOLD_SCHEMA, strict), FOLD_SCHEMA)
+    # catalog-sized (much smaller than the log) and read by every output below:
+    # materialise once in the shared checkpoint folder
+    checkpoint_dir(log.sparkSession)
+    folded = per_table.mapInPandas(_streaming_fold(_TableState, FOLD_SCHEMA, strict),
+                                   FOLD_SCHEMA).checkpoint()
 
     # CREATE SCHEMA: first schema statement after each table row's creation
     schemas = log.where(F.col("op") == "create_schema").select(

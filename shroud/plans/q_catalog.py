@@ -71,8 +71,7 @@ FROM its WHERE NOT is_con"""
 @register("ddl_columns_fddl", _COLS_SQL, "G3 G4")
 def ddl_columns_fddl(spark, sf_dir):
     log = _log_fddl(spark, sf_dir)
-    created = log.where(F.col("op") == "create_table").select("script_id", "seq")
-    return log.where(F.col("op") == "add_column").join(created, ["script_id", "seq"], "left_semi").select(
+    return log.where((F.col("op") == "add_column") & (F.col("stmt_kind") == "create_table")).select(
         "script_id", "seq", "table_name", F.col("sub").alias("ordinal"), "column_name", "data_type",
         "nullable", F.col("value").alias("default_value"), "is_primary_key")
 

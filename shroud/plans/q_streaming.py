@@ -25,7 +25,8 @@ def _file_stream(spark, sf_dir, name, cols):
 def mask_stream_documents(spark, sf_dir):
     src = _file_stream(spark, sf_dir, "documents", ["doc_id", "text"])
     out, ckpt = S.stream_location(spark, "mask_documents")
-    S.run_available_now(S.mask_stream(src, "doc_id", ["text"]), out, ckpt)
+    par = spark.sparkContext.defaultParallelism
+    S.run_available_now(S.mask_stream(src, "doc_id", ["text"], partitions=par), out, ckpt)
     return spark.read.parquet(out)
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import register_views
+from .tables import register_views, spread
 
 F_TEXT = """select doc_id, source, lang, concat(substring(text, 1, 200), ' ssn ', lpad(cast(doc_id % 1000 as string), 3, '0'), '-', lpad(cast(doc_id % 100 as string), 2, '0'), '-', lpad(cast(doc_id % 10000 as string), 4, '0'), ' Password: p', cast(doc_id as string), ' select customer_id, Email from t') as text from documents"""
 
@@ -44,7 +44,7 @@ FIXTURES = {
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql, deps = FIXTURES[name]
     register_views(spark, sf_dir, deps)
-    return spark.sql(sql)
+    return spread(spark.sql(sql))
 
 
 def cte(name: str) -> str:
