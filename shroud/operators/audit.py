@@ -99,11 +99,13 @@ def reference_audit(load: TableLoader, constraints: list[Constraint]) -> DataFra
         ch = load(c.table).select(*c.columns)
         any_null = F.greatest(*[F.col(k).isNull() for k in c.columns]) if len(c.columns) > 1 \
             else F.col(c.columns[0]).isNull()
-        totals = ch.agg(F.count(F.lit(1)).alias("n_rows"),
-                        F.coalesce(F.sum(any_null.cast("long")), F.lit(0)).alias("n_null_fk"))
-        keys = ch.where(~any_null).groupBy(*c.columns).agg(F.count(F.lit(1)).alias("n"))
+        # one scan + one (partially aggregated) shuffle of the child keys feeds
+        # both the totals and the anti-join (Spark reuses the exchange)
+        keys = ch.groupBy(*c.columns).agg(F.count(F.lit(1)).alias("n")).withColumn("nk", any_null)
+        totals = keys.agg(F.sum("n").alias("n_rows"),
+                          F.coalesce(F.sum(F.when(F.col("nk"), F.col("n"))), F.lit(0)).alias("n_null_fk"))
         parent = load(c.ref_table).select(*[F.col(p).alias(k) for p, k in zip(c.ref_columns, c.columns)])
-        orphans = keys.join(parent, c.columns, "left_anti").agg(
+        orphans = keys.where(~F.col("nk")).drop("nk").join(parent, c.columns, "left_anti").agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("n_orphan_rows"),
             F.count(F.lit(1)).alias("n_orphan_keys"))
         out.append(totals.crossJoin(orphans).select(  # 1 row x 1 row

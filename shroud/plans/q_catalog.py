@@ -206,3 +206,28 @@ SELECT script_id, table_name, column_name, {_PII_GROUP_SQL} AS pii_group,
 def pii_columns_fddl(spark, sf_dir):
     cols = ddl_columns_fddl(spark, sf_dir).select("script_id", "table_name", "column_name")
     return pii.pii_columns(cols, "column_name")
+
+
+# --- X10: database-analysis prompt per table (payload: its columns) -----------------
+
+def _db_prompt_sql() -> str:
+    from ..operators import chat
+    before, after = chat.TEMPLATES["database"].split("{payload}")
+    payload = ("to_json(struct_pack(table_name := table_name, columns := list(struct_pack("
+               "name := column_name, data_type := data_type, nullable := nullable) ORDER BY ordinal)))")
+    return (f"WITH c AS ({_COLS_SQL}) SELECT script_id, table_name, concat({lit(before)}, {payload}, "
+            f"{lit(after)}) AS prompt FROM c GROUP BY script_id, table_name")
+
+
+@register("chat_database_prompt_fddl", _db_prompt_sql(), "X10")
+def chat_database_prompt_fddl(spark, sf_dir):
+    """One prompt per declared table; the payload is bounded by the table's
+    width (its column list), never by the data volume."""
+    from ..operators import chat
+    cols = ddl_columns_fddl(spark, sf_dir)
+    g = cols.groupBy("script_id", "table_name").agg(F.sort_array(F.collect_list(F.struct(
+        "ordinal", F.col("column_name").alias("name"), "data_type", "nullable"))).alias("cs"))
+    payload = F.to_json(F.struct("table_name", F.transform("cs", lambda c: F.struct(
+        c["name"].alias("name"), c["data_type"].alias("data_type"),
+        c["nullable"].alias("nullable"))).alias("columns")))
+    return g.select("script_id", "table_name", chat.render_prompt("database", payload).alias("prompt"))

@@ -147,3 +147,41 @@ def code_classes_fcode(spark, sf_dir):
 @register("code_assignments_fcode", None, "C16 C17")
 def code_assignments_fcode(spark, sf_dir):
     return CF.assignments(_files(spark, sf_dir))
+
+
+# --- S4 + S5: JSON records out and back in ------------------------------------------
+
+@register("code_metrics_json_roundtrip", _METRICS_SQL, "S4 S5")
+def code_metrics_json_roundtrip(spark, sf_dir):
+    """F-code written as JSON-lines records {filePath, content} (S5) to the
+    shared checkpoint folder, read back with an explicit schema (S4) and
+    analysed: the same result as analysing the table directly."""
+    from ..session import checkpoint_dir
+    from ..sources.tables import json_records, write_json
+    import uuid
+    path = f"{checkpoint_dir(spark).rstrip('/')}/json/fcode-{uuid.uuid4().hex[:8]}"
+    write_json(_files(spark, sf_dir).select(F.col("path").alias("filePath"), "content"), path)
+    back = json_records(spark, path).select(F.col("filePath").alias("path"), "content")
+    return CF.file_metrics(back)
+
+
+# --- X11: code-analysis prompt per file ---------------------------------------------
+
+def _code_prompt_sql() -> str:
+    from ..operators import chat
+    before, after = chat.TEMPLATES["code"].split("{payload}")
+    payload = ("to_json(struct_pack(path := path, kind := kind, total_lines := total_lines, "
+               "lines_of_code := lines_of_code, function_count := function_count, "
+               "class_count := class_count, import_count := import_count, "
+               "cyclomatic_complexity := cyclomatic_complexity))")
+    return (f"WITH m AS ({_METRICS_SQL}) SELECT path, concat({lit(before)}, {payload}, {lit(after)}) "
+            f"AS prompt FROM m WHERE kind = 'python'")
+
+
+@register("chat_code_prompt_fcode", _code_prompt_sql(), "X11")
+def chat_code_prompt_fcode(spark, sf_dir):
+    from ..operators import chat
+    m = CF.file_metrics(_files(spark, sf_dir)).where(F.col("kind") == "python")
+    payload = F.to_json(F.struct("path", "kind", "total_lines", "lines_of_code", "function_count",
+                                 "class_count", "import_count", "cyclomatic_complexity"))
+    return m.select("path", chat.render_prompt("code", payload).alias("prompt"))
