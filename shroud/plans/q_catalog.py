@@ -20,6 +20,10 @@ def _log_fddl(spark, sf_dir):
     return ddl.change_log(ddl.split_statements(_scripts(spark, sf_dir)))
 
 
+def _log_fviews(spark, sf_dir):
+    return ddl.change_log(ddl.split_statements(FX.fixture(spark, sf_dir, "f_views")))
+
+
 def _log_flog(spark, sf_dir):
     return ddl.flat_log(FX.fixture(spark, sf_dir, "f_log"))
 
@@ -130,6 +134,9 @@ def _cat(log_fn, part: str, infer: bool = True):
     return run
 
 
+for _part in ["tables", "columns", "relationships"]:
+    register(f"catalog_{_part}_fviews", None, "G13 G15 G17 G18 G22 G26 G27")(_cat(_log_fviews, _part))
+
 for _part in ["tables", "columns", "relationships", "indexes", "constraints"]:
     register(f"catalog_{_part}_fddl", None, "G5 G8 G9 G14 G16 G20 G25 G26 G27")(_cat(_log_fddl, _part))
     register(f"catalog_{_part}_flog", None,
@@ -231,3 +238,16 @@ def chat_database_prompt_fddl(spark, sf_dir):
         c["name"].alias("name"), c["data_type"].alias("data_type"),
         c["nullable"].alias("nullable"))).alias("columns")))
     return g.select("script_id", "table_name", chat.render_prompt("database", payload).alias("prompt"))
+
+
+@register("ddl_statements_fviews", f"WITH {_STMTS.replace(FX.cte('f_ddl'), FX.cte('f_views')).replace('FROM f_ddl', 'FROM f_views')} "
+          "SELECT script_id, seq, stmt, kind FROM stk", "G1 G2 G13")
+def ddl_statements_fviews(spark, sf_dir):
+    return ddl.statements(FX.fixture(spark, sf_dir, "f_views"))
+
+
+@register("pii_columns_catalog_fviews", None, "M13 G22")
+def pii_columns_catalog_fviews(spark, sf_dir):
+    """PII classes of the replayed catalog's column names (renames applied)."""
+    cols = replay.catalog(_log_fviews(spark, sf_dir), infer=False)["columns"]
+    return pii.pii_columns(cols.select("script_id", "table_name", "name"), "name")

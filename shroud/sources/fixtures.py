@@ -30,6 +30,10 @@ F_CAT_TABLES = """select c_custkey as pos, concat('ent', cast(c_custkey as strin
 
 F_CAT_COLUMNS = """select concat('fact', cast(o_orderkey % 100 as string)) as table_name, o_orderkey as ordinal, concat('Ent', cast(o_custkey as string), '_id') as column_name, o_orderkey % 11 = 0 as is_foreign_key from orders"""
 
+# Ours (not in FIXTURES.md): DDL with views, materialized views, DROP VIEW,
+# CREATE SCHEMA, RENAME COLUMN and an FK with ON DELETE, one script per customer.
+F_VIEWS = """select cast(c_custkey as string) as script_id, concat('CREATE TABLE acct', cast(c_custkey as string), ' (id INT PRIMARY KEY, owner_id INT, bal DOUBLE);', ' CREATE VIEW v', cast(c_custkey as string), ' (id, bal) AS SELECT id, bal FROM acct', cast(c_custkey as string), ';', ' CREATE MATERIALIZED VIEW mv', cast(c_custkey as string), ' AS SELECT 1;', case when c_custkey % 3 = 0 then concat(' DROP VIEW v', cast(c_custkey as string), ';') else '' end, ' CREATE SCHEMA s', cast(c_nationkey as string), ';', ' CREATE TABLE owner (owner_id INT PRIMARY KEY, name VARCHAR(', cast(10 + c_nationkey as string), '));', case when c_custkey % 5 = 0 then ' ALTER TABLE owner RENAME COLUMN name TO full_name;' else '' end, case when c_custkey % 4 = 0 then concat(' ALTER TABLE acct', cast(c_custkey as string), ' ADD CONSTRAINT fk_owner FOREIGN KEY (owner_id) REFERENCES owner (owner_id) ON DELETE CASCADE;') else '' end) as content from customer"""
+
 FIXTURES = {
     "f_text": (F_TEXT, ["documents"]),
     "f_chat": (F_CHAT, ["conversations"]),
@@ -38,6 +42,7 @@ FIXTURES = {
     "f_log": (F_LOG, ["events"]),
     "f_cat_tables": (F_CAT_TABLES, ["customer"]),
     "f_cat_columns": (F_CAT_COLUMNS, ["orders"]),
+    "f_views": (F_VIEWS, ["customer"]),
 }
 
 

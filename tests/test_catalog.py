@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from shroud.operators import ddl, replay
+from shroud.operators import audit, ddl, replay
 from shroud.sources import fixtures as FX
 
 from conftest import SF_SMALL
@@ -163,12 +163,12 @@ def literal_replay(rows):
     return tables, columns, rels, idx, cons
 
 
-@pytest.mark.parametrize("source", ["f_log", "f_ddl"])
+@pytest.mark.parametrize("source", ["f_log", "f_ddl", "f_views"])
 def test_replay_matches_literal_fold(spark, source):
     if source == "f_log":
         log = ddl.flat_log(FX.fixture(spark, SF_SMALL, "f_log"))
     else:
-        log = ddl.change_log(ddl.split_statements(FX.fixture(spark, SF_SMALL, "f_ddl")))
+        log = ddl.change_log(ddl.split_statements(FX.fixture(spark, SF_SMALL, source)))
     rows = [r.asDict() for r in log.collect()]
     out = replay.catalog(log, infer=False)
     by_script = {}
@@ -198,3 +198,27 @@ def test_replay_matches_literal_fold(spark, source):
     assert got_r == want_r
     assert got_i == want_i
     assert got_k == want_k
+
+
+def test_inference_skips_tables_without_pk(spark):
+    rel = cat(spark, "CREATE TABLE dept (x INT); CREATE TABLE depts (id INT PRIMARY KEY); "
+                     "CREATE TABLE emp (id INT, dept_id INT)")["relationships"].collect()
+    assert [(r.from_table, r.from_column, r.to_table, r.to_column) for r in rel] == \
+        [("emp", "dept_id", "depts", "id")]
+
+
+def test_explicit_fk_is_not_inferred_again(spark):
+    rel = cat(spark, "CREATE TABLE dept (id INT PRIMARY KEY); "
+                     "CREATE TABLE emp (dept_id INT, FOREIGN KEY (dept_id) REFERENCES dept (id))")
+    got = sorted((r.from_column, r.relationship_type) for r in rel["relationships"].collect())
+    assert got == [("dept_id", "FOREIGN_KEY")]
+
+
+def test_hierarchy_levels_and_cycles(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("x", "y"), ("y", "x"),
+                                   ("z", "x"), ("s", "s")], "child string, parent string")
+    names = spark.createDataFrame([(t,) for t in "abcxyzs"], "table_name string")
+    got = {r.table_name: (r.level, r.in_cycle, r.self_ref) for r in audit.hierarchy(edges, names).collect()}
+    assert got["a"] == (0, False, False) and got["b"] == (1, False, False) and got["c"] == (2, False, False)
+    assert got["x"][1] and got["y"][1] and got["z"][1]
+    assert got["s"] == (0, False, True)

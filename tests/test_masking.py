@@ -67,3 +67,15 @@ def test_pii_columns(spark):
     df = spark.createDataFrame([("customer_id",), ("First_Name",), ("wage",), ("note",)], "name string")
     got = {r.name: r.pii_group for r in pii.pii_columns(df).collect()}
     assert got == {"customer_id": 1, "First_Name": 2, "wage": 3, "note": None}
+
+
+def test_stream_mask_equals_batch(spark):
+    from shroud.streaming import streams as S
+    src = (spark.readStream.schema("doc_id long, text string")
+           .option("pathGlobFilter", "documents.parquet").parquet("/root/testdata/sf0.001"))
+    out, ckpt = S.stream_location(spark, "test_mask")
+    S.run_available_now(S.mask_stream(src, "doc_id", ["text"], partitions=2), out, ckpt)
+    stream = {(r.doc_id, r.text) for r in spark.read.parquet(out).collect()}
+    batch = {(r.doc_id, r.m) for r in table(spark, "/root/testdata/sf0.001", "documents")
+             .select("doc_id", M.mask_text("text").alias("m")).collect()}
+    assert stream == batch
