@@ -97,7 +97,7 @@ SELECT script_id, seq, t AS table_name,
                 CASE k WHEN 'PRIMARY KEY' THEN 'unnamed_pk' WHEN 'UNIQUE' THEN 'unnamed_unique'
                        WHEN 'FOREIGN KEY' THEN 'unnamed_fk' ELSE 'unnamed_check' END) AS name,
        k AS constraint_type,
-       CASE WHEN k = 'CHECK' THEN {_expr_cols_sql("regexp_extract(item, '(?is)CHECK\\s*\\((.*)\\)\\s*$', 1)")} END
+       to_json(CASE WHEN k = 'CHECK' THEN {_expr_cols_sql("regexp_extract(item, '(?is)CHECK\\s*\\((.*)\\)\\s*$', 1)")} END)
          AS columns
 FROM c"""
 
@@ -107,14 +107,14 @@ def ddl_constraints_fddl(spark, sf_dir):
     log = _log_fddl(spark, sf_dir)
     return log.where(F.col("op") == "add_constraint").select(
         "script_id", "seq", "table_name", F.col("value").alias("name"), "constraint_type",
-        F.when(F.col("constraint_type") == "CHECK", F.col("columns")).alias("columns"))
+        F.to_json(F.when(F.col("constraint_type") == "CHECK", F.col("columns"))).alias("columns"))
 
 
 _IDX_SQL = f"""WITH {_STMTS}
 SELECT script_id, seq, regexp_extract(stmt, {lit(ddl._CI)}, 3) AS table_name,
        coalesce(nullif(regexp_extract(stmt, {lit(ddl._CI)}, 2), ''), 'unnamed_index') AS name,
-       list_filter(list_transform(regexp_extract_all(regexp_extract(stmt, {lit(ddl._CI)}, 4),
-           {lit(ddl.LIST_ITEM)}, 1), lambda x: {_STRIP.format(x='x')}), lambda x: x <> '') AS columns,
+       to_json(list_filter(list_transform(regexp_extract_all(regexp_extract(stmt, {lit(ddl._CI)}, 4),
+           {lit(ddl.LIST_ITEM)}, 1), lambda x: {_STRIP.format(x='x')}), lambda x: x <> '')) AS columns,
        regexp_extract(stmt, {lit(ddl._CI)}, 1) <> '' AS is_unique
 FROM stk WHERE kind = 'create_index'"""
 
@@ -123,7 +123,8 @@ FROM stk WHERE kind = 'create_index'"""
 def ddl_indexes_fddl(spark, sf_dir):
     log = _log_fddl(spark, sf_dir)
     return log.where(F.col("op") == "create_index").select(
-        "script_id", "seq", "table_name", F.col("value").alias("name"), "columns", "is_unique")
+        "script_id", "seq", "table_name", F.col("value").alias("name"), F.to_json("columns").alias("columns"),
+        "is_unique")
 
 
 # --- replayed catalogs (rows-only here; tests compare with a sequential fold) ----

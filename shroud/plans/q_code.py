@@ -99,16 +99,20 @@ FROM fr WHERE module <> '')"""
 _IMPORTS_SQL = f"WITH {_IMPORTS_CTES} SELECT * FROM imp"
 
 
-@register("code_imports_fcode", _IMPORTS_SQL, "C5 C6")
+# Query outputs render arrays as compact JSON text in both engines, so the
+# comparison does not depend on how each engine's client represents lists.
+@register("code_imports_fcode", f"WITH {_IMPORTS_CTES} SELECT path, line_no, module, "
+          "to_json(names) AS names, alias FROM imp", "C5 C6")
 def code_imports_fcode(spark, sf_dir):
-    return CF.imports(_files(spark, sf_dir)).withColumn("line_no", F.col("line_no").cast("int"))
+    return (CF.imports(_files(spark, sf_dir)).withColumn("line_no", F.col("line_no").cast("int"))
+            .withColumn("names", F.to_json("names")))
 
 
 @register("code_dependencies_fcode", f"""WITH {_IMPORTS_CTES}
-SELECT path, list_sort(list_distinct(list(split_part(module, '.', 1)))) AS dependencies
+SELECT path, to_json(list_sort(list_distinct(list(split_part(module, '.', 1))))) AS dependencies
 FROM imp GROUP BY path""", "C7 C22")
 def code_dependencies_fcode(spark, sf_dir):
-    return CF.dependencies(_files(spark, sf_dir))
+    return CF.dependencies(_files(spark, sf_dir)).withColumn("dependencies", F.to_json("dependencies"))
 
 
 @register("code_module_edges_fcode", f"""WITH {_IMPORTS_CTES},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import limiter
 from ..sources.tables import table
 from .registry import register
@@ -24,15 +26,24 @@ WITH RECURSIVE e AS (
          CASE WHEN e.t >= r.ws + {d} THEN 1 ELSE r.n + 1 END
   FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1
 )
-SELECT user_id, event_id, ts, window_start, n, n <= {points} AS admitted FROM r
+SELECT user_id, event_id, epoch_us(ts) AS ts_us, epoch_us(window_start) AS window_start_us, n,
+       n <= {points} AS admitted FROM r
 """
 
 
+def micros_output(res):
+    """Timestamps as epoch microseconds (engine-neutral in comparisons)."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return res.select("user_id", "event_id", us("ts").alias("ts_us"),
+                      us("window_start").alias("window_start_us"), "n", "admitted")
+
+
 def _query(duration_seconds: int, points: int = limiter.POINTS):
     def run(spark, sf_dir):
         ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-        return limiter.admission(ev, key="user_id", ts="ts", id_col="event_id",
-                                 points=points, duration_seconds=duration_seconds)
+        res = limiter.admission(ev, key="user_id", ts="ts", id_col="event_id",
+                                points=points, duration_seconds=duration_seconds)
+        return micros_output(res)
     return run
 
 
