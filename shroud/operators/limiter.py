@@ -31,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.timeutil import epoch_micros
 from ..session import checkpoint_dir
 
 # The reference limiter's budget.
@@ -38,10 +39,6 @@ POINTS = 10
 DURATION_SECONDS = 60
 
 
-def _micros(ts_col: str):
-    return F.unix_micros(F.col(ts_col).cast("timestamp"))
-
-
 def next_pointers(ev: DataFrame, d: int) -> DataFrame:
     """ev(key, t, id, b) -> (id, nxt, head).
 
@@ -128,7 +125,7 @@ def admission(requests: DataFrame, key: str = "key", ts: str = "ts", id_col: str
     d = int(duration_seconds) * 1_000_000
     checkpoint_dir(requests.sparkSession)
     ev = requests.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(ts).alias("ts"),
-                         _micros(ts).alias("t"))
+                         epoch_micros(requests, ts).alias("t"))
     ev = ev.withColumn("b", F.floor(F.col("t") / d))
     ptr = next_pointers(ev.select("key", "t", "id", "b"), d).checkpoint()
     # heads split each key into independent dense segments; a chain stops at
@@ -149,5 +146,6 @@ def admission(requests: DataFrame, key: str = "key", ts: str = "ts", id_col: str
     n = F.row_number().over(wn).cast("long")
     return covered.select(
         F.col("key").alias(key), F.col("id").alias(id_col), F.col("ts").alias(ts),
-        F.col("sts").alias("window_start"), n.alias("n")).withColumn(
+        F.col("sts").alias("window_start"), F.col("st").alias("window_start_us"),
+        n.alias("n")).withColumn(
         "admitted", F.col("n") <= points)

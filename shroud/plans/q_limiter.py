@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.timeutil import epoch_micros
 from ..operators import limiter
 from ..sources.tables import table
 from .registry import register
@@ -32,10 +33,9 @@ SELECT user_id, event_id, epoch_us(ts) AS ts_us, epoch_us(window_start) AS windo
 
 
 def micros_output(res):
-    """Timestamps as epoch microseconds (engine-neutral in comparisons)."""
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return res.select("user_id", "event_id", us("ts").alias("ts_us"),
-                      us("window_start").alias("window_start_us"), "n", "admitted")
+    """Timestamps as epoch microseconds (engine- and time-zone-neutral)."""
+    return res.select("user_id", "event_id", epoch_micros(res, "ts").alias("ts_us"),
+                      "window_start_us", "n", "admitted")
 
 
 def _query(duration_seconds: int, points: int = limiter.POINTS):

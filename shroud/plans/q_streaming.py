@@ -38,5 +38,4 @@ def admission_stream_events_7d(spark, sf_dir):
     S.run_available_now(res, out, ckpt)
     r = spark.read.parquet(out)
     return r.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"),
-                    F.unix_micros("ts").alias("ts_us"), F.unix_micros("window_start").alias("window_start_us"),
-                    "n", "admitted")
+                    "ts_us", "window_start_us", "n", "admitted")

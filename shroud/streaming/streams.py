@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.masking import mask_text
+from ..functions.timeutil import epoch_micros
 from ..session import checkpoint_dir
 
 
@@ -48,9 +49,10 @@ def run_available_now(df: DataFrame, out: str, ckpt: str, fmt: str = "parquet")
 
 # --- X7: admission limiter as a stateful stream --------------------------------------
 
+# times are epoch microseconds (longs): no time-zone conversion on the way out
 ADMISSION_OUT = T.StructType([
     T.StructField("key", T.LongType()), T.StructField("id", T.LongType()),
-    T.StructField("ts", T.TimestampType()), T.StructField("window_start", T.TimestampType()),
+    T.StructField("ts_us", T.LongType()), T.StructField("window_start_us", T.LongType()),
     T.StructField("n", T.LongType()), T.StructField("admitted", T.BooleanType())])
 ADMISSION_STATE = T.StructType([T.StructField("ws", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -77,8 +79,7 @@ def _admission_fn(points: int, duration_us: int):
         state.setTimeoutTimestamp((ws + duration_us) // 1000)
         out = pd.DataFrame({
             "key": pdf["key"].astype("int64").to_numpy(), "id": pdf["id"].astype("int64").to_numpy(),
-            "ts": pd.to_datetime(pdf["t"].to_numpy(), unit="us"),
-            "window_start": pd.to_datetime(starts, unit="us"),
+            "ts_us": pdf["t"].astype("int64").to_numpy(), "window_start_us": starts,
             "n": ns, "admitted": [x <= points for x in ns]})
         yield out
     return fn
@@ -91,9 +92,11 @@ def admission_stream(source: DataFrame, key: str, ts: str, id_col: str, points:
     Rows are ordered by (ts, id) within each micro-batch; state times out
     (event time) once the watermark passes the window end, after which the
     next request opens a new window — the same result as the batch audit."""
+    # event time in epoch microseconds, independent of the session time zone;
+    # the watermark needs a TIMESTAMP column, derived from the same value
     ev = source.select(F.col(key).cast("long").alias("key"), F.col(id_col).cast("long").alias("id"),
-                       F.col(ts).cast("timestamp").alias("ts"))
-    ev = ev.withColumn("t", F.unix_micros("ts")).withWatermark("ts", watermark)
+                       epoch_micros(source, ts).alias("t"))
+    ev = ev.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", watermark)
     return ev.groupBy("key").applyInPandasWithState(
         _admission_fn(points, int(duration_seconds) * 1_000_000), ADMISSION_OUT, ADMISSION_STATE,
         "append", GroupStateTimeout.EventTimeTimeout)
