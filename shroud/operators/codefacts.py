@@ -382,18 +382,29 @@ def assignments(files: DataFrame) -> DataFrame:
 def module_edges(files: DataFrame) -> DataFrame:
     """Import edges between files of the corpus.
 
-    A file ``a/b/c.py`` provides modules ``c``, ``b.c``, ``a.b.c`` (every
-    dotted suffix of its path); an import of module ``m`` points to each file
-    providing ``m``. Equi-join on the module string."""
-    provided = (files.select("path")
-                .where(file_kind(F.col("path")) == "python")
-                .select("path", F.split(F.regexp_replace("path", r"(/__init__)?\.py$", ""), "/")
-                        .alias("parts"))
-                .select(F.col("path").alias("to_path"), F.explode(F.transform(
-                    F.sequence(F.lit(1), F.size("parts")),
-                    lambda i: F.array_join(F.slice("parts", -i, i), "."))).alias("module")))
+    An import of module ``a.b`` in ``x/y/f.py`` resolves to the nearest of
+    ``x/y/a/b.py``, ``x/y/a/b/__init__.py``, ``x/a/b.py``, ..., ``a/b.py``
+    (the importing directory and its ancestors, a package before a module at
+    the same level). The candidates per import are bounded by the path depth
+    and matched by an equi-join on the exact path, so a popular module name
+    never pairs every importer with every file of that name: each import
+    yields at most one edge."""
+    py = files.where(file_kind(F.col("path")) == "python").select(F.col("path").alias("to_path"))
     imp = imports(files).select(F.col("path").alias("from_path"), "line_no", "module")
-    return imp.join(provided, "module").select("from_path", "line_no", "module", "to_path")
+    dirs = F.slice(F.split("from_path", "/"), 1, F.size(F.split("from_path", "/")) - 1)
+    rel = F.regexp_replace("module", r"\.", "/")
+    cand = (imp.select("*", F.explode(F.sequence(F.lit(0), F.size(dirs))).alias("depth"))
+            .select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("pkg"))
+            .select("from_path", "line_no", "module", "depth", "pkg",
+                    F.concat(F.when(F.col("depth") > 0,
+                                    F.concat(F.array_join(F.slice(dirs, 1, F.col("depth")), "/"), F.lit("/")))
+                             .otherwise(F.lit("")),
+                             rel, F.when(F.col("pkg") == 1, F.lit("/__init__.py")).otherwise(F.lit(".py")))
+                    .alias("to_path")))
+    found = cand.join(py, "to_path")
+    return (found.groupBy("from_path", "line_no", "module")
+            .agg(F.max(F.struct("depth", "pkg", "to_path")).alias("best"))
+            .select("from_path", "line_no", "module", F.col("best.to_path").alias("to_path")))
 
 
 def corpus_report(metrics: DataFrame) -> DataFrame:

@@ -307,8 +307,14 @@ def infer_foreign_keys(candidates: DataFrame, targets: DataFrame, suffix: str =
          .withColumn("stem", F.lower(F.expr(f"substring(column_name, 1, length(column_name) - {len(suffix)})")))
          .select("*", F.explode(F.array(F.col("stem"), F.concat("stem", F.lit("s")),
                                         F.concat("stem", F.lit("es")))).alias("cand")))
-    t = targets.select("script_id", "table_pos", F.col("table_name").alias("to_table"), "pk_column",
-                       F.lower("table_name").alias("cand"))
+    # Rows of one table name share its columns, so only a name's first row can
+    # win: keep one target per exact name before joining (a name created a
+    # million times still joins once).
+    t = (targets.groupBy("script_id", "table_name")
+         .agg(F.min(F.struct("table_pos", "pk_column")).alias("f"))
+         .select("script_id", F.col("f.table_pos").alias("table_pos"),
+                 F.col("table_name").alias("to_table"), F.col("f.pk_column").alias("pk_column"),
+                 F.lower("table_name").alias("cand")))
     j = c.join(t, ["script_id", "cand"])
     if drop_self:
         j = j.where(F.col("to_table") != F.col("from_table"))

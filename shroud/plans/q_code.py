@@ -115,13 +115,19 @@ def code_dependencies_fcode(spark, sf_dir):
     return CF.dependencies(_files(spark, sf_dir)).withColumn("dependencies", F.to_json("dependencies"))
 
 
-@register("code_module_edges_fcode", f"""WITH {_IMPORTS_CTES},
-pv AS (SELECT path AS to_path, string_split(regexp_replace(path, '(/__init__)?\\.py$', ''), '/') AS parts
-       FROM f_code WHERE {_KIND} = 'python'),
-mods AS (SELECT to_path, array_to_string(list_slice(parts, len(parts) - i + 1, len(parts)), '.') AS module
-         FROM (SELECT to_path, parts, unnest(generate_series(1, len(parts))) AS i FROM pv))
-SELECT imp.path AS from_path, imp.line_no, imp.module, mods.to_path
-FROM imp JOIN mods ON imp.module = mods.module""", "C23")
+_EDGES_SQL = f"""WITH {_IMPORTS_CTES},
+py AS (SELECT path AS to_path FROM f_code WHERE {_KIND} = 'python'),
+d AS (SELECT path AS from_path, line_no, module, string_split(path, '/')[1:-2] AS dirs FROM imp),
+c AS (SELECT from_path, line_no, module, depth, pkg,
+             concat(CASE WHEN depth > 0 THEN concat(array_to_string(dirs[1:depth], '/'), '/') ELSE '' END,
+                    replace(module, '.', '/'), CASE WHEN pkg = 1 THEN '/__init__.py' ELSE '.py' END) AS to_path
+      FROM (SELECT *, unnest(generate_series(0, len(dirs))) AS depth FROM d),
+           (SELECT unnest([0, 1]) AS pkg))
+SELECT c.from_path, c.line_no, c.module, arg_max(c.to_path, c.depth * 2 + c.pkg) AS to_path
+FROM c JOIN py ON c.to_path = py.to_path GROUP BY c.from_path, c.line_no, c.module"""
+
+
+@register("code_module_edges_fcode", _EDGES_SQL, "C23")
 def code_module_edges_fcode(spark, sf_dir):
     return CF.module_edges(_files(spark, sf_dir)).withColumn("line_no", F.col("line_no").cast("int"))
 

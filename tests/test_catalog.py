@@ -222,3 +222,10 @@ def test_hierarchy_levels_and_cycles(spark):
     assert got["a"] == (0, False, False) and got["b"] == (1, False, False) and got["c"] == (2, False, False)
     assert got["x"][1] and got["y"][1] and got["z"][1]
     assert got["s"] == (0, False, True)
+
+
+def test_inference_with_duplicate_and_case_variant_tables(spark):
+    rel = cat(spark, "CREATE TABLE Dept (x INT); CREATE TABLE dept (id INT PRIMARY KEY); "
+                     "CREATE TABLE dept (id INT PRIMARY KEY); CREATE TABLE emp (dept_id INT)")
+    got = [(r.from_table, r.from_column, r.to_table, r.to_column) for r in rel["relationships"].collect()]
+    assert got == [("emp", "dept_id", "dept", "id")]
