@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
 
 # ---------------------------------------------------------------------------
 # Fixed values (must match the reference's behaviour).
@@ -226,6 +226,7 @@ def structured_lines(files: DataFrame) -> DataFrame:
     (path, line_no, text, stripped, indent, kind, anc_lines, anc_kinds, visited,
     in_class). ``visited``: the line is reached by the reference's visitor —
     under a class only through a method (a def directly in its body)."""
+    ship_package(files.sparkSession)   # the UDF's helpers must import on workers
     py = files.where(file_kind(F.col("path")) == "python")
     blk = py.select("path", F.inline(block_structure(F.col("content"))))
     ln = code_lines(py).select("path", "line_no", "text", "stripped", "indent")

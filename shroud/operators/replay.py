@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
 
 _S, _L, _B = T.StringType(), T.LongType(), T.BooleanType()
 _A = T.ArrayType(T.StringType())
@@ -227,6 +227,7 @@ def replay(log: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
     'FOREIGN KEY' / 'PRIMARY KEY' (so FKs with ON DELETE and inline PKs lose
     them); the default keeps FK flags under any remaining FK constraint and
     keeps inline PK flags."""
+    ship_package(log.sparkSession)   # fold classes must import on workers
     per_table = (log.where(F.col("table_name").isNotNull())
                  .repartition("script_id", "table_name")
                  .sortWithinPartitions("script_id", "table_name", "seq", "sub"))

@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.masking import mask_text
 from ..functions.timeutil import epoch_micros
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
 
 
 def stream_location(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -92,6 +92,7 @@ def admission_stream(source: DataFrame, key: str, ts: str, id_col: str, points:
     Rows are ordered by (ts, id) within each micro-batch; state times out
     (event time) once the watermark passes the window end, after which the
     next request opens a new window — the same result as the batch audit."""
+    ship_package(source.sparkSession)
     # event time in epoch microseconds, independent of the session time zone;
     # the watermark needs a TIMESTAMP column, derived from the same value
     ev = source.select(F.col(key).cast("long").alias("key"), F.col(id_col).cast("long").alias("id"),
