@@ -22,7 +22,12 @@ def _c(col) -> Column:
 def mask_pattern(col, kind: str) -> Column:
     """Replace every match of one named pattern (see ``patterns.ALL_PATTERNS``)."""
     repl = P.PII_COLUMN if kind in P.NAME_PATTERNS else P.REDACTED
-    return F.regexp_replace(_c(col), P.spark_form(P.ALL_PATTERNS[kind]), repl)
+    c = _c(col)
+    out = F.regexp_replace(c, P.spark_form(P.ALL_PATTERNS[kind]), repl)
+    if kind == "email":
+        # an e-mail needs an '@': skip the regex scan for text without one
+        return F.when(F.instr(c, "@") > 0, out).otherwise(c)
+    return out
 
 
 def mask_card(col) -> Column:
@@ -46,11 +51,11 @@ def mask_credentials(col) -> Column:
 
 
 def mask_pii_names(col) -> Column:
-    """Column names that hint at personal data -> '[PII_COLUMN]' (three passes)."""
-    out = _c(col)
-    for kind in P.NAME_PATTERNS:
-        out = mask_pattern(out, kind)
-    return out
+    """Column names that hint at personal data -> '[PII_COLUMN]'.
+
+    The three name patterns run as their union in one pass (identical result:
+    whole words from disjoint lists, one replacement)."""
+    return F.regexp_replace(_c(col), P.spark_form(P.PII_NAMES_ALL), P.PII_COLUMN)
 
 
 def mask_text(col) -> Column:

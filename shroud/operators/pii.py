@@ -14,7 +14,10 @@ from ..functions import patterns as P
 
 
 def _count(col: Column, kind: str) -> Column:
-    return F.regexp_count(col, F.lit(P.spark_form(P.ALL_PATTERNS[kind])))
+    n = F.regexp_count(col, F.lit(P.spark_form(P.ALL_PATTERNS[kind])))
+    if kind == "email":
+        return F.when(F.instr(col, "@") > 0, n).otherwise(F.lit(0))
+    return n
 
 
 def pii_scan(df: DataFrame, id_col: str, cols: list[str],
@@ -48,7 +51,7 @@ def pii_report(df: DataFrame, text_col: str, by: list[str]) -> DataFrame:
     per task."""
     t = F.col(text_col)
     per_row = [_count(t, k).alias(f"n_{k}") for k in REPORT_KINDS]
-    names = sum((_count(t, k) for k in P.NAME_PATTERNS), F.lit(0)).alias("n_pii_name")
+    names = F.regexp_count(t, F.lit(P.spark_form(P.PII_NAMES_ALL))).alias("n_pii_name")
     rows = df.select(*by, *per_row, names,
                      F.length(t).alias("chars_in"),
                      F.length(M.mask_text(t)).alias("chars_out"))
