@@ -98,7 +98,7 @@ def mask_single_patterns_ftext(spark, sf_dir):
 # --- M9: nested values (array, map, struct) -----------------------------------
 
 def _nested_input(spark, sf_dir):
-    conv = table(spark, sf_dir, "conversations")
+    conv = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return conv.select(
         "conv_id", "turn",
         F.struct(F.col("role"), F.col("text").alias("content"),
