@@ -143,11 +143,12 @@ def assemble_requests(messages: DataFrame, key: str = "conv_id", order: str = "t
                                                         F.col(role).alias("role"),
                                                         F.col(content).alias("content")))))
         .alias("_m"),
-        F.first("body_bytes").alias("body_bytes"),
+        F.max("body_bytes").alias("body_bytes"),
         F.count(F.lit(1)).alias("n_messages"),
     ]
     if temperature:
-        aggs.append(F.first(temperature, ignorenulls=True).alias("temperature"))
+        # one temperature per request; max keeps the choice deterministic on retries
+        aggs.append(F.max(temperature).alias("temperature"))
     out = joined.groupBy(key).agg(*aggs)
     oversize = F.col("body_bytes") > F.lit(limit_bytes)
     return out.select(
