@@ -341,7 +341,7 @@ def classes(files: DataFrame) -> DataFrame:
                       F.col("line_no").alias("child_line"))
     attrs = (child.where(F.col("kind") == "stmt")
              .select("path", "line_no", "child_line",
-                     F.regexp_extract_all("text", F.lit(r"(?:^|=)\s*([\p{L}\p{N}_]+)\s*=(?!=)"), 1)
+                     F.regexp_extract_all("text", F.lit(r"(?:^|(?<==))\s*([\p{L}\p{N}_]+)\s*=(?!=)"), 1)
                      .alias("targets"))
              .where(F.size("targets") > 0)
              .groupBy("path", "line_no")
@@ -368,7 +368,7 @@ def assignments(files: DataFrame) -> DataFrame:
     lib_re = "|".join(DATA_LIBS)
     tgt = F.regexp_extract("stripped", DATA_OP_RE, 1)
     method = F.regexp_extract("stripped", DATA_OP_RE, 2)
-    names = F.regexp_extract_all("stripped", F.lit(r"(?:^|=)\s*([\p{L}\p{N}_]+)\s*=(?!=)"), 1)
+    names = F.regexp_extract_all("stripped", F.lit(r"(?:^|(?<==))\s*([\p{L}\p{N}_]+)\s*=(?!=)"), 1)
     return (sl.where(F.col("stripped").rlike(r"^[^=]+=(?!=)") &
                      ~F.col("stripped").rlike(r"^[^=]*[-+*/%&|^<>!:@]=|^\s*(if|while|return|assert)\b"))
             .select("path", F.col("line_no").cast("long").alias("line_no"),

@@ -34,10 +34,9 @@ def text_corpus(spark: SparkSession, path: str, glob: str = CODE_GLOB,
                 recursive: bool = True) -> DataFrame:
     """Whole-file text source: (path, content). Files are packed into input
     splits by ``spark.sql.files.maxPartitionBytes``; each file is one row."""
-    df = (spark.read.option("wholetext", "true")
-          .option("pathGlobFilter", glob)
-          .option("recursiveFileLookup", str(recursive).lower())
-          .text(path))
+    # .text()'s own keyword defaults would override reader options: pass them here
+    df = spark.read.text(path, wholetext=True, pathGlobFilter=glob,
+                         recursiveFileLookup=recursive)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
