@@ -47,7 +47,6 @@ CALL_RE = r"([\p{L}\p{N}_][\p{L}\p{N}_.]*)\s*\("
 STRING_RE = r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'"
 DEF_RE = r"^\s*def\s+([\p{L}\p{N}_]+)\s*\((.*)\)\s*(?:->\s*(.*?))?\s*:"
 CLASS_RE = r"^\s*class\s+([\p{L}\p{N}_]+)\s*(?:\((.*)\))?\s*:"
-ASSIGN_RE = r"^\s*([\p{L}\p{N}_]+)\s*=(?!=)"
 DATA_OP_RE = r"^\s*([^=]+?)\s*=(?!=)\s*([\p{L}\p{N}_]+(?:\.[\p{L}\p{N}_]+)+)\s*\("
 
 

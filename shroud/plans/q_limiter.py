@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.timeutil import epoch_micros
 from ..operators import limiter
 from ..sources.tables import table
