@@ -9,8 +9,8 @@ collected; all data work stays in Spark:
 * NOT NULL and CHECK audits: one scan per table, all columns/predicates
   evaluated in one aggregate.
 * reference audit: child keys are pre-aggregated (map-side partial counts,
-  so a hot key collapses before the shuffle) and anti-joined with the parent
-  keys; the join strategy (broadcast vs. shuffle) is left to Catalyst/AQE,
+  so a hot key collapses before the shuffle) and left-joined with the distinct
+  parent keys; the join strategy (broadcast vs. shuffle) is left to Catalyst/AQE,
   which broadcasts only sides whose measured size is under the threshold.
 """
 
@@ -99,19 +99,22 @@ def reference_audit(load: TableLoader, constraints: list[Constraint]) -> DataFra
         ch = load(c.table).select(*c.columns)
         any_null = F.greatest(*[F.col(k).isNull() for k in c.columns]) if len(c.columns) > 1 \
             else F.col(c.columns[0]).isNull()
-        # one scan + one (partially aggregated) shuffle of the child keys feeds
-        # both the totals and the anti-join (Spark reuses the exchange)
+        # Child keys are partially aggregated (a hot key collapses map-side),
+        # then left-joined with the distinct parent keys; one aggregate gives
+        # totals, NULL-key rows and orphans (no second pass, no cross join).
         keys = ch.groupBy(*c.columns).agg(F.count(F.lit(1)).alias("n")).withColumn("nk", any_null)
-        totals = keys.agg(F.sum("n").alias("n_rows"),
-                          F.coalesce(F.sum(F.when(F.col("nk"), F.col("n"))), F.lit(0)).alias("n_null_fk"))
-        parent = load(c.ref_table).select(*[F.col(p).alias(k) for p, k in zip(c.ref_columns, c.columns)])
-        orphans = keys.where(~F.col("nk")).drop("nk").join(parent, c.columns, "left_anti").agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("n_orphan_rows"),
-            F.count(F.lit(1)).alias("n_orphan_keys"))
-        out.append(totals.crossJoin(orphans).select(  # 1 row x 1 row
-            F.lit(c.table).alias("table_name"), F.lit(c.name).alias("constraint_name"),
-            F.lit(c.ref_table).alias("ref_table"), "n_rows", "n_null_fk", "n_orphan_rows",
-            "n_orphan_keys"))
+        parent = (load(c.ref_table)
+                  .select(*[F.col(p).alias(k) for p, k in zip(c.ref_columns, c.columns)])
+                  .distinct().withColumn("found", F.lit(True)))
+        orphan = ~F.col("nk") & F.col("found").isNull()
+        out.append(keys.join(parent, c.columns, "left").agg(
+            F.sum("n").alias("n_rows"),
+            F.coalesce(F.sum(F.when(F.col("nk"), F.col("n"))), F.lit(0)).alias("n_null_fk"),
+            F.coalesce(F.sum(F.when(orphan, F.col("n"))), F.lit(0)).alias("n_orphan_rows"),
+            F.count(F.when(orphan, F.lit(1))).alias("n_orphan_keys"))
+            .select(F.lit(c.table).alias("table_name"), F.lit(c.name).alias("constraint_name"),
+                    F.lit(c.ref_table).alias("ref_table"), "n_rows", "n_null_fk", "n_orphan_rows",
+                    "n_orphan_keys"))
     return _reduce_union(out)
 
 
