@@ -36,7 +36,13 @@ FOLD_SCHEMA = T.StructType([T.StructField(n, t) for n, t in [
     ("name", _S), ("table_type", _S), ("estimated_rows", _L), ("data_type", _S), ("nullable", _B),
     ("default_value", _S), ("is_primary_key", _B), ("is_foreign_key", _B), ("references", _S),
     ("columns", _A), ("unique", _B), ("constraint_type", _S), ("reference_table", _S),
-    ("reference_columns", _A), ("to_table", _S), ("to_column", _S), ("ordinal", _L)]])
+    ("reference_columns", _A), ("to_table", _S), ("to_column", _S), ("ordinal", _L),
+    ("op", _S), ("column_name", _S), ("value", _S)]])
+
+# Changes the cross-table steps need (far-end edge updates, schema stamping):
+# the fold passes them through so those steps never re-read the change log.
+_PASS_THROUGH = {"drop_table": "far", "drop_column": "far", "rename_column": "far",
+                 "create_schema": "schema"}
 
 EDGE_SCHEMA = T.StructType([T.StructField(n, t) for n, t in [
     ("script_id", _S), ("from_table", _S), ("from_column", _S), ("to_table", _S), ("to_column", _S),
@@ -61,9 +67,14 @@ class _TableState:
         self.idx: list[dict] = []
         self.cons: list[dict] = []
         self.edges: list[dict] = []
+        self.passed: list[tuple] = []
 
     def apply(self, r) -> None:
         op, key = r.op, (int(r.seq), int(r.sub))
+        if op in _PASS_THROUGH:
+            self.passed.append((_PASS_THROUGH[op], key, op, r.column_name, r.value))
+        if self.table is None:          # CREATE SCHEMA rows: nothing else to do
+            return
         cols = self.cols
         if op in ("create_table", "create_view"):
             self.trows.append({"k": key, "type": "TABLE" if op == "create_table" else r.value,
@@ -167,6 +178,8 @@ class _TableState:
                 reference_table=c["ref_table"], reference_columns=c["ref_columns"])
         for e in self.edges:
             rec("edge", e["k"], name=e["from"], to_table=e["to_table"], to_column=e["to"])
+        for kind, k, op, column, value in self.passed:
+            rec(kind, k, op=op, column_name=column, value=value)
         return out
 
 
@@ -228,8 +241,8 @@ def replay(log: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
     them); the default keeps FK flags under any remaining FK constraint and
     keeps inline PK flags."""
     ship_package(log.sparkSession)   # fold classes must import on workers
-    per_table = (log.where(F.col("table_name").isNotNull())
-                 .repartition("script_id", "table_name")
+    # CREATE SCHEMA rows (no table) fold under a NULL table key and pass through
+    per_table = (log.repartition("script_id", "table_name")
                  .sortWithinPartitions("script_id", "table_name", "seq", "sub"))
     # catalog-sized (much smaller than the log) and read by every output below:
     # materialise once in the shared checkpoint folder
@@ -238,9 +251,8 @@ def replay(log: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
                                    FOLD_SCHEMA).checkpoint()
 
     # CREATE SCHEMA: first schema statement after each table row's creation
-    schemas = log.where(F.col("op") == "create_schema").select(
-        "script_id", F.col("seq").alias("k_seq"), F.lit(1).alias("is_schema"),
-        F.col("value").alias("schema"))
+    schemas = folded.where(F.col("rec") == "schema").select(
+        "script_id", "k_seq", F.lit(1).alias("is_schema"), F.col("value").alias("schema"))
     trows = folded.where(F.col("rec") == "table")
     w = (Window.partitionBy("script_id").orderBy(F.col("k_seq").desc(), F.col("is_schema").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -274,10 +286,10 @@ def replay(log: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
         F.col("k_sub").alias("sub"), "k_i", F.lit("edge").alias("op"),
         F.col("to_column").alias("column_name"), F.lit(None).cast("string").alias("value"),
         F.col("table_name").alias("from_table"), F.col("name").alias("from_column"))
-    far = log.where(F.col("op").isin("drop_table", "drop_column", "rename_column")).select(
-        "script_id", "table_name", "seq", "sub", F.lit(1 << 30).cast("long").alias("k_i"), "op",
-        "column_name", "value", F.lit(None).cast("string").alias("from_table"),
-        F.lit(None).cast("string").alias("from_column"))
+    far = folded.where(F.col("rec") == "far").select(
+        "script_id", "table_name", F.col("k_seq").alias("seq"), F.col("k_sub").alias("sub"),
+        F.lit(1 << 30).cast("long").alias("k_i"), "op", "column_name", "value",
+        F.lit(None).cast("string").alias("from_table"), F.lit(None).cast("string").alias("from_column"))
 
     edges = (near.unionByName(far)
              .repartition("script_id", "table_name")
