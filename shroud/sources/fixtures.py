@@ -4,9 +4,11 @@ same rows. Work grows with the driver tables."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import register_views, spread
+from .tables import spread, table
 
 F_TEXT = """select doc_id, source, lang, concat(substring(text, 1, 200), ' ssn ', lpad(cast(doc_id % 1000 as string), 3, '0'), '-', lpad(cast(doc_id % 100 as string), 2, '0'), '-', lpad(cast(doc_id % 10000 as string), 4, '0'), ' Password: p', cast(doc_id as string), ' select customer_id, Email from t') as text from documents"""
 
@@ -47,9 +49,14 @@ FIXTURES = {
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Run the fixture's SELECT with its table bound as a DataFrame argument
+    (``spark.sql(query, **dfs)``): no temp view is created or replaced in the
+    caller's session."""
     sql, deps = FIXTURES[name]
-    register_views(spark, sf_dir, deps)
-    return spread(spark.sql(sql))
+    bound = sql
+    for t in deps:
+        bound = re.sub(rf"\bfrom {t}\b", f"from {{{t}}}", bound)
+    return spread(spark.sql(bound, **{t: table(spark, sf_dir, t) for t in deps}))
 
 
 def cte(name: str) -> str:
