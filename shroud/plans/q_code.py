@@ -149,9 +149,56 @@ def code_functions_fcode(spark, sf_dir):
     return CF.functions(_files(spark, sf_dir))
 
 
-@register("code_classes_fcode", None, "C11 C12")
+# Block structure in SQL (valid code without continuation lines, as in F-code):
+# a logical line's parent is the nearest earlier logical line with a smaller
+# indent; ancestors by recursion; a node is visited when every class above it
+# is entered through a method (a def directly in the class body).
+_BLOCKS = f"""{_BASE},
+lg AS (SELECT path, line_no, text, stripped, indent,
+              CASE WHEN regexp_matches(text, '^\\s*async\\s+def\\s+\\w+') THEN 'async def'
+                   WHEN regexp_matches(text, '^\\s*def\\s+\\w+') THEN 'def'
+                   WHEN regexp_matches(text, '^\\s*class\\s+\\w+') THEN 'class'
+                   WHEN ends_with(stripped, ':') THEN 'block' ELSE 'stmt' END AS lk
+       FROM ln WHERE kind = 'python' AND stripped <> '' AND NOT starts_with(stripped, '#')),
+par AS (SELECT a.*, (SELECT max(b.line_no) FROM lg b WHERE b.path = a.path AND b.line_no < a.line_no
+                                                     AND b.indent < a.indent) AS parent FROM lg a),
+anc(path, line_no, a_line, depth) AS (
+  SELECT path, line_no, parent, 1 FROM par WHERE parent IS NOT NULL
+  UNION ALL
+  SELECT anc.path, anc.line_no, p.parent, anc.depth + 1 FROM anc
+  JOIN par p ON p.path = anc.path AND p.line_no = anc.a_line WHERE p.parent IS NOT NULL),
+bad AS (SELECT DISTINCT a.path, a.line_no FROM anc a
+        JOIN par ak ON ak.path = a.path AND ak.line_no = a.a_line AND ak.lk = 'class'
+        LEFT JOIN anc c ON c.path = a.path AND c.line_no = a.line_no AND c.depth = a.depth - 1
+        JOIN par ck ON ck.path = a.path AND ck.line_no = coalesce(c.a_line, a.line_no)
+        WHERE ck.lk <> 'def')"""
+
+_ATTR_TARGETS = ("list_transform(list_filter(string_split(replace(c.stripped, '==', chr(1) || chr(1)), '=')[1:-2], "
+                 "lambda x: regexp_matches(x, '^\\s*[\\p{L}\\p{N}_]+\\s*$')), "
+                 "lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))")
+_CLASSES_SQL = f"""WITH RECURSIVE {_BLOCKS},
+cls AS (SELECT p.* FROM par p LEFT JOIN bad b ON b.path = p.path AND b.line_no = p.line_no
+        WHERE p.lk = 'class' AND b.path IS NULL),
+attrs AS (SELECT c.path, c.parent AS line_no,
+                 flatten(list({_ATTR_TARGETS} ORDER BY c.line_no)) AS attributes
+          FROM par c WHERE c.lk = 'stmt' GROUP BY c.path, c.parent),
+meths AS (SELECT c.path, c.parent AS line_no,
+                 list(regexp_extract(c.text, {lit(CF.DEF_RE)}, 1) ORDER BY c.line_no) AS methods
+          FROM par c WHERE c.lk = 'def' GROUP BY c.path, c.parent)
+SELECT cls.path, regexp_extract(cls.text, {lit(CF.CLASS_RE)}, 1) AS name, CAST(cls.line_no AS BIGINT) AS line_no,
+       to_json(list_filter(list_transform(string_split(regexp_extract(cls.text, {lit(CF.CLASS_RE)}, 2), ','),
+           lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')) AS bases,
+       to_json(coalesce(attrs.attributes, [])) AS attributes,
+       to_json(coalesce(meths.methods, [])) AS methods
+FROM cls LEFT JOIN attrs ON attrs.path = cls.path AND attrs.line_no = cls.line_no
+LEFT JOIN meths ON meths.path = cls.path AND meths.line_no = cls.line_no"""
+
+
+@register("code_classes_fcode", _CLASSES_SQL, "C11 C12")
 def code_classes_fcode(spark, sf_dir):
-    return CF.classes(_files(spark, sf_dir))
+    c = CF.classes(_files(spark, sf_dir))
+    return c.select("path", "name", "line_no", F.to_json("bases").alias("bases"),
+                    F.to_json("attributes").alias("attributes"), F.to_json("methods").alias("methods"))
 
 
 @register("code_assignments_fcode", None, "C16 C17")
