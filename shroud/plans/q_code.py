@@ -144,11 +144,6 @@ def code_corpus_report_fcode(spark, sf_dir):
 
 # --- block-structure facts: checked against Python's ast in tests ------------------
 
-@register("code_functions_fcode", None, "C10 C12 C13 C14 C15 C18 C19 C22")
-def code_functions_fcode(spark, sf_dir):
-    return CF.functions(_files(spark, sf_dir))
-
-
 # Block structure in SQL (valid code without continuation lines, as in F-code):
 # a logical line's parent is the nearest earlier logical line with a smaller
 # indent; ancestors by recursion; a node is visited when every class above it
@@ -173,6 +168,69 @@ bad AS (SELECT DISTINCT a.path, a.line_no FROM anc a
         JOIN par ck ON ck.path = a.path AND ck.line_no = coalesce(c.a_line, a.line_no)
         WHERE ck.lk <> 'def')"""
 
+def _functions_sql() -> str:
+    kws = ", ".join(lit(k) for k in CF.PY_KEYWORDS)
+    libs = "|".join(CF.DATA_LIBS)
+    words = "|".join(CF.SQL_WORDS)
+    strip = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"""WITH RECURSIVE {_BLOCKS},
+defs AS (SELECT p.* FROM par p LEFT JOIN bad b ON b.path = p.path AND b.line_no = p.line_no
+         WHERE p.lk = 'def' AND b.path IS NULL),
+clsanc AS (SELECT DISTINCT a.path, a.line_no FROM anc a
+           JOIN par ak ON ak.path = a.path AND ak.line_no = a.a_line AND ak.lk = 'class'),
+body AS (SELECT a.path, a.a_line AS def_line, p.line_no, p.text FROM anc a
+         JOIN par p ON p.path = a.path AND p.line_no = a.line_no
+         WHERE p.lk NOT IN ('def', 'class', 'async def')),
+calls AS (SELECT path, def_line, unnest(regexp_extract_all(text, {lit(CF.CALL_RE)}, 1)) AS call FROM body),
+cs AS (SELECT path, def_line, list_sort(list_distinct(list(call))) AS calls_made,
+              list_sort(list_distinct(list(call) FILTER (WHERE contains(call, '.')
+                                                       AND regexp_matches(call, {lit(libs)})))) AS ops
+       FROM calls WHERE call NOT IN ({kws}) GROUP BY path, def_line),
+lits AS (SELECT path, def_line, line_no, generate_subscripts(m, 1) AS pos, unnest(m) AS lit
+         FROM (SELECT path, def_line, line_no, regexp_extract_all(text, {lit(CF.STRING_RE)}, 0) AS m FROM body)),
+sq AS (SELECT path, def_line, list(s ORDER BY line_no, pos) AS sql_queries
+       FROM (SELECT *, substr(lit, 2, length(lit) - 2) AS s FROM lits)
+       WHERE regexp_matches(upper(s), {lit(words)}) GROUP BY path, def_line),
+deco AS (SELECT d.path, d.line_no, substr(d.stripped, 2) AS deco,
+                (SELECT min(o.line_no) FROM lg o WHERE o.path = d.path AND o.line_no > d.line_no
+                                                   AND NOT starts_with(o.stripped, '@')) AS owner
+         FROM lg d WHERE starts_with(d.stripped, '@')),
+decos AS (SELECT path, owner AS line_no, list(deco ORDER BY line_no) AS decorators FROM deco GROUP BY path, owner),
+fc AS (SELECT path, parent AS line_no,
+              regexp_matches(arg_min(stripped, line_no), '^[rRuUbBfF]{{0,2}}("|'')') AS has_doc
+       FROM par WHERE parent IS NOT NULL GROUP BY path, parent),
+a1 AS (SELECT d.*, list_transform(string_split(regexp_extract(d.text, {lit(CF.DEF_RE)}, 2), ','),
+                                  lambda x: regexp_extract(x, '^\\s*([\\p{{L}}\\p{{N}}_*/]+)', 1)) AS names
+       FROM defs d),
+a2 AS (SELECT *, CASE WHEN list_position(names, '/') IS NOT NULL
+                      THEN names[list_position(names, '/') + 1:] ELSE names END AS after FROM a1),
+a3 AS (SELECT *, list_position(list_transform(after, lambda x: starts_with(x, '*')), true) AS fs FROM a2),
+a4 AS (SELECT *, list_filter(CASE WHEN fs IS NOT NULL THEN after[1:fs - 1] ELSE after END,
+                             lambda x: x <> '') AS args FROM a3)
+SELECT d.path, regexp_extract(d.text, {lit(CF.DEF_RE)}, 1) AS name, CAST(d.line_no AS BIGINT) AS line_no,
+       to_json(d.args) AS args, nullif(regexp_extract(d.text, {lit(CF.DEF_RE)}, 3), '') AS returns,
+       to_json(coalesce(decos.decorators, [])) AS decorators,
+       coalesce(fc.has_doc, false) AS has_docstring,
+       CASE WHEN pk.lk = 'class' THEN regexp_extract(pk.text, {lit(CF.CLASS_RE)}, 1) END AS class_name,
+       coalesce(pk.lk = 'class', false) AS is_method, ca.path IS NULL AS in_functions,
+       to_json(coalesce(cs.calls_made, [])) AS calls_made, to_json(coalesce(cs.ops, [])) AS data_operations,
+       to_json(coalesce(sq.sql_queries, [])) AS sql_queries
+FROM a4 d
+LEFT JOIN par pk ON pk.path = d.path AND pk.line_no = d.parent
+LEFT JOIN clsanc ca ON ca.path = d.path AND ca.line_no = d.line_no
+LEFT JOIN cs ON cs.path = d.path AND cs.def_line = d.line_no
+LEFT JOIN sq ON sq.path = d.path AND sq.def_line = d.line_no
+LEFT JOIN decos ON decos.path = d.path AND decos.line_no = d.line_no
+LEFT JOIN fc ON fc.path = d.path AND fc.line_no = d.line_no"""
+
+
+@register("code_functions_fcode", _functions_sql(), "C10 C12 C13 C14 C15 C18 C19 C22")
+def code_functions_fcode(spark, sf_dir):
+    f = CF.functions(_files(spark, sf_dir))
+    arrays = ["args", "decorators", "calls_made", "data_operations", "sql_queries"]
+    return f.select(*[F.to_json(c).alias(c) if c in arrays else F.col(c) for c in f.columns])
+
+
 _ATTR_TARGETS = ("list_transform(list_filter(string_split(replace(c.stripped, '==', chr(1) || chr(1)), '=')[1:-2], "
                  "lambda x: regexp_matches(x, '^\\s*[\\p{L}\\p{N}_]+\\s*$')), "
                  "lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))")
