@@ -259,9 +259,34 @@ def code_classes_fcode(spark, sf_dir):
                     F.to_json("attributes").alias("attributes"), F.to_json("methods").alias("methods"))
 
 
-@register("code_assignments_fcode", None, "C16 C17")
+def _assignments_sql() -> str:
+    libs = "|".join(CF.DATA_LIBS)
+    op_re = CF.DATA_OP_RE.replace("=(?!=)", "=")   # the look-ahead is redundant there
+    assert op_re != CF.DATA_OP_RE
+    ex = lambda g: f"regexp_extract(s.stripped, {lit(op_re)}, {g})"
+    names = ("list_transform(list_filter(string_split(replace(s.stripped, '==', chr(1) || chr(1)), '=')[1:-2], "
+             "lambda x: regexp_matches(x, '^\\s*[\\p{L}\\p{N}_]+\\s*$')), "
+             "lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))")
+    return f"""WITH RECURSIVE {_BLOCKS},
+clsanc AS (SELECT DISTINCT a.path, a.line_no FROM anc a
+           JOIN par ak ON ak.path = a.path AND ak.line_no = a.a_line AND ak.lk = 'class'),
+st AS (SELECT p.* FROM par p LEFT JOIN bad b ON b.path = p.path AND b.line_no = p.line_no
+       WHERE p.lk = 'stmt' AND b.path IS NULL)
+SELECT s.path, CAST(s.line_no AS BIGINT) AS line_no,
+       to_json(CASE WHEN ca.path IS NULL THEN {names} ELSE [] END) AS global_names,
+       nullif({ex(1)}, '') AS target,
+       CASE WHEN {ex(2)} <> '' AND regexp_matches({ex(2)}, {lit(libs)}) THEN {ex(2)} END AS data_op_method,
+       s.stripped AS context,
+       ({ex(2)} <> '' AND regexp_matches({ex(2)}, {lit(libs)})) AS is_data_op
+FROM st s LEFT JOIN clsanc ca ON ca.path = s.path AND ca.line_no = s.line_no
+WHERE regexp_matches(s.stripped, '^[^=]+=([^=]|$)')
+  AND NOT regexp_matches(s.stripped, '^[^=]*[-+*/%&|^<>!:@]=|^\\s*(if|while|return|assert)\\b')"""
+
+
+@register("code_assignments_fcode", _assignments_sql(), "C16 C17")
 def code_assignments_fcode(spark, sf_dir):
-    return CF.assignments(_files(spark, sf_dir))
+    a = CF.assignments(_files(spark, sf_dir))
+    return a.withColumn("global_names", F.to_json("global_names"))
 
 
 # --- S4 + S5: JSON records out and back in ------------------------------------------
