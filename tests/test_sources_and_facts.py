@@ -88,3 +88,11 @@ def test_drop_constraint_strict_and_default(spark):
         cols = {r.name: (r.is_primary_key, r.is_foreign_key)
                 for r in replay.replay(log, strict=strict)["columns"].collect()}
         assert {k: cols[k] for k in want} == want
+
+
+def test_fixtures_leave_no_temp_views(spark):
+    from shroud.sources import fixtures as FX
+    before = {t.name for t in spark.catalog.listTables()}
+    assert FX.fixture(spark, SF_SMALL, "f_text").count() > 0
+    after = {t.name for t in spark.catalog.listTables()}
+    assert after == before
