@@ -7,6 +7,7 @@ settings that are unset, so cluster configuration always wins.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -39,8 +40,10 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names a shared (HDFS/object store) folder there. Only when the
-    setting is missing — local tests — do we create a scratch folder.
+    The cluster names a shared (HDFS/object store) folder there. Where the
+    setting is missing, a session in one process (``local[...]``: tests) gets a
+    scratch folder; any other session is an error, because a machine's own disk
+    is not visible to the other executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,17 +51,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="shroud-ckpt-", dir=os.environ.get("SHROUD_SCRATCH", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable by Python workers (what ``--py-files``
-    does): zip it once per SparkContext and register it with ``addPyFile``.
+    does): zip it once per application and register it with ``addPyFile``.
 
     Pandas UDFs and ``mapInPandas`` folds refer to module-level helpers that
     workers import by name; without the package on their path they fail. The
@@ -66,7 +71,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="shroud-pyfiles-"), "shroud.zip")
@@ -78,4 +83,4 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(out)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
