@@ -159,37 +159,35 @@ def table_sizes(load: TableLoader, tables: list[str]) -> DataFrame:
                           .select(F.lit(t).alias("table_name"), "n_rows") for t in tables])
 
 
-def hierarchy(edges: DataFrame, tables: DataFrame, max_rounds: int = 64) -> DataFrame:
+def hierarchy(edges: DataFrame, tables: DataFrame) -> DataFrame:
     """Q6: level of each table in the FK graph. Level 0 = no parent; otherwise
     1 + max(level of parents). Tables on or below a cycle get NULL level and
     ``in_cycle`` = true.
 
-    ``edges(child, parent)``, ``tables(table_name)``. Longest-path levels are
-    computed by rounds of joins (Bellman-Ford style relaxation): a table's
-    level is final once all its parents are final. Each round is a join and an
-    aggregation on the table name; lineage is cut by ``checkpoint()``."""
+    ``edges(child, parent)``, ``tables(table_name)``. A table's level is final
+    once all its parents' are; each round finishes the tables whose last parent
+    finished in the round before, until a round finishes none, so any depth is
+    reached. A round is a join and an aggregation on the table name; lineage is
+    cut by ``checkpoint()``."""
     spark: SparkSession = edges.sparkSession
     checkpoint_dir(spark)
     e = edges.where(F.col("child") != F.col("parent")).select("child", "parent").distinct().checkpoint()
     selfloops = edges.where(F.col("child") == F.col("parent")).select(
         F.col("child").alias("table_name")).distinct()
     names = tables.select("table_name").distinct()
-    nparents = e.groupBy(F.col("child").alias("table_name")).agg(F.count(F.lit(1)).alias("np"))
-    # final levels so far: tables without parents are level 0
-    done = (names.join(nparents, "table_name", "left_anti")
-            .select("table_name", F.lit(0).alias("level")).checkpoint())
-    for _ in range(max_rounds):
-        # children whose parents are all done
-        ready = (e.join(done.select(F.col("table_name").alias("parent"), "level"), "parent")
-                 .groupBy(F.col("child").alias("table_name"))
-                 .agg(F.count(F.lit(1)).alias("nd"), F.max("level").alias("ml"))
-                 .join(nparents, "table_name")
-                 .where(F.col("nd") == F.col("np"))
-                 .join(done, "table_name", "left_anti")
-                 .select("table_name", (F.col("ml") + 1).alias("level")).checkpoint())
-        if ready.isEmpty():
-            break
-        done = done.unionByName(ready).checkpoint()
+    # parents still open and the highest level among the finished ones
+    open_ = e.groupBy(F.col("child").alias("table_name")).agg(F.count(F.lit(1)).alias("np")).withColumn("ml", F.lit(-1)).checkpoint()
+    front = names.join(open_, "table_name", "left_anti").select("table_name", F.lit(0).alias("level")).checkpoint()
+    done = front
+    while not front.isEmpty():
+        hit = (e.join(front.withColumnRenamed("table_name", "parent"), "parent").groupBy(F.col("child").alias("table_name"))
+               .agg(F.count(F.lit(1)).alias("nd"), F.max("level").alias("l")))
+        step = (open_.join(hit, "table_name", "left")
+                .select("table_name", (F.col("np") - F.coalesce("nd", F.lit(0))).alias("np"),
+                        F.greatest("ml", F.coalesce("l", F.lit(-1))).alias("ml")).checkpoint())
+        open_ = step.where("np > 0")
+        front = step.where("np = 0").select("table_name", (F.col("ml") + 1).alias("level"))
+        done = done.unionByName(front)
     res = names.join(done, "table_name", "left")
     return res.select("table_name", F.col("level").cast("long").alias("level"),
                       F.col("level").isNull().alias("in_cycle")).join(

@@ -127,36 +127,25 @@ def assemble_requests(messages: DataFrame, key: str = "conv_id", order: str = "t
                       limit_bytes: int = BODY_LIMIT_BYTES) -> DataFrame:
     """One request per key with its ordered ``messages`` array.
 
-    Body size = bytes of ``{"messages":[m1,m2,...]}``. It is computed first
-    with a partial (map-side) aggregation; messages of requests over the cap
-    are not collected (the request keeps its row with ``messages`` NULL and
-    ``oversize`` true), so a collected list never exceeds ``limit_bytes``."""
-    sized = messages.select(key, order, role, content,
-                            *( [temperature] if temperature else []),
+    A request is its whole conversation (the fingerprint is over all of it), so
+    its messages meet in one row; nothing is left out however long it is.
+    ``body_bytes`` is the size of ``{"messages":[m1,m2,...]}`` and ``oversize``
+    tells whether that exceeds ``limit_bytes`` (the proxy's body limit)."""
+    sized = messages.select(key, order, role, content, *([temperature] if temperature else []),
                             message_json_bytes(F.col(role), F.col(content)).alias("_b"))
-    sizes = (sized.groupBy(key)
-             .agg((F.sum("_b") + F.count(F.lit(1)) - 1 + len('{"messages":[]}')).alias("body_bytes")))
-    joined = sized.join(sizes, key)
-    ok = F.col("body_bytes") <= F.lit(limit_bytes)
     aggs = [
-        F.sort_array(F.collect_list(F.when(ok, F.struct(F.col(order).alias("o"),
-                                                        F.col(role).alias("role"),
-                                                        F.col(content).alias("content")))))
-        .alias("_m"),
-        F.max("body_bytes").alias("body_bytes"),
+        F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(role).alias("role"),
+                                             F.col(content).alias("content")))).alias("_m"),
+        (F.sum("_b") + F.count(F.lit(1)) - 1 + len('{"messages":[]}')).alias("body_bytes"),
         F.count(F.lit(1)).alias("n_messages"),
     ]
     if temperature:
         # one temperature per request; max keeps the choice deterministic on retries
         aggs.append(F.max(temperature).alias("temperature"))
-    out = joined.groupBy(key).agg(*aggs)
-    oversize = F.col("body_bytes") > F.lit(limit_bytes)
-    return out.select(
+    return sized.groupBy(key).agg(*aggs).select(
         key,
-        F.when(~oversize, F.transform("_m", lambda m: F.struct(m["role"].alias("role"),
-                                                                m["content"].alias("content"))))
-        .alias("messages"),
-        "n_messages", "body_bytes", oversize.alias("oversize"),
+        F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"),
+        "n_messages", "body_bytes", (F.col("body_bytes") > F.lit(limit_bytes)).alias("oversize"),
         *(["temperature"] if temperature else []))
 
 
@@ -187,15 +176,12 @@ def clamp_temperature(t: Column) -> Column:
     return F.least(base, F.lit(MAX_TEMPERATURE))
 
 
-def status(admitted: Column, messages: Column, oversize: Column | None = None) -> Column:
-    """413 (body cap) > 429 (rate limit) > 400 (invalid) > 500 (bad content) > 200."""
-    s = (F.when(~admitted, F.lit(429))
-         .when(~is_valid(messages), F.lit(400))
-         .when(has_null_content(messages), F.lit(500))
-         .otherwise(F.lit(200)))
-    if oversize is not None:
-        s = F.when(oversize, F.lit(413)).otherwise(s)
-    return s
+def status(admitted: Column, messages: Column) -> Column:
+    """429 (rate limit) > 400 (invalid) > 500 (bad content) > 200."""
+    return (F.when(~admitted, F.lit(429))
+            .when(~is_valid(messages), F.lit(400))
+            .when(has_null_content(messages), F.lit(500))
+            .otherwise(F.lit(200)))
 
 
 def sanitize_response(choices: Column) -> Column:
@@ -238,8 +224,3 @@ def parse_response(kind: str, text: Column) -> Column:
         fields.append(F.when(bad, F.lit(default))
                       .otherwise(F.get_json_object(text, f"$.{k}")).alias(k))
     return F.struct(*fields)
-
-
-def project_result(kind: str, parsed: Column) -> list[Column]:
-    """Rename parsed keys the way the app exposes them."""
-    return [parsed[k].alias(v) for k, v in RESULT_NAMES[kind].items()]

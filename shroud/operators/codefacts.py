@@ -44,7 +44,9 @@ PY_KEYWORDS = ["and", "as", "assert", "async", "await", "del", "elif", "else", "
 # ---------------------------------------------------------------------------
 
 CALL_RE = r"([\p{L}\p{N}_][\p{L}\p{N}_.]*)\s*\("
-STRING_RE = r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'"
+# possessive runs: java.util.regex would recurse once per character of an alternation under *
+STRING_RE = r"\"((?:[^\"\\]++|\\.)*+)\"|'((?:[^'\\]++|\\.)*+)'"
+STRING_RE2 = r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'"  # the same for RE2
 DEF_RE = r"^\s*def\s+([\p{L}\p{N}_]+)\s*\((.*)\)\s*(?:->\s*(.*?))?\s*:"
 CLASS_RE = r"^\s*class\s+([\p{L}\p{N}_]+)\s*(?:\((.*)\))?\s*:"
 DATA_OP_RE = r"^\s*([^=]+?)\s*=(?!=)\s*([\p{L}\p{N}_]+(?:\.[\p{L}\p{N}_]+)+)\s*\("
@@ -245,7 +247,7 @@ def _positional_args(header_params: Column) -> Column:
     names = F.transform(F.split(header_params, ","),
                         lambda p: F.regexp_extract(p, r"^\s*([\p{L}\p{N}_*/]+)", 1))
     slash = F.array_position(names, "/")
-    after = F.when(slash > 0, F.slice(names, (slash + 1).cast("int"), 1 << 20)).otherwise(names)
+    after = F.when(slash > 0, F.slice(names, (slash + 1).cast("int"), F.size(names))).otherwise(names)
     first_star = F.array_position(F.transform(after, lambda a: a.startswith("*")), True)
     upto = F.when(first_star > 0, F.slice(after, 1, (first_star - 1).cast("int"))).otherwise(after)
     return F.filter(upto, lambda a: a != "")
@@ -306,7 +308,7 @@ def functions(files: DataFrame) -> DataFrame:
              .where("is_deco")
              .groupBy("path", "owner")
              .agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "stripped"))),
-                              lambda x: F.substring(x["stripped"], 2, 1 << 20)).alias("decorators"))
+                              lambda x: x["stripped"].substr(F.lit(2), F.length(x["stripped"]))).alias("decorators"))
              .withColumnRenamed("owner", "line_no"))
     # docstring: the first line of the body is a string literal
     first_child = (sl.where(F.size("anc_lines") > 0)

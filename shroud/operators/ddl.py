@@ -21,16 +21,40 @@ from pyspark.sql import functions as F
 
 from ..functions.sqltypes import normalize_type
 
+# The patterns are written with possessive quantifiers: java.util.regex recurses
+# once per repetition of an ordinary group and would overflow its stack on long
+# statements. ``re2`` gives the form for RE2 (DuckDB), which has no such limit.
+def re2(pattern: str) -> str:
+    return pattern.replace("++", "+").replace("*+", "*")
+
+
+QUOTED = r"'(?:[^'\\]++|\\[\s\S]|'')*+'"
+BACKTICKED = r"`[^`]*+`"
+# Outside quotes: '-- ...', '# ...' and '/* ... */' (group 1 keeps the quoted text).
+COMMENT = rf"({QUOTED}|{BACKTICKED})|--[^\n]*+|#[^\n]*+|/\*[\s\S]*?\*/"
+BACKTICK = rf"({QUOTED})|`"
 # Statement tokens: runs of non-separators; quoted strings, backtick
 # identifiers and backslash escapes may contain ';'.
-STATEMENT_TOKEN = r"((?:[^;'`\\]|\\.|'(?:[^'\\]|\\.)*'|`[^`]*`)+)"
-# Depth-0 comma items (quotes and two levels of parentheses).
-LIST_ITEM = r"((?:[^,()']|'[^']*'|\((?:[^()]|\([^()]*\))*\))+)"
+STATEMENT_TOKEN = rf"((?:[^;'`\\]++|\\[\s\S]|{QUOTED}|{BACKTICKED})++)"
+MAX_DEPTH = 9
 
-_CT = (r"(?is)^CREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+)?TABLE\s+"
-       r"(?:IF\s+NOT\s+EXISTS\s+)?([^\s(]+)\s*\((.*)\)[^)]*$")
+
+def _parens(depth: int) -> str:
+    """Balanced parentheses, nested up to ``depth``; quotes may hold others."""
+    inner = f"|{_parens(depth - 1)}" if depth > 1 else ""
+    return rf"\((?:[^()']++|{QUOTED}{inner})*+\)"
+
+
+PARENS = _parens(MAX_DEPTH)
+# Depth-0 comma items. What is nested deeper is not read: such a CREATE TABLE is of
+# no known kind (a reject), such an item of an ALTER TABLE is left out.
+LIST_ITEM = rf"((?:[^,()']++|{QUOTED}|{PARENS})++)"
+
+_TABLE_HEAD = (r"(?is)^CREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+)?TABLE\s+"
+               r"(?:IF\s+NOT\s+EXISTS\s+)?([^\s(]+)")
+_CT = rf"{_TABLE_HEAD}\s*(?:({PARENS})|\s(?:AS|LIKE)\b)"
 _CI = (r"(?is)^CREATE\s+(UNIQUE\s+)?INDEX\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:([^\s(]+)\s+)?"
-       r"ON\s+([^\s(]+)\s*(?:USING\s+\S+\s*)?\((.*)\)")
+       rf"ON\s+([^\s(]+)\s*(?:USING\s+\S+\s*)?({PARENS})")
 _CV = (r"(?is)^CREATE\s+(?:OR\s+REPLACE\s+)?(MATERIALIZED\s+)?VIEW\s+(?:IF\s+NOT\s+EXISTS\s+)?"
        r"([^\s(]+)\s*(?:\(([^)]*)\))?\s*AS\s")
 _CS = r"(?is)^CREATE\s+SCHEMA\s+(?:IF\s+NOT\s+EXISTS\s+)?(\S+)"
@@ -41,6 +65,13 @@ _TR = r"(?is)^TRUNCATE\s+(?:TABLE\s+)?(\S+)"
 _TABLE_CONSTRAINT = r"(?i)^(?:CONSTRAINT\s+\S+\s+)?(PRIMARY\s+KEY|UNIQUE|FOREIGN\s+KEY|CHECK)\b"
 _COL_KEYWORDS = (r"NOT\s+NULL|NULL|DEFAULT|PRIMARY\s+KEY|UNIQUE|REFERENCES|CHECK|CONSTRAINT|"
                  r"AUTO_INCREMENT|AUTOINCREMENT|COLLATE|GENERATED")
+# What a definition says outside its parentheses and quotes.
+_INSIDE = rf"{QUOTED}|{PARENS}"
+# List items that are neither columns nor constraints.
+_INDEX_ITEM = r"(?i)^(?:(?:FULLTEXT|SPATIAL)\s+(?:KEY|INDEX)|KEY|INDEX)\b"
+_UNIQUE_LIST = r"(?is)UNIQUE(?:\s+(?:KEY|INDEX))?\s*([^\s(]+)?\s*\(([^)]*)\)"
+_DEFAULT = r"(?is)\bDEFAULT\s+('(?:[^']|'')*+'|\([^()]*+\)|[^\s,]+(?:\([^()]*+\))?)"
+_CHECK = rf"(?is)CHECK\s*({PARENS})"
 _ACTION = r"(CASCADE|SET\s+NULL|SET\s+DEFAULT|RESTRICT|NO\s+ACTION)"
 
 # Names given to unnamed objects.
@@ -67,6 +98,17 @@ def _nz(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def _inside(c: Column) -> Column:
+    """The text between a text's outer parentheses (empty for an empty text)."""
+    return F.substr(c, F.lit(2), F.greatest(F.length(c) - 2, F.lit(0)))
+
+
+def balanced(item: Column) -> Column:
+    """False for an item that :data:`LIST_ITEM` cut inside deep parentheses."""
+    bare = F.regexp_replace(item, QUOTED, "")
+    return F.regexp_count(bare, F.lit(r"\(")) == F.regexp_count(bare, F.lit(r"\)"))
+
+
 def split_list(c: Column) -> Column:
     """Depth-0 comma split, items trimmed, empties dropped."""
     return F.filter(F.transform(F.regexp_extract_all(c, F.lit(LIST_ITEM), 1), lambda x: _strip(x)),
@@ -74,9 +116,11 @@ def split_list(c: Column) -> Column:
 
 
 def split_statements(scripts: DataFrame, key: str = "script_id", content: str = "content") -> DataFrame:
-    """G1: (script_id, seq 1-based, stmt). ';' inside quotes/backticks does not split."""
-    toks = F.filter(F.transform(F.regexp_extract_all(F.col(content), F.lit(STATEMENT_TOKEN), 1),
-                                lambda x: _strip(x)), lambda x: x != "")
+    """G1: (script_id, seq 1-based, stmt). ';' inside quotes/backticks does not
+    split; comments and the backticks of identifiers are removed."""
+    plain = F.regexp_replace(F.col(content), COMMENT, "$1")
+    toks = F.filter(F.transform(F.regexp_extract_all(plain, F.lit(STATEMENT_TOKEN), 1),
+                                lambda x: _strip(F.regexp_replace(x, BACKTICK, "$1"))), lambda x: x != "")
     return (scripts.select(key, F.posexplode(toks).alias("pos", "stmt"))
             .select(key, (F.col("pos") + 1).cast("long").alias("seq"), "stmt"))
 
@@ -96,7 +140,8 @@ def expr_columns(expr: Column) -> Column:
     in order, duplicates kept; string literals and function calls removed."""
     e = F.regexp_replace(expr, r"'[^']*'", "0")
     e = F.regexp_replace(e, r"(?i)\b(and|or|not|in)\s*\(", "$1 , (")
-    e = F.regexp_replace(e, r"\b[A-Za-z_][A-Za-z0-9_]*\s*\([^()]*\)", "0")
+    for _ in range(3):  # calls, the innermost first
+        e = F.regexp_replace(e, r"\b[A-Za-z_][A-Za-z0-9_]*\s*\([^()]*\)", "0")
     ids = F.regexp_extract_all(e, F.lit(r"\b(?:[A-Za-z_][A-Za-z0-9_]*\.)*([A-Za-z_][A-Za-z0-9_]*)\b"), 1)
     kw = F.array(*[F.lit(k) for k in EXPR_KEYWORDS])
     return F.filter(ids, lambda x: ~F.array_contains(kw, F.upper(x)))
@@ -108,31 +153,32 @@ def _ident_list(c: Column) -> Column:
 
 def column_def(item: Column) -> dict[str, Column]:
     """G3 fields of one column definition text."""
-    rest = F.regexp_extract(item, r"^\S+\s*(.*)$", 1)
+    rest = F.regexp_extract(item, r"(?s)^\S+\s*(.*)$", 1)
+    said = F.regexp_replace(item, _INSIDE, "()")
     raw_type = F.regexp_extract(rest, rf"(?is)^(.*?)(?:\s+(?:{_COL_KEYWORDS})\b.*)?$", 1)
-    default = F.regexp_extract(
-        item, r"(?is)\bDEFAULT\s+('(?:[^']|'')*'|\([^()]*\)|[^\s,]+(?:\([^()]*\))?)", 1)
+    default = F.when(said.rlike(r"(?i)\bDEFAULT\b"), F.regexp_extract(item, _DEFAULT, 1))
     return {
         "column_name": F.regexp_extract(item, r"^(\S+)", 1),
         "raw_type": _strip(raw_type),
         "data_type": normalize_type(_strip(raw_type)),
-        "nullable": ~item.rlike(r"(?i)\bNOT\s+NULL\b"),
+        "nullable": ~said.rlike(r"(?i)\bNOT\s+NULL\b"),
         "value": _nz(default),
-        "is_primary_key": item.rlike(r"(?i)\bPRIMARY\s+KEY\b"),
+        "is_primary_key": said.rlike(r"(?i)\bPRIMARY\s+KEY\b"),
     }
 
 
 def table_constraint(item: Column) -> dict[str, Column]:
     """G5–G7, G10 fields of one table-constraint text."""
     kind = _ws(F.regexp_extract(item, _TABLE_CONSTRAINT, 1))
-    name = _nz(F.regexp_extract(item, r"(?i)^CONSTRAINT\s+(\S+)", 1))
+    name = F.coalesce(_nz(F.regexp_extract(item, r"(?i)^CONSTRAINT\s+(\S+)", 1)),
+                      F.when(kind == "UNIQUE", _nz(F.regexp_extract(item, _UNIQUE_LIST, 1))))
     pk_cols = _ident_list(F.regexp_extract(item, r"(?i)PRIMARY\s+KEY\s*\(([^)]*)\)", 1))
-    uq_cols = _ident_list(F.regexp_extract(item, r"(?i)UNIQUE\s*(?:KEY|INDEX)?\s*\(([^)]*)\)", 1))
+    uq_cols = _ident_list(F.regexp_extract(item, _UNIQUE_LIST, 2))
     fk = r"(?is)FOREIGN\s+KEY\s*\(([^)]*)\)\s*REFERENCES\s+([^\s(]+)\s*\(([^)]*)\)"
     fk_cols = _ident_list(F.regexp_extract(item, fk, 1))
     on_del = _nz(_ws(F.regexp_extract(item, rf"(?i)ON\s+DELETE\s+{_ACTION}", 1)))
     on_upd = _nz(_ws(F.regexp_extract(item, rf"(?i)ON\s+UPDATE\s+{_ACTION}", 1)))
-    check = F.regexp_extract(item, r"(?is)CHECK\s*\((.*)\)\s*$", 1)
+    check = _inside(F.regexp_extract(item, _CHECK, 1))
     ctype = F.when(kind == "FOREIGN KEY", F.concat_ws(
         " ", F.lit("FOREIGN KEY"), F.when(on_del.isNotNull(), F.concat(F.lit("ON DELETE "), on_del)),
         F.when(on_upd.isNotNull(), F.concat(F.lit("ON UPDATE "), on_upd)))).otherwise(kind)
@@ -169,13 +215,6 @@ def _mk(op, sub, table, **cols) -> Column:
     return F.struct(*fields)
 
 
-def _log(df: DataFrame, op, sub, table, **cols) -> DataFrame:
-    c = _mk(op, sub, table, **cols).alias("c")
-    return df.select(F.col("script_id").cast("string").alias("script_id"),
-                     F.col("seq").cast("long").alias("seq"), c).select(
-        "script_id", "seq", "c.*", F.lit(None).cast("string").alias("stmt_kind"))
-
-
 def _no_raw(d: dict) -> dict:
     return {k: v for k, v in d.items() if k not in ("raw_type", "check_expr")}
 
@@ -193,7 +232,9 @@ def _alter_change(a: Column, i: Column, t: Column) -> Column:
     simple = {"set_not_null": alter + r"SET\s+NOT\s+NULL\s*$",
               "drop_not_null": alter + r"DROP\s+NOT\s+NULL\s*$",
               "drop_default": alter + r"DROP\s+DEFAULT\s*$"}
-    out = (F.when(a.rlike(add_con), _mk("add_constraint", i, t, **_no_raw(table_constraint(ex(add_con)))))
+    index = r"(?is)^ADD\s+(?:(?:UNIQUE|FULLTEXT|SPATIAL)\s+)?(?:KEY|INDEX)\b"
+    out = (F.when(a.rlike(index), F.lit(None).cast(_CHANGE_TYPE))
+           .when(a.rlike(add_con), _mk("add_constraint", i, t, **_no_raw(table_constraint(ex(add_con)))))
            .when(a.rlike(drop_con), _mk("drop_constraint", i, t, value=ex(drop_con)))
            .when(a.rlike(drop_col), _mk("drop_column", i, t, column_name=ex(drop_col)))
            .when(a.rlike(rn), _mk("rename_column", i, t, column_name=ex(rn), value=ex(rn, 2)))
@@ -203,6 +244,28 @@ def _alter_change(a: Column, i: Column, t: Column) -> Column:
     return out.when(a.rlike(add_col), _mk("add_column", i, t, **_no_raw(column_def(ex(add_col)))))
 
 
+def list_items(st: Column) -> Column:
+    """The items of a CREATE TABLE's list: struct(pos, item, is_con, rejected)."""
+    return F.transform(split_list(_inside(F.regexp_extract(st, _CT, 2))), lambda x, i: F.struct(
+        (i + 1).alias("pos"), x.alias("item"), x.rlike(_TABLE_CONSTRAINT).alias("is_con"),
+        (x.rlike(_INDEX_ITEM) | ~balanced(x)).alias("rejected")))
+
+
+def table_items(st: Column) -> Column:
+    """Those of :func:`list_items` that are columns or constraints."""
+    return F.filter(list_items(st), lambda x: ~x["rejected"])
+
+
+def rejects(stmts: DataFrame) -> DataFrame:
+    """(script_id, seq, item): statements of no known kind, and list items that
+    are neither column nor constraint or are nested too deep."""
+    st = F.col("stmt")
+    kept = stmts.select("script_id", "seq", "stmt", classify(st).alias("kind"))
+    items = F.transform(F.filter(list_items(st), lambda x: x["rejected"]), lambda x: x["item"])
+    return kept.select("script_id", "seq", F.explode(F.when(F.col("kind") == "create_table", items).when(
+        F.col("kind") == "other", F.array(st)).otherwise(F.array().cast("array<string>"))).alias("item"))
+
+
 def change_log(stmts: DataFrame) -> DataFrame:
     """G2–G13, G18–G24 extraction: statements -> typed change log.
 
@@ -216,19 +279,17 @@ def change_log(stmts: DataFrame) -> DataFrame:
 
     # CREATE TABLE: the table, its columns (in order), then its table constraints
     t_ct = F.regexp_extract(st, _CT, 1)
-    items = F.transform(split_list(F.regexp_extract(st, _CT, 2)),
-                        lambda x, i: F.struct((i + 1).alias("pos"), x.alias("item"),
-                                              x.rlike(_TABLE_CONSTRAINT).alias("is_con")))
+    items = table_items(st)
     ct = F.concat(
         F.array(_mk("create_table", 0, t_ct)),
         F.transform(F.filter(items, lambda x: ~x["is_con"]),
                     lambda x: _mk("add_column", x["pos"], t_ct, **_no_raw(column_def(x["item"])))),
         F.transform(F.filter(items, lambda x: x["is_con"]),
-                    lambda x: _mk("add_constraint", x["pos"] + 100000, t_ct,
+                    lambda x: _mk("add_constraint", x["pos"] + F.size(items), t_ct,  # behind all columns
                                   **_no_raw(table_constraint(x["item"])))))
     ci = F.array(_mk("create_index", 0, F.regexp_extract(st, _CI, 3),
                      value=F.coalesce(_nz(F.regexp_extract(st, _CI, 2)), F.lit(UNNAMED["INDEX"])),
-                     columns=split_list(F.regexp_extract(st, _CI, 4)),
+                     columns=split_list(_inside(F.regexp_extract(st, _CI, 4))),
                      is_unique=F.regexp_extract(st, _CI, 1) != ""))
     t_cv = F.regexp_extract(st, _CV, 2)
     vt = F.when(F.regexp_extract(st, _CV, 1) != "", F.lit("MATERIALIZED VIEW")).otherwise(F.lit("VIEW"))
@@ -242,7 +303,7 @@ def change_log(stmts: DataFrame) -> DataFrame:
     dop = F.when(F.upper(F.regexp_extract(st, _DR, 1)) == "VIEW", F.lit("drop_view")).otherwise(F.lit("drop_table"))
     dr = F.transform(_ident_list(F.regexp_extract(st, _DR, 2)), lambda n, i: _mk(dop, i, n))
     t_at = F.regexp_extract(st, _AT, 1)
-    at = F.filter(F.transform(split_list(F.regexp_extract(st, _AT, 2)),
+    at = F.filter(F.transform(F.filter(split_list(F.regexp_extract(st, _AT, 2)), balanced),
                               lambda a, i: _alter_change(a, i, t_at)), lambda c: c.isNotNull())
     changes = (F.when(kind == "create_table", ct).when(kind == "create_index", ci)
                .when(kind == "create_view", cv).when(kind == "create_schema", cs)

@@ -31,24 +31,52 @@ def _log_flog(spark, sf_dir):
 # --- DuckDB pieces ------------------------------------------------------------------
 
 _STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-_SPLIT = (f"list_filter(list_transform(regexp_extract_all(content, {lit(ddl.STATEMENT_TOKEN)}, 1), "
-          f"lambda x: {_STRIP.format(x='x')}), lambda x: x <> '')")
+def rx(pattern: str) -> str:
+    """A pattern of the DDL reader as a literal for RE2."""
+    return lit(ddl.re2(pattern))
+
+
+_PLAIN = f"regexp_replace(x, {rx(ddl.BACKTICK)}, '\\1', 'g')"
+_SPLIT = (f"list_filter(list_transform(regexp_extract_all(regexp_replace(content, {rx(ddl.COMMENT)}, '\\1', 'g'), "
+          f"{rx(ddl.STATEMENT_TOKEN)}, 1), lambda x: {_STRIP.format(x=_PLAIN)}), lambda x: x <> '')")
 _KINDS = [(ddl._CT, "create_table"), (ddl._CI, "create_index"), (ddl._CV, "create_view"),
           (ddl._CS, "create_schema"), (ddl._AT, "alter_table"), (ddl._DR, "drop"),
           (ddl._TR, "truncate")]
-_KIND_SQL = ("CASE " + " ".join(f"WHEN regexp_matches(stmt, {lit(p)}) THEN '{k}'" for p, k in _KINDS)
+_KIND_SQL = ("CASE " + " ".join(f"WHEN regexp_matches(stmt, {rx(p)}) THEN '{k}'" for p, k in _KINDS)
              + " ELSE 'other' END")
-_STMTS = f"""{FX.cte('f_ddl')},
-sp AS (SELECT script_id, {_SPLIT} AS st FROM f_ddl),
+
+
+def stmts_sql(fixture: str) -> str:
+    """CTEs up to ``stk``: the classified statements of a fixture."""
+    return f"""{FX.cte(fixture)},
+sp AS (SELECT script_id, {_SPLIT} AS st FROM {fixture}),
 stmts AS (SELECT script_id, CAST(generate_subscripts(st, 1) AS BIGINT) AS seq, unnest(st) AS stmt FROM sp),
 stk AS (SELECT *, {_KIND_SQL} AS kind FROM stmts)"""
-_ITEMS = f"""{_STMTS},
-ct AS (SELECT script_id, seq, regexp_extract(stmt, {lit(ddl._CT)}, 1) AS t,
-              list_filter(list_transform(regexp_extract_all(regexp_extract(stmt, {lit(ddl._CT)}, 2),
-                  {lit(ddl.LIST_ITEM)}, 1), lambda x: {_STRIP.format(x='x')}), lambda x: x <> '') AS items
+
+
+def _inside_sql(x: str) -> str:
+    return f"substr({x}, 2, greatest(length({x}) - 2, 0))"
+
+
+def _list_sql(x: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({x}, {rx(ddl.LIST_ITEM)}, 1), lambda x: {_STRIP.format(x='x')}), lambda x: x <> '')"
+
+
+def items_sql(fixture: str) -> str:
+    """CTEs up to ``its``: the items of the CREATE TABLE lists, and ``every`` with the rejected ones."""
+    bare = f"regexp_replace(item, {rx(ddl.QUOTED)}, '', 'g')"
+    bal = f"len(regexp_extract_all({bare}, '\\(')) = len(regexp_extract_all({bare}, '\\)'))"
+    return f"""{stmts_sql(fixture)},
+ct AS (SELECT script_id, seq, regexp_extract(stmt, {rx(ddl._CT)}, 1) AS t,
+              {_list_sql(_inside_sql(f"regexp_extract(stmt, {rx(ddl._CT)}, 2)"))} AS items
        FROM stk WHERE kind = 'create_table'),
 it AS (SELECT script_id, seq, t, generate_subscripts(items, 1) AS pos, unnest(items) AS item FROM ct),
-its AS (SELECT *, regexp_matches(item, {lit(ddl._TABLE_CONSTRAINT)}) AS is_con FROM it)"""
+every AS (SELECT *, regexp_matches(item, {lit(ddl._TABLE_CONSTRAINT)}) AS is_con,
+                 regexp_matches(item, {lit(ddl._INDEX_ITEM)}) OR NOT ({bal}) AS rejected FROM it),
+its AS (SELECT * FROM every WHERE NOT rejected)"""
+
+
+_STMTS, _ITEMS = stmts_sql("f_ddl"), items_sql("f_ddl")
 
 
 @register("ddl_statements_fddl", f"WITH {_STMTS} SELECT script_id, seq, stmt, kind FROM stk", "S1 G1 G2")
@@ -57,24 +85,32 @@ def ddl_statements_fddl(spark, sf_dir):
 
 
 def _raw_type_sql(item: str) -> str:
-    rest = f"regexp_extract({item}, '^\\S+\\s*(.*)$', 1)"
+    rest = f"regexp_extract({item}, '(?s)^\\S+\\s*(.*)$', 1)"
     return _STRIP.format(x=f"regexp_extract({rest}, {lit('(?is)^(.*?)(?:\\s+(?:' + ddl._COL_KEYWORDS + ')\\b.*)?$')}, 1)")
 
 
-_COLS_SQL = f"""WITH {_ITEMS}
+def columns_sql(fixture: str) -> str:
+    said = f"regexp_replace(item, {rx(ddl._INSIDE)}, '()', 'g')"
+    return f"""WITH {items_sql(fixture)}
 SELECT script_id, seq, t AS table_name, CAST(pos AS BIGINT) AS ordinal,
        regexp_extract(item, '^(\\S+)', 1) AS column_name,
        {normalize_type_sql(_raw_type_sql('item'))} AS data_type,
-       NOT regexp_matches(item, '(?i)\\bNOT\\s+NULL\\b') AS nullable,
-       nullif(regexp_extract(item, {lit(r"(?is)\bDEFAULT\s+('(?:[^']|'')*'|\([^()]*\)|[^\s,]+(?:\([^()]*\))?)")}, 1), '')
+       NOT regexp_matches({said}, '(?i)\\bNOT\\s+NULL\\b') AS nullable,
+       CASE WHEN regexp_matches({said}, '(?i)\\bDEFAULT\\b') THEN nullif(regexp_extract(item, {rx(ddl._DEFAULT)}, 1), '') END
          AS default_value,
-       regexp_matches(item, '(?i)\\bPRIMARY\\s+KEY\\b') AS is_primary_key
+       regexp_matches({said}, '(?i)\\bPRIMARY\\s+KEY\\b') AS is_primary_key
 FROM its WHERE NOT is_con"""
 
 
+_COLS_SQL = columns_sql("f_ddl")
+
+
 @register("ddl_columns_fddl", _COLS_SQL, "G3 G4")
 def ddl_columns_fddl(spark, sf_dir):
-    log = _log_fddl(spark, sf_dir)
+    return _columns(_log_fddl(spark, sf_dir))
+
+
+def _columns(log):
     return log.where((F.col("op") == "add_column") & (F.col("stmt_kind") == "create_table")).select(
         "script_id", "seq", "table_name", F.col("sub").alias("ordinal"), "column_name", "data_type",
         "nullable", F.col("value").alias("default_value"), "is_primary_key")
@@ -83,39 +119,98 @@ def ddl_columns_fddl(spark, sf_dir):
 def _expr_cols_sql(e: str) -> str:
     e = f"regexp_replace({e}, '''[^'']*''', '0', 'g')"
     e = f"regexp_replace({e}, '(?i)\\b(and|or|not|in)\\s*\\(', '\\1 , (', 'g')"
-    e = f"regexp_replace({e}, '\\b[A-Za-z_][A-Za-z0-9_]*\\s*\\([^()]*\\)', '0', 'g')"
+    for _ in range(3):
+        e = f"regexp_replace({e}, '\\b[A-Za-z_][A-Za-z0-9_]*\\s*\\([^()]*\\)', '0', 'g')"
     kws = "[" + ", ".join(lit(k) for k in ddl.EXPR_KEYWORDS) + "]"
     return (f"list_filter(regexp_extract_all({e}, '\\b(?:[A-Za-z_][A-Za-z0-9_]*\\.)*([A-Za-z_][A-Za-z0-9_]*)\\b', 1), "
             f"lambda x: NOT list_contains({kws}, upper(x)))")
 
 
-_CONS_SQL = f"""WITH {_ITEMS},
+def _idents_sql(pattern: str, group: int) -> str:
+    return (f"list_filter(list_transform(string_split(regexp_extract(item, {lit(pattern)}, {group}), ','), "
+            f"lambda x: {_STRIP.format(x='x')}), lambda x: x <> '')")
+
+
+_FK = r"(?is)FOREIGN\s+KEY\s*\(([^)]*)\)\s*REFERENCES\s+([^\s(]+)\s*\(([^)]*)\)"
+
+
+def constraints_sql(fixture: str) -> str:
+    def action(on: str) -> str:
+        found = f"regexp_extract(item, {lit(rf'(?i)ON\s+{on}\s+' + ddl._ACTION)}, 1)"
+        return f"CASE WHEN {found} <> '' THEN concat(' ON {on} ', upper(regexp_replace({found}, '\\s+', ' ', 'g'))) ELSE '' END"
+
+    return f"""WITH {items_sql(fixture)},
 c AS (SELECT *, upper(regexp_replace(regexp_extract(item, {lit(ddl._TABLE_CONSTRAINT)}, 1), '\\s+', ' ', 'g')) AS k
       FROM its WHERE is_con)
 SELECT script_id, seq, t AS table_name,
        coalesce(nullif(regexp_extract(item, '(?i)^CONSTRAINT\\s+(\\S+)', 1), ''),
+                CASE WHEN k = 'UNIQUE' THEN nullif(regexp_extract(item, {lit(ddl._UNIQUE_LIST)}, 1), '') END,
                 CASE k WHEN 'PRIMARY KEY' THEN 'unnamed_pk' WHEN 'UNIQUE' THEN 'unnamed_unique'
                        WHEN 'FOREIGN KEY' THEN 'unnamed_fk' ELSE 'unnamed_check' END) AS name,
-       k AS constraint_type,
-       to_json(CASE WHEN k = 'CHECK' THEN {_expr_cols_sql("regexp_extract(item, '(?is)CHECK\\s*\\((.*)\\)\\s*$', 1)")} END)
-         AS columns
+       CASE WHEN k = 'FOREIGN KEY' THEN concat(k, {action('DELETE')}, {action('UPDATE')}) ELSE k END AS constraint_type,
+       to_json(CASE k WHEN 'PRIMARY KEY' THEN {_idents_sql(r"(?i)PRIMARY\s+KEY\s*\(([^)]*)\)", 1)}
+                      WHEN 'UNIQUE' THEN {_idents_sql(ddl._UNIQUE_LIST, 2)}
+                      WHEN 'FOREIGN KEY' THEN {_idents_sql(_FK, 1)}
+                      ELSE {_expr_cols_sql(_inside_sql(f"regexp_extract(item, {rx(ddl._CHECK)}, 1)"))} END) AS columns,
+       CASE WHEN k = 'FOREIGN KEY' THEN nullif(regexp_extract(item, {lit(_FK)}, 2), '') END AS reference_table,
+       CASE WHEN k = 'FOREIGN KEY' THEN to_json({_idents_sql(_FK, 3)}) END AS reference_columns
 FROM c"""
 
 
-@register("ddl_constraints_fddl", _CONS_SQL, "G5 G6 G7 G10 G11")
-def ddl_constraints_fddl(spark, sf_dir):
-    log = _log_fddl(spark, sf_dir)
-    return log.where(F.col("op") == "add_constraint").select(
+def _constraints(log):
+    return log.where((F.col("op") == "add_constraint") & (F.col("stmt_kind") == "create_table")).select(
         "script_id", "seq", "table_name", F.col("value").alias("name"), "constraint_type",
-        F.to_json(F.when(F.col("constraint_type") == "CHECK", F.col("columns"))).alias("columns"))
+        F.to_json("columns").alias("columns"), "reference_table", F.to_json("reference_columns").alias("reference_columns"))
+
+
+@register("ddl_constraints_fddl", constraints_sql("f_ddl"), "G10 G11")
+def ddl_constraints_fddl(spark, sf_dir):
+    return _constraints(_log_fddl(spark, sf_dir))
+
+
+# --- F-dump: DDL as dump tools write it --------------------------------------------
+
+def _log_fdump(spark, sf_dir):
+    return ddl.change_log(ddl.split_statements(FX.fixture(spark, sf_dir, "f_dump")))
+
+
+@register("ddl_statements_fdump", f"""WITH {stmts_sql('f_dump')}
+SELECT script_id, seq, length(stmt) AS n_chars, sha256(stmt) AS stmt_sha256, kind FROM stk""", "G1 G2")
+def ddl_statements_fdump(spark, sf_dir):
+    """Statements of any length (each script holds a document's whole text
+    three times over as an INSERT), by length and digest."""
+    st = ddl.statements(FX.fixture(spark, sf_dir, "f_dump"))
+    return st.select("script_id", "seq", F.length("stmt").cast("long").alias("n_chars"),
+                     F.sha2("stmt", 256).alias("stmt_sha256"), "kind")
+
+
+@register("ddl_columns_fdump", columns_sql("f_dump"), "G3 G4")
+def ddl_columns_fdump(spark, sf_dir):
+    return _columns(_log_fdump(spark, sf_dir))
+
+
+@register("ddl_constraints_fdump", constraints_sql("f_dump"), "G5 G6 G7 G10 G11")
+def ddl_constraints_fdump(spark, sf_dir):
+    return _constraints(_log_fdump(spark, sf_dir))
+
+
+@register("ddl_rejects_fdump", f"""WITH {items_sql('f_dump')}
+SELECT script_id, seq, item FROM every WHERE rejected
+UNION ALL SELECT script_id, seq, sha256(stmt) FROM stk WHERE kind = 'other'""", "G2 G3")
+def ddl_rejects_fdump(spark, sf_dir):
+    """What is not read: index items, and statements of other kinds (by digest)."""
+    st = ddl.split_statements(FX.fixture(spark, sf_dir, "f_dump"))
+    other = F.col("stmt")
+    items = ddl.rejects(st.where(ddl.classify(other) != "other"))
+    rest = st.where(ddl.classify(other) == "other").select("script_id", "seq", F.sha2("stmt", 256).alias("item"))
+    return items.unionByName(rest)
 
 
 _IDX_SQL = f"""WITH {_STMTS}
-SELECT script_id, seq, regexp_extract(stmt, {lit(ddl._CI)}, 3) AS table_name,
-       coalesce(nullif(regexp_extract(stmt, {lit(ddl._CI)}, 2), ''), 'unnamed_index') AS name,
-       to_json(list_filter(list_transform(regexp_extract_all(regexp_extract(stmt, {lit(ddl._CI)}, 4),
-           {lit(ddl.LIST_ITEM)}, 1), lambda x: {_STRIP.format(x='x')}), lambda x: x <> '')) AS columns,
-       regexp_extract(stmt, {lit(ddl._CI)}, 1) <> '' AS is_unique
+SELECT script_id, seq, regexp_extract(stmt, {rx(ddl._CI)}, 3) AS table_name,
+       coalesce(nullif(regexp_extract(stmt, {rx(ddl._CI)}, 2), ''), 'unnamed_index') AS name,
+       to_json({_list_sql(_inside_sql(f"regexp_extract(stmt, {rx(ddl._CI)}, 4)"))}) AS columns,
+       regexp_extract(stmt, {rx(ddl._CI)}, 1) <> '' AS is_unique
 FROM stk WHERE kind = 'create_index'"""
 
 
@@ -179,9 +274,12 @@ def infer_fk_fcat(spark, sf_dir):
 _HIER_SQL = f"""WITH RECURSIVE {_INFER_CTES},
 e AS (SELECT DISTINCT from_table AS child, to_table AS parent FROM j WHERE rk = 1 AND from_table <> to_table),
 names AS (SELECT table_name FROM f_cat_tables UNION SELECT table_name FROM f_cat_columns),
+reach(a, b) AS (SELECT parent, child FROM e UNION SELECT reach.a, e.child FROM reach JOIN e ON e.parent = reach.b),
+stuck AS (SELECT b FROM reach WHERE a IN (SELECT a FROM reach WHERE a = b)),
 lv(table_name, level) AS (
   SELECT table_name, 0 FROM names WHERE table_name NOT IN (SELECT child FROM e)
-  UNION ALL SELECT e.child, lv.level + 1 FROM e JOIN lv ON e.parent = lv.table_name WHERE lv.level < 64)
+  UNION ALL SELECT e.child, lv.level + 1 FROM e JOIN lv ON e.parent = lv.table_name
+  WHERE e.child NOT IN (SELECT b FROM stuck))
 SELECT n.table_name, CAST(max(lv.level) AS BIGINT) AS level, max(lv.level) IS NULL AS in_cycle,
        false AS self_ref
 FROM names n LEFT JOIN lv ON lv.table_name = n.table_name GROUP BY n.table_name"""
@@ -203,19 +301,26 @@ _PII_GROUP_SQL = ("CASE " + " ".join(
     for i, k in enumerate(P.NAME_PATTERNS, start=1)) + " END")
 
 
-_PII_SQL = f"""WITH {_ITEMS},
+def _pii_sql(fixture: str) -> str:
+    return f"""WITH {items_sql(fixture)},
 cols AS (SELECT script_id, t AS table_name, regexp_extract(item, '^(\\S+)', 1) AS column_name
          FROM its WHERE NOT is_con)
 SELECT script_id, table_name, column_name, {_PII_GROUP_SQL} AS pii_group,
        ({_PII_GROUP_SQL}) IS NOT NULL AS is_pii FROM cols"""
 
 
-@register("pii_columns_fddl", _PII_SQL, "M13")
+@register("pii_columns_fddl", _pii_sql("f_ddl"), "M13")
 def pii_columns_fddl(spark, sf_dir):
     cols = ddl_columns_fddl(spark, sf_dir).select("script_id", "table_name", "column_name")
     return pii.pii_columns(cols, "column_name")
 
 
+@register("pii_columns_fdump", _pii_sql("f_dump"), "M13")
+def pii_columns_fdump(spark, sf_dir):
+    cols = ddl_columns_fdump(spark, sf_dir).select("script_id", "table_name", "column_name")
+    return pii.pii_columns(cols, "column_name")
+
+
 # --- X10: database-analysis prompt per table (payload: its columns) -----------------
 
 def _db_prompt_sql() -> str:
@@ -241,8 +346,7 @@ def chat_database_prompt_fddl(spark, sf_dir):
     return g.select("script_id", "table_name", chat.render_prompt("database", payload).alias("prompt"))
 
 
-@register("ddl_statements_fviews", f"WITH {_STMTS.replace(FX.cte('f_ddl'), FX.cte('f_views')).replace('FROM f_ddl', 'FROM f_views')} "
-          "SELECT script_id, seq, stmt, kind FROM stk", "G1 G2 G13")
+@register("ddl_statements_fviews", f"WITH {stmts_sql('f_views')} SELECT script_id, seq, stmt, kind FROM stk", "G1 G2 G13")
 def ddl_statements_fviews(spark, sf_dir):
     return ddl.statements(FX.fixture(spark, sf_dir, "f_views"))
 

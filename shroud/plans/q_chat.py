@@ -78,7 +78,7 @@ _ADMIT_ORACLE = f"""WITH RECURSIVE {_ASSEMBLE},
 e AS (
   SELECT conv_id % 3 AS client, conv_id AS id, conv_id * 1000000 AS t,
          row_number() OVER (PARTITION BY conv_id % 3 ORDER BY conv_id) AS rn
-  FROM req WHERE body_bytes <= {chat.BODY_LIMIT_BYTES}
+  FROM (SELECT DISTINCT conv_id FROM conversations)
 ), r AS (
   SELECT client, id, rn, t AS ws, CAST(1 AS BIGINT) AS n FROM e WHERE rn = 1
   UNION ALL
@@ -86,8 +86,7 @@ e AS (
          CASE WHEN e.t >= r.ws + 60000000 THEN 1 ELSE r.n + 1 END
   FROM r JOIN e ON e.client = r.client AND e.rn = r.rn + 1
 )
-SELECT s.conv_id, CAST(CASE WHEN s.body_bytes > {chat.BODY_LIMIT_BYTES} THEN 413
-             WHEN r.n > 10 THEN 429 ELSE {_STATUS_NO_LIMIT} END AS INTEGER) AS status,
+SELECT s.conv_id, CAST(CASE WHEN r.n > 10 THEN 429 ELSE {_STATUS_NO_LIMIT} END AS INTEGER) AS status,
        CASE WHEN r.n <= 10 AND s.msgs IS NOT NULL THEN substr(sha256(to_json(s.smsgs)), 1, 16) END
          AS fingerprint,
        r.n AS window_position
@@ -98,13 +97,13 @@ FROM san s LEFT JOIN r ON r.id = s.conv_id
 @register("chat_admission_fchat", _ADMIT_ORACLE, "X6 X8")
 def chat_admission_fchat(spark, sf_dir):
     r = _requests(spark, sf_dir)
-    arrivals = (r.where(~F.col("oversize"))
-                .select("conv_id", (F.col("conv_id") % 3).alias("client"),
-                        F.timestamp_seconds("conv_id").alias("ts")))
+    # the limiter sees arrivals only, not the messages
+    arrivals = table(spark, sf_dir, "conversations").select("conv_id").distinct().select(
+        "conv_id", (F.col("conv_id") % 3).alias("client"), F.timestamp_seconds("conv_id").alias("ts"))
     adm = limiter.admission(arrivals, key="client", ts="ts", id_col="conv_id",
                             points=limiter.POINTS, duration_seconds=limiter.DURATION_SECONDS)
     j = r.join(adm.select("conv_id", "n", "admitted"), "conv_id", "left")
-    st = chat.status(F.coalesce("admitted", F.lit(True)), F.col("messages"), F.col("oversize"))
+    st = chat.status(F.coalesce("admitted", F.lit(True)), F.col("messages"))
     fp = F.when(F.col("admitted") & F.col("messages").isNotNull(),
                 chat.fingerprint(chat.sanitize_messages(F.col("messages"))))
     return j.select("conv_id", st.alias("status"), fp.alias("fingerprint"),

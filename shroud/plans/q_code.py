@@ -187,7 +187,7 @@ cs AS (SELECT path, def_line, list_sort(list_distinct(list(call))) AS calls_made
                                                        AND regexp_matches(call, {lit(libs)})))) AS ops
        FROM calls WHERE call NOT IN ({kws}) GROUP BY path, def_line),
 lits AS (SELECT path, def_line, line_no, generate_subscripts(m, 1) AS pos, unnest(m) AS lit
-         FROM (SELECT path, def_line, line_no, regexp_extract_all(text, {lit(CF.STRING_RE)}, 0) AS m FROM body)),
+         FROM (SELECT path, def_line, line_no, regexp_extract_all(text, {lit(CF.STRING_RE2)}, 0) AS m FROM body)),
 sq AS (SELECT path, def_line, list(s ORDER BY line_no, pos) AS sql_queries
        FROM (SELECT *, substr(lit, 2, length(lit) - 2) AS s FROM lits)
        WHERE regexp_matches(upper(s), {lit(words)}) GROUP BY path, def_line),

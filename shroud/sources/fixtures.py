@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .tables import spread, table
 
-F_TEXT = """select doc_id, source, lang, concat(substring(text, 1, 200), ' ssn ', lpad(cast(doc_id % 1000 as string), 3, '0'), '-', lpad(cast(doc_id % 100 as string), 2, '0'), '-', lpad(cast(doc_id % 10000 as string), 4, '0'), ' Password: p', cast(doc_id as string), ' select customer_id, Email from t') as text from documents"""
+F_TEXT = """select doc_id, source, lang, concat(text, ' ssn ', lpad(cast(doc_id % 1000 as string), 3, '0'), '-', lpad(cast(doc_id % 100 as string), 2, '0'), '-', lpad(cast(doc_id % 10000 as string), 4, '0'), ' Password: p', cast(doc_id as string), ' select customer_id, Email from t') as text from documents"""
 
 F_CHAT = """select conv_id, turn, role, concat(text, case when turn % 2 = 0 then concat(' token=', cast(conv_id as string), '.x') else '' end, case when conv_id % 3 = 0 then ' 10.0.0.1' else '' end) as content, case when conv_id % 4 = 0 then cast(null as double) else (conv_id % 10) / 10.0 end as temperature from conversations"""
 
@@ -36,6 +36,20 @@ F_CAT_COLUMNS = """select concat('fact', cast(o_orderkey % 100 as string)) as ta
 # CREATE SCHEMA, RENAME COLUMN and an FK with ON DELETE, one script per customer.
 F_VIEWS = """select cast(c_custkey as string) as script_id, concat('CREATE TABLE acct', cast(c_custkey as string), ' (id INT PRIMARY KEY, owner_id INT, bal DOUBLE);', ' CREATE VIEW v', cast(c_custkey as string), ' (id, bal) AS SELECT id, bal FROM acct', cast(c_custkey as string), ';', ' CREATE MATERIALIZED VIEW mv', cast(c_custkey as string), ' AS SELECT 1;', case when c_custkey % 3 = 0 then concat(' DROP VIEW v', cast(c_custkey as string), ';') else '' end, ' CREATE SCHEMA s', cast(c_nationkey as string), ';', ' CREATE TABLE owner (owner_id INT PRIMARY KEY, name VARCHAR(', cast(10 + c_nationkey as string), '));', case when c_custkey % 5 = 0 then ' ALTER TABLE owner RENAME COLUMN name TO full_name;' else '' end, case when c_custkey % 4 = 0 then concat(' ALTER TABLE acct', cast(c_custkey as string), ' ADD CONSTRAINT fk_owner FOREIGN KEY (owner_id) REFERENCES owner (owner_id) ON DELETE CASCADE;') else '' end) as content from customer"""
 
+# Ours: DDL as dump tools write it. One script per document: comments, backticks,
+# index items, composite keys, nested CHECKs, definitions over several lines,
+# PARTITION BY, CREATE TABLE AS, and an INSERT of the document's whole text,
+# three times over. Column names of all three PII groups occur.
+F_DUMP = """select cast(doc_id as string) as script_id, concat('-- dump of ', source, '; not a statement', chr(10),
+ 'CREATE TABLE `users', cast(doc_id as string), '` (', chr(10), '  `user_id` BIGINT NOT NULL, -- the key', chr(10), '  email VARCHAR(', cast(doc_id % 200 as string), ')', chr(10), '    DEFAULT ', chr(39), 'a;b, (c', chr(39), ',', chr(10),
+ '  /* ', lang, ', ; */ salary DECIMAL(10, 2) CHECK (salary IS NOT NULL),', chr(10), '  zip_code INT,', chr(10), '  org INT, grp INT,', chr(10),
+ '  PRIMARY KEY (`user_id`, org),', chr(10), '  UNIQUE KEY uq_mail (email),', chr(10), '  KEY ix (zip_code),', chr(10),
+ '  CONSTRAINT fk_', lang, ' FOREIGN KEY (org, grp) REFERENCES orgs (id, grp) ON DELETE ', case when doc_id % 2 = 0 then 'CASCADE' else 'set  null' end, ' ON UPDATE NO ACTION,', chr(10),
+ '  CONSTRAINT ck CHECK (((salary > 0) AND ((zip_code < 99999) OR (lower(trim(email)) <> ', chr(39), 'x)', chr(39), '))))', chr(10), ') ENGINE=x PARTITION BY RANGE (zip_code);', chr(10),
+ 'CREATE TABLE copy', cast(doc_id as string), ' AS SELECT * FROM users;', chr(10), '# done', chr(10),
+ 'INSERT INTO notes VALUES (', chr(39), replace(replace(concat(text, text, text), chr(92), ''), chr(39), ''), chr(39), ');',
+ 'SET x = 1') as content from documents"""
+
 FIXTURES = {
     "f_text": (F_TEXT, ["documents"]),
     "f_chat": (F_CHAT, ["conversations"]),
@@ -45,6 +59,7 @@ FIXTURES = {
     "f_cat_tables": (F_CAT_TABLES, ["customer"]),
     "f_cat_columns": (F_CAT_COLUMNS, ["orders"]),
     "f_views": (F_VIEWS, ["customer"]),
+    "f_dump": (F_DUMP, ["documents"]),
 }
 
 

@@ -19,12 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def register_views(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
-    """Expose driver tables as temp views (for the shared fixture SQL)."""
-    for n in names:
-        table(spark, sf_dir, n).createOrReplaceTempView(n)
-
-
 # A directory of text files -> (path, content), one row per file.
 DDL_GLOB = "*.{sql,ddl}"
 CODE_GLOB = "*.{py,sql,js,ts,scala,java}"
@@ -60,14 +54,6 @@ def to_json_column(df: DataFrame, name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias(name))
 
 
-def lines(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """One row per line: (key, line_no 1-based, text, indent, stripped)."""
-    return (df.select(key, F.posexplode(F.split(F.col(content), "\n", -1)).alias("pos", "text"))
-            .select(key, (F.col("pos") + 1).alias("line_no"), "text",
-                    F.length(F.regexp_extract("text", r"^([ \t]*)", 1)).alias("indent"),
-                    F.regexp_replace("text", r"^\s+|\s+$", "").alias("stripped")))
-
-
 def schema_catalog(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
     """(table_name, ordinal, name, data_type, nullable) from table schemas.
 
@@ -81,14 +67,10 @@ def schema_catalog(spark: SparkSession, sf_dir: str, names: list[str] | None = N
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy text work enough tasks.
-
-    A scan yields one task per file split; a corpus stored as a few large row
-    groups would run its regex work on a handful of cores. When the scan has
-    fewer partitions than the cluster's default parallelism, redistribute
-    round-robin; on a real corpus (many splits) this is a no-op, so no shuffle
-    is added at scale."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    """Deal rows over ``spark.shroud.inputTasks`` tasks, if that is set.
+
+    A Parquet file of one row group is one task; CPU-heavy text work on a few
+    such files wants more. The setting is the user's choice for such inputs and
+    is off by default: the plan never depends on sizes or on the cluster."""
+    n = df.sparkSession.conf.get("spark.shroud.inputTasks", None)
+    return df.repartition(int(n)) if n else df

@@ -1,8 +1,5 @@
-"""Schema catalog: hand-made quirks and replay vs a literal sequential fold."""
+"""Schema catalog: hand-made scripts with the rows they must give."""
 
-from collections import Counter
-
-import pytest
 from pyspark.sql import functions as F
 
 from shroud.operators import audit, ddl, replay
@@ -71,133 +68,125 @@ def test_types_and_constraints(spark):
     assert cons["CHECK"].columns == ["amt"] and cons["PRIMARY KEY"].name == "pk"
 
 
-# --- literal sequential replay (the reference's data structures, one script) --------
-
-def literal_replay(rows):
-    tables, columns, rels, idx, cons = [], {}, [], [], []
-    for r in rows:
-        op, t = r["op"], r["table_name"]
-        if op in ("create_table", "create_view"):
-            tables.append({"name": t, "schema": None,
-                           "type": "TABLE" if op == "create_table" else r["value"], "est": None})
-            columns[t] = []
-        elif op == "add_column":
-            if t in columns:
-                columns[t].append({"name": r["column_name"], "type": r["data_type"],
-                                   "nullable": True if r["nullable"] is None else r["nullable"],
-                                   "default": r["value"], "pk": bool(r["is_primary_key"]),
-                                   "pk_inline": bool(r["is_primary_key"]), "fk": False, "ref": None})
-        elif op == "drop_table":
-            tables = [x for x in tables if x["name"] != t]
-            columns.pop(t, None)
-            rels = [e for e in rels if e[0] != t and e[2] != t]
-            idx = [i for i in idx if i["table"] != t]
-            cons = [c for c in cons if c["table"] != t]
-        elif op == "drop_view":
-            tables = [x for x in tables if x["name"] != t]
-            columns.pop(t, None)
-        elif op == "truncate":
-            for x in tables:
-                if x["name"] == t:
-                    x["est"] = 0
-                    break
-        elif op == "create_schema":
-            for x in tables:
-                if x["schema"] is None:
-                    x["schema"] = r["value"]
-        elif op == "create_index":
-            idx.append({"table": t, "name": r["value"], "columns": list(r["columns"])})
-        elif op == "add_constraint":
-            cc, rc = list(r["columns"] or []), r["reference_columns"]
-            cons.append({"table": t, "name": r["value"], "type": r["constraint_type"], "columns": cc})
-            if r["constraint_type"].startswith("FOREIGN KEY"):
-                for a, b in zip(cc, rc or []):
-                    rels.append([t, a, r["reference_table"], b])
-                for c in columns.get(t, []):
-                    if c["name"] in cc:
-                        c["fk"], c["ref"] = True, f"{r['reference_table']}.{rc[0] if rc else ''}"
-            elif r["constraint_type"] == "PRIMARY KEY":
-                for c in columns.get(t, []):
-                    if c["name"] in cc:
-                        c["pk"] = True
-        elif op == "drop_constraint":
-            cons = [c for c in cons if not (c["table"] == t and c["name"] == r["value"])]
-            for c in columns.get(t, []):
-                if c["ref"] is not None and all(not (k["table"] == t and c["name"] in k["columns"]
-                                                     and k["type"].startswith("FOREIGN KEY")) for k in cons):
-                    c["fk"], c["ref"] = False, None
-                if c["pk"] and all(not (k["table"] == t and c["name"] in k["columns"]
-                                        and k["type"] == "PRIMARY KEY") for k in cons):
-                    c["pk"] = c["pk_inline"]
-        elif op == "drop_column":
-            x = r["column_name"]
-            if t in columns:
-                columns[t] = [c for c in columns[t] if c["name"] != x]
-            cons = [c for c in cons if not (c["table"] == t and x in c["columns"])]
-            rels = [e for e in rels if not (e[0] == t and e[1] == x) and not (e[2] == t and e[3] == x)]
-            idx = [i for i in idx if not (i["table"] == t and x in i["columns"])]
-        elif op == "rename_column":
-            old, new = r["column_name"], r["value"]
-            for c in columns.get(t, []):
-                if c["name"] == old:
-                    c["name"] = new
-                    break
-            for k in cons:
-                if k["table"] == t:
-                    k["columns"] = [new if v == old else v for v in k["columns"]]
-            for e in rels:
-                if e[0] == t and e[1] == old:
-                    e[1] = new
-                if e[2] == t and e[3] == old:
-                    e[3] = new
-            for i in idx:
-                if i["table"] == t:
-                    i["columns"] = [new if v == old else v for v in i["columns"]]
-        elif op in ("set_not_null", "drop_not_null", "set_default", "drop_default"):
-            for c in columns.get(t, []):
-                if c["name"] == r["column_name"]:
-                    c.update({"set_not_null": {"nullable": False}, "drop_not_null": {"nullable": True},
-                              "set_default": {"default": r["value"]},
-                              "drop_default": {"default": None}}[op])
-                    break
-    return tables, columns, rels, idx, cons
-
-
-@pytest.mark.parametrize("source", ["f_log", "f_ddl", "f_views"])
-def test_replay_matches_literal_fold(spark, source):
-    if source == "f_log":
-        log = ddl.flat_log(FX.fixture(spark, SF_SMALL, "f_log"))
-    else:
-        log = ddl.change_log(ddl.split_statements(FX.fixture(spark, SF_SMALL, source)))
-    rows = [r.asDict() for r in log.collect()]
-    out = replay.catalog(log, infer=False)
-    by_script = {}
-    for r in sorted(rows, key=lambda r: (r["script_id"], r["seq"], r["sub"])):
-        by_script.setdefault(r["script_id"], []).append(r)
-    want_t, want_c, want_r, want_i, want_k = Counter(), Counter(), Counter(), Counter(), Counter()
-    for sid, rs in by_script.items():
-        tables, columns, rels, idx, cons = literal_replay(rs)
-        want_t.update((sid, x["name"], x["schema"], x["type"], x["est"]) for x in tables)
-        for tname, cl in columns.items():
-            want_c.update((sid, tname, i, c["name"], c["type"], c["nullable"], c["default"], c["pk"],
-                           c["fk"], c["ref"]) for i, c in enumerate(cl, start=1))
-        want_r.update((sid, *e) for e in rels)
-        want_i.update((sid, i["table"], i["name"], tuple(i["columns"])) for i in idx)
-        want_k.update((sid, k["table"], k["name"], k["type"], tuple(k["columns"])) for k in cons)
-    got_t = Counter((r.script_id, r.name, r.schema, r.table_type, r.estimated_rows)
-                    for r in out["tables"].collect())
-    got_c = Counter((r.script_id, r.table_name, r.ordinal, r.name, r.data_type, r.nullable, r.default_value,
-                     r.is_primary_key, r.is_foreign_key, r.references) for r in out["columns"].collect())
-    got_r = Counter((r.script_id, r.from_table, r.from_column, r.to_table, r.to_column)
-                    for r in out["relationships"].collect())
-    got_i = Counter((r.script_id, r.table_name, r.name, tuple(r.columns)) for r in out["indexes"].collect())
-    got_k = Counter((r.script_id, r.table_name, r.name, r.constraint_type, tuple(r.columns))
-                    for r in out["constraints"].collect())
-    assert got_t == want_t
-    assert got_c == want_c
-    assert got_r == want_r
-    assert got_i == want_i
-    assert got_k == want_k
+# --- replay: hand-made scripts with the catalog they must leave -----------------
+
+def left(spark, text, **kw):
+    """The five outputs of one script, as sorted tuples."""
+    c = cat(spark, text, infer=False, **kw)
+    return {
+        "tables": sorted((r.name, r.schema, r.table_type, r.estimated_rows) for r in c["tables"].collect()),
+        "columns": [(r.table_name, r.name, r.nullable, r.default_value, r.is_primary_key, r.is_foreign_key, r.references)
+                    for r in sorted(c["columns"].collect(), key=lambda r: (r.table_name, r.ordinal))],
+        "edges": sorted((r.from_table, r.from_column, r.to_table, r.to_column) for r in c["relationships"].collect()),
+        "indexes": sorted((r.table_name, r.name, tuple(r.columns), r.unique) for r in c["indexes"].collect()),
+        "constraints": sorted((r.table_name, r.name, r.constraint_type, tuple(r.columns)) for r in c["constraints"].collect())}
+
+
+TWO = ("CREATE TABLE a (id INT PRIMARY KEY, n TEXT DEFAULT 'x'); "
+       "CREATE TABLE b (id INT, a_ref INT, k INT, CONSTRAINT f FOREIGN KEY (a_ref) REFERENCES a (id), CONSTRAINT u UNIQUE (k), PRIMARY KEY (id)); "
+       "CREATE INDEX ix ON b (k, a_ref); ")
+
+
+def test_replay_of_creates(spark):
+    assert left(spark, TWO) == {
+        "tables": [("a", None, "TABLE", None), ("b", None, "TABLE", None)],
+        "columns": [("a", "id", True, None, True, False, None), ("a", "n", True, "'x'", False, False, None),
+                    ("b", "id", True, None, True, False, None), ("b", "a_ref", True, None, False, True, "a.id"),
+                    ("b", "k", True, None, False, False, None)],
+        "edges": [("b", "a_ref", "a", "id")],
+        "indexes": [("b", "ix", ("k", "a_ref"), False)],
+        "constraints": [("b", "f", "FOREIGN KEY", ("a_ref",)), ("b", "u", "UNIQUE", ("k",)), ("b", "unnamed_pk", "PRIMARY KEY", ("id",))]}
+
+
+def test_drop_table_takes_edges_of_either_end(spark):
+    got = left(spark, TWO + "DROP TABLE a")
+    assert got["edges"] == [] and [t[0] for t in got["tables"]] == ["b"]
+    assert ("b", "a_ref", True, None, False, True, "a.id") in got["columns"]  # the column's own flag stays
+    got = left(spark, TWO + "DROP TABLE b")
+    assert got["edges"] == [] and got["indexes"] == [] and got["constraints"] == []
+
+
+def test_recreated_table_starts_anew(spark):
+    got = left(spark, TWO + "DROP TABLE b; CREATE TABLE b (z INT); TRUNCATE TABLE b; TRUNCATE gone")
+    assert got["tables"] == [("a", None, "TABLE", None), ("b", None, "TABLE", 0)]
+    assert [c[:2] for c in got["columns"]] == [("a", "id"), ("a", "n"), ("b", "z")]
+
+
+def test_rename_reaches_lists_and_both_ends_of_edges(spark):
+    got = left(spark, TWO + "ALTER TABLE b RENAME COLUMN a_ref TO r; ALTER TABLE a RENAME COLUMN id TO key1; ALTER TABLE b RENAME COLUMN k TO kk")
+    assert got["edges"] == [("b", "r", "a", "key1")]
+    assert got["indexes"] == [("b", "ix", ("kk", "r"), False)]
+    assert ("b", "f", "FOREIGN KEY", ("r",)) in got["constraints"] and ("b", "u", "UNIQUE", ("kk",)) in got["constraints"]
+    assert ("b", "r", True, None, False, True, "a.id") in got["columns"]  # references keeps the old name
+
+
+def test_drop_column_takes_what_contains_it(spark):
+    got = left(spark, TWO + "ALTER TABLE b DROP COLUMN a_ref")
+    assert got["edges"] == [] and got["indexes"] == [] and [c[1] for c in got["constraints"]] == ["u", "unnamed_pk"]
+    got = left(spark, TWO + "ALTER TABLE a DROP COLUMN id")
+    assert got["edges"] == [] and [c[1] for c in got["constraints"]] == ["f", "u", "unnamed_pk"]
+
+
+def test_alter_column_last_change_counts(spark):
+    got = left(spark, "CREATE TABLE t (x INT, y INT NOT NULL DEFAULT 1); ALTER TABLE t ALTER COLUMN x SET NOT NULL; "
+                      "ALTER TABLE t ALTER COLUMN y DROP NOT NULL; ALTER TABLE t ALTER COLUMN x SET DEFAULT 5; "
+                      "ALTER TABLE t ALTER COLUMN x SET DEFAULT 7; ALTER TABLE t ALTER COLUMN y DROP DEFAULT")
+    assert got["columns"] == [("t", "x", False, "7", False, False, None), ("t", "y", True, None, False, False, None)]
+
+
+def test_drop_constraint_keeps_edges_and_rederives_flags(spark):
+    got = left(spark, TWO + "ALTER TABLE b DROP CONSTRAINT f")
+    assert got["edges"] == [("b", "a_ref", "a", "id")]
+    assert ("b", "a_ref", True, None, False, False, None) in got["columns"] and ("b", "id", True, None, True, False, None) in got["columns"]
+    got = left(spark, TWO + "ALTER TABLE b ADD CONSTRAINT g FOREIGN KEY (a_ref) REFERENCES a (id) ON DELETE CASCADE; ALTER TABLE b DROP CONSTRAINT f")
+    assert ("b", "a_ref", True, None, False, True, "a.id") in got["columns"]
+
+
+def test_views_and_schemas(spark):
+    got = left(spark, "CREATE TABLE t (x INT); CREATE VIEW v (p, q) AS SELECT 1, 2; CREATE SCHEMA s1; CREATE MATERIALIZED VIEW m AS SELECT 1; "
+                      "CREATE SCHEMA s2; DROP VIEW v; CREATE TABLE late (x INT)")
+    assert got["tables"] == [("late", None, "TABLE", None), ("m", "s2", "MATERIALIZED VIEW", None), ("t", "s1", "TABLE", None)]
+    assert [c[:2] for c in got["columns"]] == [("late", "x"), ("t", "x")]
+
+
+def test_changes_to_unknown_tables_are_ignored(spark):
+    got = left(spark, "ALTER TABLE no ADD COLUMN x INT; DROP TABLE no; ALTER TABLE no ALTER COLUMN x SET NOT NULL; CREATE TABLE t AS SELECT 1; ALTER TABLE t ADD COLUMN y INT")
+    assert got["tables"] == [("t", None, "TABLE", None)] and [c[:2] for c in got["columns"]] == [("t", "y")]
+
+
+def test_ddl_as_people_write_it(spark):
+    text = ("-- users; and more\nCREATE TABLE `users` (\n id INT, -- the key\n `name`\n  TEXT,\n KEY ix (id), UNIQUE KEY uq (name, id),\n"
+            " b INT CHECK (b IS NOT NULL), d TEXT DEFAULT 'it''s; ok', CHECK (((b > 0) AND ((id < 9)))), x DECIMAL(4, 2) /* a, b */\n"
+            ") PARTITION BY RANGE (id);\nALTER TABLE users ADD INDEX iy (id), ADD COLUMN y INT; # end;\n")
+    got = left(spark, text)
+    assert [(c[1], c[2], c[3]) for c in got["columns"]] == [("id", True, None), ("name", True, None), ("b", True, None),
+                                                            ("d", True, "'it''s; ok'"), ("x", True, None), ("y", True, None)]
+    assert got["constraints"] == [("users", "unnamed_check", "CHECK", ("b", "id")), ("users", "uq", "UNIQUE", ("name", "id"))]
+    assert [r.item for r in ddl.rejects(ddl.split_statements(scripts(spark, text))).collect()] == ["KEY ix (id)"]
+
+
+def test_statements_nested_too_deep_are_rejected_whole(spark):
+    deep = "(" * 30 + "1" + ")" * 30
+    st = ddl.split_statements(scripts(spark, f"CREATE TABLE t (a INT, b INT DEFAULT {deep}, c INT); ALTER TABLE u ADD COLUMN x INT DEFAULT {deep}, ADD COLUMN y INT"))
+    assert [(r.op, r.column_name) for r in ddl.change_log(st).collect()] == [("add_column", "y")]
+    assert [r.item[:14] for r in ddl.rejects(st).collect()] == ["CREATE TABLE t"]
+
+
+def test_long_statements_do_not_overflow(spark):
+    value = "v;x(" * 300_000
+    wide = ", ".join(f"c{i} DECIMAL(10,2) DEFAULT 'a,{i}'" for i in range(20_000))
+    st = ddl.statements(scripts(spark, f"INSERT INTO t VALUES ('{value}'); CREATE TABLE w ({wide}); {'x' * 1_000_000}"))
+    assert [(r.seq, r.kind) for r in st.orderBy("seq").collect()] == [(1, "other"), (2, "create_table"), (3, "other")]
+    log = ddl.change_log(st.drop("kind"))
+    assert log.where("op = 'add_column'").count() == 20_000
+
+
+def test_hierarchy_of_any_depth(spark):
+    n = 70
+    edges = spark.createDataFrame([(f"t{i + 1}", f"t{i}") for i in range(n)], "child string, parent string")
+    names = spark.createDataFrame([(f"t{i}",) for i in range(n + 1)], "table_name string")
+    got = {r.table_name: (r.level, r.in_cycle) for r in audit.hierarchy(edges, names).collect()}
+    assert got == {f"t{i}": (i, False) for i in range(n + 1)}
 
 
 def test_inference_skips_tables_without_pk(spark):

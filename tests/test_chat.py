@@ -55,10 +55,10 @@ def test_sanitize_response_first_choice_only(spark):
     assert r[1].message.content == "mail a@b.com"
 
 
-def test_oversize_request_is_413_and_not_collected(spark):
+def test_oversize_request_is_flagged_and_kept_whole(spark):
     rows = [(1, i, "user", "x" * 100, 0.2) for i in range(5)] + [(2, 0, "user", "y", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, content string, temperature double")
     r = {x.conv_id: x for x in chat.assemble_requests(df, limit_bytes=300).collect()}
-    assert r[1].oversize and r[1].messages is None and r[1].n_messages == 5
+    assert r[1].oversize and len(r[1].messages) == r[1].n_messages == 5
     assert not r[2].oversize and r[2].messages[0].content == "y"
     assert not math.isnan(r[1].body_bytes)

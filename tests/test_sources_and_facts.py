@@ -96,3 +96,16 @@ def test_fixtures_leave_no_temp_views(spark):
     assert FX.fixture(spark, SF_SMALL, "f_text").count() > 0
     after = {t.name for t in spark.catalog.listTables()}
     assert after == before
+
+
+def test_shared_folder_is_required_outside_local_sessions():
+    import types
+
+    import pytest
+
+    from shroud import session
+
+    context = types.SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077",
+                                    getConf=lambda: types.SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(types.SimpleNamespace(sparkContext=context, conf=types.SimpleNamespace(get=lambda *_: None)))
