@@ -8,8 +8,8 @@ array rebuilding). It is an Arrow-batched pandas UDF over the ``content``
 column: each file is already one row, so no group is ever collected.
 
 Regex facts see code inside strings and comments too; they are not an AST
-(see README). Multi-line headers and statements are only seen on their first
-line.
+(see README). Functions, classes and assignments are read from logical lines
+(continuation lines joined, comments cut).
 """
 
 from __future__ import annotations
@@ -43,12 +43,27 @@ PY_KEYWORDS = ["and", "as", "assert", "async", "await", "del", "elif", "else", "
                "raise", "return", "while", "with", "yield", "print"]
 # ---------------------------------------------------------------------------
 
-CALL_RE = r"([\p{L}\p{N}_][\p{L}\p{N}_.]*)\s*\("
-# possessive runs: java.util.regex would recurse once per character of an alternation under *
-STRING_RE = r"\"((?:[^\"\\]++|\\.)*+)\"|'((?:[^'\\]++|\\.)*+)'"
-STRING_RE2 = r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'"  # the same for RE2
-DEF_RE = r"^\s*def\s+([\p{L}\p{N}_]+)\s*\((.*)\)\s*(?:->\s*(.*?))?\s*:"
-CLASS_RE = r"^\s*class\s+([\p{L}\p{N}_]+)\s*(?:\((.*)\))?\s*:"
+CALL_RE = r"(\.?[\p{L}\p{N}_][\p{L}\p{N}_.]*)\s*\("
+# Possessive runs: java.util.regex would recurse once per character of an
+# alternation under *. ``re2`` in ddl.py gives the form for RE2.
+_STR = r"\"(?:[^\"\\]++|\\[\s\S])*+\"|'(?:[^'\\]++|\\[\s\S])*+'"
+STRING_RE = rf"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|{_STR}"
+
+
+def _brackets(depth: int) -> str:
+    """Balanced brackets of any kind, nested up to ``depth``."""
+    inner = f"|{_brackets(depth - 1)}" if depth > 1 else ""
+    return rf"[(\[{{](?:[^()\[\]{{}}\"']++|{_STR}{inner})*+[)\]}}]"
+
+
+BRACKETS = _brackets(6)
+ARGUMENT = rf"((?:[^,()\[\]{{}}\"']++|{_STR}|{BRACKETS})++)"
+# the name never depends on what follows it
+DEF_NAME = r"^\s*def\s+([\p{L}\p{N}_]+)"
+DEF_RE = rf"^\s*def\s+[\p{{L}}\p{{N}}_]+\s*({BRACKETS})\s*(?:->\s*([\s\S]*?))?\s*:(?:\s|$)"
+KEYWORD_ITEM = r"^[\p{L}\p{N}_]+\s*="                       # metaclass=M is no base
+CLASS_NAME = r"^\s*class\s+([\p{L}\p{N}_]+)"
+CLASS_RE = rf"^\s*class\s+[\p{{L}}\p{{N}}_]+\s*({BRACKETS})"
 DATA_OP_RE = r"^\s*([^=]+?)\s*=(?!=)\s*([\p{L}\p{N}_]+(?:\.[\p{L}\p{N}_]+)+)\s*\("
 
 
@@ -65,6 +80,16 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def _inside(c: Column) -> Column:
+    """The text between a text's outer brackets."""
+    return F.substr(c, F.lit(2), F.greatest(F.length(c) - 2, F.lit(0)))
+
+
+def _items(c: Column) -> Column:
+    """Depth-0 comma split, items trimmed, empties dropped."""
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(ARGUMENT), F.lit(1)), lambda x: _strip(x)), lambda x: x != "")
+
+
 def file_metrics(files: DataFrame) -> DataFrame:
     """C1, C8, C9, C20, C21 per file, with no shuffle (array functions per row).
 
@@ -129,31 +154,42 @@ def sql_fragments(files: DataFrame) -> DataFrame:
                     "context"))
 
 
+IMPORT_LINE = r"^\s*(?:import|from)\s"
+PLAIN_IMPORT = r"^\s*import\s+([\s\S]*)$"
+FROM_IMPORT = r"^\s*from\s+\.*([\p{L}\p{N}_.]*)\s+import\s*(?:\(([^)]*)|([^\n]*))"
+OPEN_LIST = r"import\s*\([^)]*$"
+
+
 def imports(files: DataFrame) -> DataFrame:
     """One row per ``import a as b`` alias, one per ``from m import x, y``.
 
     (path, line_no, module, names, alias); ``from . import x`` (no module) is
-    skipped."""
-    ln = code_lines(files).where(F.col("kind") == "python")
-    plain = (ln.where(F.col("stripped").rlike(r"^import\s"))
-             .select("path", "line_no", F.explode(F.split(
-                 F.regexp_extract("stripped", r"^import\s+(.*)$", 1), r",")).alias("item"))
+    skipped. A list in parentheses may go on over further lines; comments are
+    cut. Array functions on the file's row; only its imports are exploded."""
+    ls = F.col("_lines")
+    py = (files.where(file_kind(F.col("path")) == "python")
+          .select("path", F.split(F.col("content"), "\n", -1).alias("_lines")))
+    found = F.filter(F.transform(ls, lambda t, i: F.struct((i + 1).alias("line_no"), t.alias("text"))),
+                     lambda x: x["text"].rlike(IMPORT_LINE))
+    whole = F.transform(found, lambda x: F.struct(x["line_no"].alias("line_no"), F.regexp_replace(
+        F.when(x["text"].rlike(OPEN_LIST), F.array_join(F.slice(ls, x["line_no"], F.size(ls)), "\n")).otherwise(x["text"]),
+        r"#[^\n]*", "").alias("text")))
+    ln = py.select("path", F.inline(whole))
+    plain = (ln.where(F.col("text").rlike(r"^\s*import\s"))
+             .select("path", "line_no", F.explode(F.split(F.regexp_extract("text", PLAIN_IMPORT, 1), r",")).alias("item"))
              .select("path", "line_no",
                      F.regexp_extract("item", r"^\s*([\p{L}\p{N}_.]+)", 1).alias("module"),
                      F.nullif(F.regexp_extract("item", r"\sas\s+([\p{L}\p{N}_]+)", 1), F.lit(""))
                      .alias("alias"))
+             .where(F.col("module") != "")
              .select("path", "line_no", "module", F.array("module").alias("names"), "alias"))
-    frm = (ln.where(F.col("stripped").rlike(r"^from\s+\.*[\p{L}\p{N}_.]*\s+import\s"))
-           .select("path", "line_no",
-                   F.regexp_extract("stripped", r"^from\s+\.*([\p{L}\p{N}_.]*)\s+import\s", 1)
-                   .alias("module"),
-                   F.regexp_extract("stripped", r"\simport\s+(.*)$", 1).alias("rest"))
-           .where(F.col("module") != "")
-           .select("path", "line_no", "module",
-                   F.transform(F.split(F.regexp_replace("rest", r"[()]", ""), ","),
-                               lambda x: F.regexp_extract(x, r"^\s*([\p{L}\p{N}_*]+)", 1))
-                   .alias("names"),
-                   F.lit(None).cast("string").alias("alias")))
+    listed = F.concat(F.regexp_extract("text", FROM_IMPORT, 2), F.regexp_extract("text", FROM_IMPORT, 3))
+    names = F.filter(F.transform(F.split(listed, ","), lambda x: F.regexp_extract(x, r"^\s*([\p{L}\p{N}_*]+)", 1)),
+                     lambda x: x != "")
+    frm = (ln.where(F.col("text").rlike(r"^\s*from\s+\.*[\p{L}\p{N}_.]*\s+import\b"))
+           .select("path", "line_no", F.regexp_extract("text", FROM_IMPORT, 1).alias("module"),
+                   names.alias("names"), F.lit(None).cast("string").alias("alias"))
+           .where(F.col("module") != ""))
     return plain.unionByName(frm)
 
 
@@ -167,53 +203,60 @@ def dependencies(files: DataFrame) -> DataFrame:
 # --- block structure (the one Python helper) -----------------------------------
 
 _HEADER = re.compile(r"^\s*(async\s+def|def|class)\s+(\w+)")
-_OPEN = re.compile(r"[(\[{]")
-_CLOSE = re.compile(r"[)\]}]")
+_LITERAL = re.compile(r"(\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?)|#[^\n]*")
+_BRACKET = re.compile(r"[()\[\]{}]")
+
+
+def _masked(text: str) -> tuple[str, str]:
+    """The text without its comments, and the same with the contents of string
+    literals blanked (line ends in them as NUL); both keep all positions."""
+    plain = _LITERAL.sub(lambda m: m[0] if m[1] is not None else " " * len(m[0]), text)
+    code = _LITERAL.sub(lambda m: " " * len(m[0]) if m[1] is None else re.sub(r"[^\n]", "_", m[1]).replace("\n", "\0"), text)
+    return plain, code
 
 
 def _walk_blocks(text: str | None) -> list[dict] | None:
-    """Per logical line: enclosing header lines (outermost first).
+    """Per logical line: its text (continuation lines joined, comments cut) and
+    the header lines that enclose it (outermost first).
 
-    Blank and comment lines and continuation lines (inside brackets or a
-    triple-quoted string) are skipped. An indentation stack gives each line
-    its ancestors."""
+    A logical line goes on while a bracket or a string is open, or after a
+    backslash. An indentation stack gives each line its ancestors."""
     if text is None:
         return None
-    out = []
+    plain, code = _masked(text)
+    out: list[dict] = []
     stack: list[tuple[int, int, str]] = []        # (indent, line_no, kind)
-    depth, in_triple = 0, None
-    for no, raw in enumerate(text.split("\n"), start=1):
-        s = raw.strip()
-        cont = depth > 0 or in_triple is not None
-        # track triple-quoted strings and bracket depth (strings ignored roughly)
-        for q in ('"""', "'''"):
-            n = raw.count(q)
-            if in_triple == q and n % 2 == 1:
-                in_triple = None
-            elif in_triple is None and n % 2 == 1:
-                in_triple = q
-        if not cont:
-            if not s or s.startswith("#"):
-                continue
-            ind = len(raw) - len(raw.lstrip(" \t"))
-            while stack and stack[-1][0] >= ind:
-                stack.pop()
-            m = _HEADER.match(raw)
-            kind = ("def" if m.group(1) == "def" else
-                    "class" if m.group(1) == "class" else "async def") if m else \
-                ("block" if s.endswith(":") else "stmt")
-            out.append({"line_no": no, "kind": kind,
-                        "anc_lines": [a[1] for a in stack], "anc_kinds": [a[2] for a in stack]})
-            if s.endswith(":") or m:
-                stack.append((ind, no, kind))
-        code = re.sub(r"'[^']*'|\"[^\"]*\"", "", raw.split("#", 1)[0])
-        depth = max(0, depth + len(_OPEN.findall(code)) - len(_CLOSE.findall(code)))
+    parts: list[str] = []
+    at, no, first, depth = 0, 1, 1, 0
+    for raw in code.split("\n"):
+        if not parts:
+            first = no
+        piece = plain[at:at + len(raw)].rstrip()
+        for m in _BRACKET.finditer(raw):
+            depth = max(0, depth + (1 if m[0] in "([{" else -1))
+        at, no = at + len(raw) + 1, no + 1 + raw.count("\0")
+        parts.append(piece.removesuffix("\\") if not parts else piece.removesuffix("\\").strip())
+        if (depth or raw.rstrip().endswith("\\")) and at <= len(code):
+            continue
+        line, parts, depth = " ".join(p for p in parts if p.strip()), [], 0
+        if not line.strip():
+            continue
+        indent = len(line) - len(line.lstrip(" \t"))
+        while stack and stack[-1][0] >= indent:
+            stack.pop()
+        m = _HEADER.match(line)
+        kind = ("def" if m[1] == "def" else "class" if m[1] == "class" else "async def") if m else (
+            "block" if line.endswith(":") else "stmt")
+        out.append({"line_no": first, "kind": kind, "text": line,
+                    "anc_lines": [a[1] for a in stack], "anc_kinds": [a[2] for a in stack]})
+        if kind != "stmt":
+            stack.append((indent, first, kind))
     return out
 
 
 _BLOCKS_TYPE = T.ArrayType(T.StructType([
     T.StructField("line_no", T.IntegerType()), T.StructField("kind", T.StringType()),
-    T.StructField("anc_lines", T.ArrayType(T.IntegerType())),
+    T.StructField("text", T.StringType()), T.StructField("anc_lines", T.ArrayType(T.IntegerType())),
     T.StructField("anc_kinds", T.ArrayType(T.StringType()))]))
 
 
@@ -224,14 +267,12 @@ def block_structure(content: pd.Series) -> pd.Series:
 
 def structured_lines(files: DataFrame) -> DataFrame:
     """Logical lines of Python files with their enclosing headers:
-    (path, line_no, text, stripped, indent, kind, anc_lines, anc_kinds, visited,
+    (path, line_no, text, stripped, kind, anc_lines, anc_kinds, visited,
     in_class). ``visited``: the line is reached by the reference's visitor —
     under a class only through a method (a def directly in its body)."""
     ship_package(files.sparkSession)   # the UDF's helpers must import on workers
     py = files.where(file_kind(F.col("path")) == "python")
-    blk = py.select("path", F.inline(block_structure(F.col("content"))))
-    ln = code_lines(py).select("path", "line_no", "text", "stripped", "indent")
-    j = blk.join(ln, ["path", "line_no"])
+    j = py.select("path", F.inline(block_structure(F.col("content")))).withColumn("stripped", _strip(F.col("text")))
     kinds = F.col("anc_kinds")
     n = F.size(kinds)
     visited = F.forall(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (
@@ -244,7 +285,7 @@ def structured_lines(files: DataFrame) -> DataFrame:
 def _positional_args(header_params: Column) -> Column:
     """Names of positional parameters (ast ``args.args``): after a bare '/',
     before the first '*' item; annotations and defaults dropped."""
-    names = F.transform(F.split(header_params, ","),
+    names = F.transform(_items(header_params),
                         lambda p: F.regexp_extract(p, r"^\s*([\p{L}\p{N}_*/]+)", 1))
     slash = F.array_position(names, "/")
     after = F.when(slash > 0, F.slice(names, (slash + 1).cast("int"), F.size(names))).otherwise(names)
@@ -266,16 +307,16 @@ def functions(files: DataFrame) -> DataFrame:
     sl = structured_lines(files).checkpoint()
     parent = F.try_element_at(F.col("anc_lines"), F.lit(-1))
     defs = sl.where((F.col("kind") == "def") & F.col("visited"))
-    params = F.regexp_extract("text", DEF_RE, 2)
+    params = _inside(F.regexp_extract("text", DEF_RE, 1))
     d = defs.select(
-        "path", F.regexp_extract("text", DEF_RE, 1).alias("name"), "line_no",
+        "path", F.regexp_extract("text", DEF_NAME, 1).alias("name"), "line_no",
         _positional_args(params).alias("args"),
-        F.nullif(F.regexp_extract("text", DEF_RE, 3), F.lit("")).alias("returns"),
+        F.nullif(F.regexp_extract("text", DEF_RE, 2), F.lit("")).alias("returns"),
         F.coalesce(F.try_element_at(F.col("anc_kinds"), F.lit(-1)) == "class", F.lit(False)).alias("is_method"),
         parent.alias("parent_line"), (~F.col("in_class")).alias("in_functions"))
     cls = sl.where(F.col("kind") == "class").select(
         "path", F.col("line_no").alias("parent_line"),
-        F.regexp_extract("text", CLASS_RE, 1).alias("class_name"))
+        F.regexp_extract("text", CLASS_NAME, 1).alias("class_name"))
     d = (d.join(cls, ["path", "parent_line"], "left")
          .withColumn("class_name", F.when(F.col("is_method"), F.col("class_name"))))
 
@@ -284,7 +325,7 @@ def functions(files: DataFrame) -> DataFrame:
             .select("path", "line_no", "text", F.explode("anc_lines").alias("def_line")))
     calls = (body.select("path", "def_line", F.explode(
         F.regexp_extract_all("text", F.lit(CALL_RE), 1)).alias("call"))
-        .where(~F.col("call").isin(*PY_KEYWORDS)))
+        .where(~F.col("call").isin(*PY_KEYWORDS) & ~F.col("call").startswith(".")))
     lib_re = "|".join(DATA_LIBS)
     call_sets = calls.groupBy("path", "def_line").agg(
         F.array_sort(F.collect_set("call")).alias("calls_made"),
@@ -293,7 +334,8 @@ def functions(files: DataFrame) -> DataFrame:
     strings = (body.select("path", "def_line", "line_no", F.posexplode(
         F.regexp_extract_all("text", F.lit(STRING_RE), 0)).alias("pos", "lit"))
         .select("path", "def_line", "line_no", "pos",
-                F.expr("substring(lit, 2, length(lit) - 2)").alias("s"))
+                F.when(F.col("lit").rlike(f'^(?:{chr(34) * 3}|{chr(39) * 3})'), F.expr("substring(lit, 4, length(lit) - 6)"))
+                .otherwise(F.expr("substring(lit, 2, length(lit) - 2)")).alias("s"))
         .where(F.upper("s").rlike("|".join(SQL_WORDS))))
     sql_sets = strings.groupBy("path", "def_line").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("line_no", "pos", "s"))),
@@ -335,9 +377,8 @@ def classes(files: DataFrame) -> DataFrame:
     """C11: visited classes: (path, name, line_no, bases, attributes, methods)."""
     sl = structured_lines(files)
     cls = sl.where((F.col("kind") == "class") & F.col("visited")).select(
-        "path", "line_no", F.regexp_extract("text", CLASS_RE, 1).alias("name"),
-        F.filter(F.transform(F.split(F.regexp_extract("text", CLASS_RE, 2), ","), _strip),
-                 lambda x: x != "").alias("bases"))
+        "path", "line_no", F.regexp_extract("text", CLASS_NAME, 1).alias("name"),
+        F.filter(_items(_inside(F.regexp_extract("text", CLASS_RE, 1))), lambda x: ~x.rlike(KEYWORD_ITEM)).alias("bases"))
     child = sl.select("path", F.try_element_at(F.col("anc_lines"), F.lit(-1)).alias("line_no"), "kind", "text",
                       F.col("line_no").alias("child_line"))
     attrs = (child.where(F.col("kind") == "stmt")
@@ -349,7 +390,7 @@ def classes(files: DataFrame) -> DataFrame:
              .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("child_line", "targets"))),
                                         lambda x: x["targets"])).alias("attributes")))
     meths = (child.where(F.col("kind") == "def")
-             .select("path", "line_no", "child_line", F.regexp_extract("text", DEF_RE, 1).alias("m"))
+             .select("path", "line_no", "child_line", F.regexp_extract("text", DEF_NAME, 1).alias("m"))
              .groupBy("path", "line_no")
              .agg(F.transform(F.array_sort(F.collect_list(F.struct("child_line", "m"))),
                               lambda x: x["m"]).alias("methods")))
@@ -411,7 +452,7 @@ def module_edges(files: DataFrame) -> DataFrame:
 
 def corpus_report(metrics: DataFrame) -> DataFrame:
     """Per kind with a ROLLUP total: files, lines, LOC, functions,
-    classes, max complexity."""
+    classes, max and average complexity."""
     return (metrics.rollup("kind").agg(
         F.grouping_id("kind").alias("grouping_level"),
         F.count(F.lit(1)).alias("n_files"),
@@ -419,4 +460,12 @@ def corpus_report(metrics: DataFrame) -> DataFrame:
         F.sum("lines_of_code").alias("lines_of_code"),
         F.sum("function_count").alias("function_count"),
         F.sum("class_count").alias("class_count"),
-        F.max("cyclomatic_complexity").alias("max_complexity")))
+        F.max("cyclomatic_complexity").alias("max_complexity"),
+        F.avg("cyclomatic_complexity").alias("avg_complexity")))
+
+
+def most_complex(metrics: DataFrame, k: int) -> DataFrame:
+    """The ``k`` files of highest complexity (ties by path), ranked."""
+    top = (metrics.where(F.col("cyclomatic_complexity").isNotNull()).select("path", "cyclomatic_complexity", "lines_of_code")
+           .orderBy(F.col("cyclomatic_complexity").desc(), "path").limit(k))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("cyclomatic_complexity").desc(), "path")))

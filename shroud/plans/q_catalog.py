@@ -239,6 +239,10 @@ for _part in ["tables", "columns", "relationships", "indexes", "constraints"]:
              "G5 G8 G9 G12 G14 G16 G17 G18 G19 G21 G22 G23 G24 G25")(_cat(_log_flog, _part, infer=False))
 
 
+register("catalog_columns_strict_flog", None, "G19")(
+    lambda spark, sf_dir: replay.replay(_log_flog(spark, sf_dir), strict=True)["columns"])
+
+
 # --- G26 on F-cat -----------------------------------------------------------------
 
 def _fcat_inferred(spark, sf_dir):
@@ -321,29 +325,54 @@ def pii_columns_fdump(spark, sf_dir):
     return pii.pii_columns(cols, "column_name")
 
 
-# --- X10: database-analysis prompt per table (payload: its columns) -----------------
+# --- X10: database-analysis prompt per table (masked, whole analysis) -----------------
+
+_DB_PARTS = {"columns": (_COLS_SQL, lambda spark, d: ddl_columns_fddl(spark, d), ["column_name", "data_type", "nullable", "is_primary_key"], ["seq", "ordinal"]),
+             "constraints": (constraints_sql("f_ddl"), lambda spark, d: ddl_constraints_fddl(spark, d),
+                             ["name", "constraint_type", "columns", "reference_table", "reference_columns"], ["seq", "name"]),
+             "indexes": (_IDX_SQL, lambda spark, d: ddl_indexes_fddl(spark, d), ["name", "columns", "is_unique"], ["seq", "name"])}
+
+
+_JSON_TEXT = {"columns", "reference_columns"}
+
+
+def _field(c: str) -> str:
+    """A payload field; JSON lists stay text, as in the Spark rows."""
+    return f"{c} := CAST({c} AS VARCHAR)" if c in _JSON_TEXT else f"{c} := {c}"
+
 
 def _db_prompt_sql() -> str:
     from ..operators import chat
+    from . import oracle as O
     before, after = chat.TEMPLATES["database"].split("{payload}")
-    payload = ("to_json(struct_pack(table_name := table_name, columns := list(struct_pack("
-               "name := column_name, data_type := data_type, nullable := nullable) ORDER BY ordinal)))")
-    return (f"WITH c AS ({_COLS_SQL}) SELECT script_id, table_name, concat({lit(before)}, {payload}, "
-            f"{lit(after)}) AS prompt FROM c GROUP BY script_id, table_name")
+    ctes, joins, fields = [f"t AS (SELECT DISTINCT script_id, table_name FROM ({_COLS_SQL}) q)"], [], ["table_name := t.table_name"]
+    for part, (sql, _, cols, order) in _DB_PARTS.items():
+        ctes.append(f"p_{part} AS (SELECT script_id, table_name, list(struct_pack({', '.join(_field(x) for x in cols)}) "
+                    f"ORDER BY {', '.join(order)}) AS l FROM ({sql}) q GROUP BY script_id, table_name)")
+        joins.append(f"LEFT JOIN p_{part} ON p_{part}.script_id = t.script_id AND p_{part}.table_name = t.table_name")
+        fields.append(f"{part} := coalesce(p_{part}.l, [])")
+    payload = O.mask_text_sql(f"CAST(to_json(struct_pack({', '.join(fields)})) AS VARCHAR)")
+    return (f"WITH {', '.join(ctes)} SELECT t.script_id, t.table_name, concat({lit(before)}, {payload}, {lit(after)}) AS prompt "
+            f"FROM t {' '.join(joins)}")
 
 
 @register("chat_database_prompt_fddl", _db_prompt_sql(), "X10")
 def chat_database_prompt_fddl(spark, sf_dir):
-    """One prompt per declared table; the payload is bounded by the table's
-    width (its column list), never by the data volume."""
+    """One prompt per declared table: columns, constraints (with references) and
+    indexes, masked before they go into the prompt. The payload is bounded by
+    the table's definition."""
+    from ..functions.masking import mask_text
     from ..operators import chat
-    cols = ddl_columns_fddl(spark, sf_dir)
-    g = cols.groupBy("script_id", "table_name").agg(F.sort_array(F.collect_list(F.struct(
-        "ordinal", F.col("column_name").alias("name"), "data_type", "nullable"))).alias("cs"))
-    payload = F.to_json(F.struct("table_name", F.transform("cs", lambda c: F.struct(
-        c["name"].alias("name"), c["data_type"].alias("data_type"),
-        c["nullable"].alias("nullable"))).alias("columns")))
-    return g.select("script_id", "table_name", chat.render_prompt("database", payload).alias("prompt"))
+    parts = {k: fn(spark, sf_dir) for k, (_, fn, _, _) in _DB_PARTS.items()}
+    out = parts["columns"].select("script_id", "table_name").distinct()
+    for part, (_, _, cols, order) in _DB_PARTS.items():
+        rows = parts[part]
+        item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*cols).alias("v"))
+        lists = rows.groupBy("script_id", "table_name").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias(part))
+        out = out.join(lists, ["script_id", "table_name"], "left").withColumn(part, F.coalesce(part, F.expr(
+            "filter(array(named_struct(" + ", ".join(f"'{c}', cast(null as {dict(rows.dtypes)[c]})" for c in cols) + ")), x -> false)")))
+    payload = F.to_json(F.struct("table_name", *_DB_PARTS), {"ignoreNullFields": "false"})
+    return out.select("script_id", "table_name", chat.render_prompt("database", mask_text(payload)).alias("prompt"))
 
 
 @register("ddl_statements_fviews", f"WITH {stmts_sql('f_views')} SELECT script_id, seq, stmt, kind FROM stk", "G1 G2 G13")

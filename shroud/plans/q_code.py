@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import sql_literal as lit
 from ..operators import codefacts as CF
+from ..operators.ddl import re2
 from ..sources import fixtures as FX
 from .registry import register
 
@@ -41,7 +42,7 @@ SELECT path, kind, CAST(len(ls) AS BIGINT) AS total_lines,
   CASE WHEN kind = 'python' THEN CAST(1 + {_cnt("regexp_matches(l, '^\\s*(if|elif|while|for|async\\s+for|except|with)\\b')")}
     + len(regexp_extract_all(content, '\\S[ \\t]+for[ \\t]'))
     - len(regexp_extract_all(content, 'async[ \\t]+for[ \\t]')) AS BIGINT) END AS cyclomatic_complexity,
-  CAST(NULL AS VARCHAR) AS error
+  CASE WHEN content IS NULL THEN 'unreadable content' END AS error
 FROM k"""
 
 
@@ -81,19 +82,22 @@ def code_sql_fragments_fcode(spark, sf_dir):
 
 
 _IMPORTS_CTES = f"""{_BASE},
-pl AS (SELECT path, line_no, unnest(string_split(regexp_extract(stripped, '^import\\s+(.*)$', 1), ',')) AS item
-       FROM ln WHERE kind = 'python' AND regexp_matches(stripped, '^import\\s')),
-fr AS (SELECT path, line_no,
-              regexp_extract(stripped, '^from\\s+\\.*([\\p{{L}}\\p{{N}}_.]*)\\s+import\\s', 1) AS module,
-              regexp_extract(stripped, '\\simport\\s+(.*)$', 1) AS rest
-       FROM ln WHERE kind = 'python' AND regexp_matches(stripped, '^from\\s+\\.*[\\p{{L}}\\p{{N}}_.]*\\s+import\\s')),
+il AS (SELECT path, unnest(list_filter(list_transform(ls, lambda t, i: struct_pack(n := i, t := CASE
+         WHEN regexp_matches(t, {lit(CF.OPEN_LIST)}) THEN array_to_string(ls[i:], chr(10)) ELSE t END)),
+         lambda x: regexp_matches(x.t, {lit(CF.IMPORT_LINE)}))) AS x FROM k WHERE kind = 'python'),
+is_ AS (SELECT path, x.n AS line_no, regexp_replace(x.t, '#[^\\n]*', '', 'g') AS text FROM il),
+pl AS (SELECT path, line_no, unnest(string_split(regexp_extract(text, {lit(CF.PLAIN_IMPORT)}, 1), ',')) AS item
+       FROM is_ WHERE regexp_matches(text, '^\\s*import\\s')),
+fr AS (SELECT path, line_no, regexp_extract(text, {lit(CF.FROM_IMPORT)}, 1) AS module,
+              concat(regexp_extract(text, {lit(CF.FROM_IMPORT)}, 2), regexp_extract(text, {lit(CF.FROM_IMPORT)}, 3)) AS rest
+       FROM is_ WHERE regexp_matches(text, '^\\s*from\\s+\\.*[\\p{{L}}\\p{{N}}_.]*\\s+import\\b')),
 imp AS (SELECT path, CAST(line_no AS INTEGER) AS line_no, m AS module, [m] AS names,
        nullif(regexp_extract(item, '\\sas\\s+([\\p{{L}}\\p{{N}}_]+)', 1), '') AS alias
-FROM (SELECT *, regexp_extract(item, '^\\s*([\\p{{L}}\\p{{N}}_.]+)', 1) AS m FROM pl)
+FROM (SELECT *, regexp_extract(item, '^\\s*([\\p{{L}}\\p{{N}}_.]+)', 1) AS m FROM pl) WHERE m <> ''
 UNION ALL
 SELECT path, CAST(line_no AS INTEGER), module,
-       list_transform(string_split(regexp_replace(rest, '[()]', '', 'g'), ','),
-                      lambda x: regexp_extract(x, '^\\s*([\\p{{L}}\\p{{N}}_*]+)', 1)),
+       list_filter(list_transform(string_split(rest, ','),
+                      lambda x: regexp_extract(x, '^\\s*([\\p{{L}}\\p{{N}}_*]+)', 1)), lambda x: x <> ''),
        CAST(NULL AS VARCHAR)
 FROM fr WHERE module <> '')"""
 _IMPORTS_SQL = f"WITH {_IMPORTS_CTES} SELECT * FROM imp"
@@ -136,12 +140,21 @@ def code_module_edges_fcode(spark, sf_dir):
 SELECT kind, CAST(GROUPING(kind) AS BIGINT) AS grouping_level, count(*) AS n_files,
        CAST(sum(total_lines) AS BIGINT) AS total_lines, CAST(sum(lines_of_code) AS BIGINT) AS lines_of_code,
        CAST(sum(function_count) AS BIGINT) AS function_count, CAST(sum(class_count) AS BIGINT) AS class_count,
-       max(cyclomatic_complexity) AS max_complexity
+       max(cyclomatic_complexity) AS max_complexity, avg(cyclomatic_complexity) AS avg_complexity
 FROM m GROUP BY ROLLUP (kind)""", "C24")
 def code_corpus_report_fcode(spark, sf_dir):
     return CF.corpus_report(CF.file_metrics(_files(spark, sf_dir)))
 
 
+@register("code_most_complex_fcode", f"""WITH m AS ({_METRICS_SQL})
+SELECT path, cyclomatic_complexity, lines_of_code,
+       CAST(row_number() OVER (ORDER BY cyclomatic_complexity DESC, path) AS INTEGER) AS rank
+FROM m WHERE cyclomatic_complexity IS NOT NULL ORDER BY rank LIMIT 20""", "C24")
+def code_most_complex_fcode(spark, sf_dir):
+    """A top-k report: the limit is the feature."""
+    return CF.most_complex(CF.file_metrics(_files(spark, sf_dir)), 20)
+
+
 # --- block-structure facts: checked against Python's ast in tests ------------------
 
 # Block structure in SQL (valid code without continuation lines, as in F-code):
@@ -168,6 +181,13 @@ bad AS (SELECT DISTINCT a.path, a.line_no FROM anc a
         JOIN par ck ON ck.path = a.path AND ck.line_no = coalesce(c.a_line, a.line_no)
         WHERE ck.lk <> 'def')"""
 
+def _items_sql(pattern: str, text: str) -> str:
+    found = f"regexp_extract({text}, {lit(re2(pattern))}, 1)"
+    inside = f"substr({found}, 2, greatest(length({found}) - 2, 0))"
+    return (f"list_filter(list_transform(regexp_extract_all({inside}, {lit(re2(CF.ARGUMENT))}, 1), "
+            f"lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')")
+
+
 def _functions_sql() -> str:
     kws = ", ".join(lit(k) for k in CF.PY_KEYWORDS)
     libs = "|".join(CF.DATA_LIBS)
@@ -185,11 +205,12 @@ calls AS (SELECT path, def_line, unnest(regexp_extract_all(text, {lit(CF.CALL_RE
 cs AS (SELECT path, def_line, list_sort(list_distinct(list(call))) AS calls_made,
               list_sort(list_distinct(list(call) FILTER (WHERE contains(call, '.')
                                                        AND regexp_matches(call, {lit(libs)})))) AS ops
-       FROM calls WHERE call NOT IN ({kws}) GROUP BY path, def_line),
+       FROM calls WHERE call NOT IN ({kws}) AND NOT starts_with(call, '.') GROUP BY path, def_line),
 lits AS (SELECT path, def_line, line_no, generate_subscripts(m, 1) AS pos, unnest(m) AS lit
-         FROM (SELECT path, def_line, line_no, regexp_extract_all(text, {lit(CF.STRING_RE2)}, 0) AS m FROM body)),
+         FROM (SELECT path, def_line, line_no, regexp_extract_all(text, {lit(re2(CF.STRING_RE))}, 0) AS m FROM body)),
 sq AS (SELECT path, def_line, list(s ORDER BY line_no, pos) AS sql_queries
-       FROM (SELECT *, substr(lit, 2, length(lit) - 2) AS s FROM lits)
+       FROM (SELECT *, CASE WHEN starts_with(lit, repeat(chr(34), 3)) OR starts_with(lit, repeat(chr(39), 3)) THEN substr(lit, 4, length(lit) - 6)
+                     ELSE substr(lit, 2, length(lit) - 2) END AS s FROM lits)
        WHERE regexp_matches(upper(s), {lit(words)}) GROUP BY path, def_line),
 deco AS (SELECT d.path, d.line_no, substr(d.stripped, 2) AS deco,
                 (SELECT min(o.line_no) FROM lg o WHERE o.path = d.path AND o.line_no > d.line_no
@@ -199,7 +220,7 @@ decos AS (SELECT path, owner AS line_no, list(deco ORDER BY line_no) AS decorato
 fc AS (SELECT path, parent AS line_no,
               regexp_matches(arg_min(stripped, line_no), '^[rRuUbBfF]{{0,2}}("|'')') AS has_doc
        FROM par WHERE parent IS NOT NULL GROUP BY path, parent),
-a1 AS (SELECT d.*, list_transform(string_split(regexp_extract(d.text, {lit(CF.DEF_RE)}, 2), ','),
+a1 AS (SELECT d.*, list_transform({_items_sql(CF.DEF_RE, 'd.text')},
                                   lambda x: regexp_extract(x, '^\\s*([\\p{{L}}\\p{{N}}_*/]+)', 1)) AS names
        FROM defs d),
 a2 AS (SELECT *, CASE WHEN list_position(names, '/') IS NOT NULL
@@ -207,11 +228,11 @@ a2 AS (SELECT *, CASE WHEN list_position(names, '/') IS NOT NULL
 a3 AS (SELECT *, list_position(list_transform(after, lambda x: starts_with(x, '*')), true) AS fs FROM a2),
 a4 AS (SELECT *, list_filter(CASE WHEN fs IS NOT NULL THEN after[1:fs - 1] ELSE after END,
                              lambda x: x <> '') AS args FROM a3)
-SELECT d.path, regexp_extract(d.text, {lit(CF.DEF_RE)}, 1) AS name, CAST(d.line_no AS BIGINT) AS line_no,
-       to_json(d.args) AS args, nullif(regexp_extract(d.text, {lit(CF.DEF_RE)}, 3), '') AS returns,
+SELECT d.path, regexp_extract(d.text, {lit(CF.DEF_NAME)}, 1) AS name, CAST(d.line_no AS BIGINT) AS line_no,
+       to_json(d.args) AS args, nullif(regexp_extract(d.text, {lit(re2(CF.DEF_RE))}, 2), '') AS returns,
        to_json(coalesce(decos.decorators, [])) AS decorators,
        coalesce(fc.has_doc, false) AS has_docstring,
-       CASE WHEN pk.lk = 'class' THEN regexp_extract(pk.text, {lit(CF.CLASS_RE)}, 1) END AS class_name,
+       CASE WHEN pk.lk = 'class' THEN regexp_extract(pk.text, {lit(CF.CLASS_NAME)}, 1) END AS class_name,
        coalesce(pk.lk = 'class', false) AS is_method, ca.path IS NULL AS in_functions,
        to_json(coalesce(cs.calls_made, [])) AS calls_made, to_json(coalesce(cs.ops, [])) AS data_operations,
        to_json(coalesce(sq.sql_queries, [])) AS sql_queries
@@ -241,11 +262,10 @@ attrs AS (SELECT c.path, c.parent AS line_no,
                  flatten(list({_ATTR_TARGETS} ORDER BY c.line_no)) AS attributes
           FROM par c WHERE c.lk = 'stmt' GROUP BY c.path, c.parent),
 meths AS (SELECT c.path, c.parent AS line_no,
-                 list(regexp_extract(c.text, {lit(CF.DEF_RE)}, 1) ORDER BY c.line_no) AS methods
+                 list(regexp_extract(c.text, {lit(CF.DEF_NAME)}, 1) ORDER BY c.line_no) AS methods
           FROM par c WHERE c.lk = 'def' GROUP BY c.path, c.parent)
-SELECT cls.path, regexp_extract(cls.text, {lit(CF.CLASS_RE)}, 1) AS name, CAST(cls.line_no AS BIGINT) AS line_no,
-       to_json(list_filter(list_transform(string_split(regexp_extract(cls.text, {lit(CF.CLASS_RE)}, 2), ','),
-           lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')) AS bases,
+SELECT cls.path, regexp_extract(cls.text, {lit(CF.CLASS_NAME)}, 1) AS name, CAST(cls.line_no AS BIGINT) AS line_no,
+       to_json(list_filter({_items_sql(CF.CLASS_RE, 'cls.text')}, lambda x: NOT regexp_matches(x, {lit(CF.KEYWORD_ITEM)}))) AS bases,
        to_json(coalesce(attrs.attributes, [])) AS attributes,
        to_json(coalesce(meths.methods, [])) AS methods
 FROM cls LEFT JOIN attrs ON attrs.path = cls.path AND attrs.line_no = cls.line_no
@@ -305,23 +325,108 @@ def code_metrics_json_roundtrip(spark, sf_dir):
     return CF.file_metrics(back)
 
 
-# --- X11: code-analysis prompt per file ---------------------------------------------
+# --- X11: code-analysis prompt per file (masked, whole analysis) ---------------------
+
+_JSON = {"ignoreNullFields": "false"}
+# part of the payload -> (query, its fields, their order)
+_PARTS = {"functions": ("code_functions_fcode", ["name", "line_no", "args", "calls_made"], ["line_no", "name"]),
+          "classes": ("code_classes_fcode", ["name", "line_no", "bases", "methods"], ["line_no", "name"]),
+          "imports": ("code_imports_fcode", ["line_no", "module", "names"], ["line_no", "module"]),
+          "sql": ("code_sql_fragments_fcode", ["line_no", "query_type", "table_name", "query"], ["line_no", "pattern_no", "match_no"]),
+          "operations": ("code_assignments_fcode", ["line_no", "data_op_method"], ["line_no", "context"])}
+_METRIC_FIELDS = ["path", "kind", "total_lines", "lines_of_code", "function_count", "class_count", "import_count",
+                  "cyclomatic_complexity", "error"]
+
+
+_JSON_TEXT = {"args", "calls_made", "bases", "methods", "names"}
+
+
+def _field(c: str) -> str:
+    """A payload field; JSON lists stay text, as in the Spark rows."""
+    return f"{c} := CAST({c} AS VARCHAR)" if c in _JSON_TEXT else f"{c} := {c}"
+
 
 def _code_prompt_sql() -> str:
     from ..operators import chat
+    from . import oracle as O
+    from .registry import REGISTRY
     before, after = chat.TEMPLATES["code"].split("{payload}")
-    payload = ("to_json(struct_pack(path := path, kind := kind, total_lines := total_lines, "
-               "lines_of_code := lines_of_code, function_count := function_count, "
-               "class_count := class_count, import_count := import_count, "
-               "cyclomatic_complexity := cyclomatic_complexity))")
-    return (f"WITH m AS ({_METRICS_SQL}) SELECT path, concat({lit(before)}, {payload}, {lit(after)}) "
-            f"AS prompt FROM m WHERE kind = 'python'")
+    ctes, joins, fields = [f"m AS ({_METRICS_SQL})"], [], [f"{f} := m.{f}" for f in _METRIC_FIELDS]
+    for part, (name, cols, order) in _PARTS.items():
+        where = " WHERE is_data_op" if part == "operations" else ""
+        ctes.append(f"p_{part} AS (SELECT path, list(struct_pack({', '.join(_field(c) for c in cols)}) "
+                    f"ORDER BY {', '.join(order)}) AS l FROM ({REGISTRY[name].sql}) q{where} GROUP BY path)")
+        joins.append(f"LEFT JOIN p_{part} ON p_{part}.path = m.path")
+        fields.append(f"{part} := coalesce(p_{part}.l, [])")
+    payload = O.mask_text_sql(f"CAST(to_json(struct_pack({', '.join(fields)})) AS VARCHAR)")
+    return (f"WITH {', '.join(ctes)} SELECT m.path, concat({lit(before)}, {payload}, {lit(after)}) AS prompt "
+            f"FROM m {' '.join(joins)}")
 
 
 @register("chat_code_prompt_fcode", _code_prompt_sql(), "X11")
 def chat_code_prompt_fcode(spark, sf_dir):
+    """One prompt per file of any kind; the whole analysis is masked before it
+    goes into the prompt. The lists are bounded by the file they come from."""
+    from ..functions.masking import mask_text
     from ..operators import chat
-    m = CF.file_metrics(_files(spark, sf_dir)).where(F.col("kind") == "python")
-    payload = F.to_json(F.struct("path", "kind", "total_lines", "lines_of_code", "function_count",
-                                 "class_count", "import_count", "cyclomatic_complexity"))
-    return m.select("path", chat.render_prompt("code", payload).alias("prompt"))
+    from .registry import REGISTRY
+    out = CF.file_metrics(_files(spark, sf_dir)).select(*_METRIC_FIELDS)
+    for part, (name, cols, order) in _PARTS.items():
+        rows = REGISTRY[name].fn(spark, sf_dir)
+        if part == "operations":
+            rows = rows.where("is_data_op")
+        item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*cols).alias("v"))
+        lists = rows.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias(part))
+        out = out.join(lists, "path", "left").withColumn(part, F.coalesce(part, F.expr("filter(array(named_struct(" + ", ".join(
+            f"'{c}', cast(null as {dict(rows.dtypes)[c]})" for c in cols) + ")), x -> false)")))
+    payload = F.to_json(F.struct(*_METRIC_FIELDS, *_PARTS), _JSON)
+    return out.select("path", chat.render_prompt("code", mask_text(payload)).alias("prompt"))
+
+
+# --- S1, S2: directories of text files ---------------------------------------------
+
+def _folder(spark, name):
+    import uuid
+
+    from ..session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/text/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def _written(spark, rows, ext, folder):
+    """One text file per row, named by its id, in a folder per id."""
+    (rows.select("content", F.col("id").cast("string").alias("id")).repartition("id")
+     .write.partitionBy("id").option("lineSep", "\n").text(f"{folder}/{ext}"))
+
+
+@register("sources_ddl_scripts", """SELECT CAST(c_custkey % 50 AS VARCHAR) AS id, count(*) AS n_create, count(DISTINCT c_nationkey) AS n_tables
+FROM customer GROUP BY 1""", "S1 G1 G2")
+def sources_ddl_scripts(spark, sf_dir):
+    """Scripts written as text files to the shared folder and read back whole:
+    one CREATE TABLE per customer, 50 scripts."""
+    from ..operators import ddl
+    from ..sources import tables as T
+    cust = T.table(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("id"), F.concat(
+        F.lit("CREATE TABLE n"), F.col("c_nationkey").cast("string"), F.lit(" (id INT, note TEXT DEFAULT 'a;b');")).alias("content"))
+    folder = _folder(spark, "ddl")
+    _written(spark, cust, "scripts", folder)
+    read = T.text_corpus(spark, f"{folder}/scripts", "*.txt")
+    st = ddl.split_statements(read.select(F.regexp_extract("path", "id=([0-9]+)/", 1).alias("script_id"), "content"))
+    return (st.where(ddl.classify(F.col("stmt")) == "create_table")
+            .groupBy(F.col("script_id").alias("id")).agg(F.count(F.lit(1)).alias("n_create"),
+                                                         F.countDistinct(F.regexp_extract("stmt", ddl._CT, 1)).alias("n_tables")))
+
+
+@register("sources_code_files", f"""WITH {_BASE}
+SELECT CAST(p AS VARCHAR) AS id, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(length(t)) AS BIGINT) AS n_chars
+FROM (SELECT regexp_extract(path, 'm([0-9]+)\\.', 1) AS p, unnest(ls) AS t FROM k WHERE content IS NOT NULL) GROUP BY p""", "S2 S6")
+def sources_code_files(spark, sf_dir):
+    """F-code written as text files, one per document, and read back whole."""
+    from ..sources import tables as T
+    files = _files(spark, sf_dir).where("content is not null")
+    rows = files.select(F.regexp_extract("path", r"m([0-9]+)\.", 1).alias("id"), "content")
+    folder = _folder(spark, "code")
+    _written(spark, rows, "files", folder)
+    read = T.text_corpus(spark, f"{folder}/files", "*.txt").select(
+        F.regexp_extract("path", "id=([0-9]+)/", 1).alias("id"), F.split(F.regexp_replace("content", "\n$", ""), "\n", -1).alias("ls"))
+    return read.select("id", F.size("ls").cast("long").alias("n_lines"), F.aggregate(
+        "ls", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))

@@ -14,8 +14,17 @@ F_TEXT = """select doc_id, source, lang, concat(text, ' ssn ', lpad(cast(doc_id
 
 F_CHAT = """select conv_id, turn, role, concat(text, case when turn % 2 = 0 then concat(' token=', cast(conv_id as string), '.x') else '' end, case when conv_id % 3 = 0 then ' 10.0.0.1' else '' end) as content, case when conv_id % 4 = 0 then cast(null as double) else (conv_id % 10) / 10.0 end as temperature from conversations"""
 
-F_CODE = """select concat('src/', source, '/m', cast(doc_id as string), case when doc_id % 5 = 0 then '.sql' when doc_id % 7 = 0 then '.js' else '.py' end) as path,
- concat_ws(chr(10), concat('# ', lang, ' module'), 'import pandas as pd, os.path', concat('from ', source, '.m', cast((doc_id * 7) % 1000 as string), ' import load, save'), '', concat('class C', cast(doc_id as string), '(Base):'), '    limit = 1', '    def run(self, n):', '        return n', concat('def f', cast(doc_id as string), '(a, b=1):'), concat('    df = pd.read_csv(', chr(34), source, chr(34), ')'), concat('    q = ', chr(34), 'SELECT a, b FROM ', source, ' WHERE n > 1', chr(34)), '    if a:', '        cur.execute(q)', '    elif b:', concat('        cur.execute(', chr(34), 'DELETE FROM ', lang, chr(34), ')'), '    return [x for x in df]') as content from documents"""
+_LINE = "replace(replace(replace(replace(replace(text, chr(10), ' '), chr(34), ''), chr(39), ''), chr(92), ''), '=', ' ')"
+F_CODE = f"""select concat('src/p', cast(doc_id % 10 as string), '/m', cast(doc_id as string), case when doc_id % 5 = 0 then '.sql' when doc_id % 7 = 0 then '.js' else '.py' end) as path,
+ case when doc_id % 13 = 0 then cast(null as string) else concat_ws(chr(10), concat('# ', lang, ' module: ', {_LINE}), concat('import pandas as pd, os.path', case when doc_id % 3 = 0 then '  # for, tables' else '' end),
+ concat('from p', cast((doc_id * 7) % 200 % 10 as string), '.m', cast((doc_id * 7) % 200 as string), ' import load, save'),
+ case when doc_id % 4 = 1 then 'from typing import (' end, case when doc_id % 4 = 1 then '    Any,  # of, all' end, case when doc_id % 4 = 1 then '    Dict)' end, '',
+ concat('class C', cast(doc_id as string), case when doc_id % 3 = 0 then '(Base, Generic[T, U], metaclass=Meta):' else '(Base):' end), case when doc_id % 6 = 2 then '    {chr(34) * 3}Rows.{chr(34) * 3}' end, '    limit = 1',
+ case when doc_id % 4 = 0 then '    @property' end, '    def run(self, n, *rest, key=None):', case when doc_id % 6 = 1 then '        {chr(34) * 3}Runs it.{chr(34) * 3}' end, '        return n',
+ case when doc_id % 2 = 0 then concat('@app.route(', chr(34), '/x/', source, chr(34), ')') end,
+ concat('def f', cast(doc_id as string), case when doc_id % 3 = 1 then '(a: Dict[str, int], b=(1, 2), *, c: str = None) -> Dict[str, int]:' else '(a, b=1):' end), case when doc_id % 4 = 3 then '    {chr(34) * 3}Reads and deletes.{chr(34) * 3}' end,
+ concat('    df = pd.read_csv(', chr(34), source, chr(34), ')'), concat('    q = ', chr(34), 'SELECT a, b FROM ', source, ' WHERE n > 1 ', {_LINE}, chr(34)), '    if a:', '        cur.execute(q)', '    elif b:', concat('        cur.execute(', chr(34), 'DELETE FROM ', lang, chr(34), ')'),
+ '    x = load(q).head(3)', '    return [x for x in df]') end as content from documents"""
 
 F_DDL = """select cast(c_custkey as string) as script_id, concat('CREATE TABLE ent', cast(c_custkey as string), ' (id BIGINT PRIMARY KEY, name VARCHAR(', cast(20 + c_nationkey as string), ') NOT NULL DEFAULT ', chr(39), 'a;b', chr(39), ', amt DECIMAL(10,2), grp_id INT, CONSTRAINT ck CHECK (amt > 0)); CREATE TABLE grp (id INT PRIMARY KEY, label TEXT);', chr(10), 'CREATE UNIQUE INDEX ix ON ent', cast(c_custkey as string), ' (name); ALTER TABLE ent', cast(c_custkey as string), ' ADD COLUMN note TEXT; ', case when c_custkey % 7 = 0 then 'DROP TABLE grp;' else 'TRUNCATE TABLE grp' end) as content from customer"""
 
