@@ -50,12 +50,19 @@ SHAPE = (r"(?i)^\s*([A-Za-z]+)\s*(?:\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\))?"
 
 
 def normalize_type(raw: Column) -> Column:
-    """Declared type text -> normalised type (Spark Column)."""
-    ok = raw.rlike(SHAPE)
-    base = F.upper(F.regexp_extract(raw, SHAPE, 1))
-    p = F.regexp_extract(raw, SHAPE, 2)
-    s = F.regexp_extract(raw, SHAPE, 3)
-    z = F.regexp_extract(raw, SHAPE, 4) != ""
+    """Declared type text -> normalised type (Spark Column).
+
+    The text and its parse are bound as lambda variables, so each is computed
+    once however many rules look at them."""
+    parsed = F.transform(F.transform(F.array(raw), lambda r: F.struct(
+        r.alias("raw"), r.rlike(SHAPE).alias("ok"), F.upper(F.regexp_extract(r, SHAPE, 1)).alias("base"),
+        F.regexp_extract(r, SHAPE, 2).alias("p"), F.regexp_extract(r, SHAPE, 3).alias("s"),
+        (F.regexp_extract(r, SHAPE, 4) != "").alias("z"))), lambda x: _normalized(x))
+    return F.get(parsed, F.lit(0))
+
+
+def _normalized(x: Column) -> Column:
+    base, p, s, z = x["base"], x["p"], x["s"], x["z"]
     parts = {"p": p, "s": s}
 
     def render(tmpl) -> Column:
@@ -83,7 +90,7 @@ def normalize_type(raw: Column) -> Column:
     out = F.lit(UNKNOWN)
     for name, (shape, tmpl) in reversed(list(RULES.items())):
         out = F.when((base == name) & allowed(shape), render(tmpl)).otherwise(out)
-    return F.when(raw.isNull(), F.lit(None)).when(~ok, F.lit(UNKNOWN)).otherwise(out)
+    return F.when(x["raw"].isNull(), F.lit(None)).when(~x["ok"], F.lit(UNKNOWN)).otherwise(out)
 
 
 def normalize_type_sql(raw: str) -> str:

@@ -70,6 +70,62 @@ def key_audit(load: TableLoader, constraints: list[Constraint]) -> DataFrame:
     return _reduce_union(out)
 
 
+def _key_text(cols: list[str]):
+    """A key's parts as text, joined by ``|`` (NULL parts as ``null``)."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols])
+
+
+def key_violations(load: TableLoader, constraints: list[Constraint]) -> DataFrame:
+    """Q1 rows: the keys that break a PK or UNIQUE constraint, with their rows:
+    (table_name, constraint_name, key, reason duplicate | null, n_rows)."""
+    out = []
+    for c in constraints:
+        if c.kind not in ("PRIMARY KEY", "UNIQUE"):
+            continue
+        g = load(c.table).groupBy(*c.columns).agg(F.count(F.lit(1)).alias("n_rows"))
+        null_key = F.lit(False)
+        for k in c.columns:
+            null_key = null_key | F.col(k).isNull()
+        reason = F.when(null_key, F.lit("null") if c.kind == "PRIMARY KEY" else None).when(F.col("n_rows") > 1, "duplicate")
+        out.append(g.withColumn("reason", reason).where("reason is not null").select(
+            F.lit(c.table).alias("table_name"), F.lit(c.name).alias("constraint_name"), _key_text(c.columns).alias("key"), "reason", "n_rows"))
+    return _reduce_union(out)
+
+
+def reference_violations(load: TableLoader, constraints: list[Constraint]) -> DataFrame:
+    """Q3 rows: the orphan keys of each FK with their child rows:
+    (table_name, constraint_name, ref_table, key, n_rows)."""
+    out = []
+    for c in constraints:
+        if c.kind != "FOREIGN KEY":
+            continue
+        whole = F.lit(True)
+        for k in c.columns:
+            whole = whole & F.col(k).isNotNull()
+        keys = load(c.table).where(whole).groupBy(*c.columns).agg(F.count(F.lit(1)).alias("n_rows"))
+        parent = load(c.ref_table).select(*[F.col(p).alias(k) for p, k in zip(c.ref_columns, c.columns)])
+        out.append(keys.join(parent, c.columns, "left_anti").select(
+            F.lit(c.table).alias("table_name"), F.lit(c.name).alias("constraint_name"), F.lit(c.ref_table).alias("ref_table"),
+            _key_text(c.columns).alias("key"), "n_rows"))
+    return _reduce_union(out)
+
+
+def check_violations(load: TableLoader, constraints: list[Constraint], keys: dict[str, list[str]]) -> DataFrame:
+    """Q4 rows: the keys of the rows where a CHECK is FALSE: (table_name,
+    constraint_name, key). ``keys`` names each table's identifying columns; all
+    predicates of a table are tested in one scan."""
+    by_table: dict[str, list[Constraint]] = {}
+    for c in constraints:
+        if c.kind == "CHECK":
+            by_table.setdefault(c.table, []).append(c)
+    out = []
+    for tname, cs in by_table.items():
+        failed = F.filter(F.array(*[F.when(~F.expr(c.predicate), F.lit(c.name)) for c in cs]), lambda x: x.isNotNull())
+        out.append(load(tname).select(F.lit(tname).alias("table_name"), F.explode(failed).alias("constraint_name"),
+                                      _key_text(keys[tname]).alias("key")))
+    return _reduce_union(out)
+
+
 def not_null_audit(load: TableLoader, constraints: list[Constraint]) -> DataFrame:
     """Q2: NULL count per declared non-nullable column; one scan per table."""
     by_table: dict[str, list[str]] = {}

@@ -99,7 +99,6 @@ def chain_from_roots(roots: DataFrame, jumps: DataFrame) -> DataFrame:
     spark = roots.sparkSession
     checkpoint_dir(spark)
     reached = roots.select("id").checkpoint()
-    n_reached = reached.count()
     # Only roots and successors of some id can be on a chain, and that set is
     # closed under the successor function: restrict the jump table to it.
     cand = roots.select("id").unionByName(
@@ -107,12 +106,10 @@ def chain_from_roots(roots: DataFrame, jumps: DataFrame) -> DataFrame:
     jump = jumps.where(F.col("nxt").isNotNull()).join(cand, "id", "left_semi").checkpoint()
     while True:
         # positions 2^k .. 2^(k+1)-1 of every chain (disjoint from ``reached``)
-        new = reached.join(jump, "id").select(F.col("nxt").alias("id"))
-        grown = reached.unionByName(new).checkpoint()
-        n_grown = grown.count()
-        if n_grown == n_reached:
+        new = reached.join(jump, "id").select(F.col("nxt").alias("id")).checkpoint()
+        if new.isEmpty():
             return reached
-        reached, n_reached = grown, n_grown
+        reached = reached.unionByName(new)  # of tables already written: one more each round
         j2 = jump.alias("a").join(jump.alias("b"), F.col("a.nxt") == F.col("b.id"))
         jump = j2.select(F.col("a.id").alias("id"), F.col("b.nxt").alias("nxt")).checkpoint()
 
@@ -126,7 +123,8 @@ def admission(requests: DataFrame, key: str = "key", ts: str = "ts", id_col: str
     checkpoint_dir(requests.sparkSession)
     ev = requests.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(ts).alias("ts"),
                          epoch_micros(requests, ts).alias("t"))
-    ev = ev.withColumn("b", F.floor(F.col("t") / d))
+    # read by every step below: computed once. The bucket is floor(t / d) in whole numbers
+    ev = ev.withColumn("b", F.expr(f"(t - pmod(t, {d}L)) div {d}L")).checkpoint()
     ptr = next_pointers(ev.select("key", "t", "id", "b"), d).checkpoint()
     # heads split each key into independent dense segments; a chain stops at
     # the next head (which is a root itself)

@@ -72,7 +72,7 @@ class _TableState:
     def apply(self, r) -> None:
         op, key = r.op, (int(r.seq), int(r.sub))
         if op in _PASS_THROUGH:
-            self.passed.append((_PASS_THROUGH[op], key, op, r.column_name, r.value))
+            self.passed.append(self._record(_PASS_THROUGH[op], key, op=op, column_name=r.column_name, value=r.value))
         if self.table is None:          # CREATE SCHEMA rows: nothing else to do
             return
         cols = self.cols
@@ -155,15 +155,21 @@ class _TableState:
                         c["default"] = None
                     break
 
+    def _record(self, kind, k, **kw) -> dict:
+        return {f.name: None for f in FOLD_SCHEMA.fields} | dict(
+            rec=kind, script_id=self.script, table_name=self.table, k_seq=k[0], k_sub=k[1],
+            k_i=k[2] if len(k) > 2 else 0) | kw
+
+    def drain(self) -> list[dict]:
+        """Changes for the cross-table steps: handed on at once, not kept."""
+        out, self.passed = self.passed, []
+        return out
+
     def records(self) -> list[dict]:
-        base = {f.name: None for f in FOLD_SCHEMA.fields}
         out = []
 
         def rec(kind, k, **kw):
-            d = dict(base, rec=kind, script_id=self.script, table_name=self.table,
-                     k_seq=k[0], k_sub=k[1], k_i=k[2] if len(k) > 2 else 0)
-            d.update(kw)
-            out.append(d)
+            out.append(self._record(kind, k, **kw))
 
         for t in self.trows:
             rec("table", t["k"], name=self.table, table_type=t["type"], estimated_rows=t["est"])
@@ -178,8 +184,6 @@ class _TableState:
                 reference_table=c["ref_table"], reference_columns=c["ref_columns"])
         for e in self.edges:
             rec("edge", e["k"], name=e["from"], to_table=e["to_table"], to_column=e["to"])
-        for kind, k, op, column, value in self.passed:
-            rec(kind, k, op=op, column_name=column, value=value)
         return out
 
 
@@ -204,6 +208,9 @@ class _FarEndState:
                 if e["to_column"] == r.column_name:
                     e["to_column"] = r.value
 
+    def drain(self) -> list[dict]:
+        return []
+
     def records(self) -> list[dict]:
         return self.live
 
@@ -211,7 +218,7 @@ class _FarEndState:
 def _streaming_fold(state_cls, schema: T.StructType, strict: bool = False):
     """mapInPandas body: rows arrive sorted by (script_id, table_name, order);
     one state object lives per key and is flushed when the key changes, so
-    memory holds one table's catalog, never a whole key's history."""
+    memory holds one table's catalog and one batch's output."""
     names = schema.fieldNames()
 
     def run(batches):
@@ -225,6 +232,7 @@ def _streaming_fold(state_cls, schema: T.StructType, strict: bool = False):
                         out.extend(cur.records())
                     cur, cur_key = state_cls(r.script_id, r.table_name, strict), key
                 cur.apply(r)
+                out.extend(cur.drain())
             if out:
                 yield pd.DataFrame(out, columns=names)
         if cur is not None:

@@ -10,7 +10,7 @@ from functools import partial
 
 from ..operators import audit as A
 from ..operators.audit import Constraint as C
-from ..sources.tables import TABLES, table
+from ..sources.tables import TABLES, schema_catalog, table
 from .registry import register
 
 STAR = [
@@ -147,5 +147,56 @@ register("audit_checks", _check_sql(), "Q4")(
     lambda spark, sf_dir: A.check_audit(_loader(spark, sf_dir), STAR))
 register("audit_fk_evidence", _evidence_sql(), "Q5")(
     lambda spark, sf_dir: A.fk_evidence(_loader(spark, sf_dir), [c for c in STAR if c.kind == "FOREIGN KEY"]))
-register("audit_table_sizes", _sizes_sql(), "Q7 S7")(
+register("audit_table_sizes", _sizes_sql(), "Q7")(
     lambda spark, sf_dir: A.table_sizes(_loader(spark, sf_dir), TABLES))
+
+
+# --- violating rows: orders with planted duplicates, orphans, NULLs and bad prices -------
+
+_BAD = [C("aud", "pk_aud", "PRIMARY KEY", ["id"]), C("aud", "uq_aud", "UNIQUE", ["id", "cust"]),
+        C("aud", "fk_aud", "FOREIGN KEY", ["cust"], "customer", ["c_custkey"]),
+        C("aud", "ck_price", "CHECK", ["price"], predicate="price >= 0"), C("aud", "ck_cust", "CHECK", ["cust"], predicate="cust < 1000000000")]
+_BAD_KEYS = {"aud": ["id", "price"]}
+_AUD = """SELECT CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 40 = 0 THEN o_orderkey - 1 ELSE o_orderkey END AS id,
+       CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 19 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END AS cust,
+       CASE WHEN o_orderkey % 23 = 0 THEN -1 WHEN o_orderkey % 29 = 0 THEN NULL ELSE o_orderkey % 1000 END AS price FROM {orders}"""
+
+
+def _bad_loader(spark, sf_dir):
+    def load(name):
+        if name == "aud":
+            return spark.sql(_AUD, orders=table(spark, sf_dir, "orders"))
+        return table(spark, sf_dir, name)
+    return load
+
+
+_AUD_SQL = f"WITH aud AS ({_AUD.format(orders='orders')})"
+
+
+def _text(*cols):
+    return "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'null')" for c in cols) + ")"
+
+
+register("audit_key_violations", f"""{_AUD_SQL}
+SELECT 'aud' AS table_name, 'pk_aud' AS constraint_name, {_text('id')} AS key, CASE WHEN id IS NULL THEN 'null' ELSE 'duplicate' END AS reason, count(*) AS n_rows
+FROM aud GROUP BY id HAVING id IS NULL OR count(*) > 1
+UNION ALL
+SELECT 'aud', 'uq_aud', {_text('id', 'cust')}, 'duplicate', count(*) FROM aud WHERE id IS NOT NULL AND cust IS NOT NULL GROUP BY id, cust HAVING count(*) > 1""", "Q1")(
+    lambda spark, sf_dir: A.key_violations(_bad_loader(spark, sf_dir), _BAD))
+register("audit_reference_violations", f"""{_AUD_SQL}
+SELECT 'aud' AS table_name, 'fk_aud' AS constraint_name, 'customer' AS ref_table, {_text('cust')} AS key, count(*) AS n_rows
+FROM aud WHERE cust IS NOT NULL AND cust NOT IN (SELECT c_custkey FROM customer) GROUP BY cust""", "Q3")(
+    lambda spark, sf_dir: A.reference_violations(_bad_loader(spark, sf_dir), _BAD))
+register("audit_check_violations", f"""{_AUD_SQL}
+SELECT 'aud' AS table_name, 'ck_price' AS constraint_name, {_text('id', 'price')} AS key FROM aud WHERE NOT price >= 0
+UNION ALL SELECT 'aud', 'ck_cust', {_text('id', 'price')} FROM aud WHERE NOT cust < 1000000000""", "Q4")(
+    lambda spark, sf_dir: A.check_violations(_bad_loader(spark, sf_dir), _BAD, _BAD_KEYS))
+
+
+# --- S7: the tables' own schemas as a catalog, matched with what the data hold ------------
+
+register("schema_catalog_columns", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, column_name AS name, CAST(row_number() OVER () AS INTEGER) AS ordinal, "
+    f"(SELECT count(*) FROM {t}) AS n_rows FROM (DESCRIBE {t})" for t in TABLES), "S7 Q7")(
+    lambda spark, sf_dir: schema_catalog(spark, sf_dir).select("table_name", "name", "ordinal").join(
+        A.table_sizes(_loader(spark, sf_dir), TABLES), "table_name"))

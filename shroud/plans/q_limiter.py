@@ -46,4 +46,6 @@ def _query(duration_seconds: int, points: int = limiter.POINTS):
 
 
 register("admission_events_60s", _oracle(60, 10), "X6")(_query(60))
+# a budget of one request a window, so that requests are rejected
+register("admission_events_60s_1point", _oracle(60, 1), "X6")(_query(60, points=1))
 register("admission_events_7d", _oracle(7 * 86400, 10), "X6")(_query(7 * 86400))

@@ -4,6 +4,8 @@ checkpoint folder; the query returns the sink as a DataFrame."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import limiter
@@ -24,7 +26,7 @@ def _file_stream(spark, sf_dir, name, cols):
           f"SELECT doc_id, {O.mask_text_sql('text')} AS text FROM documents", "M14")
 def mask_stream_documents(spark, sf_dir):
     src = _file_stream(spark, sf_dir, "documents", ["doc_id", "text"])
-    out, ckpt = S.stream_location(spark, "mask_documents")
+    out, ckpt = S.stream_location(spark, f"mask_documents-{uuid.uuid4().hex}")
     par = spark.sparkContext.defaultParallelism
     S.run_available_now(S.mask_stream(src, "doc_id", ["text"], partitions=par), out, ckpt)
     return spark.read.parquet(out)
@@ -32,10 +34,26 @@ def mask_stream_documents(spark, sf_dir):
 
 @register("admission_stream_events_7d", admission_oracle(7 * 86400, limiter.POINTS), "X7")
 def admission_stream_events_7d(spark, sf_dir):
-    src = _file_stream(spark, sf_dir, "events", ["user_id", "event_id", "ts"])
-    res = S.admission_stream(src, "user_id", "ts", "event_id", limiter.POINTS, 7 * 86400)
-    out, ckpt = S.stream_location(spark, "admission_events")
-    S.run_available_now(res, out, ckpt)
-    r = spark.read.parquet(out)
+    """The events as four files in the order of time, one micro-batch each: state
+    is carried from batch to batch and the query is stopped and resumed."""
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    name = f"admission_events-{uuid.uuid4().hex}"
+    folder = S.stream_location(spark, name)[0] + "-in"
+    lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [None, *(lo + (hi - lo) * k / 4 for k in (1, 2, 3)), None]
+    for k in range(4):
+        part = ev if cuts[k] is None else ev.where(F.col("ts") >= F.lit(cuts[k]))
+        part = part if cuts[k + 1] is None else part.where(F.col("ts") < F.lit(cuts[k + 1]))
+        part.coalesce(1).write.mode("append").parquet(folder)
+        if k == 1:
+            _admit(spark, folder, ev.schema, name)
+    _admit(spark, folder, ev.schema, name)
+    r = spark.read.parquet(S.stream_location(spark, name)[0])
     return r.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"),
                     "ts_us", "window_start_us", "n", "admitted")
+
+
+def _admit(spark, folder, schema, name):
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    res = S.admission_stream(src, "user_id", "ts", "event_id", limiter.POINTS, 7 * 86400)
+    S.run_available_now(res, *S.stream_location(spark, name))

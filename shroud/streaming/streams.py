@@ -8,7 +8,6 @@ resumes from its offsets and state after executor or driver loss.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,9 +22,9 @@ from ..session import checkpoint_dir, ship_package
 
 
 def stream_location(spark: SparkSession, name: str) -> tuple[str, str]:
-    """(output path, checkpoint path) for a stream, under the shared folder."""
-    base = checkpoint_dir(spark).rstrip("/")
-    run = f"{base}/streams/{name}-{uuid.uuid4().hex[:8]}"
+    """(output path, checkpoint path) for a stream, under the shared folder.
+    The name is the stream's identity: started again under it, it resumes."""
+    run = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     return f"{run}/out", f"{run}/checkpoint"
 
 
