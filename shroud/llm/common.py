@@ -16,7 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 __all__ = ["WORD", "SPACE", "fresh", "held", "run_folder", "save", "ship_package", "text_or_empty", "open_folder",
-           "row_budget", "PieceTokenizer", "tokenizer", "words_of"]
+           "row_budget", "PieceTokenizer", "tokenizer",
+           "words_of", "span_hashes", "mix", "byte_values"]
 
 
 def text_or_empty(col: str = "text") -> Column:
@@ -86,9 +87,121 @@ def row_budget(rows, sizes, budget: int):
         yield out
 
 
+# ------------------------------------------------------------ word hashes
+_MULTIPLIER, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_POWERS: list = []
+
+
+def _powers(n: int):
+    """Powers 0 .. n-1 (at least) of the multiplier and of its inverse."""
+    import numpy as np
+
+    if not _POWERS or len(_POWERS[0]) < n:
+        block, out = 1 << 16, []
+        for base in (_MULTIPLIER, _INVERSE):
+            p = np.full(block, base, np.uint64)
+            p[0] = 1
+            p = np.multiply.accumulate(p)
+            heads = np.array([pow(base, block * i, 1 << 64) for i in range(-(-n // block))], np.uint64)
+            out.append((heads[:, None] * p[None, :]).ravel())
+        _POWERS[:] = out
+    return _POWERS
+
+
+def span_hashes(raw, start, end, value):
+    """64-bit hashes of the byte spans ``raw[start:end]`` (numpy arrays), as
+    differences of one running polynomial sum; ``value`` maps bytes to odd
+    random numbers. Some 30 bytes of memory per byte of ``raw``."""
+    import numpy as np
+
+    up, down = _powers(len(raw))
+    run = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(value[raw] * up[:len(raw)], out=run[1:])
+    h = (run[end] - run[start]) * down[start]
+    return mix(h ^ (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def mix(h):
+    """Finaliser of a 64-bit hash (wraps)."""
+    import numpy as np
+
+    h = h ^ (h >> np.uint64(32))
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    h = h ^ (h >> np.uint64(32))
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def byte_values(seed: int):
+    import numpy as np
+
+    return np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
+
+
 # ------------------------------------------------------------- token ids
 _TWO_SPACES = re.compile(r"\s\s")
 _BEFORE_WORD = re.compile(r"(?= \S)")
+_ODD = re.compile(r"[\s\x00-\x1f]")
+
+
+def _odd(word: str) -> bool:
+    """White space or control signs anywhere but as the space before the word."""
+    return _ODD.search(word, 1 if word[:1] == " " else 0) is not None
+
+
+class _IdCache:
+    """Piece hash -> ids, as arrays (some 40 bytes a piece): sorted hashes, with
+    place and number of ids in a pool. New pieces gather in a small part that is
+    merged into the large one as it grows; a full cache takes no more."""
+
+    def __init__(self, most: int):
+        import numpy as np
+
+        self.most = most
+        self.pool = np.empty(1 << 12, "<u4")
+        self.used = 0
+        empty = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        self.parts = [empty, empty]
+
+    def __len__(self) -> int:
+        return sum(len(p[0]) for p in self.parts)
+
+    def find(self, keys):
+        """Place and number of ids of each key; number -1 where it is unknown."""
+        import numpy as np
+
+        at, n = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        for known, places, counts in self.parts:
+            if len(known):
+                i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[i] == keys
+                at[hit], n[hit] = places[i[hit]], counts[i[hit]]
+        return at, n
+
+    def add(self, keys, counts, data) -> None:
+        import numpy as np
+
+        room = max(0, self.most - len(self))
+        keys, counts = keys[:room], counts[:room]
+        if not len(keys):
+            return
+        data = data[:counts.sum()]
+        places = self.used + np.concatenate([[0], np.cumsum(counts)[:-1]])
+        while self.used + len(data) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        self.pool[self.used:self.used + len(data)] = data
+        self.used += len(data)
+
+        def merged(*parts):
+            k, p, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(k)
+            return k[order], p[order], c[order]
+
+        large, small = self.parts
+        small = merged(small, (keys, places, counts))
+        if 4 * len(small[0]) > len(large[0]):
+            large, small = merged(large, small), tuple(x[:0] for x in small)
+        self.parts = [large, small]
 
 
 class PieceTokenizer:
@@ -105,65 +218,169 @@ class PieceTokenizer:
     * ``"dropped"``: white space ends words and yields no ids.
     * ``"whole"``: any other file; texts are encoded whole.
 
-    The cache holds ``max_pieces`` pieces at most (a bound on memory only:
-    others are encoded each time they come).
+    In both rules a full stop or comma at a word's end, behind a letter, is a
+    piece of its own. Words are found by their 64-bit hashes, over blocks of
+    texts in arrays; only words that are new to the cache are looked at one by
+    one. The cache holds ``max_pieces`` at most (a bound on memory only: others
+    are encoded each time they come).
     """
 
-    def __init__(self, path: str, spaces: str = "whole", max_pieces: int = 250_000):
+    SEGMENT = 1 << 19
+
+    def __init__(self, path: str, spaces: str = "whole", max_pieces: int = 1_500_000):
         import os
 
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         if spaces not in ("leading", "dropped", "whole"):
             raise ValueError(f"unknown rule {spaces!r}")
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaces, self.max_pieces = spaces, max_pieces
-        self.known: dict[str, bytes] = {}
-
-    def _pieces(self, text: str) -> list[str]:
-        if self.spaces == "whole":
-            return [text]
-        if self.spaces == "dropped":
-            return text.replace("\n", " ").split(" ")
-        if _TWO_SPACES.search(text):
-            return _BEFORE_WORD.split(text)
-        out = []
-        for line in text.split("\n"):
-            if out:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + w for w in rest]
+        self.spaces = spaces
+        self.known = _IdCache(max_pieces)
+        self.value = byte_values(20240502)
+        # signs that are one id each, looked up by their byte
+        self.sign = {ord(c): np.frombuffer(self._encode([c])[0], "<u4") for c in ".,\n "}
+        self.tails = [b for b in b".," if len(self.sign[b]) == 1]
+        # a sign between words that are encoded together; as an id it stands for itself alone
+        self.between = "\n" if spaces == "leading" else " \x01 "
+        self.between_id = np.frombuffer(self._encode([self.between])[0], "<u4")
+        self.letter = np.zeros(256, bool)
+        self.letter[65:91] = self.letter[97:123] = True
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        from array import array
+
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 4096):
+            out += [array("I", e.ids).tobytes() for e in
+                    self.inner.encode_batch_fast(pieces[i:i + 4096], add_special_tokens=False)]
         return out
 
-    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+    def _encode_words(self, words: list[str], plain: int):
+        """Number of ids of each word and all ids, in order. The first ``plain``
+        words are encoded many at a time, with a sign between them whose id
+        tells where each ends; the others have odd signs and stand alone."""
         import numpy as np
 
-        out = {}
-        for i in range(0, len(pieces), 4096):
-            part = pieces[i:i + 4096]
-            for piece, e in zip(part, self.inner.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                out[piece] = np.array(e.ids, dtype="<u4").tobytes()
-        return out
+        counts, data = [], []
+        for part in [words[i:min(i + 2000, plain)] for i in range(0, plain, 2000)] + [words[plain:]]:
+            if not part:
+                continue
+            if len(self.between_id) == 1 and not _odd(part[0]):
+                ids = np.array(self.inner.encode_batch_fast([self.between.join(part)], add_special_tokens=False)[0].ids, "<u4")
+                cut = np.flatnonzero(ids == self.between_id[0])
+                if len(cut) == len(part) - 1:
+                    counts.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+                    data.append(np.delete(ids, cut))
+                    continue
+            each = self._encode(part)
+            counts.append(np.array([len(x) for x in each], np.int64) // 4)
+            data.append(np.frombuffer(b"".join(each), "<u4"))
+        return np.concatenate(counts).astype(np.int64), np.concatenate(data)
+
+    def _block(self, segments: list[bytes]) -> list[bytes]:
+        """Ids of segments without runs of white space (rule ``leading``) or of
+        any segments (rule ``dropped``)."""
+        import numpy as np
+
+        leading = self.spaces == "leading"
+        size = np.array([len(x) + 1 for x in segments])
+        data = b"\n".join(segments)
+        raw = np.frombuffer(data, np.uint8)
+        gap = np.ones(len(raw) + 2, bool)
+        gap[1:-1] = (raw == 32) | (raw == 10)
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        start, end = edge[0::2], edge[1::2]
+        if not len(start):
+            return [self.sign[x[0]].tobytes() if leading and x else b"" for x in segments]
+        begins = np.cumsum(size) - size
+        # a word's own ids, with a line end's before them and a sign's behind
+        last = raw[end - 1]
+        tail = (end - start > 1) & self.letter[raw[np.maximum(end - 2, 0)]] & np.isin(last, self.tails)
+        core = end - tail
+        key = span_hashes(raw, start, core, self.value)
+        head = np.zeros(len(start), bool)
+        if leading:
+            before = raw[np.maximum(start - 1, 0)]
+            first = np.isin(start, begins)
+            spaced = (before == 32) & ~first
+            head = ~spaced & ~first
+            key = mix(key ^ spaced.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        unique, one, which = np.unique(key, return_index=True, return_inverse=True)
+        at, count = self.known.find(unique)
+        pool, more = self.known.pool, np.empty(0, "<u4")
+        new = np.flatnonzero(count < 0)
+        if len(new):
+            pieces = [data[a:b] for a, b in zip(start[one[new]].tolist(), core[one[new]].tolist(), strict=True)]
+            if leading:
+                pieces = [b" " + p if x else p for p, x in zip(pieces, spaced[one[new]].tolist(), strict=True)]
+            words = [p.decode("utf-8", "surrogatepass") for p in pieces]
+            odd = np.array([_odd(w) for w in words])
+            new = np.concatenate([new[~odd], new[odd]])
+            words = [w for w, o in zip(words, odd, strict=True) if not o] + [w for w, o in zip(words, odd, strict=True) if o]
+            count[new], more = self._encode_words(words, int((~odd).sum()))
+            at[new] = len(pool) + np.cumsum(count[new]) - count[new]
+        n = count[which]
+        total = np.concatenate([[0], np.cumsum(n + head + tail)])
+        out = np.empty(total[-1], "<u4")
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        source = np.repeat(at[which], n) + within
+        place = np.repeat(total[:-1] + head, n) + within
+        old = source < len(pool)
+        out[place[old]] = pool[source[old]]
+        out[place[~old]] = more[source[~old] - len(pool)]
+        if head.any():
+            out[total[:-1][head]] = self.sign[10][0]
+        for b in self.tails:
+            out[total[1:][tail & (last == b)] - 1] = self.sign[b][0]
+        if len(new):
+            self.known.add(unique[new], count[new], more)
+        words = np.searchsorted(start, np.concatenate([begins, [len(raw) + 1]]))
+        bounds = total[words].tolist()
+        result = [out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        if leading:  # white space at a segment's end stands alone
+            for k, x in enumerate(segments):
+                if x[-1:] in (b" ", b"\n"):
+                    result[k] += self.sign[x[-1]].tobytes()
+        return result
+
+    def _segments(self, text: str) -> list[str]:
+        """``text`` cut before spaces into segments of bounded length."""
+        if len(text) <= self.SEGMENT:
+            return [text]
+        out, at = [], 0
+        while len(text) - at > self.SEGMENT:
+            cut = text.rfind(" ", at + 1, at + self.SEGMENT)
+            if cut < 0:
+                cut = text.find(" ", at + 1)
+            if cut < 0:
+                break
+            out.append(text[at:cut])
+            at = cut
+        return [*out, text[at:]]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if self.spaces == "whole":
-            return [self._encode([t])[t] if t else b"" for t in texts]
-        cut = [self._pieces(t) for t in texts]
-        known = self.known
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        if new:
-            extra = self._encode(new)
-            room = self.max_pieces - len(known)
-            for p in new[:max(room, 0)]:
-                if len(p) <= 64:
-                    known[p] = extra[p]
-            return [b"".join([known[p] if p in known else extra[p] for p in pieces]) for pieces in cut]
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+            return [self._encode([t])[0] if t else b"" for t in texts]
+        out: list[list[bytes]] = [[] for _ in texts]
+        block: list[tuple[int, bytes]] = []
+        for k, t in enumerate(texts):
+            if self.spaces == "leading" and (_TWO_SPACES.search(t) or len(self.sign[10]) != 1):
+                pieces = [p for p in _BEFORE_WORD.split(t) if p]
+                several = dict.fromkeys(pieces)
+                several.update(zip(several, self._encode(list(several)), strict=True))
+                out[k] = [several[p] for p in pieces]
+            elif t:
+                block += [(k, x.encode("utf-8", "surrogatepass")) for x in self._segments(t)]
+        for part in row_budget(block, [len(x) for _, x in block], 1 << 20):
+            for (k, _), ids in zip(part, self._block([x for _, x in part]), strict=True):
+                out[k].append(ids)
+        return [b"".join(x) for x in out]
 
 
 _TOKENIZERS: dict[tuple, PieceTokenizer] = {}

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, row_budget, save, ship_package, text_or_empty
+from .common import byte_values, fresh, mix, row_budget, save, ship_package, span_hashes, text_or_empty
 
 BANDS, ROWS = 40, 5
 SKETCH = 512
@@ -33,73 +33,26 @@ _EMPTY = 0xFFFFFFFFFFFFFFFF
 
 
 # ----------------------------------------------------------- shingle hashes
-def _mix(h):
-    """Finaliser of a 64-bit hash (wraps)."""
-    import numpy as np
-
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
-def _tables():
-    """Per byte: a random 64-bit value (A-Z as a-z), and whether it is white space."""
-    import numpy as np
-
-    rng = np.random.default_rng(20240501)
-    value = rng.integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
-    value[65:91] = value[97:123]
-    space = np.zeros(256, bool)
-    space[[9, 10, 11, 12, 13, 32]] = True
-    return value, space
-
-
-_MULTIPLIER, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_BLOCK = 1 << 16
-
-
-def _powers():
-    """Powers of the multiplier and of its inverse up to a block's length."""
-    import numpy as np
-
-    out = []
-    for base in (_MULTIPLIER, _INVERSE):
-        p = np.full(_BLOCK, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out
-
-
 _STATE: dict = {}
 
 
 def word_hashes(data: bytes):
-    """Hashes of the words of ``data`` (runs without ASCII white space, A-Z as
-    a-z), as one array: differences of a running polynomial sum."""
+    """Start and hash of each word of ``data`` (runs without ASCII white space,
+    A-Z as a-z)."""
     import numpy as np
 
     if not _STATE:
-        _STATE["value"], _STATE["space"] = _tables()
-        _STATE["up"], _STATE["down"] = _powers()
+        value = byte_values(20240501)
+        value[65:91] = value[97:123]
+        space = np.zeros(256, bool)
+        space[[9, 10, 11, 12, 13, 32]] = True
+        _STATE.update(value=value, space=space)
     raw = np.frombuffer(data, np.uint8)
-    gap = _STATE["space"][raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]])))
+    gap = np.ones(len(raw) + 2, bool)
+    gap[1:-1] = _STATE["space"][raw]
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = edge[0::2], edge[1::2]
-    if not len(start):
-        return start, np.empty(0, np.uint64)
-    if len(raw) <= _BLOCK:
-        up, down = _STATE["up"][:len(raw)], _STATE["down"]
-    else:  # a longer buffer: powers go on
-        reps = -(-len(raw) // _BLOCK)
-        heads = np.array([pow(_MULTIPLIER, _BLOCK * i, 1 << 64) for i in range(reps)], np.uint64)
-        tails = np.array([pow(_INVERSE, _BLOCK * i, 1 << 64) for i in range(reps)], np.uint64)
-        up = (heads[:, None] * _STATE["up"][None, :]).ravel()[:len(raw)]
-        down = (tails[:, None] * _STATE["down"][None, :]).ravel()
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_STATE["value"][raw] * up, dtype=np.uint64)])
-    h = (run[end] - run[start]) * down[start]
-    return start, _mix(h ^ (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    return start, span_hashes(raw, start, end, _STATE["value"]) if len(start) else np.empty(0, np.uint64)
 
 
 def shingle_sets(texts: list[str], words: int) -> list:
@@ -115,7 +68,7 @@ def shingle_sets(texts: list[str], words: int) -> list:
     full = np.zeros(max(len(h) - words + 1, 0), np.uint64)
     for k in range(words):
         full += h[k:k + len(full)] * key[k]
-    full = _mix(full)
+    full = mix(full)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         n = b - a
@@ -126,7 +79,7 @@ def shingle_sets(texts: list[str], words: int) -> list:
             with np.errstate(over="ignore"):
                 for k in range(n):
                     one = one + h[a + k] * key[k]
-                out.append(_mix(np.array([one * np.uint64(0x8EBC6AF09C88C6E3)], np.uint64)))
+                out.append(mix(np.array([one * np.uint64(0x8EBC6AF09C88C6E3)], np.uint64)))
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -156,7 +109,7 @@ def densified(sets: list, bins: int):
     while len(row):
         attempt += 1
         with np.errstate(over="ignore"):
-            pick = (_mix(col.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(attempt)) % np.uint64(bins)).astype(np.int64)
+            pick = (mix(col.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(attempt)) % np.uint64(bins)).astype(np.int64)
         got = source[row, pick]
         ok = got != np.uint64(_EMPTY)
         out[row[ok], col[ok]] = got[ok]
@@ -170,7 +123,7 @@ def band_hashes(sets: list, bands: int, rows: int):
 
     sig = densified(sets, bands * rows).reshape(len(sets), bands, rows)
     key = np.array([pow(0xD1342543DE82EF95, k + 1, 1 << 64) for k in range(rows)], np.uint64)
-    return _mix((sig * key).sum(axis=2, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64))
+    return mix((sig * key).sum(axis=2, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64))
 
 
 def sketches(sets: list):
