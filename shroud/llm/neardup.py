@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import byte_values, fresh, mix, row_budget, save, ship_package, span_hashes, text_or_empty
 
 BANDS, ROWS = 40, 5
-SKETCH = 512
+SKETCH, FIRST = 1024, 128
 _EMPTY = 0xFFFFFFFFFFFFFFFF
 
 
@@ -238,24 +238,29 @@ def _compare(percent: int):
         bucket, bi, bj = rows[0][:3]
         n = np.array([r[5] for r in rows])
         sketch = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), SKETCH)
-        filled = sketch > 0
         buckets = np.array([r[7] for r in rows], np.int64)
         block, root = np.array([r[3] for r in rows]), np.array([r[8] for r in rows])
+        def similar(i, j, columns, margin):
+            """Those of ``j`` whose sketches agree with i's as much as similar sets' do, up to ``margin``."""
+            a, b = sketch[i, columns], sketch[j][:, columns]
+            either = ((a > 0) | (b > 0)).sum(1)
+            same = ((a == b) & (a > 0)).sum(1)
+            return j[(100 * same >= (percent - margin) * either) | (n[j] < 8) | (n[i] < 8)]
+
         for i in range(len(rows) - 1):
             j = np.arange(i + 1, len(rows))
             ok = root[j] != root[i]
             if bi != bj:
                 ok &= block[j] != block[i]
-            less = np.minimum(n[j], n[i])
-            ok &= 100 * less >= percent * np.maximum(n[j], n[i])
-            j, less = j[ok], less[ok]
+            ok &= 100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])
+            j = j[ok]
+            if len(j):
+                j = j[buckets[i][(buckets[j] == buckets[i]).argmax(1)] == bucket]
+            # five standard errors of the sketches' estimate: 0.2 over the first columns, 0.06 over all
             if len(j):
-                either = (filled[j] | filled[i]).sum(1)
-                same = ((sketch[j] == sketch[i]) & filled[i]).sum(1)
-                # the sketch's estimate errs by less than 0.08; small sets are left to the full comparison
-                j = j[(100 * same >= (percent - 8) * either) | (less < 16)]
+                j = similar(i, j, slice(0, FIRST), 20)
             if len(j):
-                for k in j[buckets[i][(buckets[j] == buckets[i]).argmax(1)] == bucket].tolist():
+                for k in similar(i, j, slice(0, SKETCH), 6).tolist():
                     yield min(rows[i][4], rows[k][4]), max(rows[i][4], rows[k][4])
 
     def run(batches: Iterator) -> Iterator:
