@@ -47,7 +47,7 @@ def _parens(depth: int) -> str:
 
 PARENS = _parens(MAX_DEPTH)
 # Depth-0 comma items. What is nested deeper is not read: such a CREATE TABLE is of
-# no known kind (a reject), such an item of an ALTER TABLE is left out.
+# no known kind, such an ALTER TABLE changes nothing; both are among the rejects.
 LIST_ITEM = rf"((?:[^,()']++|{QUOTED}|{PARENS})++)"
 
 _TABLE_HEAD = (r"(?is)^CREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+)?TABLE\s+"
@@ -104,11 +104,16 @@ def _inside(c: Column) -> Column:
 
 
 def balanced(item: Column) -> Column:
-    """False for an item that :data:`LIST_ITEM` cut inside deep parentheses."""
+    """False for a text whose parentheses do not match."""
     bare = F.regexp_replace(item, QUOTED, "")
     return F.regexp_count(bare, F.lit(r"\(")) == F.regexp_count(bare, F.lit(r"\)"))
 
 
+def too_deep(text: Column) -> Column:
+    """True for a text with parentheses that :data:`PARENS` does not cover."""
+    return F.regexp_replace(F.regexp_replace(text, PARENS, ""), QUOTED, "").rlike(r"[()]")
+
+
 def split_list(c: Column) -> Column:
     """Depth-0 comma split, items trimmed, empties dropped."""
     return F.filter(F.transform(F.regexp_extract_all(c, F.lit(LIST_ITEM), 1), lambda x: _strip(x)),
@@ -263,7 +268,7 @@ def rejects(stmts: DataFrame) -> DataFrame:
     kept = stmts.select("script_id", "seq", "stmt", classify(st).alias("kind"))
     items = F.transform(F.filter(list_items(st), lambda x: x["rejected"]), lambda x: x["item"])
     return kept.select("script_id", "seq", F.explode(F.when(F.col("kind") == "create_table", items).when(
-        F.col("kind") == "other", F.array(st)).otherwise(F.array().cast("array<string>"))).alias("item"))
+        (F.col("kind") == "other") | ((F.col("kind") == "alter_table") & too_deep(st)), F.array(st)).otherwise(F.array().cast("array<string>"))).alias("item"))
 
 
 def change_log(stmts: DataFrame) -> DataFrame:
@@ -303,12 +308,12 @@ def change_log(stmts: DataFrame) -> DataFrame:
     dop = F.when(F.upper(F.regexp_extract(st, _DR, 1)) == "VIEW", F.lit("drop_view")).otherwise(F.lit("drop_table"))
     dr = F.transform(_ident_list(F.regexp_extract(st, _DR, 2)), lambda n, i: _mk(dop, i, n))
     t_at = F.regexp_extract(st, _AT, 1)
-    at = F.filter(F.transform(F.filter(split_list(F.regexp_extract(st, _AT, 2)), balanced),
+    at = F.filter(F.transform(split_list(F.regexp_extract(st, _AT, 2)),
                               lambda a, i: _alter_change(a, i, t_at)), lambda c: c.isNotNull())
     changes = (F.when(kind == "create_table", ct).when(kind == "create_index", ci)
                .when(kind == "create_view", cv).when(kind == "create_schema", cs)
                .when(kind == "truncate", tr).when(kind == "drop", dr)
-               .when(kind == "alter_table", at).otherwise(empty))
+               .when((kind == "alter_table") & ~too_deep(st), at).otherwise(empty))
     return (stmts.select(F.col("script_id").cast("string").alias("script_id"),
                          F.col("seq").cast("long").alias("seq"), F.col("_kind").alias("stmt_kind"),
                          F.explode(changes).alias("c"))
