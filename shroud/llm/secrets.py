@@ -107,7 +107,8 @@ def fit(secrets: DataFrame, ordinary: DataFrame, *, uniform: float = 0.3, weight
 
     Each row of a model is its counts with ``weight`` counts of a prior: the
     characters' frequencies in the sample, of which the share ``uniform`` is
-    spread over letters, digits and ``+/_=-``."""
+    spread over letters, digits and ``+/_=-``. Pairs with one of those signs
+    count as 0."""
     alphabet = [c for c in range(128) if chr(c).isalnum() or chr(c) in "+/_=-"]
 
     def rows(counts, mixed):
@@ -118,7 +119,8 @@ def fit(secrets: DataFrame, ordinary: DataFrame, *, uniform: float = 0.3, weight
         return [[(counts[a][b] + weight * prior[b]) / (sum(counts[a]) + weight) for b in range(128)] for a in range(128)]
 
     random, plain = rows(_pair_counts(secrets), max(uniform, 0.5)), rows(_pair_counts(ordinary), 0.02)
-    return [round(math.log(random[a][b] / plain[a][b]), 6) for a in range(128) for b in range(128)]
+    joints = {ord(c) for c in "+/_=-"}  # they join words of either sort and tell nothing
+    return [0.0 if joints & {a, b} else round(math.log(random[a][b] / plain[a][b]), 6) for a in range(128) for b in range(128)]
 
 
 def mean_ratio(match: Column, table: Column) -> Column:
