@@ -372,7 +372,8 @@ def sample_texts(docs: DataFrame, *, id_col: str, text_col: str, limit: int, cha
     """At most ``limit`` excerpts of ``characters`` around the first at sign or
     plus sign or digit of a text, of the documents with the smallest hashes."""
     t = text_or_empty(text_col)
-    part = F.regexp_extract(t, r"(?s)(.{0,%d}[0-9@+].{0,%d})" % (characters // 2, characters // 2), 1)
+    first = F.regexp_instr(t, F.lit("[0-9@+]"))
+    part = F.when(first > 0, F.substr(t, F.greatest(first - characters // 2, F.lit(1)), F.lit(characters))).otherwise("")
     rows = (docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id"), part.alias("part")).where("part <> ''")
             .orderBy("h", "id", "part").limit(limit).collect())
     return [r["part"] for r in rows]
