@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, held, text_or_empty
+from .common import fresh, held, save, text_or_empty
 
 #: A chunk ends at the first sentence or line end after 512 characters, the text's end, or after 4,096 characters.
 CHUNK = r"(?s)(?:.{512,4095}?(?:(?<=[\n.!?])|\z)|.{1,4096})"
@@ -75,6 +75,8 @@ def dedup_exact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     best = {"max": F.max, "min": F.min}[keep](F.col(id_col))
     groups = (d.groupBy(F.col(recipe).alias(other)).agg(best.alias(chosen), F.count(F.lit(1)).alias(size))
               .where(F.col(size) > 1))
+    # written first: as it is, the aggregate's partitioning would serve the join too and keep a large group in one task
+    groups = save(groups, "exact-groups")
     j = d.join(groups, d[recipe] == groups[other], "left")
     alone = F.col(size).isNull()
     return (j.withColumns({"keep_id": F.when(alone, F.col(id_col)).otherwise(F.col(chosen)),

@@ -206,17 +206,19 @@ def components(links: DataFrame) -> DataFrame:
     reaches.
 
     Rounds of large-star and small-star steps (each hangs a node's neighbours
-    on its smallest neighbour), saved each round, until nothing changes. The
-    number of rounds grows with the logarithm of the longest chain."""
+    on its smallest neighbour), saved each round, until every node hangs on one
+    that hangs on none. The number of rounds grows with the logarithm of the
+    longest chain."""
     edges = save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "near-edges")
-    state = None
     while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == now or not now[0]:
+        # a node below two others, or below one that is below another
+        twice = edges.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select(F.col("hi").alias("v"))
+        chained = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("v")
+        if chained.unionByName(twice).isEmpty():
             break
-        state = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # rebalanced, so that the join's own shuffle can be split at a node of many links
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).hint("rebalance")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
@@ -312,7 +314,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = save(one.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
     member = nodes.select("node", F.explode("buckets").alias("bucket"))
-    centre = member.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    # written first, here and below: an aggregate's partitioning would serve the join too and keep a large bucket in one task
+    centre = save(member.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1"),
+                  "near-centres")
     shared = save(member.join(centre, "bucket"), "near-shared")
     star = save(shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
 
@@ -324,8 +328,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = save(confirm(star, sets, percent), "near-links")
     roots = components(links)
     labelled = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = (labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-             .where("lo <> hi").select("bucket"))
+    mixed = save(labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+                 .where("lo <> hi").select("bucket"), "near-mixed")
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     again = (labelled.join(mixed, "bucket", "left_semi")
              .withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
@@ -336,11 +340,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     grouped = (again.repartition(parts, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "node")
                .select("bucket", "bi", "bj", "own", "node", "n", "sketch", "buckets", "root"))
     more = save(grouped.mapInArrow(_compare(percent), "a long, b long").join(star, ["a", "b"], "left_anti"), "near-more")
-    extra = confirm(more, sets, percent)
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(extra))
-
+    extra = save(confirm(more, sets, percent), "near-links")
     rooted = nodes.select("digest", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    if not extra.isEmpty():  # links between components: join those
+        of = rooted.select("node", "root")
+        between = (extra.join(of.toDF("a", "ra"), "a").join(of.toDF("b", "rb"), "b").where("ra <> rb")
+                   .select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        rooted = (rooted.join(components(between).toDF("root", "joined"), "root", "left")
+                  .withColumn("root", F.coalesce("joined", "root")))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component")).hint("rebalance")
     found = rooted.join(least, "root").select("digest", "component")
     return (described.select("doc_id", "row_key", "n_shingles", "digest").join(found, "digest", "left")
             .select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "row_key")

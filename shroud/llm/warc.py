@@ -312,6 +312,8 @@ def with_revisits(pages: DataFrame, *, min_bytes: int = 100) -> DataFrame:
                  F.sha2("payload", 256).alias("payload_digest"))
     firsts = (p.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("digest"))
               .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"))
+    # written first, so that the join has a shuffle of its own that Spark may split
+    firsts = save(firsts, "warc-firsts")
     j = p.join(firsts, p["payload_digest"] == firsts["digest"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return j.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
