@@ -418,12 +418,12 @@ def sources_ddl_scripts(spark, sf_dir):
 
 @register("sources_code_files", f"""WITH {_BASE}
 SELECT CAST(p AS VARCHAR) AS id, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(length(t)) AS BIGINT) AS n_chars
-FROM (SELECT regexp_extract(path, 'm([0-9]+)\\.', 1) AS p, unnest(ls) AS t FROM k WHERE content IS NOT NULL) GROUP BY p""", "S2 S6")
+FROM (SELECT CAST(regexp_extract(path, 'm([0-9]+)\\.', 1) AS BIGINT) % 100 AS p, unnest(ls) AS t FROM k WHERE content IS NOT NULL) GROUP BY p""", "S2 S6")
 def sources_code_files(spark, sf_dir):
-    """F-code written as text files, one per document, and read back whole."""
+    """F-code written to 100 text files and read back whole."""
     from ..sources import tables as T
     files = _files(spark, sf_dir).where("content is not null")
-    rows = files.select(F.regexp_extract("path", r"m([0-9]+)\.", 1).alias("id"), "content")
+    rows = files.select((F.regexp_extract("path", r"m([0-9]+)\.", 1).cast("long") % 100).alias("id"), "content")
     folder = _folder(spark, "code")
     _written(spark, rows, "files", folder)
     read = T.text_corpus(spark, f"{folder}/files", "*.txt").select(
