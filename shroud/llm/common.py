@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The ASCII white space that separates them (fixed value).
 SPACE = r"[\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "SPACE", "fresh", "held", "run_folder", "save", "ship_package", "text_or_empty", "open_folder",
+__all__ = ["WORD", "SPACE", "smallest_hashes", "fresh", "held", "run_folder", "save", "ship_package", "text_or_empty", "open_folder",
            "row_budget", "PieceTokenizer", "tokenizer",
            "words_of", "span_hashes", "mix", "byte_values"]
 
@@ -53,6 +53,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def smallest_hashes(ids: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` rows of ``ids`` (column ``id``), those whose ids have the
+    smallest hashes: a bounded, repeatable sample. Hashes above the place where
+    some four times as many rows are expected are left out first, so that
+    neither a task nor the driver gets ``limit`` rows of every partition."""
+    n = ids.count()
+    h = F.xxhash64("id")
+    if n > 4 * limit:
+        ids = ids.where(h < F.lit(-(1 << 63) + (1 << 64) * 4 * limit // n))
+    return ids.orderBy(h, "id").limit(limit)
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one run below the shared ``spark.checkpoint.dir``."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

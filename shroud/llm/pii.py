@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_budget, ship_package, text_or_empty
+from .common import row_budget, ship_package, smallest_hashes, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
@@ -369,20 +369,22 @@ def fit(ids, gold, *, hidden: int = 16, steps: int = 240, rows: int = 64, rate:
 
 
 def sample_texts(docs: DataFrame, *, id_col: str, text_col: str, limit: int, characters: int) -> list[str]:
-    """At most ``limit`` excerpts of ``characters`` around the first at sign or
-    plus sign or digit of a text, of the documents with the smallest hashes."""
+    """Excerpts of ``characters`` around the first at sign, plus sign or digit,
+    of the at most ``limit`` documents with the smallest hashes of their ids
+    (those that have such a sign; the ids are broadcast, few by that bound)."""
+    ids = smallest_hashes(docs.select(F.col(id_col).alias("id")).where("id is not null").distinct(), limit)
     t = text_or_empty(text_col)
     first = F.regexp_instr(t, F.lit("[0-9@+]"))
     part = F.when(first > 0, F.substr(t, F.greatest(first - characters // 2, F.lit(1)), F.lit(characters))).otherwise("")
-    rows = (docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id"), part.alias("part")).where("part <> ''")
-            .orderBy("h", "id", "part").limit(limit).collect())
-    return [r["part"] for r in rows]
+    rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col)).join(F.broadcast(ids), "id")
+            .select("id", part.alias("part")).where("part <> ''").groupBy("id").agg(F.min("part").alias("part")).collect())
+    return [r["part"] for r in sorted(rows, key=lambda r: (str(r["id"]), r["part"]))][:limit]
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1_500, characters: int = 600,
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 6_000, characters: int = 600,
           **how) -> dict:
-    """The tagger, from at most ``limit`` excerpts of ``characters`` of ``docs``
-    (the documented bound of the sample). Without any it is trained on empty
+    """The tagger, from the excerpts of at most ``limit`` documents of ``characters`` of ``docs``
+    each (the documented bound of the sample). Without any it is trained on empty
     windows and finds nothing."""
     return fit(*training_windows(sample_texts(docs, id_col=id_col, text_col=text_col, limit=limit, characters=characters)), **how)
 

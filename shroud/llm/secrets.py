@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, held, save, text_or_empty
+from .common import fresh, held, save, smallest_hashes, text_or_empty
 
 #: Base kinds (fixed values): pattern of the whole match; a shorter match fails.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -134,9 +134,8 @@ def mean_ratio(match: Column, table: Column) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, *, limit: int, id_col: str, text_col: str) -> DataFrame:
     """Texts of at most ``limit`` labelled documents (smallest hashes of the
     ids; the ids are broadcast, few by that bound)."""
-    ids = (labels.select(F.col(id_col).alias("id")).where("id is not null").distinct()
-           .orderBy(F.xxhash64("id"), "id").limit(limit))
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(ids), "id").select("text")
+    ids = smallest_hashes(labels.select(F.col(id_col).alias("id")).where("id is not null").distinct(), limit)
+    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text")).select("text")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 20_000) -> list[float]:
