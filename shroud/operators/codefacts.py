@@ -43,13 +43,20 @@ PY_KEYWORDS = ["and", "as", "assert", "async", "await", "del", "elif", "else", "
                "raise", "return", "while", "with", "yield", "print"]
 # ---------------------------------------------------------------------------
 
-CALL_RE = r"(\.?[\p{L}\p{N}_][\p{L}\p{N}_.]*)\s*\("
+# a leading dot: called on another call's result. The look-behind and the possessive
+# run keep a long word from being tried at each of its characters; RE2 needs neither.
+CALL_RE2 = r"(\.?[\p{L}\p{N}_][\p{L}\p{N}_.]*)\s*\("
+CALL_RE = r"(?<![\p{L}\p{N}_.])(\.?[\p{L}\p{N}_][\p{L}\p{N}_.]*+)\s*\("
 # Possessive runs: java.util.regex would recurse once per character of an
 # alternation under *. ``re2`` in ddl.py gives the form for RE2.
 _STR = r"\"(?:[^\"\\]++|\\[\s\S])*+\"|'(?:[^'\\]++|\\[\s\S])*+'"
 STRING_RE = rf"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|{_STR}"
 
 
+# What is not code: string literals and comments.
+NOT_CODE = rf"{STRING_RE}|#[^\n]*"
+
+
 def _brackets(depth: int) -> str:
     """Balanced brackets of any kind, nested up to ``depth``."""
     inner = f"|{_brackets(depth - 1)}" if depth > 1 else ""
@@ -106,10 +113,12 @@ def file_metrics(files: DataFrame) -> DataFrame:
         return F.when(py & F.col("content").isNotNull(), c)
 
     comment = lambda l: _strip(l).startswith("#")
-    branches = count(lambda l: l.rlike(r"^\s*(if|elif|while|for|async\s+for|except|with)\b"))
-    comp = (F.regexp_count(F.col("content"), F.lit(r"\S[ \t]+for[ \t]"))
-            - F.regexp_count(F.col("content"), F.lit(r"async[ \t]+for[ \t]")))
-    return files.withColumn("kind", file_kind(F.col("path"))).select(
+    # branches are counted in the code without its strings and comments
+    code = F.col("_code")
+    branches = F.size(F.filter(F.split(code, "\n", -1), lambda l: l.rlike(
+        r"^\s*(if|elif|while|for|async\s+for|except|with)\b"))).cast("long")
+    comp = (F.regexp_count(code, F.lit(r"\S[ \t]+for[ \t]")) - F.regexp_count(code, F.lit(r"async[ \t]+for[ \t]")))
+    return files.withColumns({"kind": file_kind(F.col("path")), "_code": F.regexp_replace("content", NOT_CODE, "_")}).select(
         "path", "kind",
         F.when(F.col("content").isNotNull(), F.size(lines).cast("long")).alias("total_lines"),
         when_py(count(lambda l: (_strip(l) != "") & ~comment(l))).alias("lines_of_code"),

@@ -20,7 +20,8 @@ _KIND = ("CASE regexp_extract(path, '[^/](\\.[^./]*)$', 1) WHEN '.py' THEN 'pyth
          "ELSE 'generic' END")
 _STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 _BASE = f"""{FX.cte('f_code')},
-k AS (SELECT path, content, {_KIND} AS kind, string_split(content, chr(10)) AS ls FROM f_code),
+k AS (SELECT path, content, {_KIND} AS kind, string_split(content, chr(10)) AS ls,
+             regexp_replace(content, {lit(re2(CF.NOT_CODE))}, '_', 'g') AS code FROM f_code),
 lines AS (SELECT path, kind, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS text FROM k),
 ln AS (SELECT *, {_STRIP.format(x='text')} AS stripped,
               length(regexp_extract(text, '^([ \\t]*)', 1)) AS indent FROM lines)"""
@@ -39,9 +40,9 @@ SELECT path, kind, CAST(len(ls) AS BIGINT) AS total_lines,
   CASE WHEN kind = 'python' THEN {_cnt("regexp_matches(l, '^\\s*class\\s')")} END AS class_count,
   CASE WHEN kind = 'python' THEN {_cnt("regexp_matches(l, '^\\s*(import\\s|from\\s+\\S+\\s+import\\b)')")} END
     AS import_count,
-  CASE WHEN kind = 'python' THEN CAST(1 + {_cnt("regexp_matches(l, '^\\s*(if|elif|while|for|async\\s+for|except|with)\\b')")}
-    + len(regexp_extract_all(content, '\\S[ \\t]+for[ \\t]'))
-    - len(regexp_extract_all(content, 'async[ \\t]+for[ \\t]')) AS BIGINT) END AS cyclomatic_complexity,
+  CASE WHEN kind = 'python' THEN CAST(1 + len(list_filter(string_split(code, chr(10)), lambda l: regexp_matches(l, '^\\s*(if|elif|while|for|async\\s+for|except|with)\\b')))
+    + len(regexp_extract_all(code, '\\S[ \\t]+for[ \\t]'))
+    - len(regexp_extract_all(code, 'async[ \\t]+for[ \\t]')) AS BIGINT) END AS cyclomatic_complexity,
   CASE WHEN content IS NULL THEN 'unreadable content' END AS error
 FROM k"""
 
@@ -201,7 +202,7 @@ clsanc AS (SELECT DISTINCT a.path, a.line_no FROM anc a
 body AS (SELECT a.path, a.a_line AS def_line, p.line_no, p.text FROM anc a
          JOIN par p ON p.path = a.path AND p.line_no = a.line_no
          WHERE p.lk NOT IN ('def', 'class', 'async def')),
-calls AS (SELECT path, def_line, unnest(regexp_extract_all(text, {lit(CF.CALL_RE)}, 1)) AS call FROM body),
+calls AS (SELECT path, def_line, unnest(regexp_extract_all(text, {lit(CF.CALL_RE2)}, 1)) AS call FROM body),
 cs AS (SELECT path, def_line, list_sort(list_distinct(list(call))) AS calls_made,
               list_sort(list_distinct(list(call) FILTER (WHERE contains(call, '.')
                                                        AND regexp_matches(call, {lit(libs)})))) AS ops
