@@ -71,7 +71,7 @@ def dedup_exact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text = text_or_empty(text_col)
     d = docs.drop("keep_id", "group_size", "kept", "text_sha256")
     recipe, other, chosen, size = fresh(d, "recipe", "other", "chosen", "size")
-    d = with_recipes(d, text, recipe, pattern=pattern, digest=digest)
+    d = with_recipes(d, text, recipe, pattern=pattern, digest=digest).withColumn("text_sha256", F.sha2(text, 256))
     best = {"max": F.max, "min": F.min}[keep](F.col(id_col))
     groups = (d.groupBy(F.col(recipe).alias(other)).agg(best.alias(chosen), F.count(F.lit(1)).alias(size))
               .where(F.col(size) > 1))
@@ -81,8 +81,7 @@ def dedup_exact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     alone = F.col(size).isNull()
     return (j.withColumns({"keep_id": F.when(alone, F.col(id_col)).otherwise(F.col(chosen)),
                            "group_size": F.coalesce(size, F.lit(1)).cast("long"),
-                           "kept": alone | F.col(id_col).eqNullSafe(F.col(chosen)),
-                           "text_sha256": F.sha2(text, 256)}).drop(recipe, other, chosen, size))
+                           "kept": alone | F.col(id_col).eqNullSafe(F.col(chosen))}).drop(recipe, other, chosen, size))
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
