@@ -247,22 +247,25 @@ def _compare(percent: int):
             a, b = sketch[i, columns], sketch[j][:, columns]
             either = ((a > 0) | (b > 0)).sum(1)
             same = ((a == b) & (a > 0)).sum(1)
-            return j[(100 * same >= (percent - margin) * either) | (n[j] < 8) | (n[i] < 8)]
+            wide = np.where(np.minimum(n[j], n[i]) < 8, 20, margin)
+            return j[100 * same >= (percent - wide) * either]
 
         for i in range(len(rows) - 1):
             j = np.arange(i + 1, len(rows))
             ok = root[j] != root[i]
             if bi != bj:
                 ok &= block[j] != block[i]
-            ok &= 100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])
+            # the most that different sets of these sizes can share
+            shared = np.where(n[j] == n[i], n[i] - 1, np.minimum(n[j], n[i]))
+            ok &= 100 * shared >= percent * (n[j] + n[i] - shared)
             j = j[ok]
             if len(j):
                 j = j[buckets[i][(buckets[j] == buckets[i]).argmax(1)] == bucket]
-            # five standard errors of the sketches' estimate: 0.2 over the first columns, 0.06 over all
+            # some five standard errors of the sketches' estimate: 0.2 over the first columns, 0.05 over all
             if len(j):
                 j = similar(i, j, slice(0, FIRST), 20)
             if len(j):
-                for k in similar(i, j, slice(0, SKETCH), 6).tolist():
+                for k in similar(i, j, slice(0, SKETCH), 5).tolist():
                     yield min(rows[i][4], rows[k][4]), max(rows[i][4], rows[k][4])
 
     def run(batches: Iterator) -> Iterator:
