@@ -10,9 +10,10 @@
    the full shingle sets.
 4. Components of the confirmed links. A star can miss a link between two nodes
    of a bucket that are not linked to its centre, so buckets that still hold
-   more than one component are compared again, block by block inside tasks, on
-   one-permutation sketches; only pairs of different components that look
-   similar leave a task, and are confirmed like the others.
+   more than one component are compared again, block by block inside tasks:
+   small sets (up to ``EXACT`` shingles) on their shingles, larger ones on
+   one-permutation sketches; only pairs of different components that are, or
+   look, similar leave a task, and are confirmed like the others.
 
 The link relation is thereby found up to the chance that a pair of similarity
 0.8 shares none of the buckets (40 bands of 5: 1 in 8 million).
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import byte_values, fresh, mix, row_budget, save, ship_package, span_hashes, text_or_empty
 
 BANDS, ROWS = 40, 5
-SKETCH, FIRST = 1024, 128
+SKETCH, FIRST, EXACT = 1024, 128, 128
 _EMPTY = 0xFFFFFFFFFFFFFFFF
 
 
@@ -134,6 +135,12 @@ def sketches(sets: list):
     return np.where(s == np.uint64(_EMPTY), 0, (s % np.uint64(255)) + np.uint64(1)).astype(np.uint8)
 
 
+def summaries(sets: list) -> list[bytes]:
+    """What the second pass compares: all hashes of a set of up to EXACT, the sketch of a larger one."""
+    large = iter(sketches([s for s in sets if len(s) > EXACT]))
+    return [(next(large) if len(s) > EXACT else s).tobytes() for s in sets]
+
+
 def _describe(words: int, bands: int, rows: int):
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -147,7 +154,7 @@ def _describe(words: int, bands: int, rows: int):
                 sets = shingle_sets([t for _, _, t in part], words)
                 some = [s for s in sets if len(s)]
                 bucket = iter(band_hashes(some, bands, rows).view("<i8").tolist() if some else [])
-                sketch = iter([x.tobytes() for x in sketches(some)] if some else [])
+                sketch = iter(summaries(some))
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([r[0] for r in part], batch.column(0).type), pa.array([r[1] for r in part], pa.binary()),
@@ -231,24 +238,44 @@ def components(links: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------- buckets compared again
 def _compare(percent: int):
-    """Pairs of different components in each (bucket, pair of blocks) whose
-    sketches look similar; a pair is left to the first bucket that it shares."""
+    """Pairs of different components in each (bucket, pair of blocks) that are
+    similar, or whose sketches look so; a pair is left to the first bucket that
+    it shares."""
 
     def pairs(rows):
         import numpy as np
 
         bucket, bi, bj = rows[0][:3]
         n = np.array([r[5] for r in rows])
-        sketch = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), SKETCH)
         buckets = np.array([r[7] for r in rows], np.int64)
         block, root = np.array([r[3] for r in rows]), np.array([r[8] for r in rows])
-        def similar(i, j, columns, margin):
-            """Those of ``j`` whose sketches agree with i's as much as similar sets' do, up to ``margin``."""
+        small = n <= EXACT
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows if r[5] <= EXACT]
+        sketch = np.zeros((len(rows), SKETCH), np.uint8)
+        if not small.all():
+            sketch[small] = sketches(sets)
+            sketch[~small] = np.frombuffer(b"".join(r[6] for r in rows if r[5] > EXACT), np.uint8).reshape(-1, SKETCH)
+        # the small sets as rows of local numbers, filled up with one that nothing marks
+        names, number = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.empty(0), np.empty(0, int))
+        local = np.full((len(rows), max(map(len, sets), default=0)), len(names))
+        local[(np.arange(local.shape[1]) < n[:, None]) & small[:, None]] = number
+        marked = np.zeros(len(names) + 1, bool)
+
+        def equal(i, j):
+            """Those of ``j``, small sets, that are similar to the small set i."""
+            marked[local[i, :n[i]]] = True
+            same = marked[local[j]].sum(1)
+            marked[local[i, :n[i]]] = False
+            return j[100 * same >= percent * (n[j] + n[i] - same)]
+
+        def similar(i, j, columns):
+            """Those of ``j`` whose sketches agree with i's as much as similar sets' do, up to five standard
+            errors of the estimate over those columns that hold a shingle."""
             a, b = sketch[i, columns], sketch[j][:, columns]
             either = ((a > 0) | (b > 0)).sum(1)
             same = ((a == b) & (a > 0)).sum(1)
-            wide = np.where(np.minimum(n[j], n[i]) < 8, 20, margin)
-            return j[100 * same >= (percent - wide) * either]
+            error = np.sqrt(max(percent * (100 - percent), 1600) * either)
+            return j[100 * same >= percent * either - 5 * error]
 
         for i in range(len(rows) - 1):
             j = np.arange(i + 1, len(rows))
@@ -261,12 +288,13 @@ def _compare(percent: int):
             j = j[ok]
             if len(j):
                 j = j[buckets[i][(buckets[j] == buckets[i]).argmax(1)] == bucket]
-            # some five standard errors of the sketches' estimate: 0.2 over the first columns, 0.05 over all
-            if len(j):
-                j = similar(i, j, slice(0, FIRST), 20)
-            if len(j):
-                for k in similar(i, j, slice(0, SKETCH), 5).tolist():
-                    yield min(rows[i][4], rows[k][4]), max(rows[i][4], rows[k][4])
+            both = small[j] & small[i]
+            found, j = equal(i, j[both]) if both.any() else j[:0], j[~both]
+            for columns in (slice(0, FIRST), slice(0, SKETCH)):
+                if len(j):
+                    j = similar(i, j, columns)
+            for k in [*found.tolist(), *j.tolist()]:
+                yield min(rows[i][4], rows[k][4]), max(rows[i][4], rows[k][4])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

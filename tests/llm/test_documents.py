@@ -308,6 +308,45 @@ def test_near_components_equal_all_pairs(spark, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_components_of_many_short_texts(spark):
+    # a crowded family: nearly all pairs meet only in buckets whose centre is linked to neither
+    rng = np.random.default_rng(4)
+    base, texts = [f"w{x}" for x in range(60)], []
+    for _ in range(1500):
+        n = int(rng.integers(8, 61))
+        at = int(rng.integers(0, 61 - n))
+        t = base[at:at + n]
+        for _ in range(int(rng.integers(0, 1 + n // 8))):
+            t[int(rng.integers(0, n))] = f"v{rng.integers(0, 40)}"
+        texts += [" ".join(t), " ".join(t[:-1] + [f"v{rng.integers(0, 40)}"])]
+    rows = list(enumerate(texts, 1))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute.components({i: brute.shingles(t, 4) for i, t in rows}, 80)
+
+
+@pytest.mark.parametrize("words", [8, 13, 23, 33, 43, 58, 130, 600])
+def test_second_pass_loses_no_pair(words):
+    # pairs of one bucket at the least similarity that links, each with a component of its own
+    import pyarrow as pa
+
+    rng = np.random.default_rng(words)
+    n = words - 3
+    own = n // 9  # (n - own) / (n + own) >= 0.8
+    lost = pairs = 0
+    names = ["bucket", "bi", "bj", "own", "node", "n", "sketch", "buckets", "root"]
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, n + max(own, 1), dtype=np.uint64)
+        sets = [np.unique(pool[:n]), np.unique(pool[own:n + own] if own else pool)]
+        summary = neardup.summaries(sets)
+        rows = [(1, 0, 0, 0, i, len(s), summary[i], [1], i) for i, s in enumerate(sets)]
+        batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+        found = sum(b.num_rows for b in neardup._compare(80)(iter([batch])))
+        same = len(np.intersect1d(*sets))
+        if 100 * same >= 80 * (len(sets[0]) + len(sets[1]) - same):
+            pairs, lost = pairs + 1, lost + 1 - found
+    assert pairs == 300 and lost == 0
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 99), (100, 101), (200, 300)]
     got = {r.node: r.root for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
