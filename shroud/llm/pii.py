@@ -4,9 +4,11 @@ The tagger is trained in numpy from labelled spans: windows of a bounded sample
 of documents, labelled by the base patterns, and variants of those spans that
 the patterns do not match (other separators, missing plus signs, spelled-out
 signs). Texts are cut into overlapping windows; each window is decoded on its
-own, and the spans of all windows of a text are reconciled together. Windows
-without a digit and without an at sign hold no span by definition (every span
-has one or the other) and are not scored.
+own, and the spans of all windows of a text are reconciled together. A span
+that reaches over a window's edges is decoded again in wider ones, until it is
+whole. Windows without a digit, an at sign or a spelled-out one (the word
+"at", or AT between small letters) hold no span by definition (every span has
+one of them) and are not scored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_AT = re.compile(r"(?<![A-Za-z])[Aa][Tt](?![A-Za-z])|(?<=[a-z])AT(?=[a-z])")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -273,7 +276,7 @@ def _variant(rng, kind: str, value: str) -> str:
         local += "." + digits[:2] if rng.random() < 0.5 else ""
         end = ["com", "org", "net", "de", "fr"][int(rng.integers(0, 5))]
         at, dot = ("@", ".") if rng.random() < 0.6 else [(" [at] ", " [dot] "), (" (at) ", "."), (" @ ", ".")][int(rng.integers(0, 3))]
-        return f"{local}{digits[3] if rng.random() < 0.9 or at != '@' else ''}{at}{host}{dot}{end}" if rng.random() < 0.6 else value
+        return f"{local}{digits[3] if rng.random() < 0.5 else ''}{at}{host}{dot}{end}" if rng.random() < 0.6 else value
     if kind == "ip":
         sep = "." if rng.random() < 0.7 else [" . ", "[.]"][int(rng.integers(0, 2))]
         return sep.join(str(int(x)) for x in rng.integers(1, 255, 4))
@@ -336,7 +339,7 @@ def training_windows(texts: list[str], seed: int = 7, size: int = WINDOW, most:
                     digits = "".join(str(d) for d in rng.integers(0, 10, 12))
                     word = [digits[:4], f"{digits[:1]},{digits[1:4]}", f"{digits[:2]}:{digits[2:4]}", f"{digits[:1]}.{digits[1:3]}",
                             f"v{digits[:1]}.{digits[1:2]}.{digits[2:3]}", "20" + digits[:2] + "-0" + digits[2:3] + "-1" + digits[3:4],
-                            digits[:6] + "ab" + digits[6:12] + "cdef", "AKIA" + digits[:8] + "QWER"][int(rng.integers(0, 8))]
+                            digits[:6] + "ab" + digits[6:12] + "cdef", "AKIA" + digits[:8] + "QWER", "at"][int(rng.integers(0, 9))]
                     part = (part[:where] + " " + word + " " + part[where:])[:size]
                     if base_spans(part):
                         continue
@@ -402,6 +405,13 @@ def _plausible(kind: str, value: str) -> bool:
     return 7 <= len(digits) <= 15
 
 
+def _may_grow(kind: str, value: str) -> bool:
+    """Whether a longer span around ``value`` can be plausible."""
+    if kind == "ip":
+        return len(re.findall("[0-9]+", value)) <= 4
+    return kind == "email" or len(_NOT_DIGIT.sub("", value)) <= (19 if kind == "card" else 15)
+
+
 def reconcile(found: list[tuple[str, int, int, float]]) -> list[Span]:
     """The set of non-overlapping spans with the largest sum of scores, over the
     spans of all windows of a text."""
@@ -435,25 +445,35 @@ def find_spans(p: dict, texts: list[str], *, rows: int = 2048, min_score: float
     code = [encode(t) for t in texts]
     places: list[tuple[int, int]] = []
     for d, c in enumerate(code):
-        hits = np.flatnonzero(((c >= 30) & (c <= 40)))  # digits and the at sign
+        signs = np.array([m.start() for m in _AT.finditer(texts[d])], int)
+        hits = np.union1d(np.flatnonzero((c >= 30) & (c <= 40)), signs)  # digits, the at sign, spelled-out ones
         if len(hits):
             k = np.unique(np.concatenate([hits // STRIDE - j for j in range(WINDOW // STRIDE)]))
             places += [(d, int(x) * STRIDE) for x in k if x >= 0]
             if hits[0] < WINDOW and (k < 0).any() and (not len(places) or places[-1][0] != d):
                 places.append((d, 0))
     found: dict[int, list] = {}
-    for i in range(0, len(places), rows):
-        part = places[i:i + rows]
-        ids = np.full((WINDOW, len(part)), PAD, np.uint8)
-        for r, (d, at) in enumerate(part):
-            piece = code[d][at:at + WINDOW]
-            ids[:len(piece), r] = piece
-        for (d, at), spans in zip(part, decode(p, ids), strict=True):
-            n = len(code[d])
-            for kind, s, e, score in spans:
-                # a span at a window's inner edge is another window's
-                if (s > 0 or at == 0) and (e < WINDOW or at + WINDOW >= n) and at + e <= n and score >= min_score:
-                    found.setdefault(d, []).append((kind, at + s, at + e, score))
+    width = WINDOW
+    while places:
+        cut = set()
+        step = max(1, rows * WINDOW // width)
+        for i in range(0, len(places), step):
+            part = places[i:i + step]
+            ids = np.full((width, len(part)), PAD, np.uint8)
+            for r, (d, at) in enumerate(part):
+                piece = code[d][at:at + width]
+                ids[:len(piece), r] = piece
+            for (d, at), spans in zip(part, decode(p, ids), strict=True):
+                n = len(code[d])
+                for kind, s, e, score in spans:
+                    # a span at a window's inner edge is another window's, or too long for any of this width
+                    if (s == 0 and at > 0) or (e == width and at + width < n):
+                        if e - s >= WINDOW // 2 and _may_grow(kind, texts[d][at + s:at + e]):
+                            cut.add((d, at + s, at + e))
+                    elif at + e <= n and score >= min_score:
+                        found.setdefault(d, []).append((kind, at + s, at + e, score))
+        width *= 2
+        places = sorted({(d, max(0, s + e - width) // 2 // STRIDE * STRIDE) for d, s, e in cut})
     out = []
     for d, text in enumerate(texts):
         base = base_spans(text)

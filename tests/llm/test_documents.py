@@ -128,6 +128,35 @@ def test_tagger_adds_spans_and_keeps_base(spark, tagger):
     assert pii.find_pii(brute.empty_documents(spark), model).count() == 0
 
 
+def test_tagger_finds_signs_spelled_out_without_digits(tagger):
+    texts = ["reach " * k + "onder [at] shan [dot] com of the erin and the ton" for k in (1, 20, 40)]
+    for t, spans in zip(texts, pii.find_spans(tagger[0], texts), strict=True):
+        at = t.index("onder")
+        assert any(k == "email" and s < at + 20 and e > at + 8 and not base for k, s, e, base in spans), (t, spans)
+    assert pii.find_spans(tagger[0], ["the ton of shan and the erin " * 20]) == [[]]
+
+
+@pytest.mark.parametrize("length", [20, 63, 64, 65, 90, 97, 200, 1000])
+def test_spans_of_any_length_are_whole(monkeypatch, length):
+    # a tagger that takes every run of q, z, [ and ] for an email
+    marks = pii.encode("qz[]")
+
+    def runs(_, ids):
+        out = []
+        for col in np.isin(ids, marks).T:
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], col.astype(int), [0]])))
+            out.append([("email", int(a), int(b), float(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True)])
+        return out
+
+    monkeypatch.setattr(pii, "decode", runs)
+    marks = np.concatenate([marks, pii.encode("at.")])
+    for before in range(0, 200, 7):
+        for sign in (3, length // 2, length - 9):
+            span = "q" * sign + "[at]" + "z" * (length - sign - 6) + ".z"
+            text = "e " * before + span + " e" * 150
+            assert [x[:3] for x in pii.find_spans({}, [text])[0]] == [("email", 2 * before, 2 * before + length)], (before, sign)
+
+
 def test_reconcile_takes_the_best_set():
     spans = [("ip", 0, 10, 5.0), ("ip", 0, 10, 7.0), ("phone", 5, 20, 9.0), ("card", 20, 30, 1.0), ("ip", 10, 20, 3.0), ("email", 0, 30, 2.0)]
     assert pii.reconcile(spans) == [("ip", 0, 10), ("ip", 10, 20), ("card", 20, 30)]
