@@ -163,3 +163,11 @@ def pii_scan_ftext(spark, sf_dir):
 def pii_scan_pages(spark, sf_dir):
     return pii.pii_scan(spread(table(spark, sf_dir, "pages").select("page_id", "html")),
                         "page_id", ["html"], list(P.VALUE_PATTERNS))
+
+
+# beside pii_scan_pages, whose SQL fixes its column and kinds
+@register("pii_scan_pages_all",
+          " UNION ALL ".join(_scan_sql("pages", "page_id", c, list(P.ALL_PATTERNS)) for c in ("url", "html")), "M11")
+def pii_scan_pages_all(spark, sf_dir):
+    return pii.pii_scan(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")),
+                        "page_id", ["url", "html"], list(P.ALL_PATTERNS))

@@ -79,3 +79,14 @@ def test_stream_mask_equals_batch(spark):
     batch = {(r.doc_id, r.m) for r in table(spark, "/root/testdata/sf0.001", "documents")
              .select("doc_id", M.mask_text("text").alias("m")).collect()}
     assert stream == batch
+
+
+def test_pages_are_scanned_whole(spark, tmp_path):
+    from shroud.functions import patterns as P
+    from shroud.plans import registry
+
+    rows = [(1, "http://a.example/?mail=ann@mail.example.com", "<p>password=abcdef123 date of birth ssn user_id</p>"), (2, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = registry.load_all()["pii_scan_pages_all"].fn(spark, str(tmp_path)).collect()
+    assert {(r.page_id, r.column_name, r.kind) for r in got} >= {(1, "url", "email"), (1, "html", "credential")}
+    assert any(r.kind in P.NAME_PATTERNS for r in got)
