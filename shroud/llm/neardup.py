@@ -11,9 +11,10 @@
 4. Components of the confirmed links. A star can miss a link between two nodes
    of a bucket that are not linked to its centre, so buckets that still hold
    more than one component are compared again, block by block inside tasks:
-   small sets (up to ``EXACT`` shingles) on their shingles, larger ones on
-   one-permutation sketches; only pairs of different components that are, or
-   look, similar leave a task, and are confirmed like the others.
+   small sets (up to ``EXACT`` shingles) on their shingles, larger ones first
+   on one-permutation sketches and, where those leave it open, on their whole
+   sets in a second pass. Each task joins components as it finds links and lets
+   only links out that join two: fewer than the rows that it compares.
 
 The link relation is thereby found up to the chance that a pair of similarity
 0.8 shares none of the buckets (40 bands of 5: 1 in 8 million).
@@ -237,71 +238,27 @@ def components(links: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------- buckets compared again
-def _compare(percent: int):
-    """Pairs of different components in each (bucket, pair of blocks) that are
-    similar, or whose sketches look so; a pair is left to the first bucket that
-    it shares."""
+def spanning(comp, i, found):
+    """Those of ``found`` that join ``i`` to another component, one of each;
+    ``comp`` (a component's label per row) then has them joined."""
+    import numpy as np
 
-    def pairs(rows):
-        import numpy as np
+    labels, first = np.unique(comp[found], return_index=True)
+    comp[np.isin(comp, labels)] = comp[i]
+    return found[first]
 
-        bucket, bi, bj = rows[0][:3]
-        n = np.array([r[5] for r in rows])
-        buckets = np.array([r[7] for r in rows], np.int64)
-        block, root = np.array([r[3] for r in rows]), np.array([r[8] for r in rows])
-        small = n <= EXACT
-        sets = [np.frombuffer(r[6], np.uint64) for r in rows if r[5] <= EXACT]
-        sketch = np.zeros((len(rows), SKETCH), np.uint8)
-        if not small.all():
-            sketch[small] = sketches(sets)
-            sketch[~small] = np.frombuffer(b"".join(r[6] for r in rows if r[5] > EXACT), np.uint8).reshape(-1, SKETCH)
-        # the small sets as rows of local numbers, filled up with one that nothing marks
-        names, number = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.empty(0), np.empty(0, int))
-        local = np.full((len(rows), max(map(len, sets), default=0)), len(names))
-        local[(np.arange(local.shape[1]) < n[:, None]) & small[:, None]] = number
-        marked = np.zeros(len(names) + 1, bool)
 
-        def equal(i, j):
-            """Those of ``j``, small sets, that are similar to the small set i."""
-            marked[local[i, :n[i]]] = True
-            same = marked[local[j]].sum(1)
-            marked[local[i, :n[i]]] = False
-            return j[100 * same >= percent * (n[j] + n[i] - same)]
-
-        def similar(i, j, columns):
-            """Those of ``j`` whose sketches agree with i's as much as similar sets' do, up to five standard
-            errors of the estimate over those columns that hold a shingle."""
-            a, b = sketch[i, columns], sketch[j][:, columns]
-            either = ((a > 0) | (b > 0)).sum(1)
-            same = ((a == b) & (a > 0)).sum(1)
-            error = np.sqrt(max(percent * (100 - percent), 1600) * either)
-            return j[100 * same >= percent * either - 5 * error]
-
-        for i in range(len(rows) - 1):
-            j = np.arange(i + 1, len(rows))
-            ok = root[j] != root[i]
-            if bi != bj:
-                ok &= block[j] != block[i]
-            # the most that different sets of these sizes can share
-            shared = np.where(n[j] == n[i], n[i] - 1, np.minimum(n[j], n[i]))
-            ok &= 100 * shared >= percent * (n[j] + n[i] - shared)
-            j = j[ok]
-            if len(j):
-                j = j[buckets[i][(buckets[j] == buckets[i]).argmax(1)] == bucket]
-            both = small[j] & small[i]
-            found, j = equal(i, j[both]) if both.any() else j[:0], j[~both]
-            for columns in (slice(0, FIRST), slice(0, SKETCH)):
-                if len(j):
-                    j = similar(i, j, columns)
-            for k in [*found.tolist(), *j.tolist()]:
-                yield min(rows[i][4], rows[k][4]), max(rows[i][4], rows[k][4])
+def cells(rows_of, names: list[str]):
+    """A mapInArrow function over rows sorted by their first three columns (a
+    bucket and two of its blocks): ``rows_of`` turns the rows of one cell into
+    result rows of long columns ``names``."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def flush(rows):
-            if len(rows) > 1 and (found := list(pairs(rows))):
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            if len(rows) > 1 and (found := list(rows_of(rows))):
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(len(names))], names=names)
 
         held, key = [], None
         for batch in batches:
@@ -315,6 +272,135 @@ def _compare(percent: int):
     return run
 
 
+class _Cell:
+    """Rows ``bucket, bi, bj, own, node, n, data, buckets, root`` of a cell."""
+
+    def __init__(self, rows, percent: int):
+        import numpy as np
+
+        self.bucket, self.bi, self.bj = rows[0][:3]
+        self.percent = percent
+        self.block, self.node, self.n, root = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 8))
+        self.comp = np.unique(root, return_inverse=True)[1]
+        self.buckets = np.array([r[7] for r in rows], np.int64)
+        self.sketch = np.zeros((len(rows), SKETCH), np.uint8)
+
+    def partners(self, i):
+        """Later rows of other components that may be similar by size, of the
+        other block, and that share no bucket with ``i`` before this one."""
+        import numpy as np
+
+        n, j = self.n, np.arange(i + 1, len(self.n))
+        ok = self.comp[j] != self.comp[i]
+        if self.bi != self.bj:
+            ok &= self.block[j] != self.block[i]
+        # the most that different sets of these sizes can share
+        shared = np.where(n[j] == n[i], n[i] - 1, np.minimum(n[j], n[i]))
+        ok &= 100 * shared >= self.percent * (n[j] + n[i] - shared)
+        j = j[ok]
+        if len(j):
+            j = j[self.buckets[i][(self.buckets[j] == self.buckets[i]).argmax(1)] == self.bucket]
+        return j
+
+    def likely(self, i, j):
+        """Those of ``j`` whose sketches agree with i's as much as similar sets'
+        do, up to five standard errors of the estimate over those columns that
+        hold a shingle; first by a part of the columns, then by all."""
+        import numpy as np
+
+        for columns in (slice(0, FIRST), slice(0, SKETCH)):
+            if len(j):
+                a, b = self.sketch[i, columns], self.sketch[j][:, columns]
+                either = ((a > 0) | (b > 0)).sum(1)
+                same = ((a == b) & (a > 0)).sum(1)
+                error = np.sqrt(max(self.percent * (100 - self.percent), 1600) * either)
+                j = j[100 * same >= self.percent * either - 5 * error]
+        return j
+
+    def pair(self, i, k):
+        a, b = int(self.node[i]), int(self.node[k])
+        return min(a, b), max(a, b)
+
+
+def _scan(percent: int):
+    """Compares each cell by what :func:`summaries` holds. Small sets are
+    compared exactly, and of their links only those that join two components
+    (known ones, or joined in the cell so far) leave the task: fewer than the
+    cell has rows. Rows with a likely partner that sketches cannot decide leave
+    it once each, with a null ``b``."""
+
+    def rows_of(rows):
+        import numpy as np
+
+        c = _Cell(rows, percent)
+        n, small = c.n, c.n <= EXACT
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows if r[5] <= EXACT]
+        if not small.all():
+            c.sketch[small] = sketches(sets)
+            c.sketch[~small] = np.frombuffer(b"".join(r[6] for r in rows if r[5] > EXACT), np.uint8).reshape(-1, SKETCH)
+        # the small sets as rows of local numbers, filled up with one that nothing marks
+        names, number = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.empty(0), np.empty(0, int))
+        local = np.full((len(rows), max(map(len, sets), default=0)), len(names))
+        local[(np.arange(local.shape[1]) < n[:, None]) & small[:, None]] = number
+        marked = np.zeros(len(names) + 1, bool)
+        for i in np.flatnonzero(small[:-1]):
+            j = c.partners(i)
+            j = j[small[j]]
+            if len(j):
+                marked[local[i, :n[i]]] = True
+                same = marked[local[j]].sum(1)
+                marked[local[i, :n[i]]] = False
+                for k in spanning(c.comp, i, j[100 * same >= percent * (n[j] + n[i] - same)]):
+                    yield (c.bucket, c.bi, c.bj, int(c.block[i]), *c.pair(i, k))
+        unsure = np.zeros(len(rows), bool)
+        if not small.all():
+            for i in range(len(rows) - 1):
+                j = c.partners(i)
+                j = c.likely(i, j[~small[j]] if small[i] else j)
+                if len(j):
+                    unsure[i] = unsure[j] = True
+        for i in np.flatnonzero(unsure):
+            yield c.bucket, c.bi, c.bj, int(c.block[i]), int(c.node[i]), None
+
+    return cells(rows_of, ["bucket", "bi", "bj", "own", "a", "b"])
+
+
+def _settle(percent: int):
+    """Compares the rows left by :func:`_scan` on their whole sets (``data``);
+    again only links that join two components leave the task."""
+
+    def rows_of(rows):
+        import numpy as np
+
+        c = _Cell(rows, percent)
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        c.sketch[:] = sketches(sets)
+        names, number = np.unique(np.concatenate(sets), return_inverse=True)
+        local = np.split(number, np.cumsum(c.n)[:-1])
+        marked = np.zeros(len(names), bool)
+        for i in range(len(rows) - 1):
+            j = c.likely(i, c.partners(i))
+            if not len(j):
+                continue
+            marked[local[i]] = True
+            for k in j:
+                if c.comp[k] != c.comp[i]:
+                    same = int(marked[local[k]].sum())
+                    if 100 * same >= percent * (c.n[i] + c.n[k] - same):
+                        spanning(c.comp, i, np.array([k]))
+                        yield c.pair(i, k)
+            marked[local[i]] = False
+
+    return cells(rows_of, ["a", "b"])
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows of each cell together and in order."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartition(parts, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "node")
+            .select("bucket", "bi", "bj", "own", "node", "n", "data", "buckets", "root"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
                     bands: int = BANDS, rows: int = ROWS, block: int = 1024) -> DataFrame:
     """``doc_id, n_shingles`` (distinct), ``component_id`` (smallest id that
@@ -330,8 +416,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows that share the smallest id of a component are all kept; a null id is
     left out of the smallest, and the component is null (and its rows kept)
     where all are null; an empty table gives no rows; other columns are not read.
-    A bucket of any size is compared whole: above ``block`` nodes as pairs of
-    blocks, each a task's work of bounded memory."""
+    A bucket of any size is compared whole: above ``block`` nodes, or 1,024 times
+    as many shingles, as pairs of blocks, each a task's work of bounded memory."""
     spark = docs.sparkSession
     ship_package(spark)
     kind = dict(docs.dtypes)[id_col]
@@ -344,11 +430,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"))
     nodes = save(one.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
-    member = nodes.select("node", F.explode("buckets").alias("bucket"))
+    member = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
     # written first, here and below: an aggregate's partitioning would serve the join too and keep a large bucket in one task
-    centre = save(member.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1"),
-                  "near-centres")
-    shared = save(member.join(centre, "bucket"), "near-shared")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("n") / F.lit(block * 1024))).cast("int")
+    centre = save(member.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size"), blocks.alias("blocks"))
+                  .where("size > 1"), "near-centres")
+    shared = save(member.drop("n").join(centre, "bucket"), "near-shared")
     star = save(shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
 
     # shingle sets of the nodes that share a bucket; a node's text is that of one of its rows
@@ -361,17 +448,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labelled = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = save(labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
                  .where("lo <> hi").select("bucket"), "near-mixed")
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     again = (labelled.join(mixed, "bucket", "left_semi")
-             .withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "root")
-             .join(nodes.select("node", "n", "sketch", "buckets"), "node"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = (again.repartition(parts, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "node")
-               .select("bucket", "bi", "bj", "own", "node", "n", "sketch", "buckets", "root"))
-    more = save(grouped.mapInArrow(_compare(percent), "a long, b long").join(star, ["a", "b"], "left_anti"), "near-more")
-    extra = save(confirm(more, sets, percent), "near-links")
+             .join(nodes.select("node", "n", F.col("sketch").alias("data"), "buckets"), "node"))
+    cell = "bucket long, bi long, bj long, own long, a long, b long"
+    scanned = save(_dealt(again).mapInArrow(_scan(percent), cell), "near-more")
+    unsure = scanned.where("b is null").select("bucket", "bi", "bj", "own", F.col("a").alias("node"))
+    whole = (unsure.join(nodes.select("node", "n", "buckets"), "node").join(sets.withColumnRenamed("shingles", "data"), "node")
+             .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    settled = _dealt(whole).mapInArrow(_settle(percent), "a long, b long")
+    extra = save(scanned.where("b is not null").select("a", "b").unionByName(settled), "near-links")
     rooted = nodes.select("digest", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     if not extra.isEmpty():  # links between components: join those
         of = rooted.select("node", "root")
