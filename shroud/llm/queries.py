@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, mixing, neardup, packing, pii, quality, secrets, tokenfile, urlfilter, warc
+from . import convtrie, exactdedup, hardneg, mixing, neardup, packing, pii, quality, secrets, simhash, tokenfile, urlfilter, warc
 
 #: Fixed values of the contract: id of the tokenizer files, end ids, URL rules.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -111,9 +111,27 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, words=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = convtrie.ordered_turns(table(spark, sf_dir, "conversations"))
+    c = F.col("conv_id").cast("long")
+    both, ids = convtrie.rebuilt(turns, base=c - c % 20, taken=(F.crc32(c.cast("string").cast("binary")) % 4).cast("int"), most=3)
+    return convtrie.prefix_trie(both, ids)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, distance=3)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    v = (table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+         .withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)))
+    return hardneg.hard_negatives(v, F.col("vec_id") % 100 == 0, scale=256, positives=5, negatives=5, low=80, high=100)
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_packing, op2_token_files, op3_warc, op4_url_filter, op5_mixing, op6_pii,
-                                    op7_quality_rules, op8_secrets, op9_exact_dedup, op10_near_duplicates)}
+                                    op7_quality_rules, op8_secrets, op9_exact_dedup, op10_near_duplicates, op11_prefix_trie, op12_simhash, op13_hard_negatives)}
 
 
 # ------------------------------------------------------------------ SQL
@@ -176,8 +194,51 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+#: CRC-32 of a decimal number's digits, bit by bit (the polynomial is a fixed value).
+_CRC = ("xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), "
+        "lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), "
+        "lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))))")
+
+_OP11 = f"""
+WITH u AS (SELECT conv_id, turn, coalesce(CAST(role AS VARCHAR), '') AS role, coalesce(CAST(text AS VARCHAR), '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+     k AS (SELECT *, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text) AS turn_key FROM u),
+     t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 64), left(text, 64), turn_key) - 1 AS pos FROM k),
+     c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM t GROUP BY conv_id),
+     r AS (SELECT c.conv_id, b.pos, b.turn_key, b.text FROM c JOIN t b ON b.conv_id = c.base AND b.pos < c.h
+           UNION ALL SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(b.n, 0)), t.turn_key, t.text
+           FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos >= c.h LEFT JOIN c b ON b.conv_id = c.base),
+     m AS (SELECT conv_id, 0 AS depth, CAST([] AS VARCHAR[]) AS path, '' AS text FROM c
+           UNION ALL SELECT conv_id, pos + 1, list(turn_key) OVER (PARTITION BY conv_id ORDER BY pos), text FROM r),
+     e AS (SELECT conv_id, max(depth) AS ends FROM m GROUP BY conv_id),
+     v AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS words,
+                  coalesce(string_agg(CASE WHEN depth = ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ids
+           FROM m JOIN e USING (conv_id) GROUP BY path, depth),
+     p AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY ALL),
+     w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN p USING (path)),
+     s AS (SELECT w.path[1:d] AS path, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+           FROM w, unnest(range(0, w.depth + 1)) x(d) GROUP BY ALL)
+SELECT w.conv_id, w.depth, o.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, sha256(w.ids) AS ends_sha256
+FROM w JOIN s USING (path) LEFT JOIN v o ON w.depth > 0 AND o.path = w.path[1:w.depth - 1]
+"""
+
+
+_OP13 = """
+WITH r AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.k AS anchor, a.vec_id AS anchor_id, r.k, r.vec_id, r.label = a.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+           FROM r a JOIN r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id AND len(r.v) = len(a.v)),
+     p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5),
+     n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                  row_number() OVER (PARTITION BY p.anchor, p.k ORDER BY s.score DESC, s.vec_id) AS rank
+           FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": _OP3, "op4_url_filter": _OP4,
+    return {"op3_warc": _OP3, "op11_prefix_trie": _OP11, "op13_hard_negatives": _OP13, "op4_url_filter": _OP4,
             "op5_mixing": mix_sql("documents", "doc_id, source, lang, topic, n_tokens, round(cell_weight, 9) AS cell_weight, "
                                                "round(probability, 9) AS probability, kept"),
             "op9_exact_dedup": _OP9}
