@@ -9,6 +9,7 @@ from ..functions.patterns import sql_literal as lit
 from ..functions.sqltypes import normalize_type_sql
 from ..operators import audit, ddl, pii, replay
 from ..sources import fixtures as FX
+from . import catalog_sql as K
 from .registry import register
 
 
@@ -134,15 +135,15 @@ def _idents_sql(pattern: str, group: int) -> str:
 _FK = r"(?is)FOREIGN\s+KEY\s*\(([^)]*)\)\s*REFERENCES\s+([^\s(]+)\s*\(([^)]*)\)"
 
 
-def constraints_sql(fixture: str) -> str:
+def constraints_sql(fixture: str, more: str = "") -> str:
     def action(on: str) -> str:
         found = f"regexp_extract(item, {lit(rf'(?i)ON\s+{on}\s+' + ddl._ACTION)}, 1)"
         return f"CASE WHEN {found} <> '' THEN concat(' ON {on} ', upper(regexp_replace({found}, '\\s+', ' ', 'g'))) ELSE '' END"
 
     return f"""WITH {items_sql(fixture)},
 c AS (SELECT *, upper(regexp_replace(regexp_extract(item, {lit(ddl._TABLE_CONSTRAINT)}, 1), '\\s+', ' ', 'g')) AS k
-      FROM its WHERE is_con)
-SELECT script_id, seq, t AS table_name,
+      FROM (SELECT *, count(*) OVER (PARTITION BY script_id, seq) AS n_items FROM its) WHERE is_con)
+SELECT script_id, seq, t AS table_name, {more + ',' if more else ''}
        coalesce(nullif(regexp_extract(item, '(?i)^CONSTRAINT\\s+(\\S+)', 1), ''),
                 CASE WHEN k = 'UNIQUE' THEN nullif(regexp_extract(item, {lit(ddl._UNIQUE_LIST)}, 1), '') END,
                 CASE k WHEN 'PRIMARY KEY' THEN 'unnamed_pk' WHEN 'UNIQUE' THEN 'unnamed_unique'
@@ -206,7 +207,8 @@ def ddl_rejects_fdump(spark, sf_dir):
     return items.unionByName(rest)
 
 
-_IDX_SQL = f"""WITH {_STMTS}
+def indexes_sql(fixture: str) -> str:
+    return f"""WITH {stmts_sql(fixture)}
 SELECT script_id, seq, regexp_extract(stmt, {rx(ddl._CI)}, 3) AS table_name,
        coalesce(nullif(regexp_extract(stmt, {rx(ddl._CI)}, 2), ''), 'unnamed_index') AS name,
        to_json({_list_sql(_inside_sql(f"regexp_extract(stmt, {rx(ddl._CI)}, 4)"))}) AS columns,
@@ -214,6 +216,9 @@ SELECT script_id, seq, regexp_extract(stmt, {rx(ddl._CI)}, 3) AS table_name,
 FROM stk WHERE kind = 'create_index'"""
 
 
+_IDX_SQL = indexes_sql("f_ddl")
+
+
 @register("ddl_indexes_fddl", _IDX_SQL, "G12")
 def ddl_indexes_fddl(spark, sf_dir):
     log = _log_fddl(spark, sf_dir)
@@ -222,25 +227,27 @@ def ddl_indexes_fddl(spark, sf_dir):
         "is_unique")
 
 
-# --- replayed catalogs (rows-only here; tests compare with a sequential fold) ----
+# --- replayed catalogs ---------------------------------------------------------------
 
-def _cat(log_fn, part: str, infer: bool = True):
+def _cat(log_fn, part: str, infer: bool = True, strict: bool = False):
     def run(spark, sf_dir):
-        return replay.catalog(log_fn(spark, sf_dir), infer=infer)[part]
+        out = replay.catalog(log_fn(spark, sf_dir), strict=strict, infer=infer)[part]
+        return out.withColumns({c: F.to_json(c) for c, t in out.dtypes if t == "array<string>"})
     return run
 
 
+_FVIEWS, _FDDL, _FLOG = K.script_log_sql("f_views"), K.script_log_sql("f_ddl"), K.flat_log_sql("f_log")
+
 for _part in ["tables", "columns", "relationships"]:
-    register(f"catalog_{_part}_fviews", None, "G13 G15 G17 G18 G22 G26 G27")(_cat(_log_fviews, _part))
+    register(f"catalog_{_part}_fviews", K.part_sql(_FVIEWS, _part, infer=True), "G13 G15 G17 G18 G22 G26 G27")(_cat(_log_fviews, _part))
 
 for _part in ["tables", "columns", "relationships", "indexes", "constraints"]:
-    register(f"catalog_{_part}_fddl", None, "G5 G8 G9 G14 G16 G20 G25 G26 G27")(_cat(_log_fddl, _part))
-    register(f"catalog_{_part}_flog", None,
+    register(f"catalog_{_part}_fddl", K.part_sql(_FDDL, _part, infer=True), "G5 G8 G9 G14 G16 G20 G25 G26 G27")(_cat(_log_fddl, _part))
+    register(f"catalog_{_part}_flog", K.part_sql(_FLOG, _part),
              "G5 G8 G9 G12 G14 G16 G17 G18 G19 G21 G22 G23 G24 G25")(_cat(_log_flog, _part, infer=False))
 
 
-register("catalog_columns_strict_flog", None, "G19")(
-    lambda spark, sf_dir: replay.replay(_log_flog(spark, sf_dir), strict=True)["columns"])
+register("catalog_columns_strict_flog", K.part_sql(_FLOG, "columns", strict=True), "G19")(_cat(_log_flog, "columns", infer=False, strict=True))
 
 
 # --- G26 on F-cat -----------------------------------------------------------------
@@ -380,7 +387,8 @@ def ddl_statements_fviews(spark, sf_dir):
     return ddl.statements(FX.fixture(spark, sf_dir, "f_views"))
 
 
-@register("pii_columns_catalog_fviews", None, "M13 G22")
+@register("pii_columns_catalog_fviews", f"""SELECT script_id, table_name, name, {_PII_GROUP_SQL.replace('column_name', 'name')} AS pii_group,
+       ({_PII_GROUP_SQL.replace('column_name', 'name')}) IS NOT NULL AS is_pii FROM ({K.part_sql(_FVIEWS, 'columns')})""", "M13 G22")
 def pii_columns_catalog_fviews(spark, sf_dir):
     """PII classes of the replayed catalog's column names (renames applied)."""
     cols = replay.catalog(_log_fviews(spark, sf_dir), infer=False)["columns"]
