@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The ASCII white space that separates them (fixed value).
 SPACE = r"[\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "SPACE", "smallest_hashes", "fresh", "held", "run_folder", "save", "ship_package", "text_or_empty", "open_folder",
+__all__ = ["WORD", "SPACE", "apart", "smallest_hashes", "fresh", "held", "run_folder", "save", "ship_package", "text_or_empty", "open_folder",
            "row_budget", "PieceTokenizer", "tokenizer",
            "words_of", "span_hashes", "mix", "byte_values"]
 
@@ -53,6 +53,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def apart(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``docs`` and, in the struct ``row``, all of its columns:
+    what an operator adds under names that the caller uses leaves those alone,
+    and ``select("row.*")`` gives the caller's rows back."""
+    return docs.select(*columns, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
 def smallest_hashes(ids: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` rows of ``ids`` (column ``id``), those whose ids have the
     smallest hashes: a bounded, repeatable sample. Hashes above the place where
@@ -250,7 +257,13 @@ class PieceTokenizer:
         if spaces not in ("leading", "dropped", "whole"):
             raise ValueError(f"unknown rule {spaces!r}")
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the library takes these out of a text before anything else; texts are cut at them, so pieces hold none
+        added = {t.content: i for i, t in self.inner.get_added_tokens_decoder().items()}
+        plain = all(not (t.normalized or t.lstrip or t.rstrip or t.single_word) for t in self.inner.get_added_tokens_decoder().values())
+        self.added = {k: np.array([i], "<u4").tobytes() for k, i in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        if added and not plain:  # they take in what stands around them: only whole texts will do
+            spaces = "whole"
         self.spaces = spaces
         self.known = _IdCache(max_pieces)
         self.value = byte_values(20240502)
@@ -376,7 +389,12 @@ class PieceTokenizer:
         return [*out, text[at:]]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned 32-bit ids of each text, as the library's plain
+        call gives them: an added token's string in a text is that token."""
+        if self.spaces != "whole" and self.cut and any(map(self.cut.search, texts)):
+            parts = [self.cut.split(t) for t in texts]  # odd places hold the added tokens
+            between = iter(self.ids([p for x in parts for p in x[::2]]))
+            return [b"".join(self.added[p] if k % 2 else next(between) for k, p in enumerate(x)) for x in parts]
         if self.spaces == "whole":
             return [self._encode([t])[0] if t else b"" for t in texts]
         out: list[list[bytes]] = [[] for _ in texts]

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, held, save, text_or_empty
+from .common import apart, fresh, held, save, text_or_empty
 
 #: A chunk ends at the first sentence or line end after 512 characters, the text's end, or after 4,096 characters.
 CHUNK = r"(?s)(?:.{512,4095}?(?:(?<=[\n.!?])|\z)|.{1,4096})"
@@ -87,6 +87,6 @@ def dedup_exact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that :func:`dedup_exact` keeps, and of rows that
     repeat both id and text one (any of them), with the columns of ``docs``."""
-    d = dedup_exact(docs, id_col=id_col, text_col=text_col, keep=keep).where("kept")
+    d = dedup_exact(apart(docs, id_col, text_col), id_col=id_col, text_col=text_col, keep=keep).where("kept")
     again = d.where("group_size > 1").dropDuplicates([id_col, "text_sha256"])  # one row a group, or its repeats
-    return d.where("group_size = 1").unionByName(again).select(*docs.columns)
+    return d.where("group_size = 1").unionByName(again).select("row.*")

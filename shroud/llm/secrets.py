@@ -23,6 +23,8 @@ HEX = r"[0-9a-f]{24,}"
 #: Runs that the models judge.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 KINDS = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("random", CANDIDATE))
+#: Signs that join words: parts between them are judged too, if they are as long as a run.
+JOINTS, LEAST = "[+/_=-]", 16
 BLOCK = 128
 
 
@@ -131,6 +133,21 @@ def mean_ratio(match: Column, table: Column) -> Column:
         lambda a, i: a + F.get(table, F.get(c, i - 1) * 128 + F.get(c, i))) / (F.size(c) - 1)), F.lit(0))
 
 
+def _judged(run: Column, table: Column, threshold: float) -> Column:
+    """What the models find in a run struct(m, s, e): the run, or else those of
+    its parts between joining signs that are long enough."""
+    def high(x: Column) -> Column:  # without a letter it is a number
+        return x.rlike("[A-Za-z]") & (mean_ratio(x, table) >= F.lit(threshold))
+
+    parts = F.split(run["m"], JOINTS, -1)
+    # a part begins behind the parts before it and a sign for each
+    placed = F.aggregate(parts, F.struct(run["s"].alias("s"), F.array().cast("array<struct<m:string,s:int,e:int>>").alias("out")), lambda a, p: F.struct(
+        (a["s"] + F.length(p) + 1).alias("s"),
+        F.when(F.length(p) >= LEAST, F.array_append(a["out"], F.struct(p.alias("m"), a["s"].alias("s"), (a["s"] + F.length(p)).alias("e")))).otherwise(a["out"]).alias("out")))["out"]
+    return F.when(high(run["m"]), F.array(run)).when(run["m"].rlike(JOINTS) & run["m"].rlike(f"[A-Za-z0-9]{{{LEAST},}}"), F.filter(placed, lambda x: high(x["m"]))).otherwise(
+        F.array().cast("array<struct<m:string,s:int,e:int>>"))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, *, limit: int, id_col: str, text_col: str) -> DataFrame:
     """Texts of at most ``limit`` labelled documents (smallest hashes of the
     ids; the ids are broadcast, few by that bound)."""
@@ -160,19 +177,20 @@ def find_secrets(docs: DataFrame, ratio: list[float], *, id_col: str = "doc_id",
     exclusive.
 
     The base kinds are matched in the whole text and always stay. A run of 16 or
-    more token characters with a letter and a digit is added as ``random`` if
-    its mean ratio is at least ``threshold`` and no base span overlaps it.
-
-    Defined cases: a null or empty text has no spans; equal rows get equal
-    spans; an empty table gives no rows; a column of ``docs`` named ``secrets``
-    is replaced."""
+    more token characters with a letter is added as ``random`` if its mean ratio is at least
+    ``threshold`` and no base span overlaps it; where the whole run scores less,
+    its parts of 16 or more characters between joining signs are judged alone
+    (a key inside a path).
+
+    Defined cases: a null or empty text has no spans; very long texts are
+    matched whole; equal rows get equal spans; an empty table gives no rows; a
+    column of ``docs`` named ``secrets`` is replaced."""
     d = docs.drop("secrets")
     t, *names = fresh(d, "text", *[f"x_{k}" for k, _ in KINDS])
     out = dict(zip([k for k, _ in KINDS], names, strict=True))
     d = with_matches(d.withColumn(t, text_or_empty(text_col)), t, out)
     table = F.split(F.lit(",".join(map(repr, ratio))), ",").cast("array<double>")  # folded to one literal
-    found = F.filter(F.col(out["random"]), lambda x: x["m"].rlike("[A-Za-z]") & x["m"].rlike("[0-9]")
-                     & (mean_ratio(x["m"], table) >= F.lit(threshold)))
+    found = F.flatten(F.transform(F.col(out["random"]), lambda x: _judged(x, table, threshold)))
     d = d.withColumn(out["random"], held(found))
     base, = fresh(d, "base")
     d = d.withColumn(base, held(F.concat(*[F.col(out[k]) for k in ("assign", "access", "hex")])))

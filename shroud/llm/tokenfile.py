@@ -115,7 +115,7 @@ class FrameReader:
             start += n
 
 
-def _writer(folder: str, path: str, spaces: str, end_id: int, frame_bytes: int):
+def _writer(folder: str, path: str, spaces: str, end_id: int, frame_bytes: int, file_bytes: int, file_docs: int):
     def write(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -124,39 +124,50 @@ def _writer(folder: str, path: str, spaces: str, end_id: int, frame_bytes: int):
         store, at = open_folder(folder)
         tok, end = tokenizer(path, spaces), np.array([end_id], "<u4").tobytes()
         shard = TaskContext.get().partitionId()
-        # a name of its own for each attempt: only the file named in the manifest row counts
-        name = f"shard-{shard:06d}-{uuid.uuid4().hex}.ids.zst"
+        # a name of its own for each attempt: only files named in manifest rows count
+        attempt = uuid.uuid4().hex
         out = writer = None
-        tokens = 0
+        tokens = part_no = 0
+
+        def closed():
+            docs = writer.finish()
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([part_no], pa.int32()), pa.array([name]),
+                                               pa.array([docs], pa.int64()), pa.array([tokens], pa.int64())],
+                                              names=["shard", "part", "file", "docs", "tokens"])
+
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in row_budget(zip(batch.column(0).to_pylist(), texts, strict=True), map(len, texts), 4 << 20):
-                if writer is None:
-                    store.create_dir(at, recursive=True)
-                    out = store.open_output_stream(f"{at}/{name}", compression=None)
-                    writer = FrameWriter(out, frame_bytes)
                 for (doc_id, _), ids in zip(part, tok.ids([t for _, t in part]), strict=True):
+                    if writer is not None and (4 * tokens + len(ids) + 4 > file_bytes or len(writer.index) >= file_docs):
+                        yield closed()
+                        writer, tokens, part_no = None, 0, part_no + 1
+                    if writer is None:
+                        store.create_dir(at, recursive=True)
+                        name = f"shard-{shard:06d}-{part_no:06d}-{attempt}.ids.zst"
+                        out = store.open_output_stream(f"{at}/{name}", compression=None)
+                        writer = FrameWriter(out, frame_bytes)
                     writer.add(doc_id, ids + end)
                     tokens += len(ids) // 4 + 1
         if writer is not None:
-            docs = writer.finish()
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([docs], pa.int64()),
-                                              pa.array([tokens], pa.int64())], names=["shard", "file", "docs", "tokens"])
+            yield closed()
 
     return write
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, *, id_col: str = "doc_id",
                       text_col: str = "text", spaces: str = "whole", end_id: int = 2, frame_bytes: int = 1 << 20,
-                      shards: int | None = None) -> DataFrame:
+                      file_bytes: int = 256 << 20, file_docs: int = 500_000, shards: int | None = None) -> DataFrame:
     """Write the ids of all documents to files in ``folder``, in ascending id
     order over the shards (nulls first, repeated ids by their texts' hashes).
 
-    Returns the manifest, one row per file: ``shard, file, docs, tokens,
-    start`` (tokens of all shards before it). It is written beside the files,
+    Returns the manifest, one row per file: ``shard, part, file, docs, tokens,
+    start`` (tokens of all files before it). It is written beside the files,
     so reading it again does not write them anew. Files of failed attempts may
-    stay in the folder; the manifest does not name them.
+    stay in the folder; the manifest does not name them. A shard's next file
+    begins where ids would pass ``file_bytes`` (a larger single document has a
+    file of its own) or documents ``file_docs``, which bounds the index.
 
     Defined cases: a null or empty text is the end id alone; a document larger
     than ``frame_bytes`` has a frame of its own; repeated rows are written as
@@ -169,10 +180,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, *, id_c
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text")
     files = (rows.repartitionByRange(shards, F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
-             .mapInArrow(_writer(folder, tokenizer_path, spaces, end_id, frame_bytes),
-                         "shard int, file string, docs long, tokens long"))
+             .mapInArrow(_writer(folder, tokenizer_path, spaces, end_id, frame_bytes, file_bytes, file_docs),
+                         "shard int, part int, file string, docs long, tokens long"))
     manifest = save(files, "token-manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per file, not per document
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file, not per document
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
@@ -209,9 +220,9 @@ def read_token_files(manifest: DataFrame, folder: str, doc_ids: set | None = Non
     documents, decompressing only the frames that hold them."""
     spark = manifest.sparkSession
     ship_package(spark)
-    files = manifest.select("file", "start", "shard")
+    files = manifest.select("file", "start", "shard", "part")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = files.repartitionByRange(n, "shard").select("file", "start")  # a file or a few to each task
+    spread = files.repartitionByRange(n, "shard", "part").select("file", "start")  # a file or a few to each task
     return spread.mapInArrow(_reader(folder, doc_ids), "doc_id long, start long, n_tokens long, ids binary")
 
 

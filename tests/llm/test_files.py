@@ -17,11 +17,10 @@ def encode(name, texts, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.vocabulary(name))
-    t.encode_special_tokens = True
     return [np.array([*e.ids, end], "<u4") for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-ODD = ["", " ", "a", " a", "a ", "a  b", "a \n b", "a\n\nb\n", "it's we'll\tx", "<|endoftext|> x", "ünï\u00a0cö\u2003d", "\u0301x \u0301y",
+ODD = ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", " <|startoftext|>a  b<|endoftext|>\n", "<|ENDOFTEXT|> <|endoftext|", "", " ", "a", " a", "a ", "a  b", "a \n b", "a\n\nb\n", "it's we'll\tx", "<|endoftext|> x", "ünï\u00a0cö\u2003d", "\u0301x \u0301y",
        "1234 567,8", "x" * 3000, "\n \n", "A B\r\nC", "don't  stop 'S", "a\x1cb c", "a.", "a, b.\nc.d, e..", ".", ", .", "1. 2,", "\nab", "ab\n", " ", "\n", "é. è,", "a.\n", "don't."]
 
 
@@ -105,6 +104,12 @@ def test_token_files_round_trip(spark):
     for r, ids in zip(d, encode(queries.WORD_BPE, [r.text for r in d], 2), strict=True):
         assert got[r.doc_id].start == at and bytes(got[r.doc_id].ids) == ids.tobytes() and got[r.doc_id].n_tokens == len(ids)
         at += len(ids)
+    # files roll over at a bound of bytes or documents
+    folder2 = tokenfile.token_folder(spark)
+    small = tokenfile.write_token_files(docs, queries.vocabulary(queries.WORD_BPE), folder2, spaces="dropped", frame_bytes=5000, file_bytes=40_000, file_docs=9, shards=3)
+    files = small.orderBy("shard", "part").collect()
+    assert len(files) > 20 and all(f.docs <= 9 and (f.docs == 1 or 4 * f.tokens <= 40_000) for f in files)
+    assert {r.doc_id: (r.start, bytes(r.ids)) for r in tokenfile.read_token_files(small, folder2).collect()} == {i: (r.start, bytes(r.ids)) for i, r in got.items()}
     some = {3, 77, 150}
     part = tokenfile.read_token_files(manifest, folder, some).collect()
     assert {r.doc_id for r in part} == some and all(r.start == got[r.doc_id].start for r in part)
