@@ -5,9 +5,15 @@ and works on all that the stage before kept. All but the last return the
 columns of ``documents``. ``run`` applies them, each stage's rows written and
 read again.
 
-Stages see documents with any columns besides ``doc_id, text, lang, source``;
-missing labels leave quality to the base rules. Null texts have no words and go
-in the first stage.
+Stages see documents with any columns besides ``doc_id, text, lang, source``
+and return them with their values and types, also those named like an
+operator's results. Defined cases: missing labels leave quality to the base
+rules; null, empty and short texts have too few words and go in the first stage;
+rows that repeat both id and text are one row after the second stage, and of
+different rows with the smallest id of a near-duplicate group all stay; ties
+(equal ids, equal scores) fall alike on every run; a null id is smaller than any
+other; texts of any length are read whole; an empty table gives no rows at
+every stage.
 """
 
 from __future__ import annotations
@@ -16,14 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shroud.llm import exactdedup, neardup, packing, quality
-from shroud.llm.common import save
+from shroud.llm.common import apart, save
 from shroud.llm.queries import BYTE_BPE, mixed, table, vocabulary
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the base rules and the likelihood ratio keep."""
     labels = table(spark, sf_dir, "labels")
-    return quality.rate(docs, labels).where("kept").select(*docs.columns)
+    return quality.rate(apart(docs, "doc_id", "text"), labels).where("kept").select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +44,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents to the mix's margins of source, language and topic."""
-    return mixed(docs).where("kept").select(*docs.columns)
+    return mixed(apart(docs, "doc_id", "text", "source", "lang")).where("kept").select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
