@@ -120,6 +120,11 @@ def split_list(c: Column) -> Column:
                     lambda x: x != "")
 
 
+def clean(stmt: Column) -> Column:
+    """A statement's text without comments, identifiers' backticks and outer white space."""
+    return _strip(F.regexp_replace(F.regexp_replace(stmt, COMMENT, "$1"), BACKTICK, "$1"))
+
+
 def split_statements(scripts: DataFrame, key: str = "script_id", content: str = "content") -> DataFrame:
     """G1: (script_id, seq 1-based, stmt). ';' inside quotes/backticks does not
     split; comments and the backticks of identifiers are removed."""

@@ -393,41 +393,54 @@ def _folder(spark, name):
     return f"{checkpoint_dir(spark).rstrip('/')}/text/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def _written(spark, rows, ext, folder):
-    """One text file per row, named by its id, in a folder per id."""
-    (rows.select("content", F.col("id").cast("string").alias("id")).repartition("id")
-     .write.partitionBy("id").option("lineSep", "\n").text(f"{folder}/{ext}"))
-
-
-@register("sources_ddl_scripts", """SELECT CAST(c_custkey % 50 AS VARCHAR) AS id, count(*) AS n_create, count(DISTINCT c_nationkey) AS n_tables
+@register("sources_ddl_scripts", """SELECT CAST(c_custkey // 500 AS VARCHAR) AS id, count(*) AS n_create, count(DISTINCT c_nationkey) AS n_tables
 FROM customer GROUP BY 1""", "S1 G1 G2")
 def sources_ddl_scripts(spark, sf_dir):
-    """Scripts written as text files to the shared folder and read back whole:
-    one CREATE TABLE per customer, 50 scripts."""
+    """Scripts written as .sql files to the shared folder and read back in byte
+    ranges: one CREATE TABLE per customer, 500 a script."""
     from ..operators import ddl
+    from ..sources import scripts as S
     from ..sources import tables as T
-    cust = T.table(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("id"), F.concat(
-        F.lit("CREATE TABLE n"), F.col("c_nationkey").cast("string"), F.lit(" (id INT, note TEXT DEFAULT 'a;b');")).alias("content"))
+    cust = T.table(spark, sf_dir, "customer").select("c_custkey", F.concat(
+        F.lit("CREATE TABLE n"), F.col("c_nationkey").cast("string"), F.lit(" (id INT, note TEXT DEFAULT 'a;b');")).alias("stmt"))
     folder = _folder(spark, "ddl")
-    _written(spark, cust, "scripts", folder)
-    read = T.text_corpus(spark, f"{folder}/scripts", "*.txt")
-    st = ddl.split_statements(read.select(F.regexp_extract("path", "id=([0-9]+)/", 1).alias("script_id"), "content"))
+    name = F.concat(F.floor(F.col("c_custkey") / 500).cast("string"), F.lit(".sql"))
+    S.write_files(cust.groupBy(name.alias("name")).agg(F.array_join(F.sort_array(F.collect_list("stmt")), "\n").alias("content")), folder)
+    st = S.script_statements(spark, folder).withColumn("id", F.regexp_extract("path", "([0-9]+)[.]sql$", 1))
     return (st.where(ddl.classify(F.col("stmt")) == "create_table")
-            .groupBy(F.col("script_id").alias("id")).agg(F.count(F.lit(1)).alias("n_create"),
-                                                         F.countDistinct(F.regexp_extract("stmt", ddl._CT, 1)).alias("n_tables")))
+            .groupBy("id").agg(F.count(F.lit(1)).alias("n_create"), F.countDistinct(F.regexp_extract("stmt", ddl._CT, 1)).alias("n_tables")))
+
+
+def _dump_files_sql() -> str:
+    from .q_catalog import _SPLIT
+    return f"""WITH {FX.cte('f_dump')},
+files AS (SELECT CAST(CAST(script_id AS BIGINT) // 50 AS VARCHAR) AS id, string_agg(content, ';' || chr(10) ORDER BY CAST(script_id AS BIGINT)) AS content FROM f_dump GROUP BY 1),
+sp AS (SELECT id, {_SPLIT} AS st FROM files)
+SELECT id, CAST(generate_subscripts(st, 1) AS BIGINT) AS seq, length(unnest(st)) AS n_chars, sha256(unnest(st)) AS stmt_sha256 FROM sp"""
+
+
+@register("sources_ddl_statements_fdump", _dump_files_sql(), "S1 G1")
+def sources_ddl_statements_fdump(spark, sf_dir):
+    """F-dump as .sql files of 50 scripts each, cut into statements in byte ranges."""
+    from ..sources import scripts as S
+    dump = FX.fixture(spark, sf_dir, "f_dump").withColumn("n", F.col("script_id").cast("long"))
+    folder = _folder(spark, "dump")
+    name = F.concat(F.floor(F.col("n") / 50).cast("string"), F.lit(".sql"))
+    parts = dump.groupBy(name.alias("name")).agg(F.sort_array(F.collect_list(F.struct("n", "content"))).alias("c"))
+    S.write_files(parts.select("name", F.array_join(F.transform("c", lambda x: x["content"]), ";\n").alias("content")), folder)
+    return S.script_statements(spark, folder).select(F.regexp_extract("path", "([0-9]+)[.]sql$", 1).alias("id"), "seq",
+                                                     F.length("stmt").cast("long").alias("n_chars"), F.sha2("stmt", 256).alias("stmt_sha256"))
 
 
 @register("sources_code_files", f"""WITH {_BASE}
-SELECT CAST(p AS VARCHAR) AS id, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(length(t)) AS BIGINT) AS n_chars
-FROM (SELECT CAST(regexp_extract(path, 'm([0-9]+)\\.', 1) AS BIGINT) % 100 AS p, unnest(ls) AS t FROM k WHERE content IS NOT NULL) GROUP BY p""", "S2 S6")
+SELECT path, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(length(t)) AS BIGINT) AS n_chars
+FROM (SELECT path, unnest(ls) AS t FROM k WHERE content IS NOT NULL) GROUP BY path""", "S2 S6")
 def sources_code_files(spark, sf_dir):
-    """F-code written to 100 text files and read back whole."""
+    """F-code written as one file per path, under its own name, and read back whole."""
+    from ..sources import scripts as S
     from ..sources import tables as T
-    files = _files(spark, sf_dir).where("content is not null")
-    rows = files.select((F.regexp_extract("path", r"m([0-9]+)\.", 1).cast("long") % 100).alias("id"), "content")
     folder = _folder(spark, "code")
-    _written(spark, rows, "files", folder)
-    read = T.text_corpus(spark, f"{folder}/files", "*.txt").select(
-        F.regexp_extract("path", "id=([0-9]+)/", 1).alias("id"), F.split(F.regexp_replace("content", "\n$", ""), "\n", -1).alias("ls"))
-    return read.select("id", F.size("ls").cast("long").alias("n_lines"), F.aggregate(
+    S.write_files(_files(spark, sf_dir).where("content is not null").select(F.col("path").alias("name"), "content"), folder)
+    read = T.text_corpus(spark, folder).select(F.regexp_extract("path", "(src/.*)$", 1).alias("path"), F.split("content", "\n", -1).alias("ls"))
+    return read.select("path", F.size("ls").cast("long").alias("n_lines"), F.aggregate(
         "ls", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))

@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions.masking import mask_text
 from ..functions.timeutil import epoch_micros
@@ -52,51 +51,101 @@ def run_available_now(df: DataFrame, out: str, ckpt: str, fmt: str = "parquet")
 ADMISSION_OUT = T.StructType([
     T.StructField("key", T.LongType()), T.StructField("id", T.LongType()),
     T.StructField("ts_us", T.LongType()), T.StructField("window_start_us", T.LongType()),
-    T.StructField("n", T.LongType()), T.StructField("admitted", T.BooleanType())])
-ADMISSION_STATE = T.StructType([T.StructField("ws", T.LongType()), T.StructField("n", T.LongType())])
-
-
-def _admission_fn(points: int, duration_us: int):
-    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # one micro-batch of one key: bounded by the trigger's batch size
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if pdf.empty:
+    T.StructField("n", T.LongType()), T.StructField("admitted", T.BooleanType()), T.StructField("late", T.BooleanType())])
+PENDING = T.StructType([T.StructField("t", T.LongType()), T.StructField("id", T.LongType())])
+WINDOW = T.StructType([T.StructField("ws", T.LongType()), T.StructField("n", T.LongType())])
+
+
+class Admission(StatefulProcessor):
+    """One key: requests wait in a list until the watermark has passed them,
+    then spend their points in order of (time, id). What arrives behind the
+    watermark is late: it spends nothing and comes out marked as late."""
+
+    def __init__(self, points: int, duration_us: int):
+        self.points, self.duration = points, duration_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", PENDING)
+        self.window = handle.getValueState("window", WINDOW)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        border = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = []
+        for r in rows:
+            if r.t <= border:
+                yield Row(key=key[0], id=r.id, ts_us=r.t, window_start_us=None, n=None, admitted=None, late=True)
+            else:
+                waiting.append((r.t, r.id))
+            if len(waiting) >= 1000:
+                yield from self._wait(waiting)
+                waiting = []
+        yield from self._wait(waiting)
+
+    def _wait(self, waiting: list) -> Iterator[Row]:
+        if waiting:
+            self.pending.appendList(waiting)
+            self._wake(min(waiting)[0])
+        return iter(())
+
+    def _wake(self, t: int) -> None:
+        self.handle.registerTimer(-(-t // 1000))  # the first watermark (in ms) that covers t
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        border = timerValues.getCurrentWatermarkInMs() * 1000
+        due, later = [], []
+        for r in self.pending.get():
+            (due if r[0] <= border else later).append((r[0], r[1]))
+        if not due:  # another timer of this key has dealt with them
             return
-        pdf = pdf.sort_values(["t", "id"], kind="stable")
-        ws, n = state.get if state.exists else (None, 0)
-        starts, ns = [], []
-        for t in pdf["t"].to_numpy():
-            if ws is None or t >= ws + duration_us:
-                ws, n = int(t), 0
+        if later:
+            self.pending.put(later)
+            self._wake(min(later)[0])
+        else:
+            self.pending.clear()
+        ws, n = self.window.get() if self.window.exists() else (None, 0)
+        for t, i in sorted(due):
+            if ws is None or t >= ws + self.duration:
+                ws, n = t, 0
             n += 1
-            starts.append(ws)
-            ns.append(n)
-        state.update((ws, n))
-        state.setTimeoutTimestamp((ws + duration_us) // 1000)
-        out = pd.DataFrame({
-            "key": pdf["key"].astype("int64").to_numpy(), "id": pdf["id"].astype("int64").to_numpy(),
-            "ts_us": pdf["t"].astype("int64").to_numpy(), "window_start_us": starts,
-            "n": ns, "admitted": [x <= points for x in ns]})
-        yield out
-    return fn
+            yield Row(key=key[0], id=i, ts_us=t, window_start_us=ws, n=n, admitted=n <= self.points, late=False)
+        self.window.update((ws, n))
+
+    def close(self) -> None:
+        pass
 
 
 def admission_stream(source: DataFrame, key: str, ts: str, id_col: str, points: int,
                      duration_seconds: int, watermark: str = "1 hour") -> DataFrame:
-    """Per-key anchored fixed windows, state = (window start, count).
-
-    Rows are ordered by (ts, id) within each micro-batch; state times out
-    (event time) once the watermark passes the window end, after which the
-    next request opens a new window — the same result as the batch audit."""
+    """Per-key anchored fixed windows; the rows of the batch audit (X6) over
+    all requests that are not late, and the late ones with ``late`` true and no
+    window.
+
+    A request comes out once the watermark (``watermark`` behind the newest
+    request) has passed it, so requests may arrive out of order within that
+    time; what is still waiting when a stream stops comes out when it resumes
+    and goes on. State per key: the waiting requests and the open window. Needs
+    the RocksDB state store (see :func:`run_stateful`)."""
     ship_package(source.sparkSession)
-    # event time in epoch microseconds, independent of the session time zone;
-    # the watermark needs a TIMESTAMP column, derived from the same value
+    # event time in epoch microseconds, independent of the session time zone; the watermark's own
+    # column goes no further, or Spark would drop late requests before they are counted
     ev = source.select(F.col(key).cast("long").alias("key"), F.col(id_col).cast("long").alias("id"),
                        epoch_micros(source, ts).alias("t"))
-    ev = ev.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", watermark)
-    return ev.groupBy("key").applyInPandasWithState(
-        _admission_fn(points, int(duration_seconds) * 1_000_000), ADMISSION_OUT, ADMISSION_STATE,
-        "append", GroupStateTimeout.EventTimeTimeout)
+    ev = ev.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", watermark).select("key", "id", "t")
+    return ev.groupBy("key").transformWithState(
+        Admission(points, int(duration_seconds) * 1_000_000), ADMISSION_OUT, "append", "eventTime")
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_stateful(df: DataFrame, out: str, ckpt: str) -> None:
+    """:func:`run_available_now` with the RocksDB state store, which list state
+    and timers need; the session's own setting is put back."""
+    conf = df.sparkSession.conf
+    old = conf.get(_STORE)
+    conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run_available_now(df, out, ckpt)
+    finally:
+        conf.set(_STORE, old)

@@ -59,13 +59,19 @@ def test_hot_key_and_ties(spark):
     assert {i: (v[1], v[2]) for i, v in want.items()} == got
 
 
-def test_stream_equals_batch(spark):
-    src = (spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long")
-           .option("pathGlobFilter", "events.parquet").parquet(SF_SMALL))
+def test_stream_equals_batch(spark, tmp_path):
+    given = table(spark, SF_SMALL, "events").select("event_id", "ts", "user_id")
+    # a request long after all others, for the watermark to pass them
+    last = spark.createDataFrame([(-1, datetime(2030, 1, 1), -1)], "event_id long, ts timestamp_ntz, user_id long")
+    for part in (given, last):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    src = spark.readStream.schema(last.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     res = S.admission_stream(src, "user_id", "ts", "event_id", 10, 7 * 86400)
     out, ckpt = S.stream_location(spark, "test_admission")
-    S.run_available_now(res, out, ckpt)
-    stream = {(r.id, r.n) for r in spark.read.parquet(out).collect()}
+    S.run_stateful(res, out, ckpt)
+    rows = spark.read.parquet(out).collect()
+    assert not any(r.late for r in rows)
+    stream = {(r.id, r.n) for r in rows}
     ev = table(spark, SF_SMALL, "events").select("user_id", "event_id", "ts")
     batch = {(r.event_id, r.n) for r in
              limiter.admission(ev, "user_id", "ts", "event_id", 10, 7 * 86400).collect()}
