@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, written
 
 TableLoader = Callable[[str], DataFrame]
 
@@ -249,3 +249,58 @@ def hierarchy(edges: DataFrame, tables: DataFrame) -> DataFrame:
                       F.col("level").isNull().alias("in_cycle")).join(
         selfloops.withColumn("self_ref", F.lit(True)), "table_name", "left").select(
         "table_name", "level", "in_cycle", F.coalesce("self_ref", F.lit(False)).alias("self_ref"))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """Q6: ``table_name, cycle, cycle_size`` of the tables that reach themselves
+    over other tables; ``cycle`` is the smallest name among those that reach
+    each other (a strongly connected component of ``edges(child, parent)``).
+
+    Rounds of forward-backward colouring: edges that cannot lie on a cycle are
+    trimmed off; every table takes the smallest name above it as its colour; the
+    tables above a colour's own table, in that colour, are one component each.
+    All components that are found go, and the rest is coloured again. Every step
+    is a join or an aggregation on table names; the number of steps grows with
+    the longest path inside what trimming leaves, not with the number of
+    tables."""
+    e = written(edges.where(F.col("child") != F.col("parent")).select("child", "parent").distinct(), "cycle-edges")
+    found = written(e.select(F.col("child").alias("table_name"), F.col("child").alias("cycle")).limit(0), "cycles")
+    while True:
+        n = e.count()
+        while n:
+            e = written(e.join(e.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+                        .join(e.select(F.col("parent").alias("child")).distinct(), "child", "left_semi"), "cycle-edges")
+            left = e.count()
+            if left == n:
+                break
+            n = left
+        if not n:
+            break
+        colour = e.select(F.col("child").alias("table_name")).distinct().withColumn("colour", F.col("table_name"))
+        while True:
+            above = e.join(colour.toDF("parent", "above"), "parent").groupBy(F.col("child").alias("table_name")).agg(F.min("above").alias("above"))
+            step = written(colour.join(above, "table_name").select("table_name", F.least("colour", "above").alias("colour"), (F.col("above") < F.col("colour")).alias("moved")), "cycle-colours")
+            colour = step.drop("moved")
+            if step.where("moved").isEmpty():
+                break
+        same = written(e.join(colour.toDF("child", "cycle"), "child").join(colour.toDF("parent", "above"), "parent").where("cycle = above").drop("above"), "cycle-same")
+        members = front = written(colour.where("table_name = colour").select("table_name", F.col("colour").alias("cycle")), "cycles")
+        while not front.isEmpty():
+            up = same.join(front.withColumnRenamed("table_name", "child"), ["child", "cycle"]).select(F.col("parent").alias("table_name"), "cycle").distinct()
+            front = written(up.join(members, "table_name", "left_anti"), "cycles")
+            members = members.unionByName(front)
+        members = written(members, "cycles")
+        found = found.unionByName(members)
+        gone = members.select("table_name")
+        e = written(e.join(gone.withColumnRenamed("table_name", "child"), "child", "left_anti")
+                    .join(gone.withColumnRenamed("table_name", "parent"), "parent", "left_anti").select("child", "parent"), "cycle-edges")
+    sizes = found.groupBy("cycle").agg(F.count(F.lit(1)).alias("cycle_size")).where("cycle_size > 1")
+    return found.join(sizes, "cycle").select("table_name", "cycle", "cycle_size")
+
+
+def hierarchy_cycles(edges: DataFrame, tables: DataFrame) -> DataFrame:
+    """Q6: :func:`hierarchy` with each table's ``cycle`` and ``cycle_size``, and
+    ``below_cycle`` for those that only hang below one."""
+    h = hierarchy(edges, tables)
+    return h.join(cycles(edges), "table_name", "left").select(
+        "table_name", "level", "self_ref", "cycle", "cycle_size", (F.col("in_cycle") & F.col("cycle").isNull()).alias("below_cycle"))

@@ -305,6 +305,29 @@ def hierarchy_fcat(spark, sf_dir):
     return audit.hierarchy(edges, names)
 
 
+_CYCLE_SQL = f"""WITH RECURSIVE {FX.cte('f_refs')},
+e AS (SELECT DISTINCT child, parent FROM f_refs WHERE child <> parent),
+names AS (SELECT child AS table_name FROM f_refs UNION SELECT parent FROM f_refs),
+up(a, b) AS (SELECT child, parent FROM e UNION SELECT up.a, e.parent FROM up JOIN e ON e.child = up.b),
+scc AS (SELECT x.a AS table_name, min(x.b) AS cycle FROM up x JOIN up y ON y.a = x.b AND y.b = x.a GROUP BY x.a),
+size AS (SELECT cycle, count(*) AS cycle_size FROM scc GROUP BY cycle),
+stuck AS (SELECT table_name FROM scc UNION SELECT a FROM up WHERE b IN (SELECT table_name FROM scc)),
+lv(table_name, level) AS (
+  SELECT table_name, 0 FROM names WHERE table_name NOT IN (SELECT child FROM e)
+  UNION ALL SELECT e.child, lv.level + 1 FROM e JOIN lv ON e.parent = lv.table_name WHERE e.child NOT IN (SELECT table_name FROM stuck))
+SELECT n.table_name, CAST(max(lv.level) AS BIGINT) AS level, n.table_name IN (SELECT child FROM f_refs WHERE child = parent) AS self_ref, any_value(scc.cycle) AS cycle,
+       any_value(size.cycle_size) AS cycle_size, max(lv.level) IS NULL AND any_value(scc.cycle) IS NULL AS below_cycle
+FROM names n LEFT JOIN lv ON lv.table_name = n.table_name LEFT JOIN scc ON scc.table_name = n.table_name LEFT JOIN size ON size.cycle = scc.cycle GROUP BY n.table_name"""
+
+
+@register("hierarchy_cycles_frefs", _CYCLE_SQL, "Q6")
+def hierarchy_cycles_frefs(spark, sf_dir):
+    """Levels, cycles with their members, and tables below cycles."""
+    refs = FX.fixture(spark, sf_dir, "f_refs")
+    names = refs.select(F.col("child").alias("table_name")).unionByName(refs.select(F.col("parent").alias("table_name")))
+    return audit.hierarchy_cycles(refs, names)
+
+
 # --- M13: PII classes of catalog column names ---------------------------------------
 
 _PII_GROUP_SQL = ("CASE " + " ".join(

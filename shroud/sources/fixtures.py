@@ -59,7 +59,12 @@ F_DUMP = """select cast(doc_id as string) as script_id, concat('-- dump of ', so
  'INSERT INTO notes VALUES (', chr(39), replace(replace(concat(text, text, text), chr(92), ''), chr(39), ''), chr(39), ');',
  'SET x = 1') as content from documents"""
 
+# Ours: references between tables, one per customer: trees of some depth, cycles of
+# three tables, tables that refer to themselves, and tables below cycles.
+F_REFS = """select concat('t', cast(c_custkey as string)) as child, concat('t', cast(case when c_custkey % 10 = 0 then c_custkey + 1 when c_custkey % 10 = 1 then c_custkey + 1 when c_custkey % 10 = 2 then c_custkey - 2 when c_custkey % 7 = 0 then c_custkey when c_custkey % 5 = 3 then c_custkey - c_custkey % 10 + 4 else cast(floor(c_custkey / 3) as bigint) end as string)) as parent from customer"""
+
 FIXTURES = {
+    "f_refs": (F_REFS, ["customer"]),
     "f_text": (F_TEXT, ["documents"]),
     "f_chat": (F_CHAT, ["conversations"]),
     "f_code": (F_CODE, ["documents"]),

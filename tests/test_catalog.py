@@ -213,6 +213,18 @@ def test_hierarchy_levels_and_cycles(spark):
     assert got["s"] == (0, False, True)
 
 
+def test_cycles_are_listed_with_their_members(spark):
+    pairs = [("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "x"), ("s", "s"), ("m", "n"), ("n", "o"), ("o", "m"), ("o", "p"), ("p", "n"), ("x", "m"),
+             ("w", "z"), ("m", "a"), ("e", "d"), ("d", "e"), ("d", "x"), ("e", "e")] + [(f"k{i}", f"k{(i + 1) % 12}") for i in range(12)]
+    edges = spark.createDataFrame(pairs, "child string, parent string")
+    got = {r.table_name: (r.cycle, r.cycle_size) for r in audit.cycles(edges).collect()}
+    assert got == {"x": ("x", 2), "y": ("x", 2), "d": ("d", 2), "e": ("d", 2), **{t: ("m", 4) for t in "mnop"}, **{f"k{i}": ("k0", 12) for i in range(12)}}
+    assert audit.cycles(edges.where("child = 'b'")).count() == 0
+    names = spark.createDataFrame([(t,) for t in "abcxyzswmnopde"], "table_name string")
+    rows = {r.table_name: (r.level, r.below_cycle) for r in audit.hierarchy_cycles(edges, names).collect()}
+    assert rows["c"] == (2, False) and rows["z"] == rows["w"] == (None, True) and rows["x"] == (None, False) and rows["s"] == (0, False)
+
+
 def test_inference_with_duplicate_and_case_variant_tables(spark):
     rel = cat(spark, "CREATE TABLE Dept (x INT); CREATE TABLE dept (id INT PRIMARY KEY); "
                      "CREATE TABLE dept (id INT PRIMARY KEY); CREATE TABLE emp (dept_id INT)")
