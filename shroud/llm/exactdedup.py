@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, fresh, held, save, text_or_empty
+from .common import fresh, held, save, text_or_empty
 
 #: A chunk ends at the first sentence or line end after 512 characters, the text's end, or after 4,096 characters.
 CHUNK = r"(?s)(?:.{512,4095}?(?:(?<=[\n.!?])|\z)|.{1,4096})"
@@ -86,7 +86,18 @@ def dedup_exact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that :func:`dedup_exact` keeps, and of rows that
-    repeat both id and text one (any of them), with the columns of ``docs``."""
-    d = dedup_exact(apart(docs, id_col, text_col), id_col=id_col, text_col=text_col, keep=keep).where("kept")
-    again = d.where("group_size > 1").dropDuplicates([id_col, "text_sha256"])  # one row a group, or its repeats
-    return d.where("group_size = 1").unionByName(again).select("row.*")
+    repeat both id and text one (any of them), with the columns of ``docs``.
+
+    Only ids, digests and recipes are grouped and joined; the documents
+    themselves are read again and looked up by (id, digest)."""
+    key, gone, n = fresh(docs, "key", "gone", "n")
+    d = dedup_exact(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, keep=keep)
+    # of equal texts, (id, digest) names a row, or rows that repeat
+    named = d.where("group_size > 1").groupBy(F.struct(F.col(id_col).alias("i"), F.col("text_sha256").alias("t")).alias(gone)).agg(
+        F.max("kept").alias("kept"), F.count(F.lit(1)).alias(n))
+    named = save(named.where((~F.col("kept")) | (F.col(n) > 1)), "exact-gone")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).alias("i"), F.sha2(text_or_empty(text_col), 256).alias("t")))
+    left = keyed.join(named.select(gone), keyed[key].eqNullSafe(F.col(gone)), "left_anti")
+    repeats = named.where("kept").select(gone)
+    one = keyed.join(repeats, keyed[key].eqNullSafe(F.col(gone)), "left_semi").dropDuplicates([key])
+    return left.unionByName(one).select(*[docs[c] for c in docs.columns])
