@@ -1,14 +1,16 @@
 """Personal data: base patterns, then a character-level BiLSTM-CRF.
 
 The tagger is trained in numpy from labelled spans: windows of a bounded sample
-of documents, labelled by the base patterns, and variants of those spans that
-the patterns do not match (other separators, missing plus signs, spelled-out
-signs). Texts are cut into overlapping windows; each window is decoded on its
-own, and the spans of all windows of a text are reconciled together. A span
-that reaches over a window's edges is decoded again in wider ones, until it is
-whole. Windows without a digit, an at sign or a spelled-out one (the word
-"at", or AT between small letters) hold no span by definition (every span has
-one of them) and are not scored.
+of documents, labelled by the base patterns, and spans in forms that the patterns
+do not match (other separators, missing plus signs, spelled-out signs) set
+between parts of the same documents. Texts are cut into overlapping windows;
+each window is decoded on its own, and the spans of all windows of a text are
+reconciled together. Spans that reach over a window's edges are joined to runs
+and decoded again, a run in one window with room on either side, up to
+``WIDEST`` characters: the work stays in proportion to the text, and a tagger's
+span of up to half that length is found whole. Windows without a digit, an at
+sign or a spelled-out one before a name and a dot hold no span by definition
+(every span has one of them) and are not scored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,11 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_AT = re.compile(r"(?<![A-Za-z])[Aa][Tt](?![A-Za-z])|(?<=[a-z])AT(?=[a-z])")
+# a spelled-out at sign with a name and a dot, or a spelled-out one, behind it
+_AT = re.compile(r"(?:(?<![A-Za-z])[Aa][Tt](?![A-Za-z])|(?<=[a-z0-9])AT(?=[a-z]))(?=[\])}>]?\x20{0,2}(?:[a-z0-9-]{1,64}DOT[a-z]|[A-Za-z0-9-]{1,4096}+"
+                 r"(?:\.[A-Za-z]|\x20{0,2}[\[({<]?\x20?(?:[Dd][Oo][Tt](?![a-z])|\.)[\])}>]?\x20?[A-Za-z])))")
+#: Width at which widening ends: the tagger's spans of up to half of it are found whole.
+WIDEST = 8192
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -142,10 +148,12 @@ def _lstm(p: dict, d: str, ids, keep: bool):
     steps, rows = ids.shape
     hidden = p[f"h{d}"].shape[0]
     order = range(steps) if d == "f" else range(steps - 1, -1, -1)
-    h = c = np.zeros((rows, hidden), np.float32)
-    out, memo = np.empty((steps, rows, hidden), np.float32), []
+    table, recurrent = p[f"x{d}"] + p[f"c{d}"], p[f"h{d}"]
+    h = c = np.zeros((rows, hidden), table.dtype)
+    out, memo = np.empty((steps, rows, hidden), table.dtype), []
     for t in order:
-        z = p[f"x{d}"][ids[t]] + h @ p[f"h{d}"] + p[f"c{d}"]
+        z = table[ids[t]]
+        z += h @ recurrent
         gates = _sigmoid(z[:, :3 * hidden])
         i, f, o = gates[:, :hidden], gates[:, hidden:2 * hidden], gates[:, 2 * hidden:]
         g = np.tanh(z[:, 3 * hidden:])
@@ -169,55 +177,51 @@ def emissions(p: dict, ids, keep: bool = False):
     return hs @ p["o"] + p["ob"], hs, mf, mb
 
 
-def _lse(x, axis):
-    import numpy as np
-
-    m = x.max(axis=axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
-
-
 def gradients(p: dict, ids, gold) -> tuple[float, dict]:
-    """Mean negative log-likelihood of the CRF and its gradient."""
+    """Mean negative log-likelihood of the CRF and its gradient. The sums over
+    label paths run over probabilities that are scaled to 1 in each step."""
     import numpy as np
 
     steps, rows = ids.shape
     n = len(LABELS)
     e, hs, mf, mb = emissions(p, ids, True)
-    a = p["a"] + _allowed()
-    alpha, beta = np.empty_like(e), np.zeros_like(e)
-    alpha[0] = e[0] + _FIRST()
-    for t in range(1, steps):
-        alpha[t] = _lse(alpha[t - 1][:, :, None] + a[None], 1) + e[t]
+    a = np.exp(p["a"] + _allowed())
+    top = e.max(2, keepdims=True)
+    odds = np.exp(e - top)
+    alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty_like(top)
+    now = odds[0] * np.exp(_FIRST())
+    for t in range(steps):
+        if t:
+            now = (alpha[t - 1] @ a) * odds[t]
+        scale[t] = now.sum(1, keepdims=True)
+        alpha[t] = now / scale[t]
     for t in range(steps - 2, -1, -1):
-        beta[t] = _lse(a[None] + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-    z = _lse(alpha[-1], 1)
-    unary = np.exp(alpha + beta - z[None, :, None])
-    loss = float((z - np.take_along_axis(e, gold[:, :, None], 2)[:, :, 0].sum(0)).sum())
-    da = np.zeros_like(p["a"])
-    for t in range(1, steps):
-        pair = np.exp(alpha[t - 1][:, :, None] + a[None] + (e[t] + beta[t])[:, None, :] - z[:, None, None])
-        da += pair.sum(0)
+        beta[t] = ((odds[t + 1] * beta[t + 1]) @ a.T) / scale[t + 1]
+    z = (np.log(scale) + top).sum()
+    loss = float(z - np.take_along_axis(e, gold[:, :, None], 2).sum() - p["a"][gold[:-1], gold[1:]].sum())
+    da = a * (alpha[:-1].reshape(-1, n).T @ (odds[1:] * beta[1:] / scale[1:]).reshape(-1, n))
     np.subtract.at(da, (gold[:-1].ravel(), gold[1:].ravel()), 1)
-    loss -= float(p["a"][gold[:-1], gold[1:]].sum())
-    de = unary
+    de = alpha * beta
     np.subtract.at(de, (np.arange(steps)[:, None], np.arange(rows)[None, :], gold), 1)
     de /= rows
-    g = {"a": da / rows, "o": np.einsum("trh,trl->hl", hs, de), "ob": de.sum((0, 1))}
-    dh = de @ p["o"].T
     hidden = p["hf"].shape[0]
+    g = {"a": da / rows, "o": hs.reshape(-1, 2 * hidden).T @ de.reshape(-1, n), "ob": de.sum((0, 1))}
+    dh = de @ p["o"].T
+    symbols = (ids.reshape(-1)[None] == np.arange(VOCABULARY)[:, None]).astype(e.dtype)
     for d, memo, part in (("f", mf, dh[:, :, :hidden]), ("b", mb, dh[:, :, hidden:])):
-        gx, gh, gc = np.zeros_like(p[f"x{d}"]), np.zeros_like(p[f"h{d}"]), np.zeros_like(p[f"c{d}"])
-        dn = dc = np.zeros((rows, hidden), np.float32)
+        dn = dc = np.zeros((rows, hidden), e.dtype)
+        back, states = np.empty((steps, rows, 4 * hidden), e.dtype), np.empty((steps, rows, hidden), e.dtype)
         for t, i, f, o, c_in, before, tc, was in reversed(memo):
             dt = part[t] + dn
             dc = dc + dt * o * (1 - tc * tc)
-            dz = np.concatenate([dc * c_in * i * (1 - i), dc * before * f * (1 - f), dt * tc * o * (1 - o), dc * i * (1 - c_in * c_in)], 1)
+            dz = back[t]
+            dz[:, :hidden], dz[:, hidden:2 * hidden] = dc * c_in * i * (1 - i), dc * before * f * (1 - f)
+            dz[:, 2 * hidden:3 * hidden], dz[:, 3 * hidden:] = dt * tc * o * (1 - o), dc * i * (1 - c_in * c_in)
             dc = dc * f
             dn = dz @ p[f"h{d}"].T
-            np.add.at(gx, ids[t], dz)
-            gh += was.T @ dz
-            gc += dz.sum(0)
-        g |= {f"x{d}": gx, f"h{d}": gh, f"c{d}": gc}
+            states[t] = was
+        flat = back.reshape(-1, 4 * hidden)
+        g |= {f"x{d}": symbols @ flat, f"h{d}": states.reshape(-1, hidden).T @ flat, f"c{d}": flat.sum(0)}
     return loss / rows, g
 
 
@@ -230,7 +234,8 @@ def _FIRST():
 
 def decode(p: dict, ids) -> list[list[tuple[str, int, int, float]]]:
     """Viterbi spans of each window (column of ``ids``): kind, start, end, score
-    (sum over its characters of their labels' scores above O's)."""
+    (the log-odds of the labels on it, with the steps into and out of it,
+    against O all along)."""
     import numpy as np
 
     e = emissions(p, ids)[0]
@@ -246,6 +251,9 @@ def decode(p: dict, ids) -> list[list[tuple[str, int, int, float]]]:
     for t in range(steps - 1, 0, -1):
         path[t - 1] = np.take_along_axis(back[t], path[t][:, None].astype(int), 1)[:, 0]
     gain = np.take_along_axis(e, path[:, :, None].astype(int), 2)[:, :, 0] - e[:, :, 0]
+    move = a[path[:-1], path[1:]] - a[0, 0]  # into each place but the first
+    gain[1:] += np.where(path[1:] > 0, move, 0)
+    gain[:-1] += np.where((path[:-1] > 0) & (path[1:] == 0), move, 0)
     out = []
     for r in range(rows):
         spans: list[tuple[str, int, int, float]] = []
@@ -266,43 +274,63 @@ def decode(p: dict, ids) -> list[list[tuple[str, int, int, float]]]:
 # ----------------------------------------------------------------- training
 
 
-def _variant(rng, kind: str, value: str) -> str:
-    """A span of ``kind`` with new digits and letters, now and then in a form
-    that the base patterns do not match."""
-    digits = "".join(str(d) for d in rng.integers(0, 10, 20))
-    letters = "".join(chr(97 + c) for c in rng.integers(0, 26, 24))
-    if kind == "email":
-        local, host = letters[:int(rng.integers(3, 9))], letters[10:10 + int(rng.integers(3, 9))]
-        local += "." + digits[:2] if rng.random() < 0.5 else ""
-        end = ["com", "org", "net", "de", "fr"][int(rng.integers(0, 5))]
-        at, dot = ("@", ".") if rng.random() < 0.6 else [(" [at] ", " [dot] "), (" (at) ", "."), (" @ ", ".")][int(rng.integers(0, 3))]
-        return f"{local}{digits[3] if rng.random() < 0.5 else ''}{at}{host}{dot}{end}" if rng.random() < 0.6 else value
-    if kind == "ip":
-        sep = "." if rng.random() < 0.7 else [" . ", "[.]"][int(rng.integers(0, 2))]
-        return sep.join(str(int(x)) for x in rng.integers(1, 255, 4))
-    if kind == "card":
-        sep = ["", " ", "-", "."][int(rng.integers(0, 4))]
-        return "4" + digits[:3] + sep + digits[3:7] + sep + digits[7:11] + sep + digits[11:15]
-    form = int(rng.integers(0, 5))
-    a, b, c = digits[:3], digits[3:6], digits[6:10]
-    return [f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits[:2]} {a} {b} {c}", f"{a}.{b}.{c}"][form]
+#: Forms of spans to learn; the first of each kind is the one that the base patterns match.
+FORMS = (("email", "{l}@{h}.{e}"), ("email", "{l} [at] {h} [dot] {e}"), ("email", "{l} (at) {h}.{e}"), ("email", "{l} @ {h}.{e}"), ("email", "{l}[at]{h}.{e}"),
+         ("email", "{l} AT {h} DOT {e}"), ("email", "{l} at {h} dot {e}"), ("email", "{l} (at) {h} (dot) {e}"),
+         ("ip", "{0}.{1}.{2}.{3}"), ("ip", "{0} . {1} . {2} . {3}"), ("ip", "{0}[.]{1}[.]{2}[.]{3}"), ("ip", "{0}. {1}. {2}. {3}"),
+         ("card", "{c0}{s}{c1}{s}{c2}{s}{c3}"), ("card", "{c0}.{c1}.{c2}.{c3}"), ("card", "{c0} - {c1} - {c2} - {c3}"),
+         ("phone", "+1 ({x}) {y}-{z}"), ("phone", "({x}) {y}-{z}"), ("phone", "{x}-{y}-{z}"), ("phone", "{x}.{y}.{z}"), ("phone", "+{cc} {x} {y} {z}"))
+_PLAIN = ("{d4}", "{d1},{d3}", "{d2}:{d2}", "{d1}.{d2}", "v{d1}.{d1}.{d2}", "20{d2}-0{d1}-1{d1}", "{d6}ab{d6}cdef", "AKIA{d8}QWER", "at", "(at)", "{d3}", "{d8}", "{d12}", "{d20}",
+          "{d1}.{d1}.{d1}", "{w} at the {w}. {w}", "{w} @ {w}", "{w}@", "@{w}", "{d3} {d3}", "{d2}-{d2}", "+{d2}", "{d5}.{d2}", "at {d2}:{d2}", "{w}.{w}", "dot {w}", "[{d1}]", "({d3})", "{d16}")
+
 
+def _digits(rng, n: int) -> str:
+    return "".join(map(str, rng.integers(0, 10, n)))
 
-def training_windows(texts: list[str], seed: int = 7, size: int = WINDOW, most: int = 6_000):
-    """(ids, labels), each (time, windows): for every base span one window as it
-    is and two with another span in its place; as many windows around other
-    digits or without any."""
+
+def _variant(rng, form: str, words: list[str]) -> str:
+    """A span of ``form`` with new digits and, as names, letters or words."""
+    def name(n: int) -> str:
+        if words and rng.random() < 0.5:
+            return words[int(rng.integers(0, len(words)))]
+        return "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+
+    local = name(int(rng.integers(3, 10)))
+    if rng.random() < 0.4:
+        local += ["." + _digits(rng, 2), "." + name(5), "_" + name(4), _digits(rng, 1), _digits(rng, 2)][int(rng.integers(0, 5))]
+    host = name(int(rng.integers(3, 10))) + (["." + name(5), "-" + name(4), _digits(rng, 1)][int(rng.integers(0, 3))] if rng.random() < 0.3 else "")
+    card = "4" + _digits(rng, 14)
+    card += next(c for c in "0123456789" if luhn(card + c))
+    return form.format(*map(int, rng.integers(0, 256, 4)), l=local, h=host, e=["com", "org", "net", "de", "fr", "example", "io"][int(rng.integers(0, 7))],
+                       s=["", " ", "-"][int(rng.integers(0, 3))], c0=card[:4], c1=card[4:8], c2=card[8:12], c3=card[12:],
+                       x=_digits(rng, 3), y=_digits(rng, 3), z=_digits(rng, 4), cc=_digits(rng, 2))
+
+
+def _plain(rng, words: list[str]) -> str:
+    """Numbers and signs that are nobody's."""
+    form = _PLAIN[int(rng.integers(0, len(_PLAIN)))]
+    out = re.sub(r"\{d([0-9]+)\}", lambda m: _digits(rng, int(m[1])), form)
+    return re.sub(r"\{w\}", lambda m: words[int(rng.integers(0, len(words)))] if words else "x", out)
+
+
+def training_windows(texts: list[str], seed: int = 7, size: int = 72, most: int = 8_000):
+    """(ids, labels), each (time, windows), up to ``most``: in turn a window
+    with a span of each of FORMS between parts of a text without spans, one
+    around base spans as they stand, and two without any, with other numbers
+    and signs in half of them."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
     xs, ys = [], []
+    spans = {k: base_spans(t) for k, t in enumerate(texts)}
+    some = [k for k, v in spans.items() if v]
+    words = sorted({w for t in texts[:300] for w in re.findall(r"\b[a-z]{3,10}\b", t)})
 
-    def add(text: str, spans: list[Span]) -> None:
-        ids = np.full(size, PAD, np.uint8)
-        y = np.zeros(size, np.int64)
+    def add(text: str, found: list[Span]) -> None:
+        ids, y = np.full(size, PAD, np.uint8), np.zeros(size, np.int64)
         e = encode(text[:size])
         ids[:len(e)] = e
-        for kind, s, t in spans:
+        for kind, s, t in found:
             if t <= size:
                 y[s] = LABELS.index(f"B-{kind}")
                 y[s + 1:t] = LABELS.index(f"I-{kind}")
@@ -311,47 +339,49 @@ def training_windows(texts: list[str], seed: int = 7, size: int = WINDOW, most:
         xs.append(ids)
         ys.append(y)
 
-    for text in texts:
-        spans = base_spans(text)
-        for kind, s, t in spans[:8]:
-            if t - s > size // 2:
-                continue
-            at = max(0, s - int(rng.integers(0, size - (t - s))))
-            others = [(k, a - at, b - at) for k, a, b in spans if a >= at and b <= at + size]
-            clash = any(a < d and c < b for i, (_, a, b) in enumerate(others) for _, c, d in others[i + 1:])
-            if not clash and not any(a < at < b or a < at + size < b for _, a, b in spans):
-                add(text[at:at + size], others)
-            for _ in range(2):
-                new = KINDS[int(rng.integers(0, 4))]
-                value = _variant(rng, new, text[s:t] if new == kind else "x1@a.com")
-                left = text[max(0, s - int(rng.integers(5, 40))):s]
-                right = text[t:t + size]
-                if not base_spans(left) and not base_spans(right):
-                    add(left + value + right, [(new, len(left), len(left) + len(value))])
-        for _ in range(2):
-            numbers = [m.start() for m in re.finditer("[0-9]+", text)]
-            at = int(rng.choice(numbers)) if numbers and rng.random() < 0.7 else int(rng.integers(0, max(1, len(text))))
-            at = max(0, at - int(rng.integers(0, size)))
-            part = text[at:at + size]
-            if not any(a < at + size and b > at for _, a, b in spans):
-                if rng.random() < 0.5:  # numbers that are nobody's
-                    where = int(rng.integers(0, len(part) + 1))
-                    digits = "".join(str(d) for d in rng.integers(0, 10, 12))
-                    word = [digits[:4], f"{digits[:1]},{digits[1:4]}", f"{digits[:2]}:{digits[2:4]}", f"{digits[:1]}.{digits[1:3]}",
-                            f"v{digits[:1]}.{digits[1:2]}.{digits[2:3]}", "20" + digits[:2] + "-0" + digits[2:3] + "-1" + digits[3:4],
-                            digits[:6] + "ab" + digits[6:12] + "cdef", "AKIA" + digits[:8] + "QWER", "at"][int(rng.integers(0, 9))]
-                    part = (part[:where] + " " + word + " " + part[where:])[:size]
-                    if base_spans(part):
-                        continue
+    def piece(n: int) -> str:
+        """``n`` characters of some text, without a span and, mostly, from a word's start."""
+        for _ in range(4):
+            k = int(rng.integers(0, len(texts)))
+            at = int(rng.integers(0, max(1, len(texts[k]) - n)))
+            if not any(s < at + n and e > at for _, s, e in spans[k]):
+                return texts[k][at:at + n]
+        return ""
+
+    while texts and len(xs) < most:
+        for kind, form in FORMS:
+            value = _variant(rng, form, words)
+            left, right = piece(int(rng.integers(0, size - 20))), piece(size)
+            left = left[:max(0, size - len(value) - int(rng.integers(0, 8)))]
+            # beside a span stands what is no part of one
+            left = re.sub(r"[^\s(\"'=:,;<>]*$", "", left) if rng.random() < 0.9 else re.sub(r"[A-Za-z0-9@._%+-]*$", "", left)
+            right = [" ", " ", ", ", ". ", "\n", ") ", "; "][int(rng.integers(0, 7))] + right.lstrip()
+            left, right = left if rng.random() < 0.9 else "", right if rng.random() < 0.85 else ""  # a text's start or end
+            left = left if rng.random() < 0.8 else left.rsplit("\n", 1)[-1][-int(rng.integers(4, 24)):]
+            if not base_spans(left) and not base_spans(right):
+                add(left + value + right, [(kind, len(left), len(left) + len(value))])
+        if some:
+            for _ in range(5):
+                k = some[int(rng.integers(0, len(some)))]
+                _, s, t = spans[k][int(rng.integers(0, len(spans[k])))]
+                at = max(0, s - int(rng.integers(0, max(1, size - (t - s)))))
+                inside = [(x, a - at, b - at) for x, a, b in spans[k] if a >= at and b <= at + size]
+                clash = any(a < d and c < b for i, (_, a, b) in enumerate(inside) for _, c, d in inside[i + 1:])
+                if not clash and not any(a < at < b or a < at + size < b for _, a, b in spans[k]):
+                    add(texts[k][at:at + size], inside)
+        for _ in range(len(FORMS)):
+            part = piece(size)
+            if rng.random() < 0.7:
+                where = int(rng.integers(0, len(part) + 1))
+                part = (part[:where] + " " + _plain(rng, words) + " " + part[where:])[:size]
+            if not base_spans(part):
                 add(part, [])
-        if len(xs) >= most:
-            break
     if not xs:
         add("", [])
-    return np.stack(xs, 1), np.stack(ys, 1)
+    return np.stack(xs[:most], 1), np.stack(ys[:most], 1)
 
 
-def fit(ids, gold, *, hidden: int = 16, steps: int = 240, rows: int = 64, rate: float = 0.02, seed: int = 3) -> dict:
+def fit(ids, gold, *, hidden: int = 24, steps: int = 1600, rows: int = 64, rate: float = 0.015, seed: int = 3) -> dict:
     """Train by Adam on batches of windows; the same input, the same model."""
     import numpy as np
 
@@ -372,19 +402,22 @@ def fit(ids, gold, *, hidden: int = 16, steps: int = 240, rows: int = 64, rate:
 
 
 def sample_texts(docs: DataFrame, *, id_col: str, text_col: str, limit: int, characters: int) -> list[str]:
-    """Excerpts of ``characters`` around the first at sign, plus sign or digit,
-    of the at most ``limit`` documents with the smallest hashes of their ids
-    (those that have such a sign; the ids are broadcast, few by that bound)."""
+    """An excerpt of ``characters`` of each of the at most ``limit`` documents
+    with the smallest hashes of their ids (broadcast, few by that bound): around
+    the first at sign, plus sign or digit of every other one, from a place that
+    the id's hash chooses in the rest."""
     ids = smallest_hashes(docs.select(F.col(id_col).alias("id")).where("id is not null").distinct(), limit)
-    t = text_or_empty(text_col)
+    t, h = text_or_empty(text_col), F.xxhash64("id", F.lit("place"))
     first = F.regexp_instr(t, F.lit("[0-9@+]"))
-    part = F.when(first > 0, F.substr(t, F.greatest(first - characters // 2, F.lit(1)), F.lit(characters))).otherwise("")
+    around = F.greatest(first - characters // 2, F.lit(1))
+    anywhere = (F.pmod(h, F.greatest(F.length(t) - characters, F.lit(1))) + 1).cast("int")
+    part = F.substr(t, F.when((first > 0) & (F.pmod(F.xxhash64(h), F.lit(2)) == 0), around).otherwise(anywhere), F.lit(characters))
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col)).join(F.broadcast(ids), "id")
             .select("id", part.alias("part")).where("part <> ''").groupBy("id").agg(F.min("part").alias("part")).collect())
     return [r["part"] for r in sorted(rows, key=lambda r: (str(r["id"]), r["part"]))][:limit]
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 6_000, characters: int = 600,
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 3_000, characters: int = 600,
           **how) -> dict:
     """The tagger, from the excerpts of at most ``limit`` documents of ``characters`` of ``docs``
     each (the documented bound of the sample). Without any it is trained on empty
@@ -437,7 +470,30 @@ def reconcile(found: list[tuple[str, int, int, float]]) -> list[Span]:
     return out[::-1]
 
 
-def find_spans(p: dict, texts: list[str], *, rows: int = 2048, min_score: float = 6.0) -> list[list[tuple[str, int, int, bool]]]:
+def _runs(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(text, start, end) with those that overlap or touch joined."""
+    out: list[tuple[int, int, int]] = []
+    for d, s, e in sorted(spans):
+        if out and out[-1][0] == d and s <= out[-1][2]:
+            out[-1] = (d, out[-1][1], max(e, out[-1][2]))
+        else:
+            out.append((d, s, e))
+    return out
+
+
+def _batches(windows: list[tuple[int, int, int]], cells: int) -> Iterator[list]:
+    """Windows (text, start, width) of like width, up to ``cells`` characters together."""
+    part: list = []
+    for w in sorted(windows, key=lambda x: (x[2], x)):
+        if part and (w[2] > 1.5 * part[0][2] or (len(part) + 1) * w[2] > cells):
+            yield part
+            part = []
+        part.append(w)
+    if part:
+        yield part
+
+
+def find_spans(p: dict, texts: list[str], *, rows: int = 2048, min_score: float = 0.5) -> list[list[tuple[str, int, int, bool]]]:
     """All spans of each text, by start, then kind: the base ones (True), and
     the tagger's that overlap none of them."""
     import numpy as np
@@ -453,27 +509,35 @@ def find_spans(p: dict, texts: list[str], *, rows: int = 2048, min_score: float
             if hits[0] < WINDOW and (k < 0).any() and (not len(places) or places[-1][0] != d):
                 places.append((d, 0))
     found: dict[int, list] = {}
-    width = WINDOW
-    while places:
-        cut = set()
-        step = max(1, rows * WINDOW // width)
-        for i in range(0, len(places), step):
-            part = places[i:i + step]
+    margin, windows = WINDOW, [(d, at, WINDOW) for d, at in places]
+    while windows:
+        cut: list[tuple[int, int, int]] = []
+        for part in _batches(windows, rows * WINDOW):
+            width = max(w for _, _, w in part)
             ids = np.full((width, len(part)), PAD, np.uint8)
-            for r, (d, at) in enumerate(part):
-                piece = code[d][at:at + width]
+            for r, (d, at, w) in enumerate(part):
+                piece = code[d][at:at + w]
                 ids[:len(piece), r] = piece
-            for (d, at), spans in zip(part, decode(p, ids), strict=True):
+            for (d, at, w), spans in zip(part, decode(p, ids), strict=True):
                 n = len(code[d])
                 for kind, s, e, score in spans:
-                    # a span at a window's inner edge is another window's, or too long for any of this width
-                    if (s == 0 and at > 0) or (e == width and at + width < n):
-                        if e - s >= WINDOW // 2 and _may_grow(kind, texts[d][at + s:at + e]):
-                            cut.add((d, at + s, at + e))
+                    # a span at a window's inner edge is another window's, or too long for this one
+                    if (s == 0 and at > 0) or (e >= w and at + w < n):
+                        if e - s >= WINDOW // 2 and _may_grow(kind, texts[d][at + s:at + min(e, w)]):
+                            cut.append((d, at + s, at + min(e, w)))
                     elif at + e <= n and score >= min_score:
                         found.setdefault(d, []).append((kind, at + s, at + e, score))
-        width *= 2
-        places = sorted({(d, max(0, s + e - width) // 2 // STRIDE * STRIDE) for d, s, e in cut})
+        # spans that touch are one run, decoded whole with a margin on either side; wider in each round
+        windows = []
+        for d, s, e in _runs(cut):
+            at, end = max(0, s - margin), min(len(code[d]), e + margin)
+            if end - at <= WIDEST:
+                windows.append((d, at, end - at))
+            elif margin < WIDEST:  # too long for one span: windows that overlap by half, for those inside it
+                windows += [(d, x, min(WIDEST, end - x)) for x in range(at, max(at + 1, end - WIDEST // 2), WIDEST // 2)]
+        margin = WIDEST if any(w == WIDEST for _, _, w in windows) else margin * 4
+        if margin > 4 * WIDEST:
+            break
     out = []
     for d, text in enumerate(texts):
         base = base_spans(text)
@@ -506,9 +570,11 @@ def find_pii(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col:
     text, by start, then kind; code points, end exclusive.
 
     Base spans always stay; the tagger's are added where they overlap none.
-    Defined cases: a null or empty text has no spans; rows that repeat are
-    searched alike; an empty table gives no rows; other columns are not read.
-    The model (some 20 KB) is broadcast."""
+    Defined cases: a null or empty text has no spans; a very long text is
+    searched whole, in time that grows with its length; rows that repeat are
+    searched alike; of spans that overlap the set with the best scores stays; an
+    empty table gives no rows; other columns are not read. The model (some 50 KB)
+    is broadcast."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
