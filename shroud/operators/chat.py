@@ -2,8 +2,8 @@
 render prompts, build request envelopes and parse model responses.
 
 Everything is Column expressions and one keyed aggregation (assembly). The
-only per-group collection is a request's own message list, and only for
-requests under the body-size cap, so no group can grow past that cap.
+only per-group collection is a request's own message list: a request is one
+row, whole, and ``oversize`` tells whether it is above the body-size cap.
 """
 
 from __future__ import annotations
@@ -149,6 +149,12 @@ def assemble_requests(messages: DataFrame, key: str = "conv_id", order: str = "t
         *(["temperature"] if temperature else []))
 
 
+def parse_body(body: Column) -> Column:
+    """The ``messages`` of a JSON request body; null where the body has none,
+    or something other than an array, or is no JSON."""
+    return F.from_json(body, "messages ARRAY<STRUCT<role: STRING, content: STRING>>")["messages"]
+
+
 def is_valid(messages: Column) -> Column:
     """Messages must be present and an array (an empty array is valid)."""
     return messages.isNotNull()

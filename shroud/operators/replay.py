@@ -96,6 +96,15 @@ class Catalog(Mapping):
             last("drop_table").alias("wiped"), last("truncate").alias("emptied"))
         return written(per, "catalog-lives")
 
+    @cached_property
+    def _last(self) -> int | None:
+        """The log's largest statement number, if none is negative."""
+        low, high = self.log.agg(F.min("seq"), F.max("seq")).first()
+        return high if low is not None and low >= 0 else None
+
+    def _next(self, points: DataFrame, events: DataFrame, keys: list[str], payload: list[str], name: str = "next", inclusive: bool = False) -> DataFrame:
+        return next_event(points, events, keys, payload, name, inclusive, last=self._last)
+
     def _events(self, *ops: str) -> DataFrame:
         return self.log.where(F.col("op").isin(*ops))
 
@@ -113,7 +122,7 @@ class Catalog(Mapping):
         made = (self._events("create_table", "create_view").join(self.lives, _TABLE).where(after(F.col("at"), F.col("gone")))
                 .select(*_TABLE, "seq", "sub", "at", "emptied", F.when(F.col("op") == "create_table", F.lit("TABLE")).otherwise(F.col("value")).alias("table_type")))
         first = made.groupBy(*_TABLE).agg(F.min("at").alias("first"))
-        stamped = next_event(made, self._events("create_schema"), ["script_id"], ["value"])
+        stamped = self._next(made, self._events("create_schema"), ["script_id"], ["value"])
         return stamped.join(first, _TABLE).select(
             "script_id", F.col("table_name").alias("name"), F.col("next.value").alias("schema"), "table_type",
             F.when((F.col("at") == F.col("first")) & (F.col("emptied") > F.col("at")), F.lit(0)).cast("long").alias("estimated_rows"),
@@ -144,7 +153,9 @@ class Catalog(Mapping):
         points = (self._named(adds, "column_name", F.lit(True).alias("added"))
                   .unionByName(self._named(renames, "value", F.lit(False).alias("added"))))
         ends = self._named(renames.unionByName(drops), "column_name", "op")
-        held = written(next_event(points, ends, _NAME, ["op"]).withColumn("id", _id()), "catalog-held")
+        held = written(self._next(points, ends, _NAME, ["op"]).withColumn("id", _id()), "catalog-held")
+        if held.where("next.op = 'rename_column'").isEmpty():
+            return held.where("added").select(F.col("id").alias("column"), *_NAME, at().alias("start"), "next")
         passed = None
         while True:
             to = held.withColumn("to", self._onward()).where("to IS NOT NULL")
@@ -155,7 +166,7 @@ class Catalog(Mapping):
             if crowded.isEmpty():
                 break
             if passed is None:  # what follows a rename for those that do not get it
-                passed = written(next_event(self._named(renames, "column_name"), ends, _NAME, ["op"])
+                passed = written(self._next(self._named(renames, "column_name"), ends, _NAME, ["op"])
                                  .select(_id().alias("to"), F.col("next").alias("later")), "catalog-passed")
             rooted = (to.join(crowded.select("to"), "to").join(reached.withColumnRenamed("node", "id"), "id", "left")
                       .select("id", "to", F.when(F.col("added"), F.col("id")).otherwise(F.col("start")).alias("root")))
@@ -176,9 +187,11 @@ class Catalog(Mapping):
         renames = self._standing("rename_column")
         nodes = self._named(renames, "value")
         ends = self._named(renames.unionByName(self._standing("drop_column")), "column_name", "op")
-        held = written(next_event(tokens.unionByName(nodes, allowMissingColumns=True), ends, _NAME, ["op"])
+        held = written(self._next(tokens.unionByName(nodes, allowMissingColumns=True), ends, _NAME, ["op"])
                        .withColumns({"id": _id(), "to": self._onward()}), "catalog-tokens")
         first, later = held.where("owner IS NOT NULL"), held.where("owner IS NULL")
+        if first.where("to IS NOT NULL").isEmpty():
+            return first.select("owner", "place", *_NAME, at().alias("since"), "next")
         reached = chains(first.where("to IS NOT NULL").select(F.struct("owner", "place").alias("start"), F.col("to").alias("node")),
                          later.select(F.col("id").alias("node"), F.col("to").alias("next")), "catalog-chains")
         more = (reached.withColumnRenamed("node", "id").join(later.drop("owner", "place"), "id")
@@ -211,7 +224,7 @@ class Catalog(Mapping):
         """All constraints since their table's last DROP, with ``owner`` and the DROP CONSTRAINT that took them."""
         made = self._standing("add_constraint").select(*_TABLE, F.col("value").alias("name"), "seq", "sub", "at", "constraint_type", "reference_table", "reference_columns",
                                                        F.coalesce("columns", F.array().cast("array<string>")).alias("columns"), _id().alias("owner"))
-        return written(next_event(made, self._named(self._standing("drop_constraint"), "value"), _NAME, [], "dropped"), "catalog-constraints")
+        return written(self._next(made, self._named(self._standing("drop_constraint"), "value"), _NAME, [], "dropped"), "catalog-constraints")
 
     @cached_property
     def _constraint_traces(self) -> DataFrame:
@@ -292,7 +305,7 @@ class Catalog(Mapping):
         gaps = (spans.withColumns({"gap": F.max("to").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "again": F.lead("from").over(w)})
                 .where((F.col("gap") < ever) & (F.col("again").isNull() | (F.col("gap") < F.col("again")))))
         points = gaps.select("column.script_id", "column.table_name", "gap.seq", "gap.sub", "column", "kind", "again")
-        hit = next_event(points, self._current("drop_constraint").select(*_TABLE, "seq", "sub"), _TABLE, [], inclusive=True)
+        hit = self._next(points, self._current("drop_constraint").select(*_TABLE, "seq", "sub"), _TABLE, [], inclusive=True)
         return (hit.where(F.col("next").isNotNull() & (F.col("again").isNull() | (_time("next") < F.col("again"))))
                 .select("column", "kind", F.lit(True).alias("cleared")).distinct())
 

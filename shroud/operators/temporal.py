@@ -25,7 +25,7 @@ def after(time: Column, border: Column) -> Column:
 
 
 def next_event(points: DataFrame, events: DataFrame, keys: list[str], payload: list[str], name: str = "next",
-               inclusive: bool = False, width: int = WIDTH) -> DataFrame:
+               inclusive: bool = False, width: int = WIDTH, last: int | None = None) -> DataFrame:
     """``points`` with ``name``: struct(seq, sub, *payload) of the first of
     ``events`` with the same ``keys`` behind (``inclusive``: or at) the point's
     ``seq, sub``; null where there is none.
@@ -34,7 +34,8 @@ def next_event(points: DataFrame, events: DataFrame, keys: list[str], payload: l
     the last one seen in falling order; past it, the first event of the next
     bucket that has one, found among one row per bucket. So no task holds more
     of a key than a bucket, and no pair of a point and an event is formed but
-    the one that is returned."""
+    the one that is returned. Where the largest statement number (from 0 on) is
+    known as ``last`` and lies in the first bucket, there is no other."""
     event = F.struct("seq", "sub", *payload)
     p = points.select(*keys, "seq", "sub", F.struct(*points.columns).alias("point"))
     e = events.select(*keys, "seq", "sub", event.alias("event"))
@@ -45,6 +46,8 @@ def next_event(points: DataFrame, events: DataFrame, keys: list[str], payload: l
                .orderBy(F.desc("seq"), F.desc("sub"), tie.asc() if inclusive else tie.desc())
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     near = both.withColumn("near", F.last("event", ignorenulls=True).over(falling)).where("point IS NOT NULL")
+    if last is not None and last < width:
+        return near.select("point.*", F.col("near").alias(name))
     buckets = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     later = (both.groupBy(*keys, "bucket").agg(F.min("event").alias("first"))
              .select(*keys, "bucket", F.last("first", ignorenulls=True).over(buckets).alias("later")))

@@ -110,6 +110,41 @@ def chat_admission_fchat(spark, sf_dir):
                     F.col("n").alias("window_position"))
 
 
+# --- X2 + X8: request bodies of every status --------------------------------------
+# Each client sends 25 requests, one a second. Some bodies have no messages, or
+# no list of them, or an empty one; some messages have no content.
+
+_BAD_BODIES = {4: '{"prompt":"hi"}', 5: '{"messages":"none"}', 6: '{"messages":[]}', 8: '{"messages":'}
+
+_BODIES_ORACLE = f"""WITH {FX.cte('f_chat')},
+m AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 7 = 3 AND turn = 1 THEN NULL ELSE content END AS content FROM f_chat),
+r AS (SELECT conv_id, list(struct_pack(role := role, content := {O.sanitize_sql('content')}) ORDER BY turn) AS msgs, bool_or(content IS NULL) AS bad FROM m GROUP BY conv_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id // 25 ORDER BY conv_id) AS n FROM r),
+s AS (SELECT *, CASE WHEN n > {limiter.POINTS} THEN 429 WHEN conv_id % 9 IN (4, 5, 8) THEN 400 WHEN conv_id % 9 = 6 THEN 200 WHEN bad THEN 500 ELSE 200 END AS status FROM n)
+SELECT conv_id, CAST(status AS INTEGER) AS status, n AS window_position, CASE WHEN status = 200 THEN CASE WHEN conv_id % 9 = 6 THEN 0 ELSE len(msgs) END END AS n_messages,
+       CASE WHEN status = 200 THEN substr(sha256(CASE WHEN conv_id % 9 = 6 THEN '[]' ELSE CAST(to_json(msgs) AS VARCHAR) END), 1, 16) END AS fingerprint FROM s"""
+
+
+@register("chat_statuses_fchat", _BODIES_ORACLE, "X2 X3 X6 X8")
+def chat_statuses_fchat(spark, sf_dir):
+    msgs = FX.fixture(spark, sf_dir, "f_chat")
+    msgs = msgs.withColumn("content", F.when((F.col("conv_id") % 7 != 3) | (F.col("turn") != 1), F.col("content")))
+    r = chat.assemble_requests(msgs)
+    body = F.to_json(F.struct("messages"), {"ignoreNullFields": "false"})
+    for k, bad in _BAD_BODIES.items():
+        body = F.when(F.col("conv_id") % 9 == k, F.lit(bad)).otherwise(body)
+    r = r.select("conv_id", body.alias("body")).select("conv_id", chat.parse_body(F.col("body")).alias("messages"))
+    arrivals = table(spark, sf_dir, "conversations").select("conv_id").distinct().select(
+        "conv_id", F.floor(F.col("conv_id") / 25).alias("client"), F.timestamp_seconds("conv_id").alias("ts"))
+    adm = limiter.admission(arrivals, key="client", ts="ts", id_col="conv_id",
+                            points=limiter.POINTS, duration_seconds=limiter.DURATION_SECONDS)
+    st = chat.status(F.col("admitted"), F.col("messages"))
+    j = r.join(adm.select("conv_id", "n", "admitted"), "conv_id").withColumn("status", st)
+    fine = F.col("status") == 200
+    return j.select("conv_id", "status", F.col("n").alias("window_position"), F.when(fine, F.size("messages")).cast("long").alias("n_messages"),
+                    F.when(fine, chat.fingerprint(chat.sanitize_messages(F.col("messages")))).alias("fingerprint"))
+
+
 # --- X9: response sanitizing ------------------------------------------------------
 
 @register("chat_response_fchat", f"""WITH {FX.cte('f_chat')}
