@@ -1,11 +1,13 @@
 """Code-corpus mining over ``(path, content)`` rows.
 
-Facts are derived from lines with native regex, higher-order functions,
-windows and joins. One small helper runs in Python: the indentation walk that
-tells, for every line, which block headers enclose it (a stack over a file's
-lines — linear, but not expressible with built-in functions without quadratic
-array rebuilding). It is an Arrow-batched pandas UDF over the ``content``
-column: each file is already one row, so no group is ever collected.
+Facts are arrays on the file's own row, built with native regex and
+higher-order functions and exploded at the end: nothing is shuffled before the
+dependency edges and the corpus report. One small helper runs in Python: the
+indentation walk that gives every logical line its parent and every block its
+last line (a stack over a file's lines — linear, but not expressible with
+built-in functions without quadratic array rebuilding). It is an Arrow-batched
+pandas UDF over the ``content`` column: each file is already one row, so no
+group is ever collected.
 
 Regex facts see code inside strings and comments too; they are not an AST
 (see README). Functions, classes and assignments are read from logical lines
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir, ship_package
+from ..session import ship_package
 
 # ---------------------------------------------------------------------------
 # Fixed values (must match the reference's behaviour).
@@ -97,8 +99,9 @@ def _items(c: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(c, F.lit(ARGUMENT), F.lit(1)), lambda x: _strip(x)), lambda x: x != "")
 
 
-def file_metrics(files: DataFrame) -> DataFrame:
-    """C1, C8, C9, C20, C21 per file, with no shuffle (array functions per row).
+def file_metrics(files: DataFrame, *keep: str) -> DataFrame:
+    """C1, C8, C9, C20, C21 per file, with no shuffle (array functions per row);
+    columns of ``keep`` go along.
 
     Python files get line, comment, def, class, import counts and branch
     complexity; other files get their line count only; NULL content gives an
@@ -127,7 +130,7 @@ def file_metrics(files: DataFrame) -> DataFrame:
         when_py(count(lambda l: l.rlike(r"^\s*class\s"))).alias("class_count"),
         when_py(count(lambda l: l.rlike(r"^\s*(import\s|from\s+\S+\s+import\b)"))).alias("import_count"),
         when_py(F.lit(1) + branches + comp).cast("long").alias("cyclomatic_complexity"),
-        F.when(F.col("content").isNull(), F.lit("unreadable content")).alias("error"))
+        F.when(F.col("content").isNull(), F.lit("unreadable content")).alias("error"), *keep)
 
 
 def code_lines(files: DataFrame) -> DataFrame:
@@ -139,28 +142,31 @@ def code_lines(files: DataFrame) -> DataFrame:
                     F.length(F.regexp_extract("text", r"^([ \t]*)", 1)).alias("indent")))
 
 
+def fragment_facts(content: Column) -> Column:
+    """C2–C4 of one file: array of struct(line_no, pattern_no, match_no, query,
+    query_type, table_name, context) in order of line, pattern, match."""
+    lines = F.filter(F.transform(F.split(content, "\n", -1), lambda t, i: F.struct((i + 1).alias("line_no"), t.alias("text"))),
+                     lambda x: x["text"].rlike(r"(?i)select|insert|update|delete|create|drop"))
+
+    def one(x: Column, k: int) -> Column:
+        table = rf"(?i)^UPDATE\s+({W}+)" if k == 2 else rf"({W}+)$"
+        return F.transform(F.regexp_extract_all(x["text"], F.lit(SQL_PATTERNS[k]), 0), lambda q, i: F.struct(
+            x["line_no"].alias("line_no"), F.lit(k + 1).alias("pattern_no"), (i + 1).alias("match_no"), _strip(q).alias("query"),
+            F.lit(SQL_TYPES[k]).alias("query_type"), F.regexp_extract(q, table, 1).alias("table_name"), _strip(x["text"]).alias("context")))
+
+    return F.flatten(F.transform(lines, lambda x: F.flatten(F.array(*[one(x, k) for k in range(len(SQL_PATTERNS))]))))
+
+
 def sql_fragments(files: DataFrame) -> DataFrame:
     """SQL fragments found per line of Python files.
 
     Row per match: (path, line_no, pattern_no, match_no, query, query_type,
     table_name, context); order is line, pattern, match."""
-    ln = code_lines(files).where(F.col("kind") == "python")
-    found = F.array(*[F.struct(F.lit(i + 1).alias("pattern_no"),
-                               F.regexp_extract_all(F.col("text"), F.lit(p), 0).alias("m"))
-                      for i, p in enumerate(SQL_PATTERNS)])
-    types = F.array(*[F.lit(t) for t in SQL_TYPES])
-    q = F.col("query")
-    return (ln.where(F.col("text").rlike(r"(?i)select|insert|update|delete|create|drop"))
-            .select("path", "line_no", F.col("stripped").alias("context"), F.inline(found))
-            .select("path", "line_no", "context", "pattern_no",
-                    F.posexplode("m").alias("pos", "query"))
-            .select("path", "line_no", "pattern_no", (F.col("pos") + 1).alias("match_no"),
-                    _strip(q).alias("query"),
-                    F.element_at(types, F.col("pattern_no")).alias("query_type"),
-                    F.when(F.col("pattern_no") == 3,
-                           F.regexp_extract(q, rf"(?i)^UPDATE\s+({W}+)", 1))
-                    .otherwise(F.regexp_extract(q, rf"({W}+)$", 1)).alias("table_name"),
-                    "context"))
+    return _python(files).select("path", F.inline(fragment_facts(F.col("content"))))
+
+
+def _python(files: DataFrame) -> DataFrame:
+    return files.where(file_kind(F.col("path")) == "python")
 
 
 IMPORT_LINE = r"^\s*(?:import|from)\s"
@@ -169,37 +175,41 @@ FROM_IMPORT = r"^\s*from\s+\.*([\p{L}\p{N}_.]*)\s+import\s*(?:\(([^)]*)|([^\n]*)
 OPEN_LIST = r"import\s*\([^)]*$"
 
 
-def imports(files: DataFrame) -> DataFrame:
-    """One row per ``import a as b`` alias, one per ``from m import x, y``.
-
-    (path, line_no, module, names, alias); ``from . import x`` (no module) is
-    skipped. A list in parentheses may go on over further lines; comments are
-    cut. Array functions on the file's row; only its imports are exploded."""
-    ls = F.col("_lines")
-    py = (files.where(file_kind(F.col("path")) == "python")
-          .select("path", F.split(F.col("content"), "\n", -1).alias("_lines")))
+def import_facts(content: Column) -> Column:
+    """C5, C6 of one file: array of struct(line_no, module, names, alias), one
+    per ``import a as b`` alias and per ``from m import x, y``. A list in
+    parentheses may go on over further lines; comments are cut."""
+    ls = F.split(content, "\n", -1)
     found = F.filter(F.transform(ls, lambda t, i: F.struct((i + 1).alias("line_no"), t.alias("text"))),
                      lambda x: x["text"].rlike(IMPORT_LINE))
     whole = F.transform(found, lambda x: F.struct(x["line_no"].alias("line_no"), F.regexp_replace(
         F.when(x["text"].rlike(OPEN_LIST), F.array_join(F.slice(ls, x["line_no"], F.size(ls)), "\n")).otherwise(x["text"]),
         r"#[^\n]*", "").alias("text")))
-    ln = py.select("path", F.inline(whole))
-    plain = (ln.where(F.col("text").rlike(r"^\s*import\s"))
-             .select("path", "line_no", F.explode(F.split(F.regexp_extract("text", PLAIN_IMPORT, 1), r",")).alias("item"))
-             .select("path", "line_no",
-                     F.regexp_extract("item", r"^\s*([\p{L}\p{N}_.]+)", 1).alias("module"),
-                     F.nullif(F.regexp_extract("item", r"\sas\s+([\p{L}\p{N}_]+)", 1), F.lit(""))
-                     .alias("alias"))
-             .where(F.col("module") != "")
-             .select("path", "line_no", "module", F.array("module").alias("names"), "alias"))
-    listed = F.concat(F.regexp_extract("text", FROM_IMPORT, 2), F.regexp_extract("text", FROM_IMPORT, 3))
-    names = F.filter(F.transform(F.split(listed, ","), lambda x: F.regexp_extract(x, r"^\s*([\p{L}\p{N}_*]+)", 1)),
-                     lambda x: x != "")
-    frm = (ln.where(F.col("text").rlike(r"^\s*from\s+\.*[\p{L}\p{N}_.]*\s+import\b"))
-           .select("path", "line_no", F.regexp_extract("text", FROM_IMPORT, 1).alias("module"),
-                   names.alias("names"), F.lit(None).cast("string").alias("alias"))
-           .where(F.col("module") != ""))
-    return plain.unionByName(frm)
+
+    def plain(x: Column) -> Column:
+        return F.transform(F.split(F.regexp_extract(x["text"], PLAIN_IMPORT, 1), ","), lambda item: F.struct(
+            x["line_no"].alias("line_no"), F.regexp_extract(item, r"^\s*([\p{L}\p{N}_.]+)", 1).alias("module"),
+            F.array(F.regexp_extract(item, r"^\s*([\p{L}\p{N}_.]+)", 1)).alias("names"),
+            F.nullif(F.regexp_extract(item, r"\sas\s+([\p{L}\p{N}_]+)", 1), F.lit("")).alias("alias")))
+
+    def listed(x: Column) -> Column:
+        items = F.concat(F.regexp_extract(x["text"], FROM_IMPORT, 2), F.regexp_extract(x["text"], FROM_IMPORT, 3))
+        names = F.filter(F.transform(F.split(items, ","), lambda y: F.regexp_extract(y, r"^\s*([\p{L}\p{N}_*]+)", 1)), lambda y: y != "")
+        return F.array(F.struct(x["line_no"].alias("line_no"), F.regexp_extract(x["text"], FROM_IMPORT, 1).alias("module"), names.alias("names"),
+                                F.lit(None).cast("string").alias("alias")))
+
+    none = F.array().cast("array<struct<line_no:int,module:string,names:array<string>,alias:string>>")
+    each = F.transform(whole, lambda x: F.when(x["text"].rlike(r"^\s*import\s"), plain(x)).when(
+        x["text"].rlike(r"^\s*from\s+\.*[\p{L}\p{N}_.]*\s+import\b"), listed(x)).otherwise(none))
+    return F.filter(F.flatten(each), lambda x: x["module"] != "")
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """One row per ``import a as b`` alias, one per ``from m import x, y``.
+
+    (path, line_no, module, names, alias); ``from . import x`` (no module) is
+    skipped. Array functions on the file's row; only its imports are exploded."""
+    return _python(files).select("path", F.inline(import_facts(F.col("content"))))
 
 
 def dependencies(files: DataFrame) -> DataFrame:
@@ -225,18 +235,20 @@ def _masked(text: str) -> tuple[str, str]:
 
 
 def _walk_blocks(text: str | None) -> list[dict] | None:
-    """Per logical line: its text (continuation lines joined, comments cut) and
-    the header lines that enclose it (outermost first).
+    """The logical lines (continuation lines joined, comments cut), each with the
+    place of the header that encloses it (``parent``, -1 without) and of the last
+    line of its own block (``last``), the decorator lines right before it, and
+    whether it is ``visited`` and ``in_class`` (see :func:`structured_lines`).
 
     A logical line goes on while a bracket or a string is open, or after a
-    backslash. An indentation stack gives each line its ancestors."""
+    backslash. An indentation stack gives each line its parent."""
     if text is None:
         return None
     plain, code = _masked(text)
     out: list[dict] = []
-    stack: list[tuple[int, int, str]] = []        # (indent, line_no, kind)
+    stack: list[tuple[int, int]] = []        # (indent, place)
     parts: list[str] = []
-    at, no, first, depth = 0, 1, 1, 0
+    at, no, first, depth, decorators = 0, 1, 1, 0, 0
     for raw in code.split("\n"):
         if not parts:
             first = no
@@ -252,21 +264,26 @@ def _walk_blocks(text: str | None) -> list[dict] | None:
             continue
         indent = len(line) - len(line.lstrip(" \t"))
         while stack and stack[-1][0] >= indent:
-            stack.pop()
+            out[stack.pop()[1]]["last"] = len(out) - 1
         m = _HEADER.match(line)
         kind = ("def" if m[1] == "def" else "class" if m[1] == "class" else "async def") if m else (
             "block" if line.endswith(":") else "stmt")
-        out.append({"line_no": first, "kind": kind, "text": line,
-                    "anc_lines": [a[1] for a in stack], "anc_kinds": [a[2] for a in stack]})
+        up = out[stack[-1][1]] if stack else None
+        out.append({"line_no": first, "kind": kind, "text": line, "parent": stack[-1][1] if stack else -1, "last": len(out), "decorators": decorators,
+                    "visited": up is None or up["visited"] and (up["kind"] != "class" or kind == "def"),
+                    "in_class": up is not None and (up["in_class"] or up["kind"] == "class")})
+        decorators = decorators + 1 if line.lstrip().startswith("@") else 0
         if kind != "stmt":
-            stack.append((indent, first, kind))
+            stack.append((indent, len(out) - 1))
+    for _, place in stack:
+        out[place]["last"] = len(out) - 1
     return out
 
 
 _BLOCKS_TYPE = T.ArrayType(T.StructType([
     T.StructField("line_no", T.IntegerType()), T.StructField("kind", T.StringType()),
-    T.StructField("text", T.StringType()), T.StructField("anc_lines", T.ArrayType(T.IntegerType())),
-    T.StructField("anc_kinds", T.ArrayType(T.StringType()))]))
+    T.StructField("text", T.StringType()), T.StructField("parent", T.IntegerType()), T.StructField("last", T.IntegerType()),
+    T.StructField("decorators", T.IntegerType()), T.StructField("visited", T.BooleanType()), T.StructField("in_class", T.BooleanType())]))
 
 
 @F.pandas_udf(_BLOCKS_TYPE)
@@ -274,21 +291,24 @@ def block_structure(content: pd.Series) -> pd.Series:
     return content.map(_walk_blocks)
 
 
-def structured_lines(files: DataFrame) -> DataFrame:
-    """Logical lines of Python files with their enclosing headers:
-    (path, line_no, text, stripped, kind, anc_lines, anc_kinds, visited,
-    in_class). ``visited``: the line is reached by the reference's visitor —
-    under a class only through a method (a def directly in its body)."""
+def structured_files(files: DataFrame, *keep: str) -> DataFrame:
+    """``path, ls`` of the Python files, one row each: ``ls`` is the array of
+    logical lines with their block structure. ``visited``: the line is reached
+    by the reference's visitor, under a class only through a method (a def
+    directly in its body); ``in_class``: a class is above it. A block's lines
+    are those behind its header up to place ``last``."""
     ship_package(files.sparkSession)   # the UDF's helpers must import on workers
-    py = files.where(file_kind(F.col("path")) == "python")
-    j = py.select("path", F.inline(block_structure(F.col("content")))).withColumn("stripped", _strip(F.col("text")))
-    kinds = F.col("anc_kinds")
-    n = F.size(kinds)
-    visited = F.forall(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (
-        (n == 0) | (F.try_element_at(kinds, i) != "class") |
-        (F.coalesce(F.when(i < n, F.try_element_at(kinds, i + 1)), F.col("kind")) == "def")))
-    return j.select("*", visited.alias("visited"),
-                    F.array_contains(kinds, "class").alias("in_class"))
+    return _python(files).select("path", block_structure(F.col("content")).alias("ls"), *keep)
+
+
+def _under(ls: Column, place: Column, line: Column) -> Column:
+    """The lines of a block, nested ones included."""
+    return F.slice(ls, place + 2, line["last"] - place)
+
+
+def _headers(ls: Column, kind: str) -> Column:
+    """struct(i, l) of the visited headers of ``kind``."""
+    return F.filter(F.transform(ls, lambda l, i: F.struct(i.alias("i"), l.alias("l"))), lambda x: (x["l"]["kind"] == kind) & x["l"]["visited"])
 
 
 def _positional_args(header_params: Column) -> Column:
@@ -303,6 +323,45 @@ def _positional_args(header_params: Column) -> Column:
     return F.filter(upto, lambda a: a != "")
 
 
+def function_facts(ls: Column) -> Column:
+    """C10, C12–C15, C18, C19, C22 of one file's logical lines: an array of
+    structs as the rows of :func:`functions`. A function's facts are read from
+    the lines of its block, a slice of the file's array."""
+    lib_re = "|".join(DATA_LIBS)
+    quoted = f'^(?:{chr(34) * 3}|{chr(39) * 3})'
+
+    def calls(line: Column) -> Column:
+        return F.filter(F.regexp_extract_all(line["text"], F.lit(CALL_RE), 1), lambda c: ~c.isin(*PY_KEYWORDS) & ~c.startswith("."))
+
+    def queries(line: Column) -> Column:
+        inner = F.transform(F.regexp_extract_all(line["text"], F.lit(STRING_RE), 0), lambda x: F.when(
+            x.rlike(quoted), F.substr(x, F.lit(4), F.length(x) - 6)).otherwise(F.substr(x, F.lit(2), F.length(x) - 2)))
+        return F.filter(inner, lambda x: F.upper(x).rlike("|".join(SQL_WORDS)))
+
+    def one(x: Column) -> Column:
+        d, i = x["l"], x["i"]
+        body = F.filter(_under(ls, i, d), lambda y: ~y["kind"].isin("def", "class", "async def"))
+        up = F.get(ls, d["parent"])
+        method = (d["parent"] >= 0) & (up["kind"] == "class")
+        below = F.get(ls, i + 1)
+        marks = F.slice(ls, i + 1 - d["decorators"], d["decorators"])
+        return F.struct(
+            F.regexp_extract(d["text"], DEF_NAME, 1).alias("name"), d["line_no"].cast("long").alias("line_no"),
+            _positional_args(_inside(F.regexp_extract(d["text"], DEF_RE, 1))).alias("args"),
+            F.nullif(F.regexp_extract(d["text"], DEF_RE, 2), F.lit("")).alias("returns"),
+            F.transform(marks, lambda y: F.regexp_replace(_strip(y["text"]), "^@", "")).alias("decorators"),
+            F.coalesce((d["last"] > i) & _strip(below["text"]).rlike(r"^[rRuUbBfF]{0,2}(\"|')"), F.lit(False)).alias("has_docstring"),
+            F.when(method, F.regexp_extract(up["text"], CLASS_NAME, 1)).alias("class_name"),
+            F.coalesce(method, F.lit(False)).alias("is_method"), (~d["in_class"]).alias("in_functions"),
+            F.array_sort(F.array_distinct(F.flatten(F.transform(body, calls)))).alias("calls_made"),
+            F.flatten(F.transform(body, queries)).alias("sql_queries"))
+
+    found = F.transform(_headers(ls, "def"), one)
+    return F.transform(found, lambda f: F.struct(
+        *[f[c].alias(c) for c in ("name", "line_no", "args", "returns", "decorators", "has_docstring", "class_name", "is_method", "in_functions", "calls_made")],
+        F.filter(f["calls_made"], lambda c: c.contains(".") & c.rlike(lib_re)).alias("data_operations"), f["sql_queries"].alias("sql_queries")))
+
+
 def functions(files: DataFrame) -> DataFrame:
     """One row per visited ``def``.
 
@@ -310,125 +369,56 @@ def functions(files: DataFrame) -> DataFrame:
     class_name (direct class of a method), is_method, in_functions (listed as
     a top-level function: no class above it), calls_made, data_operations,
     sql_queries). Calls, data operations and SQL strings are gathered from
-    every line under the def (nested blocks included)."""
-    # used by five branches below: materialise once (shared checkpoint folder)
-    checkpoint_dir(files.sparkSession)
-    sl = structured_lines(files).checkpoint()
-    parent = F.try_element_at(F.col("anc_lines"), F.lit(-1))
-    defs = sl.where((F.col("kind") == "def") & F.col("visited"))
-    params = _inside(F.regexp_extract("text", DEF_RE, 1))
-    d = defs.select(
-        "path", F.regexp_extract("text", DEF_NAME, 1).alias("name"), "line_no",
-        _positional_args(params).alias("args"),
-        F.nullif(F.regexp_extract("text", DEF_RE, 2), F.lit("")).alias("returns"),
-        F.coalesce(F.try_element_at(F.col("anc_kinds"), F.lit(-1)) == "class", F.lit(False)).alias("is_method"),
-        parent.alias("parent_line"), (~F.col("in_class")).alias("in_functions"))
-    cls = sl.where(F.col("kind") == "class").select(
-        "path", F.col("line_no").alias("parent_line"),
-        F.regexp_extract("text", CLASS_NAME, 1).alias("class_name"))
-    d = (d.join(cls, ["path", "parent_line"], "left")
-         .withColumn("class_name", F.when(F.col("is_method"), F.col("class_name"))))
-
-    # body: every logical line paired with each enclosing header (depth-bounded)
-    body = (sl.where(~F.col("kind").isin("def", "class", "async def"))
-            .select("path", "line_no", "text", F.explode("anc_lines").alias("def_line")))
-    calls = (body.select("path", "def_line", F.explode(
-        F.regexp_extract_all("text", F.lit(CALL_RE), 1)).alias("call"))
-        .where(~F.col("call").isin(*PY_KEYWORDS) & ~F.col("call").startswith(".")))
-    lib_re = "|".join(DATA_LIBS)
-    call_sets = calls.groupBy("path", "def_line").agg(
-        F.array_sort(F.collect_set("call")).alias("calls_made"),
-        F.array_sort(F.collect_set(F.when(F.col("call").contains(".") & F.col("call").rlike(lib_re),
-                                          F.col("call")))).alias("data_operations"))
-    strings = (body.select("path", "def_line", "line_no", F.posexplode(
-        F.regexp_extract_all("text", F.lit(STRING_RE), 0)).alias("pos", "lit"))
-        .select("path", "def_line", "line_no", "pos",
-                F.when(F.col("lit").rlike(f'^(?:{chr(34) * 3}|{chr(39) * 3})'), F.expr("substring(lit, 4, length(lit) - 6)"))
-                .otherwise(F.expr("substring(lit, 2, length(lit) - 2)")).alias("s"))
-        .where(F.upper("s").rlike("|".join(SQL_WORDS))))
-    sql_sets = strings.groupBy("path", "def_line").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "pos", "s"))),
-                    lambda x: x["s"]).alias("sql_queries"))
-
-    # decorators: a run of '@' lines belongs to the next non-decorator line
-    w_rev = (Window.partitionBy("path").orderBy(F.col("line_no").desc())
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    is_deco = F.col("stripped").startswith("@")
-    owner = F.last(F.when(~is_deco, F.col("line_no")), ignorenulls=True).over(w_rev)
-    decos = (sl.select("path", "line_no", "stripped", is_deco.alias("is_deco"), owner.alias("owner"))
-             .where("is_deco")
-             .groupBy("path", "owner")
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "stripped"))),
-                              lambda x: x["stripped"].substr(F.lit(2), F.length(x["stripped"]))).alias("decorators"))
-             .withColumnRenamed("owner", "line_no"))
-    # docstring: the first line of the body is a string literal
-    first_child = (sl.where(F.size("anc_lines") > 0)
-                   .groupBy("path", parent.alias("line_no"))
-                   .agg(F.min(F.struct("line_no", "stripped")).alias("fc"))
-                   .select("path", "line_no",
-                           F.col("fc.stripped").rlike(r"^[rRuUbBfF]{0,2}(\"|')").alias("has_docstring")))
-    empty = F.array().cast("array<string>")
-    d = (d.join(call_sets.withColumnRenamed("def_line", "line_no"), ["path", "line_no"], "left")
-         .join(sql_sets.withColumnRenamed("def_line", "line_no"), ["path", "line_no"], "left")
-         .join(decos, ["path", "line_no"], "left")
-         .join(first_child, ["path", "line_no"], "left"))
-    return d.select(
-        "path", "name", F.col("line_no").cast("long").alias("line_no"), "args", "returns",
-        F.coalesce("decorators", empty).alias("decorators"),
-        F.coalesce("has_docstring", F.lit(False)).alias("has_docstring"),
-        "class_name", "is_method", "in_functions",
-        F.coalesce("calls_made", empty).alias("calls_made"),
-        F.coalesce("data_operations", empty).alias("data_operations"),
-        F.coalesce("sql_queries", empty).alias("sql_queries"))
+    every line under the def (nested blocks included). No shuffle: a file's
+    facts come from its own row."""
+    return structured_files(files).select("path", F.inline(function_facts(F.col("ls"))))
+
+
+_TARGETS = r"(?:^|(?<==))\s*([\p{L}\p{N}_]+)\s*=(?!=)"
+
+
+def class_facts(ls: Column) -> Column:
+    """C11 of one file's logical lines: structs as the rows of :func:`classes`."""
+    def one(x: Column) -> Column:
+        c, i = x["l"], x["i"]
+        own = F.filter(_under(ls, i, c), lambda y: y["parent"] == i)
+        return F.struct(
+            F.regexp_extract(c["text"], CLASS_NAME, 1).alias("name"), c["line_no"].cast("long").alias("line_no"),
+            F.filter(_items(_inside(F.regexp_extract(c["text"], CLASS_RE, 1))), lambda y: ~y.rlike(KEYWORD_ITEM)).alias("bases"),
+            F.flatten(F.transform(F.filter(own, lambda y: y["kind"] == "stmt"), lambda y: F.regexp_extract_all(y["text"], F.lit(_TARGETS), 1))).alias("attributes"),
+            F.transform(F.filter(own, lambda y: y["kind"] == "def"), lambda y: F.regexp_extract(y["text"], DEF_NAME, 1)).alias("methods"))
+
+    return F.transform(_headers(ls, "class"), one)
 
 
 def classes(files: DataFrame) -> DataFrame:
     """C11: visited classes: (path, name, line_no, bases, attributes, methods)."""
-    sl = structured_lines(files)
-    cls = sl.where((F.col("kind") == "class") & F.col("visited")).select(
-        "path", "line_no", F.regexp_extract("text", CLASS_NAME, 1).alias("name"),
-        F.filter(_items(_inside(F.regexp_extract("text", CLASS_RE, 1))), lambda x: ~x.rlike(KEYWORD_ITEM)).alias("bases"))
-    child = sl.select("path", F.try_element_at(F.col("anc_lines"), F.lit(-1)).alias("line_no"), "kind", "text",
-                      F.col("line_no").alias("child_line"))
-    attrs = (child.where(F.col("kind") == "stmt")
-             .select("path", "line_no", "child_line",
-                     F.regexp_extract_all("text", F.lit(r"(?:^|(?<==))\s*([\p{L}\p{N}_]+)\s*=(?!=)"), 1)
-                     .alias("targets"))
-             .where(F.size("targets") > 0)
-             .groupBy("path", "line_no")
-             .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("child_line", "targets"))),
-                                        lambda x: x["targets"])).alias("attributes")))
-    meths = (child.where(F.col("kind") == "def")
-             .select("path", "line_no", "child_line", F.regexp_extract("text", DEF_NAME, 1).alias("m"))
-             .groupBy("path", "line_no")
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("child_line", "m"))),
-                              lambda x: x["m"]).alias("methods")))
-    empty = F.array().cast("array<string>")
-    return (cls.join(attrs, ["path", "line_no"], "left").join(meths, ["path", "line_no"], "left")
-            .select("path", "name", F.col("line_no").cast("long").alias("line_no"), "bases",
-                    F.coalesce("attributes", empty).alias("attributes"),
-                    F.coalesce("methods", empty).alias("methods")))
+    return structured_files(files).select("path", F.inline(class_facts(F.col("ls"))))
+
+
+def assignment_facts(ls: Column) -> Column:
+    """C16, C17 of one file's logical lines: structs as the rows of :func:`assignments`."""
+    lib_re = "|".join(DATA_LIBS)
+
+    def one(x: Column) -> Column:
+        s = _strip(x["text"])
+        target, method = (F.regexp_extract(s, DATA_OP_RE, k) for k in (1, 2))
+        op = (method != "") & method.rlike(lib_re)
+        return F.struct(
+            x["line_no"].cast("long").alias("line_no"),
+            F.when(~x["in_class"], F.regexp_extract_all(s, F.lit(_TARGETS), 1)).otherwise(F.array().cast("array<string>")).alias("global_names"),
+            F.nullif(target, F.lit("")).alias("target"), F.when(op, method).alias("data_op_method"), s.alias("context"), op.alias("is_data_op"))
+
+    return F.transform(F.filter(ls, lambda x: (x["kind"] == "stmt") & x["visited"] & _strip(x["text"]).rlike(r"^[^=]+=(?!=)")
+                                & ~_strip(x["text"]).rlike(r"^[^=]*[-+*/%&|^<>!:@]=|^\s*(if|while|return|assert)\b")), one)
 
 
 def assignments(files: DataFrame) -> DataFrame:
-    """Visited assignment lines: (path, line_no, target, global_names,
-    data_op_method, is_data_op, context). ``global_names`` are the plain names
+    """Visited assignment lines: (path, line_no, global_names, target,
+    data_op_method, context, is_data_op). ``global_names`` are the plain names
     assigned outside any class (function locals included, as the reference
     does)."""
-    sl = structured_lines(files).where((F.col("kind") == "stmt") & F.col("visited"))
-    lib_re = "|".join(DATA_LIBS)
-    tgt = F.regexp_extract("stripped", DATA_OP_RE, 1)
-    method = F.regexp_extract("stripped", DATA_OP_RE, 2)
-    names = F.regexp_extract_all("stripped", F.lit(r"(?:^|(?<==))\s*([\p{L}\p{N}_]+)\s*=(?!=)"), 1)
-    return (sl.where(F.col("stripped").rlike(r"^[^=]+=(?!=)") &
-                     ~F.col("stripped").rlike(r"^[^=]*[-+*/%&|^<>!:@]=|^\s*(if|while|return|assert)\b"))
-            .select("path", F.col("line_no").cast("long").alias("line_no"),
-                    F.when(~F.col("in_class"), names).otherwise(F.array().cast("array<string>"))
-                    .alias("global_names"),
-                    F.nullif(tgt, F.lit("")).alias("target"),
-                    F.when((method != "") & method.rlike(lib_re), method).alias("data_op_method"),
-                    F.col("stripped").alias("context"))
-            .withColumn("is_data_op", F.col("data_op_method").isNotNull()))
+    return structured_files(files).select("path", F.inline(assignment_facts(F.col("ls"))))
 
 
 def module_edges(files: DataFrame) -> DataFrame:

@@ -367,20 +367,26 @@ def _code_prompt_sql() -> str:
 @register("chat_code_prompt_fcode", _code_prompt_sql(), "X11")
 def chat_code_prompt_fcode(spark, sf_dir):
     """One prompt per file of any kind; the whole analysis is masked before it
-    goes into the prompt. The lists are bounded by the file they come from."""
+    goes into the prompt. All parts are arrays on the file's row, bounded by the
+    file they come from; it is read and parsed once."""
     from ..functions.masking import mask_text
     from ..operators import chat
-    from .registry import REGISTRY
-    out = CF.file_metrics(_files(spark, sf_dir)).select(*_METRIC_FIELDS)
-    for part, (name, cols, order) in _PARTS.items():
-        rows = REGISTRY[name].fn(spark, sf_dir)
-        if part == "operations":
-            rows = rows.where("is_data_op")
-        item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*cols).alias("v"))
-        lists = rows.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias(part))
-        out = out.join(lists, "path", "left").withColumn(part, F.coalesce(part, F.expr("filter(array(named_struct(" + ", ".join(
-            f"'{c}', cast(null as {dict(rows.dtypes)[c]})" for c in cols) + ")), x -> false)")))
-    payload = F.to_json(F.struct(*_METRIC_FIELDS, *_PARTS), _JSON)
+    from ..session import ship_package
+    ship_package(spark)
+    python = CF.file_kind(F.col("path")) == "python"
+    files = _files(spark, sf_dir).withColumn("ls", CF.block_structure(F.when(python, F.col("content"))))
+    facts = {"functions": CF.function_facts(F.col("ls")), "classes": CF.class_facts(F.col("ls")), "imports": CF.import_facts(F.when(python, F.col("content"))),
+             "sql": CF.fragment_facts(F.when(python, F.col("content"))),
+             "operations": F.filter(CF.assignment_facts(F.col("ls")), lambda x: x["is_data_op"])}
+    out = CF.file_metrics(files.withColumns({f"_{part}": F.coalesce(fact, F.array()) for part, fact in facts.items()}), *[f"_{part}" for part in facts])
+
+    def listed(part: str):
+        _, cols, order = _PARTS[part]
+        items = F.transform(f"_{part}", lambda x: F.struct(*[x[c].alias(f"o{i}") for i, c in enumerate(order)], F.struct(
+            *[(F.to_json(x[c]) if c in _JSON_TEXT else x[c]).alias(c) for c in cols]).alias("v")))
+        return F.transform(F.array_sort(items), lambda x: x["v"]).alias(part)
+
+    payload = F.to_json(F.struct(*_METRIC_FIELDS, *[listed(part) for part in _PARTS]), _JSON)
     return out.select("path", chat.render_prompt("code", mask_text(payload)).alias("prompt"))
 
 
