@@ -276,26 +276,35 @@ def rejects(stmts: DataFrame) -> DataFrame:
         (F.col("kind") == "other") | ((F.col("kind") == "alter_table") & too_deep(st)), F.array(st)).otherwise(F.array().cast("array<string>"))).alias("item"))
 
 
+def _held(col: Column) -> Column:
+    """``col``, evaluated once per row where it is defined: the (always true)
+    partition test keeps the optimizer from putting the expression in place of
+    each use, which would parse a list anew for each of its elements."""
+    return F.when(F.spark_partition_id() >= 0, col)
+
+
 def change_log(stmts: DataFrame) -> DataFrame:
     """G2–G13, G18–G24 extraction: statements -> typed change log.
 
     One pass: every statement yields an array of change structs which is
     exploded once (no per-kind scans or unions)."""
     st = F.col("stmt")
-    # classify once; the branches below reference the column
-    stmts = stmts.withColumn("_kind", classify(st))
+    # classify and cut lists once; the branches below reference the columns
+    stmts = stmts.withColumn("_kind", _held(classify(st)))
     kind = F.col("_kind")
+    stmts = stmts.where(kind != "other").withColumn("_items", _held(F.when(kind == "create_table", table_items(st))))
+    stmts = stmts.withColumn("_n", _held(F.size("_items")))
     empty = F.array().cast(f"array<{_CHANGE_TYPE}>")
 
     # CREATE TABLE: the table, its columns (in order), then its table constraints
     t_ct = F.regexp_extract(st, _CT, 1)
-    items = table_items(st)
+    items = F.col("_items")
     ct = F.concat(
         F.array(_mk("create_table", 0, t_ct)),
         F.transform(F.filter(items, lambda x: ~x["is_con"]),
                     lambda x: _mk("add_column", x["pos"], t_ct, **_no_raw(column_def(x["item"])))),
         F.transform(F.filter(items, lambda x: x["is_con"]),
-                    lambda x: _mk("add_constraint", x["pos"] + F.size(items), t_ct,  # behind all columns
+                    lambda x: _mk("add_constraint", x["pos"] + F.col("_n"), t_ct,  # behind all columns
                                   **_no_raw(table_constraint(x["item"])))))
     ci = F.array(_mk("create_index", 0, F.regexp_extract(st, _CI, 3),
                      value=F.coalesce(_nz(F.regexp_extract(st, _CI, 2)), F.lit(UNNAMED["INDEX"])),

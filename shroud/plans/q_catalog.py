@@ -357,10 +357,9 @@ def pii_columns_fdump(spark, sf_dir):
 
 # --- X10: database-analysis prompt per table (masked, whole analysis) -----------------
 
-_DB_PARTS = {"columns": (_COLS_SQL, lambda spark, d: ddl_columns_fddl(spark, d), ["column_name", "data_type", "nullable", "is_primary_key"], ["seq", "ordinal"]),
-             "constraints": (constraints_sql("f_ddl"), lambda spark, d: ddl_constraints_fddl(spark, d),
-                             ["name", "constraint_type", "columns", "reference_table", "reference_columns"], ["seq", "name"]),
-             "indexes": (_IDX_SQL, lambda spark, d: ddl_indexes_fddl(spark, d), ["name", "columns", "is_unique"], ["seq", "name"])}
+_DB_PARTS = {"columns": (_COLS_SQL, ["column_name", "data_type", "nullable", "is_primary_key"], ["seq", "ordinal"]),
+             "constraints": (constraints_sql("f_ddl"), ["name", "constraint_type", "columns", "reference_table", "reference_columns"], ["seq", "name"]),
+             "indexes": (_IDX_SQL, ["name", "columns", "is_unique"], ["seq", "name"])}
 
 
 _JSON_TEXT = {"columns", "reference_columns"}
@@ -376,7 +375,7 @@ def _db_prompt_sql() -> str:
     from . import oracle as O
     before, after = chat.TEMPLATES["database"].split("{payload}")
     ctes, joins, fields = [f"t AS (SELECT DISTINCT script_id, table_name FROM ({_COLS_SQL}) q)"], [], ["table_name := t.table_name"]
-    for part, (sql, _, cols, order) in _DB_PARTS.items():
+    for part, (sql, cols, order) in _DB_PARTS.items():
         ctes.append(f"p_{part} AS (SELECT script_id, table_name, list(struct_pack({', '.join(_field(x) for x in cols)}) "
                     f"ORDER BY {', '.join(order)}) AS l FROM ({sql}) q GROUP BY script_id, table_name)")
         joins.append(f"LEFT JOIN p_{part} ON p_{part}.script_id = t.script_id AND p_{part}.table_name = t.table_name")
@@ -389,19 +388,22 @@ def _db_prompt_sql() -> str:
 @register("chat_database_prompt_fddl", _db_prompt_sql(), "X10")
 def chat_database_prompt_fddl(spark, sf_dir):
     """One prompt per declared table: columns, constraints (with references) and
-    indexes, masked before they go into the prompt. The payload is bounded by
-    the table's definition."""
+    indexes, masked before they go into the prompt. The scripts are read once;
+    a table's changes meet in one aggregation, and its payload is bounded by the
+    table's definition."""
     from ..functions.masking import mask_text
     from ..operators import chat
-    parts = {k: fn(spark, sf_dir) for k, (_, fn, _, _) in _DB_PARTS.items()}
-    out = parts["columns"].select("script_id", "table_name").distinct()
-    for part, (_, _, cols, order) in _DB_PARTS.items():
-        rows = parts[part]
-        item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*cols).alias("v"))
-        lists = rows.groupBy("script_id", "table_name").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias(part))
-        out = out.join(lists, ["script_id", "table_name"], "left").withColumn(part, F.coalesce(part, F.expr(
-            "filter(array(named_struct(" + ", ".join(f"'{c}', cast(null as {dict(rows.dtypes)[c]})" for c in cols) + ")), x -> false)")))
-    payload = F.to_json(F.struct("table_name", *_DB_PARTS), {"ignoreNullFields": "false"})
+    log = _log_fddl(spark, sf_dir)
+    declared = F.col("stmt_kind") == "create_table"
+    fields = {"columns": ((F.col("op") == "add_column") & declared, [F.col("column_name"), F.col("data_type"), F.col("nullable"), F.col("is_primary_key")], ["seq", "sub"]),
+              "constraints": ((F.col("op") == "add_constraint") & declared,
+                              [F.col("value").alias("name"), F.col("constraint_type"), F.to_json("columns").alias("columns"), F.col("reference_table"),
+                               F.to_json("reference_columns").alias("reference_columns")], ["seq", "value"]),
+              "indexes": (F.col("op") == "create_index", [F.col("value").alias("name"), F.to_json("columns").alias("columns"), F.col("is_unique")], ["seq", "value"])}
+    items = [F.collect_list(F.when(which, F.struct(*order, F.struct(*cols).alias("v")))).alias(part) for part, (which, cols, order) in fields.items()]
+    out = (log.where(F.col("op").isin("add_column", "add_constraint", "create_index")).groupBy("script_id", "table_name").agg(*items).where(F.size("columns") > 0)
+           .select("script_id", "table_name", *[F.transform(F.array_sort(part), lambda x: x["v"]).alias(part) for part in fields]))
+    payload = F.to_json(F.struct("table_name", *fields), {"ignoreNullFields": "false"})
     return out.select("script_id", "table_name", chat.render_prompt("database", mask_text(payload)).alias("prompt"))
 
 
