@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.sql import functions as F
+
 from ..operators import audit as A
 from ..operators.audit import Constraint as C
+from ..sources import profile
 from ..sources.tables import TABLES, schema_catalog, table
 from .registry import register
 
@@ -200,3 +203,45 @@ register("schema_catalog_columns", " UNION ALL ".join(
     f"(SELECT count(*) FROM {t}) AS n_rows FROM (DESCRIBE {t})" for t in TABLES), "S7 Q7")(
     lambda spark, sf_dir: schema_catalog(spark, sf_dir).select("table_name", "name", "ordinal").join(
         A.table_sizes(_loader(spark, sf_dir), TABLES), "table_name"))
+
+
+# --- S7: constraints and relationships of the tables, from their data -----------------
+
+#: Columns of whole numbers (w) and strings (s) of the driver's tables.
+_COMPARED = {"region": "w r_regionkey s r_name", "nation": "w n_nationkey n_regionkey s n_name", "customer": "w c_custkey c_nationkey s c_name c_mktsegment",
+             "supplier": "w s_suppkey s_nationkey s s_name", "part": "w p_partkey p_size s p_name p_brand p_type", "orders": "w o_orderkey o_custkey s o_orderstatus o_orderpriority",
+             "lineitem": "w l_orderkey l_partkey l_suppkey l_linenumber s l_returnflag l_linestatus", "events": "w event_id user_id s event_type props",
+             "documents": "w doc_id n_chars s text lang source", "embeddings": "w vec_id label", "pages": "w page_id s url html", "benchmark": "w item_id s text",
+             "labels": "w doc_id quality toxic", "conversations": "w conv_id turn s role text"}
+
+
+def _compared() -> list[tuple[str, str, str]]:
+    out = []
+    for t, text in _COMPARED.items():
+        kind = ""
+        for word in text.split():
+            if word in ("w", "s"):
+                kind = word
+            else:
+                out.append((t, word, kind))
+    return out
+
+
+_KEYS_SQL = " UNION ALL ".join(f"SELECT 'uq_{t}_{c}' AS name, '{t}' AS table_name, 'UNIQUE' AS constraint_type, to_json(['{c}']) AS columns FROM {t} "
+                               f"HAVING count(*) > 0 AND count(DISTINCT {c}) = count(*)" for t, c, _ in _compared())
+_INCLUSION_SQL = ("WITH d AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, '{k}' AS k, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL"
+                                                     for t, c, k in _compared())
+                  + f"), keys AS ({_KEYS_SQL}), p AS (SELECT d.* FROM d JOIN keys ON keys.name = 'uq_' || d.t || '_' || d.c), "
+                  "n AS (SELECT t, c, count(*) AS n FROM d GROUP BY t, c), "
+                  "m AS (SELECT d.t, d.c, p.t AS pt, p.c AS pc, count(*) AS n FROM d JOIN p ON d.k = p.k AND d.v = p.v AND (d.t, d.c) <> (p.t, p.c) GROUP BY ALL) "
+                  "SELECT m.t AS from_table, m.c AS from_column, m.pt AS to_table, m.pc AS to_column, 'INCLUSION' AS relationship_type FROM m JOIN n USING (t, c, n)")
+
+
+@register("table_catalog_constraints", _KEYS_SQL, "S7 Q1")
+def table_catalog_constraints(spark, sf_dir):
+    return profile.table_keys(spark, lambda t: table(spark, sf_dir, t), TABLES).withColumn("columns", F.to_json("columns"))
+
+
+@register("table_catalog_relationships", _INCLUSION_SQL, "S7 Q5")
+def table_catalog_relationships(spark, sf_dir):
+    return profile.table_relationships(spark, lambda t: table(spark, sf_dir, t), TABLES)
