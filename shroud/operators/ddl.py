@@ -46,8 +46,8 @@ def _parens(depth: int) -> str:
 
 
 PARENS = _parens(MAX_DEPTH)
-# Depth-0 comma items. What is nested deeper is not read: such a CREATE TABLE is of
-# no known kind, such an ALTER TABLE changes nothing; both are among the rejects.
+# Depth-0 comma items. What is nested deeper has its inner parentheses replaced
+# while it is read (see ``shallow``).
 LIST_ITEM = rf"((?:[^,()']++|{QUOTED}|{PARENS})++)"
 
 _TABLE_HEAD = (r"(?is)^CREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+)?TABLE\s+"
@@ -70,7 +70,7 @@ _INSIDE = rf"{QUOTED}|{PARENS}"
 # List items that are neither columns nor constraints.
 _INDEX_ITEM = r"(?i)^(?:(?:FULLTEXT|SPATIAL)\s+(?:KEY|INDEX)|KEY|INDEX)\b"
 _UNIQUE_LIST = r"(?is)UNIQUE(?:\s+(?:KEY|INDEX))?\s*([^\s(]+)?\s*\(([^)]*)\)"
-_DEFAULT = r"(?is)\bDEFAULT\s+('(?:[^']|'')*+'|\([^()]*+\)|[^\s,]+(?:\([^()]*+\))?)"
+_DEFAULT = rf"(?is)\bDEFAULT\s+('(?:[^']|'')*+'|{PARENS}|[^\s,]+(?:\([^()]*+\))?)"
 _CHECK = rf"(?is)CHECK\s*({PARENS})"
 _ACTION = r"(CASCADE|SET\s+NULL|SET\s+DEFAULT|RESTRICT|NO\s+ACTION)"
 
@@ -98,6 +98,13 @@ def _nz(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def _held(col: Column) -> Column:
+    """``col``, evaluated once per row where it is defined: the (always true)
+    partition test keeps the optimizer from putting the expression in place of
+    each use, which would parse a list anew for each of its elements."""
+    return F.when(F.spark_partition_id() >= 0, col)
+
+
 def _inside(c: Column) -> Column:
     """The text between a text's outer parentheses (empty for an empty text)."""
     return F.substr(c, F.lit(2), F.greatest(F.length(c) - 2, F.lit(0)))
@@ -114,6 +121,29 @@ def too_deep(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, PARENS, ""), QUOTED, "").rlike(r"[()]")
 
 
+#: Stand for parentheses that are nested too deep for the patterns (private-use signs).
+_OPEN, _CLOSE = "\ue000", "\ue001"
+_PAREN_TOKEN = rf"({QUOTED}|[()]|[^()']++|')"
+
+
+def shallow(text: Column) -> Column:
+    """``text`` with the parentheses replaced that are nested too deep for
+    :data:`PARENS`; :func:`deep` puts them back. Only a CREATE or ALTER that has
+    such parentheses is walked, token by token with the depth as a running sum."""
+    def step(a: Column, t: Column) -> Column:
+        after = a["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)
+        kept = F.when((t == "(") & (after > MAX_DEPTH), _OPEN).when((t == ")") & (a["depth"] > MAX_DEPTH), _CLOSE).otherwise(t)
+        return F.struct(after.alias("depth"), F.array_append(a["out"], kept).alias("out"))
+
+    tokens = F.regexp_extract_all(text, F.lit(_PAREN_TOKEN), 1)
+    walked = F.aggregate(tokens, F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out")), step)["out"]
+    return F.when(text.rlike(r"(?i)^(CREATE|ALTER)\s") & too_deep(text), F.array_join(walked, "")).otherwise(text)
+
+
+def deep(text: Column) -> Column:
+    return F.translate(text, _OPEN + _CLOSE, "()")
+
+
 def split_list(c: Column) -> Column:
     """Depth-0 comma split, items trimmed, empties dropped."""
     return F.filter(F.transform(F.regexp_extract_all(c, F.lit(LIST_ITEM), 1), lambda x: _strip(x)),
@@ -268,19 +298,12 @@ def table_items(st: Column) -> Column:
 
 def rejects(stmts: DataFrame) -> DataFrame:
     """(script_id, seq, item): statements of no known kind, and list items that
-    are neither column nor constraint or are nested too deep."""
+    are neither column nor constraint or whose parentheses do not match."""
     st = F.col("stmt")
-    kept = stmts.select("script_id", "seq", "stmt", classify(st).alias("kind"))
+    kept = stmts.select("script_id", "seq", _held(shallow(st)).alias("stmt")).withColumn("kind", classify(st))
     items = F.transform(F.filter(list_items(st), lambda x: x["rejected"]), lambda x: x["item"])
     return kept.select("script_id", "seq", F.explode(F.when(F.col("kind") == "create_table", items).when(
-        (F.col("kind") == "other") | ((F.col("kind") == "alter_table") & too_deep(st)), F.array(st)).otherwise(F.array().cast("array<string>"))).alias("item"))
-
-
-def _held(col: Column) -> Column:
-    """``col``, evaluated once per row where it is defined: the (always true)
-    partition test keeps the optimizer from putting the expression in place of
-    each use, which would parse a list anew for each of its elements."""
-    return F.when(F.spark_partition_id() >= 0, col)
+        (F.col("kind") == "other") | ((F.col("kind") == "alter_table") & too_deep(st)), F.array(st)).otherwise(F.array().cast("array<string>"))).alias("item")).withColumn("item", deep(F.col("item")))
 
 
 def change_log(stmts: DataFrame) -> DataFrame:
@@ -290,7 +313,7 @@ def change_log(stmts: DataFrame) -> DataFrame:
     exploded once (no per-kind scans or unions)."""
     st = F.col("stmt")
     # classify and cut lists once; the branches below reference the columns
-    stmts = stmts.withColumn("_kind", _held(classify(st)))
+    stmts = stmts.withColumn("stmt", _held(shallow(st))).withColumn("_kind", _held(classify(st)))
     kind = F.col("_kind")
     stmts = stmts.where(kind != "other").withColumn("_items", _held(F.when(kind == "create_table", table_items(st))))
     stmts = stmts.withColumn("_n", _held(F.size("_items")))
@@ -331,13 +354,13 @@ def change_log(stmts: DataFrame) -> DataFrame:
     return (stmts.select(F.col("script_id").cast("string").alias("script_id"),
                          F.col("seq").cast("long").alias("seq"), F.col("_kind").alias("stmt_kind"),
                          F.explode(changes).alias("c"))
-            .select("script_id", "seq", "c.*", "stmt_kind"))
+            .select("script_id", "seq", "c.*", "stmt_kind").withColumn("value", deep(F.col("value"))))
 
 
 def statements(scripts: DataFrame) -> DataFrame:
     """G1 + G2: (script_id, seq, stmt, kind); kind 'other' rows are the rejects."""
     st = split_statements(scripts)
-    return st.withColumn("kind", classify(F.col("stmt")))
+    return st.withColumn("_shallow", _held(shallow(F.col("stmt")))).withColumn("kind", classify(F.col("_shallow"))).drop("_shallow")
 
 
 def flat_log(events: DataFrame) -> DataFrame:

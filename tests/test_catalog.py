@@ -165,11 +165,17 @@ def test_ddl_as_people_write_it(spark):
     assert [r.item for r in ddl.rejects(ddl.split_statements(scripts(spark, text))).collect()] == ["KEY ix (id)"]
 
 
-def test_statements_nested_too_deep_are_rejected_whole(spark):
-    deep = "(" * 30 + "1" + ")" * 30
-    st = ddl.split_statements(scripts(spark, f"CREATE TABLE t (a INT, b INT DEFAULT {deep}, c INT); ALTER TABLE u ADD COLUMN x INT DEFAULT {deep}; ALTER TABLE u ADD COLUMN y INT"))
-    assert [(r.op, r.column_name) for r in ddl.change_log(st).collect()] == [("add_column", "y")]
-    assert [r.item[:14] for r in ddl.rejects(st).collect()] == ["CREATE TABLE t", "ALTER TABLE u "]
+def test_statements_of_any_depth_are_read(spark):
+    deep = "(" * 30 + "1, ')(' " + ")" * 30
+    check = "(" * 40 + "b > 0" + ")" * 40
+    st = ddl.split_statements(scripts(spark, f"CREATE TABLE t (a INT, b INT DEFAULT {deep}, c INT, CHECK {check}); ALTER TABLE u ADD COLUMN x INT DEFAULT {deep}; ALTER TABLE u ADD COLUMN y INT"))
+    assert [(r.op, r.column_name, r.value) for r in ddl.change_log(st).orderBy("seq", "sub").collect()] == [
+        ("create_table", None, None), ("add_column", "a", None), ("add_column", "b", deep), ("add_column", "c", None), ("add_constraint", None, "unnamed_check"),
+        ("add_column", "x", deep), ("add_column", "y", None)]
+    assert [r.columns for r in ddl.change_log(st).where("op = 'add_constraint'").collect()] == [["b"]]
+    assert ddl.rejects(st).count() == 0 and [r.kind for r in ddl.statements(scripts(spark, f"CREATE TABLE t (a INT DEFAULT {deep})")).collect()] == ["create_table"]
+    open_ = ddl.split_statements(scripts(spark, f"CREATE TABLE t (a INT DEFAULT {deep[:-5]}; CREATE TABLE v (b INT)"))
+    assert [r.table_name for r in ddl.change_log(open_).where("op = 'create_table'").collect()] == ["v"] and ddl.rejects(open_).count() == 1
 
 
 def test_long_statements_do_not_overflow(spark):
