@@ -18,9 +18,11 @@ from .registry import register
 
 
 def _file_stream(spark, sf_dir, name, cols):
+    """The table as a stream of files: one Parquet file or a folder of them (a
+    pattern finds both; the file source takes no plain file's path)."""
     schema = table(spark, sf_dir, name).select(*cols).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    return (spark.readStream.schema(schema).option("maxBytesPerTrigger", 1 << 30)
+            .parquet(f"{sf_dir.rstrip('/')}/{{{name}}}.parquet"))
 
 
 @register("mask_stream_documents",
@@ -29,8 +31,9 @@ def mask_stream_documents(spark, sf_dir):
     src = _file_stream(spark, sf_dir, "documents", ["doc_id", "text"])
     out, ckpt = S.stream_location(spark, f"mask_documents-{uuid.uuid4().hex}")
     par = spark.sparkContext.defaultParallelism
-    S.run_available_now(S.mask_stream(src, "doc_id", ["text"], partitions=par), out, ckpt)
-    return spark.read.parquet(out)
+    masked = S.mask_stream(src, "doc_id", ["text"], partitions=par)
+    S.run_available_now(masked, out, ckpt)
+    return spark.read.schema(masked.schema).parquet(out)
 
 
 @register("admission_stream_events_7d", admission_oracle(7 * 86400, limiter.POINTS), "X7")

@@ -6,7 +6,7 @@ from shroud.functions import masking as M
 from shroud.operators import pii
 from shroud.sources.tables import table
 
-from conftest import SF_MID
+from conftest import SF_MID, SF_SMALL
 
 
 def one(spark, text, fn):
@@ -90,3 +90,16 @@ def test_pages_are_scanned_whole(spark, tmp_path):
     got = registry.load_all()["pii_scan_pages_all"].fn(spark, str(tmp_path)).collect()
     assert {(r.page_id, r.column_name, r.kind) for r in got} >= {(1, "url", "email"), (1, "html", "credential")}
     assert any(r.kind in P.NAME_PATTERNS for r in got)
+
+
+def test_stream_reads_a_table_of_many_files(spark, tmp_path):
+    # a table is one file or a folder of files; an empty one gives no rows
+    from shroud.plans.q_streaming import mask_stream_documents
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    want = {(r.doc_id, r.text) for r in mask_stream_documents(spark, SF_SMALL).collect()}
+    assert len(want) == docs.count()
+    docs.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    got = [(r.doc_id, r.text) for r in mask_stream_documents(spark, str(tmp_path / "many")).collect()]
+    assert len(got) == len(want) and set(got) == want
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert mask_stream_documents(spark, str(tmp_path / "none")).count() == 0
