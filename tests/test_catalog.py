@@ -236,3 +236,12 @@ def test_inference_with_duplicate_and_case_variant_tables(spark):
                      "CREATE TABLE dept (id INT PRIMARY KEY); CREATE TABLE emp (dept_id INT)")
     got = [(r.from_table, r.from_column, r.to_table, r.to_column) for r in rel["relationships"].collect()]
     assert got == [("emp", "dept_id", "dept", "id")]
+
+
+def test_scripts_of_one_file_are_parsed_in_many_tasks(spark):
+    # a table of one row group is one task: its scripts are dealt before they are parsed
+    for name in ("f_ddl", "f_views"):
+        scripts = FX.fixture(spark, SF_SMALL, name)
+        at = scripts.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
+        assert len(at) == max(4, spark.sparkContext.defaultParallelism)
+        assert sum(r.n for r in at) == 150 and max(r.n for r in at) <= 150 // len(at) + 2
