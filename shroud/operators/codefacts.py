@@ -17,6 +17,7 @@ Regex facts see code inside strings and comments too; they are not an AST
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -286,9 +287,28 @@ _BLOCKS_TYPE = T.ArrayType(T.StructType([
     T.StructField("decorators", T.IntegerType()), T.StructField("visited", T.BooleanType()), T.StructField("in_class", T.BooleanType())]))
 
 
+#: Characters of file text whose lines a Python worker holds at once.
+SLICE_CHARS = 1 << 20
+
+
+def _slices(contents: Iterator[pd.Series], chars: int) -> Iterator[pd.Series]:
+    """The lines of each file, given back whenever the files' text has reached
+    ``chars``: a batch's rows say nothing about the size of their lines."""
+    for batch in contents:
+        out, size = [], 0
+        for text in batch:
+            out.append(_walk_blocks(text))
+            size += len(text or "")
+            if size >= chars:
+                yield pd.Series(out, dtype=object)
+                out, size = [], 0
+        if out:
+            yield pd.Series(out, dtype=object)
+
+
 @F.pandas_udf(_BLOCKS_TYPE)
-def block_structure(content: pd.Series) -> pd.Series:
-    return content.map(_walk_blocks)
+def block_structure(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    yield from _slices(contents, SLICE_CHARS)
 
 
 def structured_files(files: DataFrame, *keep: str) -> DataFrame:
