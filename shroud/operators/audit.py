@@ -215,6 +215,12 @@ def table_sizes(load: TableLoader, tables: list[str]) -> DataFrame:
                           .select(F.lit(t).alias("table_name"), "n_rows") for t in tables])
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """``df`` as a join side that grows with the tables: always shuffled. A broadcast
+    would take it through the driver, once in each round."""
+    return df.hint("merge")
+
+
 def hierarchy(edges: DataFrame, tables: DataFrame) -> DataFrame:
     """Q6: level of each table in the FK graph. Level 0 = no parent; otherwise
     1 + max(level of parents). Tables on or below a cycle get NULL level and
@@ -233,21 +239,21 @@ def hierarchy(edges: DataFrame, tables: DataFrame) -> DataFrame:
     names = tables.select("table_name").distinct()
     # parents still open and the highest level among the finished ones
     open_ = e.groupBy(F.col("child").alias("table_name")).agg(F.count(F.lit(1)).alias("np")).withColumn("ml", F.lit(-1)).checkpoint()
-    front = names.join(open_, "table_name", "left_anti").select("table_name", F.lit(0).alias("level")).checkpoint()
+    front = names.join(_large(open_), "table_name", "left_anti").select("table_name", F.lit(0).alias("level")).checkpoint()
     done = front
     while not front.isEmpty():
-        hit = (e.join(front.withColumnRenamed("table_name", "parent"), "parent").groupBy(F.col("child").alias("table_name"))
+        hit = (e.join(_large(front.withColumnRenamed("table_name", "parent")), "parent").groupBy(F.col("child").alias("table_name"))
                .agg(F.count(F.lit(1)).alias("nd"), F.max("level").alias("l")))
-        step = (open_.join(hit, "table_name", "left")
+        step = (open_.join(_large(hit), "table_name", "left")
                 .select("table_name", (F.col("np") - F.coalesce("nd", F.lit(0))).alias("np"),
                         F.greatest("ml", F.coalesce("l", F.lit(-1))).alias("ml")).checkpoint())
         open_ = step.where("np > 0")
         front = step.where("np = 0").select("table_name", (F.col("ml") + 1).alias("level"))
         done = done.unionByName(front)
-    res = names.join(done, "table_name", "left")
+    res = names.join(_large(done), "table_name", "left")
     return res.select("table_name", F.col("level").cast("long").alias("level"),
                       F.col("level").isNull().alias("in_cycle")).join(
-        selfloops.withColumn("self_ref", F.lit(True)), "table_name", "left").select(
+        _large(selfloops.withColumn("self_ref", F.lit(True))), "table_name", "left").select(
         "table_name", "level", "in_cycle", F.coalesce("self_ref", F.lit(False)).alias("self_ref"))
 
 
@@ -268,8 +274,8 @@ def cycles(edges: DataFrame) -> DataFrame:
     while True:
         n = e.count()
         while n:
-            e = written(e.join(e.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
-                        .join(e.select(F.col("parent").alias("child")).distinct(), "child", "left_semi"), "cycle-edges")
+            e = written(e.join(_large(e.select(F.col("child").alias("parent")).distinct()), "parent", "left_semi")
+                        .join(_large(e.select(F.col("parent").alias("child")).distinct()), "child", "left_semi"), "cycle-edges")
             left = e.count()
             if left == n:
                 break
@@ -278,29 +284,29 @@ def cycles(edges: DataFrame) -> DataFrame:
             break
         colour = e.select(F.col("child").alias("table_name")).distinct().withColumn("colour", F.col("table_name"))
         while True:
-            above = e.join(colour.toDF("parent", "above"), "parent").groupBy(F.col("child").alias("table_name")).agg(F.min("above").alias("above"))
-            step = written(colour.join(above, "table_name").select("table_name", F.least("colour", "above").alias("colour"), (F.col("above") < F.col("colour")).alias("moved")), "cycle-colours")
+            above = e.join(_large(colour.toDF("parent", "above")), "parent").groupBy(F.col("child").alias("table_name")).agg(F.min("above").alias("above"))
+            step = written(colour.join(_large(above), "table_name").select("table_name", F.least("colour", "above").alias("colour"), (F.col("above") < F.col("colour")).alias("moved")), "cycle-colours")
             colour = step.drop("moved")
             if step.where("moved").isEmpty():
                 break
-        same = written(e.join(colour.toDF("child", "cycle"), "child").join(colour.toDF("parent", "above"), "parent").where("cycle = above").drop("above"), "cycle-same")
+        same = written(e.join(_large(colour.toDF("child", "cycle")), "child").join(_large(colour.toDF("parent", "above")), "parent").where("cycle = above").drop("above"), "cycle-same")
         members = front = written(colour.where("table_name = colour").select("table_name", F.col("colour").alias("cycle")), "cycles")
         while not front.isEmpty():
-            up = same.join(front.withColumnRenamed("table_name", "child"), ["child", "cycle"]).select(F.col("parent").alias("table_name"), "cycle").distinct()
-            front = written(up.join(members, "table_name", "left_anti"), "cycles")
+            up = same.join(_large(front.withColumnRenamed("table_name", "child")), ["child", "cycle"]).select(F.col("parent").alias("table_name"), "cycle").distinct()
+            front = written(up.join(_large(members), "table_name", "left_anti"), "cycles")
             members = members.unionByName(front)
         members = written(members, "cycles")
         found = found.unionByName(members)
         gone = members.select("table_name")
-        e = written(e.join(gone.withColumnRenamed("table_name", "child"), "child", "left_anti")
-                    .join(gone.withColumnRenamed("table_name", "parent"), "parent", "left_anti").select("child", "parent"), "cycle-edges")
+        e = written(e.join(_large(gone.withColumnRenamed("table_name", "child")), "child", "left_anti")
+                    .join(_large(gone.withColumnRenamed("table_name", "parent")), "parent", "left_anti").select("child", "parent"), "cycle-edges")
     sizes = found.groupBy("cycle").agg(F.count(F.lit(1)).alias("cycle_size")).where("cycle_size > 1")
-    return found.join(sizes, "cycle").select("table_name", "cycle", "cycle_size")
+    return found.join(_large(sizes), "cycle").select("table_name", "cycle", "cycle_size")
 
 
 def hierarchy_cycles(edges: DataFrame, tables: DataFrame) -> DataFrame:
     """Q6: :func:`hierarchy` with each table's ``cycle`` and ``cycle_size``, and
     ``below_cycle`` for those that only hang below one."""
     h = hierarchy(edges, tables)
-    return h.join(cycles(edges), "table_name", "left").select(
+    return h.join(_large(cycles(edges)), "table_name", "left").select(
         "table_name", "level", "self_ref", "cycle", "cycle_size", (F.col("in_cycle") & F.col("cycle").isNull()).alias("below_cycle"))

@@ -109,3 +109,15 @@ def test_shared_folder_is_required_outside_local_sessions():
                                     getConf=lambda: types.SimpleNamespace(get=lambda *_: None))
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(types.SimpleNamespace(sparkContext=context, conf=types.SimpleNamespace(get=lambda *_: None)))
+
+
+def test_hierarchy_joins_go_past_the_driver(spark):
+    # names grow with the tables: no join of a round may broadcast them
+    from shroud.operators import audit
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "b"), ("d", "e"), ("f", "f")], "child string, parent string")
+    names = spark.createDataFrame([(x,) for x in "abcdef"], "table_name string")
+    got = audit.hierarchy_cycles(edges, names)
+    rows = {r.table_name: (r.level, r.self_ref, r.cycle, r.cycle_size, r.below_cycle) for r in got.collect()}
+    assert rows == {"a": (None, False, "a", 2, False), "b": (None, False, "a", 2, False), "c": (None, False, None, None, True),
+                    "d": (1, False, None, None, False), "e": (0, False, None, None, False), "f": (0, True, None, None, False)}
+    assert "Broadcast" not in got._jdf.queryExecution().toString()
