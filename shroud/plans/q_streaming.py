@@ -77,7 +77,7 @@ def _admitted(spark, ev, delay, watermark="1 hour"):
     quarter = F.least(F.lit(3), F.floor((F.col("t") - F.lit(lo or 0)) * 4 / F.lit(max((hi or 0) - (lo or 0), 1))))
     dealt = ev.withColumn("t", t).withColumn("file", F.least(F.lit(3), quarter + delay))
     for k in range(4):
-        dealt.where(F.col("file") == k).select(*ev.columns).coalesce(1).write.mode("append").parquet(folder)
+        dealt.where(F.col("file") == k).select(*ev.columns).repartition(1).write.mode("append").parquet(folder)
         if k == 1:
             _admit(spark, folder, ev.schema, name, watermark)
     last = spark.range(1).select(F.lit(-1).cast(ev.schema["user_id"].dataType).alias("user_id"), F.lit(-1).cast(ev.schema["event_id"].dataType).alias("event_id"),

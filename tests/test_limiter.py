@@ -76,3 +76,29 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = {(r.event_id, r.n) for r in
              limiter.admission(ev, "user_id", "ts", "event_id", 10, 7 * 86400).collect()}
     assert stream == batch
+
+
+def test_stream_state_is_of_buckets(spark, tmp_path):
+    # many keys share a state row; missing keys and ids and long numbers come out as they went in
+    far, base = 2 ** 53 + 1, datetime(2024, 1, 1)
+    rng = random.Random(5)
+    rows = [(None if i % 50 == 0 else far + i % 700, None if i == 0 else far + i, base + timedelta(seconds=rng.randint(0, 600)), int(i % 9 == 4)) for i in range(3000)]
+    rows += [(far, far - 1, base, 2), (-1, -1, datetime(2030, 1, 1), 3)]  # one behind the watermark; the last of all
+    out, ckpt = S.stream_location(spark, "test_buckets")
+    state = spark.read.format("statestore").option("path", ckpt).option("stateVarName", "pending")
+    for k in range(4):
+        part = spark.createDataFrame([r[:3] for r in rows if r[3] == k], "key long, id long, ts timestamp_ntz")
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        src = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        S.run_stateful(S.admission_stream(src, "key", "ts", "id", 3, 60, watermark="580 seconds"), out, ckpt)
+        if k == 2:  # the stream has stopped with most of its requests waiting
+            assert 0 < state.load().select("key").distinct().count() <= S.BUCKETS
+    got = spark.read.schema(S.ADMISSION_OUT).parquet(out).collect()
+    us = lambda t: int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1))
+    border = max(us(r[2]) for r in rows if r[3] < 1) // 1000 * 1000 - 580_000_000
+    late = {r[1] for r in rows if r[3] in (1, 2) and us(r[2]) <= border}
+    assert {r.id for r in got if r.late} == late and far - 1 in late
+    # the one missing id stands for itself; a missing key is a key like any other
+    want = brute([(r[0] or 0, r[1] or 0, us(r[2])) for r in rows if r[1] not in late and r[3] < 3], 3, 60_000_000)
+    assert {r.id or 0: (r.window_start_us, r.n, r.admitted) for r in got if not r.late and r.key != -1} == want
+    assert {r.id: r.key for r in got} == {r[1]: r[0] for r in rows if r[3] < 3 or r[0] == far}
