@@ -245,3 +245,11 @@ def test_scripts_of_one_file_are_parsed_in_many_tasks(spark):
         at = scripts.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
         assert len(at) == max(4, spark.sparkContext.defaultParallelism)
         assert sum(r.n for r in at) == 150 and max(r.n for r in at) <= 150 // len(at) + 2
+
+
+def test_texts_of_a_definition_are_cut_once(spark):
+    # below a lambda function every use of an expression is evaluated anew: once for CREATE, once for ALTER
+    log = ddl.change_log(ddl.split_statements(FX.fixture(spark, SF_SMALL, "f_ddl")))
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(ddl._INSIDE + ", ()") == 2
+    assert plan.count(ddl._TABLE_CONSTRAINT + ", 1)") == 2
