@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 __all__ = ["WORD", "SPACE", "apart", "smallest_hashes", "fresh", "held", "run_folder", "save", "ship_package", "text_or_empty", "open_folder",
-           "row_budget", "PieceTokenizer", "tokenizer",
+           "row_budget", "batch_slices", "PieceTokenizer", "tokenizer",
            "words_of", "span_hashes", "mix", "byte_values"]
 
 
@@ -106,9 +106,22 @@ def row_budget(rows, sizes, budget: int):
         yield out
 
 
+def batch_slices(batch, column: str, budget: int, row: int = 0):
+    """Consecutive slices of an Arrow record batch, so that no more than
+    ``budget`` bytes of ``column`` become Python values at once (a larger single
+    row stands alone); ``row`` bytes are added for what each row takes besides."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for part in row_budget(range(batch.num_rows), [s + row for s in size], budget):
+        yield batch.slice(part[0], len(part))
+
+
 # ------------------------------------------------------------ word hashes
 _MULTIPLIER, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _POWERS: list = []
+#: Bytes that :func:`span_hashes` works on at once.
+BLOCK = 1 << 17
 
 
 def _powers(n: int):
@@ -128,15 +141,28 @@ def _powers(n: int):
 
 
 def span_hashes(raw, start, end, value):
-    """64-bit hashes of the byte spans ``raw[start:end]`` (numpy arrays), as
-    differences of one running polynomial sum; ``value`` maps bytes to odd
-    random numbers. Some 30 bytes of memory per byte of ``raw``."""
+    """64-bit hashes of the byte spans ``raw[start:end]`` (numpy arrays, both
+    rising), as differences of one running polynomial sum; ``value`` maps bytes
+    to odd random numbers. The sum runs block by block: besides arrays of one
+    number a span, the memory does not grow with ``raw``."""
     import numpy as np
 
-    up, down = _powers(len(raw))
-    run = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(value[raw] * up[:len(raw)], out=run[1:])
-    h = (run[end] - run[start]) * down[start]
+    up, down = _powers(min(len(raw), BLOCK))
+    h, before, back = (np.zeros(len(start), np.uint64) for _ in range(3))
+    total = np.uint64(0)
+    for at in range(0, len(raw), BLOCK):
+        n = min(BLOCK, len(raw) - at)
+        run = np.zeros(n + 1, np.uint64)
+        np.cumsum(value[raw[at:at + n]] * up[:n], out=run[1:])
+        run *= np.uint64(pow(_MULTIPLIER, at, 1 << 64))
+        run += total
+        total = run[-1]
+        here = slice(*np.searchsorted(start, [at, at + n]))
+        before[here] = run[start[here] - at]
+        back[here] = down[start[here] - at] * np.uint64(pow(_INVERSE, at, 1 << 64))
+        here = slice(*np.searchsorted(end, [at, at + n], "right"))
+        h[here] = run[end[here] - at]
+    h = (h - before) * back
     return mix(h ^ (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 

@@ -27,9 +27,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, fresh, mix, row_budget, save, ship_package, span_hashes, text_or_empty
+from .common import BLOCK, batch_slices, byte_values, fresh, mix, save, ship_package, span_hashes, text_or_empty
 
 BANDS, ROWS = 40, 5
+#: Bytes of text that a task turns into sets at once, and what a row counts besides (its bins and sketch).
+PART, PER_ROW = 2 << 20, 1 << 12
 SKETCH, FIRST, EXACT = 1024, 128, 128
 _EMPTY = 0xFFFFFFFFFFFFFFFF
 
@@ -51,8 +53,11 @@ def word_hashes(data: bytes):
         _STATE.update(value=value, space=space)
     raw = np.frombuffer(data, np.uint8)
     gap = np.ones(len(raw) + 2, bool)
-    gap[1:-1] = _STATE["space"][raw]
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    for at in range(0, len(raw), BLOCK):
+        part = raw[at:at + BLOCK]
+        gap[at + 1:at + 1 + len(part)] = _STATE["space"][part]
+    edge = np.concatenate([np.flatnonzero(gap[at + 1:at + 1 + BLOCK] != gap[at:at + BLOCK][:len(gap) - 1 - at]) + at
+                           for at in range(0, len(gap) - 1, BLOCK)])
     start, end = edge[0::2], edge[1::2]
     return start, span_hashes(raw, start, end, _STATE["value"]) if len(start) else np.empty(0, np.uint64)
 
@@ -149,16 +154,14 @@ def _describe(words: int, bands: int, rows: int):
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            table = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True)
-            for part in row_budget(table, map(len, texts), 2 << 20):
-                sets = shingle_sets([t for _, _, t in part], words)
+            for part in batch_slices(batch, "text", PART, PER_ROW):
+                sets = shingle_sets(part.column(2).to_pylist(), words)
                 some = [s for s in sets if len(s)]
                 bucket = iter(band_hashes(some, bands, rows).view("<i8").tolist() if some else [])
                 sketch = iter(summaries(some))
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([r[0] for r in part], batch.column(0).type), pa.array([r[1] for r in part], pa.binary()),
+                    part.column(0), part.column(1),
                     pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
                     pa.array([next(bucket) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     pa.array([next(sketch) if len(s) else None for s in sets], pa.binary())],
@@ -173,11 +176,10 @@ def _sets(words: int):
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in row_budget(zip(batch.column(0).to_pylist(), texts, strict=True), map(len, texts), 2 << 20):
-                sets = shingle_sets([t for _, t in part], words)
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()),
-                                                  pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+            for part in batch_slices(batch, "text", PART, PER_ROW):
+                sets = shingle_sets(part.column(1).to_pylist(), words)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                                 names=["node", "shingles"])
 
     return run
 
@@ -262,11 +264,12 @@ def cells(rows_of, names: list[str]):
 
         held, key = [], None
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[:3] != key:
-                    yield from flush(held)
-                    held, key = [], row[:3]
-                held.append(row)
+            for at in range(0, batch.num_rows, 256):  # a batch's rows become Python values as they are taken
+                for row in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns], strict=True):
+                    if row[:3] != key:
+                        yield from flush(held)
+                        held, key = [], row[:3]
+                    held.append(row)
         yield from flush(held)
 
     return run

@@ -3,13 +3,15 @@
 import collections
 import re
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 
-from shroud.llm import exactdedup, mixing, neardup, pii, quality, queries, secrets
+from shroud.llm import common, exactdedup, mixing, neardup, pii, quality, queries, secrets
 
 from . import brute
 
@@ -403,6 +405,29 @@ def test_shingle_hashes_are_distinct_and_blind_to_case():
     assert [len(s) for s in neardup.shingle_sets([long, "a b c d"], 4)] == [4, 1]
 
 
+def test_shingle_hashes_are_the_same_across_blocks(monkeypatch):
+    texts = ["", " ", "a bb  ccc\n" * 9, "ä" * 20 + " b c", " " * 15 + "abcdefg abcdefgh", "one two three four five six", "x" * 40]
+    want = neardup.shingle_sets(texts, 3)
+    for module in (common, neardup):
+        monkeypatch.setattr(module, "BLOCK", 7)
+    for few in [texts, *([t] for t in texts)]:
+        for t, got in zip(few, neardup.shingle_sets(few, 3), strict=True):
+            assert np.array_equal(got, want[texts.index(t)]), t
+
+
+@pytest.mark.parametrize("texts, most", [(["x" * 4_000_000 + " y"], 40), ([" ".join(f"w{i}" for i in range(600_000))], 100),
+                                         ([f"word{i} " * 40 for i in range(10_000)], 40)])
+def test_sets_are_made_in_bounded_memory(texts, most):
+    # MB besides the batch, which Arrow holds
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([b"k"] * len(texts), pa.binary()), pa.array(texts)],
+                                      names=["doc_id", "row_key", "text"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in neardup._describe(5, neardup.BANDS, neardup.ROWS)([rows]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(texts) and peak < most << 20, peak >> 20
+
+
 def test_densified_bins_agree_like_the_sets():
     rng = np.random.default_rng(2)
     for n in (5, 40, 400, 4000):
